@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from cipherlode.llm import media, tokens
+from cipherlode.llm import langid, media, tokens, toxicity
 
 
 def queries():
     return {
         "op1_bpe": tokens.query,
         "op5_media": media.query,
+        "op7_toxicity": toxicity.query,
+        "op8_langid": langid.query,
     }
 
 
