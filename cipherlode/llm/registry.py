@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from cipherlode.llm import langid, media, tokens, toxicity
+from cipherlode.llm import fingerprints, langid, media, tokens, toxicity, urls
 
 
 def queries():
     return {
         "op1_bpe": tokens.query,
+        "op4_fingerprints": fingerprints.query,
         "op5_media": media.query,
         "op7_toxicity": toxicity.query,
         "op8_langid": langid.query,
+        "op9_urls": urls.query,
     }
 
 
