@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cipherlode.llm import fingerprints, langid, media, tokens, toxicity, urls
+from cipherlode.llm import fingerprints, jaccard, langid, media, tokens, toxicity, urls
 
 
 def queries():
     return {
         "op1_bpe": tokens.query,
+        "op3_ngram_join": jaccard.query,
         "op4_fingerprints": fingerprints.query,
         "op5_media": media.query,
         "op7_toxicity": toxicity.query,
