@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cipherlode.llm import fingerprints, jaccard, langid, media, tokens, toxicity, urls
+from cipherlode.llm import fingerprints, jaccard, langid, media, substrings, tokens, toxicity, urls
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op7_toxicity": toxicity.query,
         "op8_langid": langid.query,
         "op9_urls": urls.query,
+        "op10_substrings": substrings.query,
     }
 
 
