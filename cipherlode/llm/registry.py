@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cipherlode.llm import fingerprints, jaccard, langid, media, substrings, tokens, toxicity, urls
+from cipherlode.llm import fingerprints, jaccard, langid, lm, media, substrings, tokens, toxicity, urls
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op3_ngram_join": jaccard.query,
         "op4_fingerprints": fingerprints.query,
         "op5_media": media.query,
+        "op6_lm": lm.query,
         "op7_toxicity": toxicity.query,
         "op8_langid": langid.query,
         "op9_urls": urls.query,
