@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cipherlode.llm import fingerprints, jaccard, langid, lm, media, substrings, tokens, toxicity, urls
+from cipherlode.llm import fingerprints, jaccard, langid, lm, media, mixing, substrings, tokens, toxicity, urls
 
 
 def queries():
     return {
         "op1_bpe": tokens.query,
+        "op2_mixing": mixing.query,
         "op3_ngram_join": jaccard.query,
         "op4_fingerprints": fingerprints.query,
         "op5_media": media.query,
@@ -20,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op2_mixing": mixing.SQL}

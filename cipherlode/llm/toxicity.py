@@ -204,6 +204,17 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 SCORES = "score double, n_hits long"
 
 
+def score_and_hits(text: str | None, lexicon: Lexicon, matcher) -> tuple[float, int]:
+    folded = fold(text or "")
+    found = hits(folded, matcher, lexicon.exceptions)
+    z = sum(w * x for w, x in zip(lexicon.model, (1.0, *features(found, folded))))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), len(found)
+
+
+def score_of(text: str | None, lexicon: Lexicon, matcher) -> float:
+    return score_and_hits(text, lexicon, matcher)[0]
+
+
 def score_texts(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep of every row, its score and number of hits; null text counts as empty."""
     spark = ship(docs.sparkSession)
@@ -211,17 +222,14 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        matcher, (w0, w1, w2, w3) = own.matcher(), own.model
+        matcher = own.matcher()
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             score, n = [], []
             for text in texts:
-                folded = fold(text.as_py() or "")
-                found = hits(folded, matcher, own.exceptions)
-                a, b, c = features(found, folded)
-                z = max(-30.0, min(30.0, w0 + w1 * a + w2 * b + w3 * c))
-                score.append(1 / (1 + math.exp(-z)))
-                n.append(len(found))
+                s, k = score_and_hits(text.as_py(), own, matcher)
+                score.append(s)
+                n.append(k)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64()), pa.array(n, pa.int64())], names=[*batch.schema.names[:-1], "score", "n_hits"])
 
     kept = docs.select(*keep, F.col("text").cast("string").alias("_scored"))
@@ -233,3 +241,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     lexicon = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_texts(docs, lexicon).selectExpr("doc_id", "pmod(crc32(cast(doc_id as string)), 3) = 1 held_out", "score", f"cast(score >= {THRESHOLD} as int) predicted", "n_hits")
+
+
+def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score below threshold, whole; needs a text column, any others stay as they are."""
+    spark = ship(docs.sparkSession)
+    sent, at = spark.sparkContext.broadcast(lexicon), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        matcher = own.matcher()
+        for batch in batches:
+            yield batch.filter(pa.array([score_of(t.as_py(), own, matcher) < threshold for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
