@@ -173,7 +173,8 @@ def size_text(n: Column) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    """Whether all of a text is one JSON value. The parser stops after a value; inside both brackets what follows can't pass."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))).isNotNull()
 
 
 def github_ok(url: Column) -> Column:

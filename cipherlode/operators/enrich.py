@@ -48,7 +48,7 @@ def mock(code: Column) -> Column:
 def parse_reply(text: Column) -> Column:
     """The JSON object in a model's reply (from the first brace to the last), or a failure."""
     block = F.regexp_extract(text, r"\{[\s\S]*\}", 0)
-    v = F.try_parse_json(F.nullif(block, F.lit("")))
+    v = F.when(C.is_json(F.nullif(block, F.lit(""))), F.try_parse_json(block))
     get = lambda path, kind: F.try_variant_get(v, f"$.{path}", kind)
     ok = v.isNotNull()
     return F.struct(

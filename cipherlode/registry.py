@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from cipherlode.plans import oracle
+from cipherlode.plans import queries as plans
+
 
 def entry(spark, sf_dir):
-    raise NotImplementedError
+    return plans.entry(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(plans.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return {k: v for k, v in oracle.SQL.items() if k in plans.QUERIES}
