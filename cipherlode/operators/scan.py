@@ -47,23 +47,35 @@ def _rule_array(table) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(FLAGS + rx).alias("rx"), F.lit(a).alias("algorithm"), F.lit(p).alias("primitive"), F.lit(c).alias("confidence")) for i, (rx, a, p, c) in enumerate(table)])
 
 
-HIT = ("rule_ord", "match_ord", "name", "algorithm", "primitive", "confidence", "line")
+def _hit(phase: int, detector: str, ord_: Column, at: Column, name: Column, algorithm: Column, primitive: Column, confidence: Column, line: Column) -> Column:
+    return F.struct(F.lit(phase).alias("phase"), F.lit(detector).alias("detector"), ord_.alias("rule_ord"), at.alias("match_ord"), name.alias("name"), algorithm.alias("algorithm"), primitive.alias("primitive"), confidence.alias("confidence"), line.alias("line"))
+
+
+def _exploded(files: DataFrame, hits: Column) -> DataFrame:
+    rows = files.withColumn("_h", F.explode(hits))
+    return rows.select(*files.columns, "_h.*")
+
+
+def pattern_array(content: Column, table, phase: int, detector: str, start: int = 0) -> Column:
+    """Hits of a rule table in a text: one for each match of the rules that match at all."""
+    matching = F.filter(_rule_array(table), lambda r: F.regexp_like(content, r["rx"]))
+    return F.flatten(F.transform(matching, lambda r: F.transform(match_lines(content, r["rx"]), lambda line, i: _hit(phase, detector, r["ord"] + start, i, r["algorithm"], r["algorithm"], r["primitive"], r["confidence"], line))))
 
 
 def pattern_hits(files: DataFrame, table, phase: int, detector: str) -> DataFrame:
-    """Hits of a rule table: one row for each match."""
-    matching = files.withColumn("r", F.explode(F.filter(_rule_array(table), lambda r: F.regexp_like(F.col("content"), r["rx"]))))
-    rows = matching.select(*files.columns, "r", F.posexplode(match_lines(F.col("content"), F.col("r.rx"))).alias("match_ord", "line"))
-    return rows.select(*files.columns, F.lit(phase).alias("phase"), F.lit(detector).alias("detector"), F.col("r.ord").alias("rule_ord"), "match_ord", F.col("r.algorithm").alias("name"), F.col("r.algorithm").alias("algorithm"), F.col("r.primitive").alias("primitive"), F.col("r.confidence").alias("confidence"), "line")
+    return _exploded(files, pattern_array(F.col("content"), table, phase, detector))
 
 
-def call_hits(files: DataFrame) -> DataFrame:
+def call_array(content: Column) -> Column:
     """Calls of known functions: identifiers before a bracket are found once and looked up."""
     known = F.create_map(*[x for i, (name, a, p, c) in enumerate(rules.CALLS) for x in (F.lit(name.lower()), F.struct(F.lit(i).alias("ord"), F.lit(name).alias("name"), F.lit(a).alias("algorithm"), F.lit(c).alias("confidence")))])
     rx = F.lit(CALL)
-    rows = files.select(*files.columns, F.posexplode(F.arrays_zip(F.regexp_extract_all("content", rx, F.lit(1)).alias("token"), match_lines(F.col("content"), rx).alias("line"))).alias("match_ord", "m"))
-    rows = rows.withColumn("r", F.try_element_at(known, F.lower("m.token"))).where("r is not null")
-    return rows.select(*files.columns, F.lit(4).alias("phase"), F.lit("source_symbol").alias("detector"), F.col("r.ord").alias("rule_ord"), "match_ord", F.col("r.name").alias("name"), F.col("r.algorithm").alias("algorithm"), F.lit(None).cast("string").alias("primitive"), F.col("r.confidence").alias("confidence"), F.col("m.line").alias("line"))
+    tokens = F.transform(F.arrays_zip(F.regexp_extract_all(content, rx, F.lit(1)).alias("token"), match_lines(content, rx).alias("line")), lambda m, i: F.struct(F.try_element_at(known, F.lower(m["token"])).alias("r"), m["line"].alias("line"), i.alias("i")))
+    return F.transform(F.filter(tokens, lambda t: t["r"].isNotNull()), lambda t: _hit(4, "source_symbol", t["r"]["ord"], t["i"], t["r"]["name"], t["r"]["algorithm"], F.lit(None).cast("string"), t["r"]["confidence"], t["line"]))
+
+
+def call_hits(files: DataFrame) -> DataFrame:
+    return _exploded(files, call_array(F.col("content")))
 
 
 def string_constants(content: Column) -> Column:
@@ -99,31 +111,37 @@ def classify_get_instance(api: Column, argument: Column) -> Column:
     return first_of(*cases, default=_facts("generic-crypto", "encryption", 0.6))
 
 
-def jca_hits(files: DataFrame) -> DataFrame:
+def jca_array(content: Column, constants: Column) -> Column:
     """Java getInstance calls with literal or constant arguments."""
     rx = F.lit(FLAGS + rules.GET_INSTANCE)
-    rows = files.where(F.regexp_like("content", rx)).withColumn("constants", string_constants(F.col("content")))
-    found = F.arrays_zip(F.regexp_extract_all("content", rx, F.lit(1)).alias("api"), F.regexp_extract_all("content", rx, F.lit(2)).alias("arg"), match_lines(F.col("content"), rx).alias("line"))
-    rows = rows.select(*files.columns, "constants", F.posexplode(found).alias("match_ord", "m"))
-    rows = rows.withColumn("r", classify_get_instance(F.col("m.api"), resolved(F.col("m.arg"), F.col("constants"))))
-    return rows.select(*files.columns, F.lit(2).alias("phase"), F.lit("java_jca_resolver").alias("detector"), F.lit(0).alias("rule_ord"), "match_ord", F.col("r.algorithm").alias("name"), F.col("r.algorithm").alias("algorithm"), F.col("r.primitive").alias("primitive"), F.col("r.confidence").alias("confidence"), F.col("m.line").alias("line"))
+    found = F.arrays_zip(F.regexp_extract_all(content, rx, F.lit(1)).alias("api"), F.regexp_extract_all(content, rx, F.lit(2)).alias("arg"), match_lines(content, rx).alias("line"))
+    facts = F.transform(found, lambda m, i: F.struct(classify_get_instance(m["api"], resolved(m["arg"], constants)).alias("r"), m["line"].alias("line"), i.alias("i")))
+    return F.transform(facts, lambda x: _hit(2, "java_jca_resolver", F.lit(0), x["i"], x["r"]["algorithm"], x["r"]["algorithm"], x["r"]["primitive"], x["r"]["confidence"], x["line"]))
 
 
-def operation_hits(files: DataFrame) -> DataFrame:
+def jca_hits(files: DataFrame) -> DataFrame:
+    return _exploded(files, jca_array(F.col("content"), string_constants(F.col("content"))))
+
+
+def operation_array(content: Column, constants: Column) -> Column:
     """Java constructors and operations; a key's algorithm is resolved like a getInstance argument."""
     (key_rx, *_), *others = rules.OPERATIONS
-    plain = pattern_hits(files, others, 2, "java_jca_resolver").withColumn("rule_ord", F.col("rule_ord") + 2)
     rx = F.lit(FLAGS + key_rx)
-    rows = files.where(F.regexp_like("content", rx)).withColumn("constants", string_constants(F.col("content")))
-    found = F.arrays_zip(F.regexp_extract_all("content", rx, F.lit(1)).alias("arg"), match_lines(F.col("content"), rx).alias("line"))
-    rows = rows.select(*files.columns, "constants", F.posexplode(found).alias("match_ord", "m"))
-    n = F.upper(resolved(F.col("m.arg"), F.col("constants")))
-    kind = first_of(
-        (any_of(n, "AES"), _facts("AES", "block-cipher", 0.9)), (any_of(n, "RSA"), _facts("RSA", "asymmetric", 0.9)), (any_of(n, "CHACHA"), _facts("ChaCha20", "stream-cipher", 0.9)),
-        (n != "", _facts(n, "block-cipher", 0.82)), default=_facts("generic-symmetric-key", "block-cipher", 0.7),
-    )
-    keys = rows.withColumn("r", kind).select(*files.columns, F.lit(2).alias("phase"), F.lit("java_jca_resolver").alias("detector"), F.lit(1).alias("rule_ord"), "match_ord", F.col("r.algorithm").alias("name"), F.col("r.algorithm").alias("algorithm"), F.col("r.primitive").alias("primitive"), F.col("r.confidence").alias("confidence"), F.col("m.line").alias("line"))
-    return keys.unionByName(plain)
+    found = F.arrays_zip(F.regexp_extract_all(content, rx, F.lit(1)).alias("arg"), match_lines(content, rx).alias("line"))
+
+    def kind(n: Column) -> Column:
+        return first_of(
+            (any_of(n, "AES"), _facts("AES", "block-cipher", 0.9)), (any_of(n, "RSA"), _facts("RSA", "asymmetric", 0.9)), (any_of(n, "CHACHA"), _facts("ChaCha20", "stream-cipher", 0.9)),
+            (n != "", _facts(n, "block-cipher", 0.82)), default=_facts("generic-symmetric-key", "block-cipher", 0.7),
+        )
+
+    facts = F.transform(found, lambda m, i: F.struct(kind(F.upper(resolved(m["arg"], constants))).alias("r"), m["line"].alias("line"), i.alias("i")))
+    keys = F.transform(facts, lambda x: _hit(2, "java_jca_resolver", F.lit(1), x["i"], x["r"]["algorithm"], x["r"]["algorithm"], x["r"]["primitive"], x["r"]["confidence"], x["line"]))
+    return F.concat(keys, pattern_array(content, others, 2, "java_jca_resolver", 2))
+
+
+def operation_hits(files: DataFrame) -> DataFrame:
+    return _exploded(files, operation_array(F.col("content"), string_constants(F.col("content"))))
 
 
 def function_ranges(files: DataFrame) -> DataFrame:
@@ -168,9 +186,11 @@ def scan_text(files: DataFrame) -> DataFrame:
     texts have no hits.
     """
     files = function_ranges(files.withColumn("content", F.regexp_replace("content", "\r\n?", "\n")))
-    java = files.where(F.lower("path").endswith(".java"))
-    hits = pattern_hits(java, rules.IMPORTS, 1, "java_import_signal").unionByName(jca_hits(java)).unionByName(operation_hits(java))
-    hits = with_context(hits.unionByName(pattern_hits(files, rules.PATTERNS, 3, "source_pattern")).unionByName(call_hits(files)))
+    text, constants = F.col("content"), string_constants(F.col("content"))
+    java = F.concat(pattern_array(text, rules.IMPORTS, 1, "java_import_signal"), jca_array(text, constants), operation_array(text, constants))
+    every = F.concat(pattern_array(text, rules.PATTERNS, 3, "source_pattern"), call_array(text))
+    found = F.when(F.lower("path").endswith(".java"), F.concat(java, every)).otherwise(every)
+    hits = with_context(_exploded(files, found))
     hits = hits.repartition("file_id")  # all windows below are within a file
     key = F.when(F.col("phase") == 4, F.col("name")).otherwise(F.col("algorithm"))
     order = ("phase", "rule_ord", "match_ord")

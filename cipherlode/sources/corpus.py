@@ -47,7 +47,9 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     content = F.concat_ws("\n", "p_name", _pick(SNIPPETS, key), _pick(SNIPPETS, key * 7 + F.floor(key / 19)))
     path = F.concat(F.lit("src/m"), (key % 50).cast("string"), F.lit("/F"), key.cast("string"), _pick(EXTENSIONS, key))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(key.alias("file_id"), (key % 50).alias("repo_id"), path.alias("path"), content.alias("content"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # names are dealt before they become texts: scanning is what takes time
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name").repartition(parts, "p_partkey").select(key.alias("file_id"), (key % 50).alias("repo_id"), path.alias("path"), content.alias("content"))
 
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
