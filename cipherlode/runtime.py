@@ -20,6 +20,8 @@ def ship(spark: SparkSession) -> SparkSession:
     Python workers import functions by module name. The zip is served by the driver, so
     nothing depends on a folder that driver and executors share.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # rows are whole texts
     sc = spark.sparkContext
     if not getattr(sc, "_cipherlode_shipped", False):
         path = os.path.join(tempfile.mkdtemp(), f"cipherlode-{uuid.uuid4().hex[:8]}.zip")
