@@ -166,7 +166,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
                 else:
                     ids.append(doc_id)
 
-    return dealt.mapInArrow(run, SCHEMA)
+    return dealt.mapInArrow(flat.lean(run), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

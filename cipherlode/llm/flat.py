@@ -6,6 +6,9 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. Word and window h
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,3 +162,24 @@ def rolling(h: np.ndarray, size: int) -> np.ndarray:
             level = mix(level[: len(level) - width] * _U(0x8EBC6AF09C88C6E3) + level[width:])
         width *= 2
     return out
+
+
+def lean(run):
+    """Wrap a function over batches: what it has held goes back to the system when it ends.
+
+    Python workers serve one task after another; without this each would keep its largest task's memory.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return wrapped

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cipherlode.llm import flat
 from cipherlode.runtime import ship
 
 SAMPLE_ROWS = 4_000
@@ -97,7 +98,7 @@ def fit(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)), 4)
                 names = list(found)
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(names), pa.int32()), pa.array(names, pa.string()), pa.array([lang] * len(names), pa.string()), pa.array([found[x] for x in names], pa.int64())], names=["kind", "item", "lang", "n"])
 
-    wide = sample.select("text", "lang").mapInArrow(count, "kind int, item string, lang string, n long").groupBy("kind", "item").agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)])
+    wide = sample.select("text", "lang").mapInArrow(flat.lean(count), "kind int, item string, lang string, n long").groupBy("kind", "item").agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)])
     out = []
     for kind, most, least in ((0, MAX_WORDS, 2), (1, MAX_GRAMS, 3)):
         top = wide.where((F.col("kind") == kind) & (F.col("total") >= least)).orderBy(F.desc("total"), "item").limit(most).toPandas()
@@ -145,7 +146,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 score.append(1 / float(np.exp(np.maximum(total - total[best], -700)).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(flat.lean(run), "doc_id long, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return texts.mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(flat.lean(count), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -317,7 +317,7 @@ def fit(texts: DataFrame, words: Words) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values), pa.array(np.full(len(values), seen, np.int64))], names=["i", "v", "n"])
 
     # as many rows as the network has weights
-    found = texts.mapInArrow(run, "i int, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas().sort_values("i")
+    found = texts.mapInArrow(flat.lean(run), "i int, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas().sort_values("i")
     return found["v"].to_numpy()
 
 
@@ -360,7 +360,7 @@ def _scored(docs: DataFrame, words: Words, weights: np.ndarray) -> DataFrame:
             facts = [np.diff(ptr), np.bincount(doc[known], minlength=docs_n), np.bincount(doc, weights=base, minlength=docs_n), model, n_rest]
             yield pa.RecordBatch.from_arrays([*others, *(pa.array(x) for x in facts), lists], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(flat.lean(run), SCHEMA)
 
 
 def score_documents(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)), 5) = 1") -> DataFrame:

@@ -23,6 +23,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from cipherlode.llm import flat
 from cipherlode.runtime import ship
 
 # Fixed values of the format: kbit/s by index (MPEG-1 Layer III) and samples a second by index.
@@ -236,7 +237,7 @@ def store_texts(docs: DataFrame, with_media: bool = False) -> DataFrame:
                 kinds = [pa.int64()] * 2 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())] + [pa.binary()] * with_media
                 yield pa.RecordBatch.from_arrays([ids[lo : lo + 512], *(pa.array(c, k) for c, k in zip(out[1:], kinds))], names=[x.split()[0] for x in SCHEMA.split(", ")] + ["media"] * with_media)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA + ", media binary" * with_media)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(flat.lean(run), SCHEMA + ", media binary" * with_media)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

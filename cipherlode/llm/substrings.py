@@ -156,7 +156,7 @@ def _anchored(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 take = pa.array(row + lo)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(run.view(np.int64)), ids.take(take), th.take(take), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32))], names=["key", "run", "doc_id", "th", "a", "n"])
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "th", "text").mapInArrow(find, "key long, run long, doc_id long, th long, a int, n int")
+    return docs.where("doc_id is not null and text is not null").select("doc_id", "th", "text").mapInArrow(flat.lean(find), "key long, run long, doc_id long, th long, a int, n int")
 
 
 def _passages(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -176,7 +176,7 @@ def _passages(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(run, pa.int64()), pa.array(owner, pa.int64()), pa.array(text, pa.binary())], names=["key", "run", "doc_id", "words"])
 
     rows = docs.where("doc_id is not null and text is not null").join(lists, ["doc_id", "th"]).select("doc_id", "text", "runs")
-    return rows.mapInArrow(cut, "key long, run long, doc_id long, words binary").dropDuplicates(["key", "run"])
+    return rows.mapInArrow(flat.lean(cut), "key long, run long, doc_id long, words binary").dropDuplicates(["key", "run"])
 
 
 def _through_shards(passages: DataFrame, window: int) -> DataFrame:
@@ -210,7 +210,7 @@ def _through_shards(passages: DataFrame, window: int) -> DataFrame:
             yield flush(held, automaton)
 
     dealt = passages.select("key", "run", "doc_id", "words", "salts", "salt").repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "doc_id", "run")
-    return dealt.mapInArrow(stream, "key long, run long, doc_id long, covered array<int>, open array<long>")
+    return dealt.mapInArrow(flat.lean(stream), "key long, run long, doc_id long, covered array<int>, open array<long>")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -281,7 +281,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, columns: tuple[str, ..
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), *(pa.array(v, pa.string()) for v in out.values())], names=[*keep, "n_words", "n_removed", *out])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_words long", "n_removed long", *(f"{c} string" for c in columns)])
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(flat.lean(cut), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,11 +24,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from cipherlode.llm import flat
 from cipherlode.runtime import ship
 
-CACHE_WORDS = 200_000
-"""Words in each of a worker's two cache generations."""
-CACHE_PAIRS = 400_000
+CACHE_WORDS = 150_000
+"""Words in each of a task's two cache generations."""
+CACHE_PAIRS = 300_000
 CACHE_BYTES = 64
 """Longer words are not kept."""
 
@@ -120,6 +121,11 @@ class Encoder:
         self.old: dict = {}
         self.pairs: dict = {}
 
+    def forget(self) -> None:
+        """Empty the caches, which would else stay with the worker."""
+        self.young, self.old = {}, {}
+        self.pairs.clear()
+
     def word(self, raw: bytes) -> list[int]:
         """Ids of one word, by dynamic programming over its prefixes."""
         text = raw[:-1].decode("latin-1").translate(self.translate) + self.v.final[raw[-1]]
@@ -216,7 +222,7 @@ def encode_documents(docs: DataFrame, path: str, columns: Sequence[str] = ("n_to
 
     path: a tokenizer file on the driver, sent to the executors (a few MB, whatever the input).
     Null and empty texts have no tokens. Rows are independent and are not shuffled; other
-    columns are left out. A worker keeps a bounded cache of words, so memory doesn't grow.
+    columns are left out. A task keeps a bounded cache of words, so memory doesn't grow.
     """
     spark = ship(docs.sparkSession)
     with open(path, "rb") as f:
@@ -236,9 +242,10 @@ def encode_documents(docs: DataFrame, path: str, columns: Sequence[str] = ("n_to
                     for column, kind in zip(out, kinds):
                         column.append(kind[2](own, text, found))
                 yield pa.RecordBatch.from_arrays([ids[lo : lo + 512], *(pa.array(c, k[1]) for c, k in zip(out, kinds))], names=["doc_id", *columns])
+        own.forget()
 
     schema = ", ".join(["doc_id long", *(f"{c} {k[0]}" for c, k in zip(columns, kinds))])
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(flat.lean(run), schema)
 
 
 def default_path() -> str:

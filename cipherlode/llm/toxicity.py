@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cipherlode.llm import flat
 from cipherlode.runtime import ship
 
 SAMPLE_ROWS = {0: 24_000, 1: 12_000}
@@ -152,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     least = MIN_TOXIC if n1 >= 1000 else 2
     odds = F.log((F.col("toxic") + 0.1) / (n1 + 0.2)) - F.log((F.col("clean") + 0.1) / (n0 + 0.2))
-    table = first.select("text", "toxic").mapInArrow(count, "p string, toxic long, clean long").groupBy("p").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    table = first.select("text", "toxic").mapInArrow(flat.lean(count), "p string, toxic long, clean long").groupBy("p").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     rows = table.where(F.col("toxic") >= least).withColumn("w", odds).where(F.col("w") >= MIN_ODDS).orderBy(F.desc(F.col("w") * F.sqrt("toxic")), "p").limit(LEXICON_SIZE).collect()
     lexicon = Lexicon({r["p"]: r["w"] for r in rows})
     sent = docs.sparkSession.sparkContext.broadcast(lexicon.weights)
@@ -170,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(t, pa.int32())], names=["a", "b", "toxic"])
 
     second = sample.where("half = 1").select("text", "toxic")
-    pairs = second.mapInArrow(look, "a string, b string, toxic int").groupBy("a", "b").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    pairs = second.mapInArrow(flat.lean(look), "a string, b string, toxic int").groupBy("a", "b").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     harmless = pairs.where("t = 0 and n >= 3").orderBy(F.desc("n"), "a", "b").limit(EXCEPTIONS).collect()
     lexicon.exceptions = {(r["a"], r["b"]) for r in harmless}
     rest = docs.sparkSession.sparkContext.broadcast(lexicon)
@@ -186,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
             yield pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(3)] + [batch.column(1)], names=["x0", "x1", "x2", "y"])
 
     # three numbers for each row of the bounded sample
-    seen = second.mapInArrow(measure, "x0 double, x1 double, x2 double, y int").toPandas()
+    seen = second.mapInArrow(flat.lean(measure), "x0 double, x1 double, x2 double, y int").toPandas()
     lexicon.model = _logistic(seen[["x0", "x1", "x2"]].to_numpy(), seen["y"].to_numpy(float))
     return lexicon
 
@@ -240,7 +241,7 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc
 
     kept = docs.select(*keep, F.col("text").cast("string").alias("_scored"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), SCORES])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(flat.lean(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,4 +261,4 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD)
         for batch in batches:
             yield batch.filter(pa.array([score_of(t.as_py(), own, matcher) < threshold for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(flat.lean(run), docs.schema)
