@@ -1,9 +1,9 @@
 """Document scores by a gated recurrent language model.
 
-Words are counted over all training texts. The most frequent ones are units of the network, all
-others share one unit, inside which the smoothed word frequencies hold; so the model is a
-probability over all words, and its output is factored: class, unit in the class, word in the
-unit. Training is truncated backpropagation in numpy: each task carries hidden states
+Words are counted over all training texts. Those that are frequent enough to be learned, a set
+that grows with the text, are units of the network; the others share one unit, inside which the
+smoothed word frequencies hold; so the model is a probability over all words, and its output is
+factored: class, unit in the class, word in the unit, with as many classes as units in a class. Training is truncated backpropagation in numpy: each task carries hidden states
 over windows of its whole documents, from the same start, and the tasks' weights are averaged
 by tokens. Scoring carries the state from a document's first word to its end.
 """
@@ -11,6 +11,7 @@ by tokens. Scoring carries the state from a document's first word to its end.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,14 @@ from cipherlode.runtime import ship, stored
 
 HEAD = 1 << 19
 """Words whose counts are broadcast, 16 bytes each; the others' counts are joined."""
-UNITS, CLASSES, HIDDEN = 256, 16, 16
+UNITS, HIDDEN = 256, 16
+"""Units at least, a square number."""
+UNIT_SHARE = 0.05
+"""A word is a unit if its count is at least this times the root of all training tokens."""
+BLOCK = 4096
+"""Weights that are averaged together."""
+SCORED = 32_768
+"""Tokens whose output is computed together in scoring."""
 WINDOW, LANES = 16, 512
 CHUNK = 2_000_000
 """Tokens that are laid out in lanes at a time; longer documents are taken whole."""
@@ -96,20 +104,23 @@ def head_of(counts: DataFrame) -> Words:
     total, distinct = int(facts["n"] or 0), int(facts["v"])
     level = F.floor(8 * F.log2("n"))
     sizes = {r["level"]: r["c"] for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("c")).collect()}
+    enough = UNIT_SHARE * math.sqrt(total)
     least, size = 1 << 20, 0
     for k in sorted(sizes, reverse=True):
         size += sizes[k]
         if size > HEAD:
             break
         least = k
+    least = min(least, math.floor(8 * math.log2(max(1.0, enough))))  # units are always in the head
     table = counts.where(level >= least).toPandas()
     h, n = table["w"].to_numpy(np.int64).view(np.uint64), table["n"].to_numpy(np.int64)
     rank = np.lexsort((h, -n, h != END))  # the end is always a unit
     units = np.zeros(len(h), np.int64)
-    chosen = rank[: UNITS - 1]
+    chosen = rank[: max(UNITS - 1, int((n >= enough).sum()))]
+    side = max(math.isqrt(UNITS), math.isqrt(len(chosen)) + 1)  # side * side units hold the chosen ones and the shared one
     units[chosen] = np.arange(1, len(chosen) + 1)
     weight = total + 0.5 * (distinct + 1)
-    p = np.full(UNITS, 0.5 / weight)
+    p = np.full(side * side, 0.5 / weight)
     p[1 : len(chosen) + 1] = (n[chosen] + 0.5) / weight
     p[0] = max(1e-9, 1 - p[1 : len(chosen) + 1].sum())
     order = np.argsort(h)
@@ -117,17 +128,16 @@ def head_of(counts: DataFrame) -> Words:
 
 
 class Network:
-    """Weights of the recurrent model; units are dealt to classes in turn."""
-
-    SHAPES = {"table": (UNITS, 3 * HIDDEN), "loop": (HIDDEN, 3 * HIDDEN), "to_class": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "to_unit": (UNITS, HIDDEN), "unit_bias": (UNITS,)}
+    """Weights of the recurrent model; unit u is the one of number u // classes in class u % classes."""
 
     def __init__(self, start: np.ndarray):
         rng = np.random.default_rng(11)
-        self.w = {k: (rng.standard_normal(s) * (0.1 if len(s) > 1 else 0)).astype(np.float32) for k, s in self.SHAPES.items()}
-        self.w["unit_bias"] = start.astype(np.float32)
-        by_class = start.reshape(-1, CLASSES)  # unit u is in class u % CLASSES
-        self.w["class_bias"] = np.log(np.exp(by_class).sum(axis=0)).astype(np.float32)
-        self.members = np.arange(UNITS).reshape(-1, CLASSES).T
+        k = self.classes = math.isqrt(len(start))
+        self.SHAPES = {"table": (k * k, 3 * HIDDEN), "loop": (HIDDEN, 3 * HIDDEN), "to_class": (HIDDEN, k), "class_bias": (k,), "to_unit": (k, k, HIDDEN), "unit_bias": (k, k)}
+        self.w = {name: (rng.standard_normal(s) * (0.0 if name.endswith("bias") else 0.1)).astype(np.float32) for name, s in self.SHAPES.items()}
+        by_class = start.reshape(k, k).T
+        self.w["unit_bias"] = np.ascontiguousarray(by_class, np.float32)
+        self.w["class_bias"] = np.log(np.exp(by_class).sum(axis=1)).astype(np.float32)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.w[k].ravel() for k in self.SHAPES])
@@ -168,38 +178,47 @@ class Network:
 
     def losses(self, states: np.ndarray, target: np.ndarray, gradient: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probabilities of the target units; with gradient also adds to it and gives the states' gradient."""
-        logit = states @ self.w["to_class"] + self.w["class_bias"]
-        logit -= logit.max(axis=1, keepdims=True)
-        p = np.exp(logit)
-        total = p.sum(axis=1, keepdims=True)
-        group, rows = target % CLASSES, np.arange(len(target))
-        out = logit[rows, group] - np.log(total[:, 0])
-        back = None
+
+        def picked(logit: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """Log probability at a place of each row; logit becomes its gradient."""
+            rows = np.arange(len(at))
+            logit -= logit.max(axis=1, keepdims=True)
+            own = logit[rows, at]
+            np.exp(logit, out=logit)
+            total = logit.sum(axis=1)
+            if gradient is not None:
+                logit *= (-1 / total)[:, None]
+                logit[rows, at] += 1
+            return own - np.log(total)
+
+        k = self.classes
+        group, place = target % k, target // k
+        order = np.argsort(group, kind="stable")
+        states, group, place = states[order], group[order], place[order]
+        p = states @ self.w["to_class"]
+        p += self.w["class_bias"]
+        found, back = picked(p, group), None
         if gradient is not None:
-            p /= -total
-            p[rows, group] += 1
             gradient["to_class"] += states.T @ p
             gradient["class_bias"] += p.sum(axis=0)
             back = p @ self.w["to_class"].T
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[edges[c] : edges[c + 1]]
-            if not len(own):
+        edges = np.searchsorted(group, np.arange(k + 1)).tolist()
+        for c, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            if lo == hi:
                 continue
-            units, s, place = self.members[c], states[own], target[own] // CLASSES
-            logit = s @ self.w["to_unit"][units].T + self.w["unit_bias"][units]
-            logit -= logit.max(axis=1, keepdims=True)
-            p = np.exp(logit)
-            total = p.sum(axis=1, keepdims=True)
-            k = np.arange(len(own))
-            out[own] += logit[k, place] - np.log(total[:, 0])
+            s, units = states[lo:hi], self.w["to_unit"][c]
+            p = s @ units.T
+            p += self.w["unit_bias"][c]
+            found[lo:hi] += picked(p, place[lo:hi])
             if gradient is not None:
-                p /= -total
-                p[k, place] += 1
-                gradient["to_unit"][units] += p.T @ s
-                gradient["unit_bias"][units] += p.sum(axis=0)
-                back[own] += p @ self.w["to_unit"][units]
+                gradient["to_unit"][c] = p.T @ s
+                gradient["unit_bias"][c] = p.sum(axis=0)
+                back[lo:hi] += p @ units
+        out = np.empty_like(found)
+        out[order] = found
+        if back is not None:
+            sorted_back, back = back, np.empty_like(back)
+            back[order] = sorted_back
         return out, back
 
     def train(self, before: np.ndarray, target: np.ndarray, fresh: np.ndarray, owner: np.ndarray, h: np.ndarray, adam: dict) -> np.ndarray:
@@ -208,7 +227,7 @@ class Network:
         kept: list = []
         states, last = self.forward(before, fresh, h, kept)
         real = np.flatnonzero(owner.ravel())
-        gradient = {k: np.zeros(s, np.float32) for k, s in self.SHAPES.items()}
+        gradient = {k: np.zeros(s, np.float32) for k, s in self.SHAPES.items() if k != "table"}
         _, some = self.losses(states.reshape(-1, HIDDEN)[real], target.ravel()[real], gradient)
         back = np.zeros((steps * lanes, HIDDEN), np.float32)
         back[real] = some
@@ -229,15 +248,16 @@ class Network:
         unit = before.ravel()
         order = np.argsort(unit, kind="stable")
         seen, at = np.unique(unit[order], return_index=True)
-        gradient["table"][seen] += np.add.reduceat(inputs.reshape(-1, 3 * HIDDEN)[order], at, axis=0)
+        gradient["table"] = np.add.reduceat(inputs.reshape(-1, 3 * HIDDEN)[order], at, axis=0)  # of the units seen
         adam["t"] += 1
         for k, g in gradient.items():
             g /= LANES * WINDOW  # a window of few tokens is a small step
             m, v = adam[k]
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
+            rows = seen if k == "table" else slice(None)
+            m[rows] += 0.1 * (g - m[rows])
+            v[rows] += 0.01 * (g * g - v[rows])
             rate = STEP * min(1.0, adam["t"] / WARM_UP)
-            self.w[k] += rate * (m / (1 - 0.9 ** adam["t"])) / (np.sqrt(v / (1 - 0.99 ** adam["t"])) + 1e-4)
+            self.w[k][rows] += rate * (m[rows] / (1 - 0.9 ** adam["t"])) / (np.sqrt(v[rows] / (1 - 0.99 ** adam["t"])) + 1e-4)
         return last
 
     def adam(self) -> dict:
@@ -271,7 +291,7 @@ def windows(units: np.ndarray, ptr: np.ndarray, end: int) -> Iterator[tuple[np.n
     width, steps = len(length), -(-int(length[0]) // WINDOW) * WINDOW
     doc = np.repeat(np.arange(len(size)), size)
     at = (first[doc] + np.arange(len(units)) - np.repeat(ptr[:-1], size)) * width + lane[doc]
-    target, before, owner = np.zeros(steps * width, np.int16), np.zeros(steps * width, np.int16), np.zeros(steps * width, np.int32)
+    target, before, owner = np.zeros(steps * width, np.int32), np.zeros(steps * width, np.int32), np.zeros(steps * width, np.int32)
     fresh = np.zeros(steps * width, np.float32)
     last = np.empty_like(units)
     last[1:] = units[:-1]
@@ -313,12 +333,18 @@ def fit(texts: DataFrame, words: Words) -> np.ndarray:
                 state = net.train(before, target, fresh, owner, state[: before.shape[1]], adam)
             seen += len(h)
         if seen:
-            values = net.flat().astype(np.float64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values), pa.array(np.full(len(values), seen, np.int64))], names=["i", "v", "n"])
+            values = net.flat()
+            blocks = [values[i : i + BLOCK].tobytes() for i in range(0, len(values), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(np.full(len(blocks), seen, np.int64)), pa.array(blocks, pa.binary())], names=["block", "n", "v"])
+
+    def mean(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["n"].to_pylist(), table["v"].to_pylist()))
+        total = sum(np.frombuffer(v, np.float32) * float(n) for n, v in rows) / sum(n for n, _ in rows)
+        return pa.table({"block": table["block"][:1], "v": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    # as many rows as the network has weights
-    found = texts.mapInArrow(flat.lean(run), "i int, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas().sort_values("i")
-    return found["v"].to_numpy()
+    # as many bytes as the network's weights have
+    found = texts.mapInArrow(flat.lean(run), "block int, n long, v binary").groupBy("block").applyInArrow(mean, "block int, v binary").toPandas().sort_values("block")
+    return np.frombuffer(b"".join(found["v"]), np.float32)
 
 
 SCHEMA = "doc_id long, rid long, held_out boolean, n_tokens long, n_known long, base double, model double, n_rest long, rest array<long>"
@@ -345,12 +371,23 @@ def _scored(docs: DataFrame, words: Words, weights: np.ndarray) -> DataFrame:
             docs_n, doc = len(ptr) - 1, np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
             total = np.zeros(docs_n + 1)
             state = np.zeros((LANES, HIDDEN), np.float32)
+            held, size = [], 0
+
+            def settle() -> None:
+                nonlocal held, size
+                if held:
+                    states, target, who = (np.concatenate(x) for x in zip(*held))
+                    np.add.at(total, who, net.losses(states, target)[0])
+                held, size = [], 0
+
             for before, target, fresh, owner in windows(unit, ptr, end):
                 states, state = net.forward(before, fresh, state[: before.shape[1]])
-                who = owner.ravel()
-                real = np.flatnonzero(who)
-                found, _ = net.losses(states.reshape(-1, HIDDEN)[real], target.ravel()[real])
-                np.add.at(total, who[real], found)
+                real = np.flatnonzero(owner.ravel())
+                held.append((states.reshape(-1, HIDDEN)[real], target.ravel()[real], owner.ravel()[real]))
+                size += len(real)
+                if size >= SCORED:
+                    settle()
+            settle()
             model = total[1:] / np.log(10)
             model += np.bincount(doc, weights=np.where(unit == 0, base - inside, 0.0), minlength=docs_n)
             rest = ~known
