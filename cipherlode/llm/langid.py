@@ -23,8 +23,6 @@ from cipherlode.runtime import ship
 
 SAMPLE_ROWS = 4_000
 """About so many labelled rows of each language are learned from, at most."""
-MAX_WORDS = 60_000
-MAX_GRAMS = 60_000
 LONGEST = 5
 CACHE_WORDS = 200_000
 UNKNOWN = "und"
@@ -100,8 +98,8 @@ def fit(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)), 4)
 
     wide = sample.select("text", "lang").mapInArrow(flat.lean(count), "kind int, item string, lang string, n long").groupBy("kind", "item").agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)])
     out = []
-    for kind, most, least in ((0, MAX_WORDS, 2), (1, MAX_GRAMS, 3)):
-        top = wide.where((F.col("kind") == kind) & (F.col("total") >= least)).orderBy(F.desc("total"), "item").limit(most).toPandas()
+    for kind, least in ((0, 2), (1, 3)):
+        top = wide.where((F.col("kind") == kind) & (F.col("total") >= least)).toPandas()  # bounded by the sample
         n = top[[f"n{i}" for i in range(len(langs))]].to_numpy(float).reshape(-1, len(langs))
         total = np.maximum(1.0, n.sum(axis=0))
         log = np.log((n + 0.05) / total)

@@ -2,7 +2,7 @@
 
 import random
 
-from cipherlode.llm import lm
+from cipherlode.llm import langid, lm
 
 
 def test_language_model_learns_words_beyond_the_most_frequent(spark):
@@ -14,3 +14,11 @@ def test_language_model_learns_words_beyond_the_most_frequent(spark):
     assert lm.head_of(lm.count_words(docs.where("doc_id > 1"))).units.max() == 1001
     got = {r.doc_id: r for r in lm.score_documents(docs, "doc_id < 2").collect()}
     assert abs(got[0].base_score - got[1].base_score) < 1e-6 and abs(got[0].score - got[1].score) > 0.01
+
+
+def test_a_rare_language_keeps_its_words(spark):
+    """However many words another language has."""
+    hot = " ".join(f"a{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(61_000))
+    docs = spark.createDataFrame([(i, hot, "en") for i in range(3)] + [(3, "zyxu zyxu", "xx")], "doc_id long, text string, lang string")
+    model = langid.fit(docs, "false")
+    assert len(model.words) == 61_001 and "zyxu" in model.words and "<zyxu" not in model.words
