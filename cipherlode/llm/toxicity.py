@@ -29,9 +29,9 @@ from cipherlode.runtime import ship
 
 SAMPLE_ROWS = {0: 24_000, 1: 12_000}
 """At most about so many labelled rows of each label are learned from."""
-LEXICON_SIZE = 4_000
-EXCEPTIONS = 2_000
-MIN_TOXIC = 5
+MIN_TOXIC = 2
+MIN_G2 = 6.63
+"""Log-likelihood ratio that label and entry are independent, the 1 % level; the same at every size."""
 MIN_ODDS = 2.5
 PREFIXES = range(4, 9)
 THRESHOLD = 0.7
@@ -151,10 +151,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     first = sample.where("half = 0")
     sizes = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    least = MIN_TOXIC if n1 >= 1000 else 2
+    share = n1 / max(1, n1 + n0)
+    seen = F.col("toxic") + F.col("clean")
+    g2 = 2 * (F.col("toxic") * F.log(F.col("toxic") / (seen * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (seen * (1 - share)))).otherwise(0.0))
     odds = F.log((F.col("toxic") + 0.1) / (n1 + 0.2)) - F.log((F.col("clean") + 0.1) / (n0 + 0.2))
     table = first.select("text", "toxic").mapInArrow(flat.lean(count), "p string, toxic long, clean long").groupBy("p").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    rows = table.where(F.col("toxic") >= least).withColumn("w", odds).where(F.col("w") >= MIN_ODDS).orderBy(F.desc(F.col("w") * F.sqrt("toxic")), "p").limit(LEXICON_SIZE).collect()
+    rows = table.where(F.col("toxic") >= MIN_TOXIC).withColumn("w", odds).where((F.col("w") >= MIN_ODDS) & (g2 >= MIN_G2)).collect()
     lexicon = Lexicon({r["p"]: r["w"] for r in rows})
     sent = docs.sparkSession.sparkContext.broadcast(lexicon.weights)
 
@@ -172,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
     second = sample.where("half = 1").select("text", "toxic")
     pairs = second.mapInArrow(flat.lean(look), "a string, b string, toxic int").groupBy("a", "b").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    harmless = pairs.where("t = 0 and n >= 3").orderBy(F.desc("n"), "a", "b").limit(EXCEPTIONS).collect()
+    harmless = pairs.where("t = 0 and n >= 3").collect()
     lexicon.exceptions = {(r["a"], r["b"]) for r in harmless}
     rest = docs.sparkSession.sparkContext.broadcast(lexicon)
 

@@ -1,8 +1,9 @@
 """What a bound on size, a count or a sample must not leave out."""
 
 import random
+from collections import Counter
 
-from cipherlode.llm import langid, lm
+from cipherlode.llm import langid, lm, toxicity
 
 
 def test_language_model_learns_words_beyond_the_most_frequent(spark):
@@ -22,3 +23,16 @@ def test_a_rare_language_keeps_its_words(spark):
     docs = spark.createDataFrame([(i, hot, "en") for i in range(3)] + [(3, "zyxu zyxu", "xx")], "doc_id long, text string, lang string")
     model = langid.fit(docs, "false")
     assert len(model.words) == 61_001 and "zyxu" in model.words and "<zyxu" not in model.words
+
+
+def test_rare_toxic_words_stay_in_a_large_lexicon(spark):
+    """With over 1,000 toxic rows, words of three or four toxic texts are still entries."""
+    rare = "concat('q', translate(cast(id div 10 as string), '0123456789', 'abcdefghij'))"
+    docs = spark.range(14_000).selectExpr("id doc_id", f"if(id < 2800, concat('common vile ', {rare}), 'common calm') text")
+    labels = spark.range(14_000).selectExpr("id doc_id", "1 quality", "cast(id < 2800 as int) toxic")
+    first = toxicity._sample(docs, labels).where("half = 0 and toxic = 1")
+    assert first.count() >= 1000
+    seen = Counter(r.text.split()[2] for r in first.collect())
+    few = [w for w, n in seen.items() if n in (3, 4)]
+    lexicon = toxicity.fit(docs, labels)
+    assert len(few) > 20 and all(f" {w} " in lexicon.weights for w in few)
