@@ -112,6 +112,13 @@ def s10_decode(spark, d):
     return read(spark, d, "documents").where("lang = 'en' or doc_id % 2 = 0").select("doc_id", F.length(files.decode_text(body)).alias("chars"))
 
 
+def s10_decode_all(spark, d):
+    """Every text: odd or missing ids as Latin-1 where it has all the characters, the others as UTF-8."""
+    fits = ~F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False)) & ~F.col("text").rlike("[^\\x{00}-\\x{FF}]")
+    body = F.when(fits, F.encode(F.col("text"), "ISO-8859-1")).otherwise(F.encode(F.col("text"), "UTF-8"))
+    return read(spark, d, "documents").select("doc_id", F.length(files.decode_text(body)).alias("chars"), F.md5(F.encode(files.decode_text(body), "UTF-8")).alias("md5"))
+
+
 def s20_file_hash(spark, d):
     body = F.encode(F.col("text"), "UTF-8")
     return read(spark, d, "documents").select("doc_id", files.file_hash(body).alias("sha256"), files.file_hash(body, "md5").alias("md5"), files.file_hash(body, "sha1").alias("sha1"))
