@@ -337,7 +337,7 @@ def f19_complete_rows(spark, d):
 
 
 def w08_recursive_forecast(spark, d):
-    return forecast.recursive(_prices(spark, d), 3)
+    return forecast.recursive(_prices(spark, d), 365)
 
 
 def w09_last_rows(spark, d):
@@ -347,7 +347,7 @@ def w09_last_rows(spark, d):
 
 def m02_boosted_forecast(spark, d):
     rows = forecast.complete(forecast.features(_prices(spark, d), tie="event_id")).orderBy("event_id").coalesce(4)
-    model, _ = forecast.train(rows, trees=5)
+    model, _ = forecast.train(rows)
     return model.transform(rows).select("event_id", F.col("prediction"))
 
 

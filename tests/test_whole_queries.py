@@ -23,3 +23,16 @@ def test_decode_covers_latin1_texts(spark, sf):
         text = text.replace("\r\n", "\n").replace("\r", "\n")
         assert (got[i].chars, got[i].md5) == (len(text), hashlib.md5(text.encode()).hexdigest())
     assert fallback > 10
+
+
+def test_forecasts_have_all_trees_and_a_year(spark, sf, monkeypatch):
+    real, asked = forecast.train, {}
+
+    def train(rows, **more):
+        asked.update(more)
+        return real(rows, **{**more, "trees": 1})
+
+    monkeypatch.setattr(forecast, "train", train)
+    assert queries.QUERIES["m02_boosted_forecast"](spark, sf).count() > 0 and asked.get("trees", 100) == 100
+    got = queries.QUERIES["w08_recursive_forecast"](spark, sf)
+    assert {r["count"] for r in got.groupBy("ticker").count().collect()} == {365}
