@@ -75,6 +75,10 @@ def x09_context(spark, d):
     return _hits(spark, d).where("phase = 3").select("file_id", "algorithm", "line", "snippet", "context_before", "context_after")
 
 
+def x09_context_all(spark, d):
+    return _hits(spark, d).select("file_id", "phase", "rule_ord", "match_ord", "algorithm", "line", "snippet", "context_before", "context_after")
+
+
 def x10_function_names(spark, d):
     return _hits(spark, d).where("lower(path) like '%.py'").select("file_id", "name", "line", "function_name")
 
@@ -280,6 +284,10 @@ def f20_label_table(spark, d):
     return bom.label_table(_file_labels(spark, d)).select("algorithm", "family", "category", "key_length_state", "mode_state", "padding_state", "pqc_status", "is_valid", "issue_count").distinct()
 
 
+def f20_label_rows(spark, d):
+    return bom.label_table(_file_labels(spark, d))
+
+
 def f21_decision_table(spark, d):
     return bom.decision_table(_labelled(spark, d)).select("ref", "algorithm", "include", "final_action", "max_severity", "quality_tier", "evidence_count", "reasons")
 

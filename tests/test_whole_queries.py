@@ -36,3 +36,14 @@ def test_forecasts_have_all_trees_and_a_year(spark, sf, monkeypatch):
     assert queries.QUERIES["m02_boosted_forecast"](spark, sf).count() > 0 and asked.get("trees", 100) == 100
     got = queries.QUERIES["w08_recursive_forecast"](spark, sf)
     assert {r["count"] for r in got.groupBy("ticker").count().collect()} == {365}
+
+
+def test_every_hit_has_its_context(spark, sf):
+    files = {r.file_id: r.content.split("\n") for r in queries.code_files(spark, sf).collect()}
+    got = queries.QUERIES["x09_context_all"](spark, sf).collect()
+    assert {r.phase for r in got} > {3} and len(got) == queries.QUERIES["x01_scan_hits"](spark, sf).count()
+    for r in got:
+        lines, at = files[r.file_id], r.line - 1
+        assert r.snippet == lines[at].strip()
+        assert r.context_before == "\n".join(lines[max(0, at - 2) : at]).strip(" \n") and r.context_after == "\n".join(lines[at + 1 : at + 3]).strip(" \n")
+    assert queries.QUERIES["f20_label_rows"](spark, sf).count() == queries.QUERIES["f12_layer"](spark, sf).count()
