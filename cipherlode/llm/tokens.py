@@ -213,7 +213,7 @@ COLUMNS = {
     "ids": ("array<int>", pa.list_(pa.int32()), lambda e, t, x: [int(i) for i in x[0].split()]),
     "decoded": ("string", pa.string(), lambda e, t, x: e.decode(map(int, x[0].split()))),
     "ids_sha256": ("string", pa.string(), lambda e, t, x: hashlib.sha256(x[0].encode()).hexdigest()),
-    "decoded_sha256": ("string", pa.string(), lambda e, t, x: hashlib.sha256(x[1].encode()).hexdigest()),
+    "decoded_sha256": ("string", pa.string(), lambda e, t, x: hashlib.sha256(e.decode(map(int, x[0].split())).encode()).hexdigest()),
 }
 
 

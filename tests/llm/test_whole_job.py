@@ -1,9 +1,10 @@
 """What a bound on size, a count or a sample must not leave out."""
 
+import hashlib
 import random
 from collections import Counter
 
-from cipherlode.llm import langid, lm, toxicity
+from cipherlode.llm import langid, lm, tokens, toxicity
 
 
 def test_language_model_learns_words_beyond_the_most_frequent(spark):
@@ -36,3 +37,13 @@ def test_rare_toxic_words_stay_in_a_large_lexicon(spark):
     few = [w for w, n in seen.items() if n in (3, 4)]
     lexicon = toxicity.fit(docs, labels)
     assert len(few) > 20 and all(f" {w} " in lexicon.weights for w in few)
+
+
+def test_decoded_hash_is_of_decoded_ids(monkeypatch):
+    with open(tokens.default_path(), "rb") as f:
+        own = tokens.Encoder(tokens.Vocabulary(f.read()))
+    found = own.encode("some words")
+    digest = tokens.COLUMNS["decoded_sha256"][2]
+    assert digest(own, "some words", found) == hashlib.sha256(own.decode(map(int, found[0].split())).encode()).hexdigest()
+    monkeypatch.setattr(own, "decode", lambda ids: "wrong")
+    assert digest(own, "some words", found) == hashlib.sha256(b"wrong").hexdigest()
