@@ -115,45 +115,106 @@ def test_automaton_equals_brute_force():
             assert a.owners(t, 4) == want
 
 
-def test_network_is_a_probability_and_its_gradient_is_right():
+def network(units=300):
     rng = np.random.default_rng(0)
-    net = lm.Network(np.log(rng.dirichlet(np.ones(lm.UNITS))))
+    p = np.sort(rng.dirichlet(np.ones(units)))[::-1]
+    net = lm.Network(np.log(np.append(0.3, 0.7 * p)))
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
-    state = rng.standard_normal((1, lm.HIDDEN))
-    total = net.losses(np.repeat(state, lm.UNITS, 0), np.arange(lm.UNITS))[0]
+    return net, rng
+
+
+def test_classes_hold_every_unit_once():
+    for n in (1, 2, 3, 50, 3000):
+        p = np.append(0.4, 0.6 / np.arange(1, n) / max(1, (1 / np.arange(1, n)).sum())) if n > 1 else np.ones(1)
+        edges = lm.class_edges(p)
+        assert edges[0] == 0 and edges[-1] == n and (np.diff(edges) > 0).all() and (n == 1 or edges[1] == 1)
+
+
+def test_network_is_a_probability_and_its_gradient_is_right():
+    net, rng = network()
+    n = len(net.group)
+    state = rng.standard_normal((lm.HIDDEN, 1))
+    total = net.losses(np.repeat(state, n, 1), np.arange(n))[0]
     assert abs(np.exp(total).sum() - 1) < 1e-6
-    before, target, fresh = rng.integers(0, lm.UNITS, (4, 3)), rng.integers(0, lm.UNITS, (4, 3)), np.zeros((4, 3))
+    before, target, fresh = rng.integers(0, n, (4, 3)), rng.integers(0, n, (4, 3)), np.zeros((4, 3))
     fresh[0], fresh[2, 1], owner = 1, 1, np.ones((4, 3), int)
 
     def loss():
-        return net.losses(net.forward(before, fresh, np.zeros((3, lm.HIDDEN)))[0].reshape(-1, lm.HIDDEN).astype(float), target.ravel())[0].sum()
+        return net.losses(net.forward(before, fresh, np.zeros((lm.HIDDEN, 3)))[0], target.ravel())[0].sum()
 
     saved, adam = {k: v.copy() for k, v in net.w.items()}, {"t": 0} | {k: (np.zeros(s), np.zeros(s)) for k, s in net.SHAPES.items()}
-    net.train(before, target, fresh, owner, np.zeros((3, lm.HIDDEN)), adam)
+    net.train(before, target, fresh, owner, np.zeros((lm.HIDDEN, 3)), adam)
     net.w = {k: v.copy() for k, v in saved.items()}
     for k in net.SHAPES:
-        g = adam[k][0] / 0.1 * lm.LANES * lm.WINDOW
-        i = np.unravel_index(np.abs(g).argmax(), g.shape)
-        net.w[k][i] += 1e-3
-        up = loss()
-        net.w[k][i] -= 2e-3
-        down = loss()
-        net.w[k][i] += 1e-3
-        assert abs((up - down) / 2e-3 - g[i]) < 1e-2 * max(1, abs(g[i]))
-
-
-def test_windows_keep_every_token_in_order():
+        g = adam[k][0] / 0.1 * target.size
+        for i in np.argsort(-np.abs(g).ravel())[:3]:
+            i = np.unravel_index(i, g.shape)
+            net.w[k][i] += 1e-3
+            up = loss()
+            net.w[k][i] -= 2e-3
+            down = loss()
+            net.w[k][i] += 1e-3
+            assert abs((up - down) / 2e-3 - g[i]) < 1e-2 * max(1, abs(g[i]))
+
+
+@pytest.mark.parametrize("piece", [None, 32])
+def test_windows_keep_every_token_in_order(piece, monkeypatch):
+    monkeypatch.setattr(lm, "PER_LANE", 500)
     rng = np.random.default_rng(1)
     ptr = np.concatenate([[0], np.cumsum(rng.integers(1, 90, 700))])
-    units = rng.integers(0, lm.UNITS, ptr[-1])
-    got = {}
-    for _, target, fresh, owner in lm.windows(units, ptr, 1):
+    units = rng.integers(0, 300, ptr[-1])
+    got, starts = {}, 0
+    for before, target, fresh, owner, at, _ in lm.windows(units, ptr, 1, piece):
         for t in range(len(target)):
-            for u, o, f in zip(target[t], owner[t], fresh[t]):
+            for b, u, o, f, i in zip(before[t], target[t], owner[t], fresh[t], at[t]):
                 if o:
-                    got.setdefault(int(o) - 1, []).append(int(u))
-                    assert (len(got[int(o) - 1]) == 1) == bool(f)
-    assert all(got[d] == units[ptr[d] : ptr[d + 1]].tolist() for d in range(len(ptr) - 1))
+                    got.setdefault(int(o) - 1, []).append((int(i), int(u), int(b)))
+                    starts += bool(f)
+    size = np.diff(ptr)
+    assert starts == (size.size if piece is None else (-(-size // piece)).sum())
+    for d in range(len(size)):
+        want = units[ptr[d] : ptr[d + 1]].tolist()
+        rows = got[d] if piece is None else sorted(got[d])
+        assert [i for i, _, _ in rows] == list(range(ptr[d], ptr[d + 1])) and [u for _, u, _ in rows] == want and [b for _, _, b in rows] == [1, *want[:-1]]
+
+
+def plain_score(net, units, end):
+    """One text's log probabilities, a token at a time, by the definition."""
+    w, k, h, out, last = net.w, lm.HIDDEN, np.zeros(lm.HIDDEN), [], end
+    f = lambda x: x / (1 + abs(x))
+    soft = lambda x: x - np.log(np.exp(x).sum())
+    for u in units:
+        x, y = w["table"][last], w["loop"] @ h
+        r, z = (f(x[:k] + y[:k]) + 1) / 2, (f(x[k : 2 * k] + y[k : 2 * k]) + 1) / 2
+        n = f(x[2 * k :] + r * y[2 * k :])
+        h = n + z * (h - n)
+        c = net.group[u]
+        a, b = net.edges[c], net.edges[c + 1]
+        out.append(soft(w["to_class"] @ h + w["class_bias"][:, 0])[c] + soft(w["to_unit"][a:b] @ h + w["unit_bias"][a:b, 0])[u - a])
+        last = u
+    return out
+
+
+def test_gains_equal_a_plain_network():
+    """The state is carried over windows from a text's first token to its last, whatever stands beside it."""
+    net, rng = network()
+    hashes = np.sort(rng.integers(1, 1 << 62, 300).astype(np.uint64))
+    hashes[-1] = np.uint64((1 << 63) + 5)
+    words = lm.Words(1000, 300, hashes, np.ones(300, np.int64), np.arange(1, 301), np.log(np.append(0.3, np.full(300, 0.7 / 300))))
+    plain = lm.Network(words.start)
+    plain.w = {k: (v + rng.standard_normal(v.shape) * 0.3).astype(np.float32) for k, v in plain.w.items()}
+    size = rng.integers(1, 60, 40)
+    size[3] = 700
+    ptr = np.append(0, np.cumsum(size))
+    at = rng.integers(0, 300, ptr[-1])
+    h = np.where(rng.random(len(at)) < 0.2, np.uint64(7), hashes[at])
+    (_, _, _, _, known, gain) = next(iter(lm._gains(words, plain.flat(), iter([([], h, ptr)]))))
+    units = np.where(known, at + 1, 0)
+    assert (known == (h != 7)).all()
+    for d in range(len(size)):
+        own = units[ptr[d] : ptr[d + 1]]
+        want = np.exp(np.array(plain_score(plain, own, words.end)) - words.start[own])
+        assert np.allclose(gain[ptr[d] : ptr[d + 1]], want, rtol=2e-3)
 
 
 def test_folding_and_exceptions():
