@@ -7,7 +7,8 @@ level up. A leaf's budget is then a prefix of its tokens in seeded epochs: each
 permutation of the leaf's documents, and the last document taken may be cut.
 
 All of it is DataFrame functions. A leaf may hold most rows: a permutation is never sorted as a
-whole. Hash ranges are summed, and only the range in which the budget ends is put in order.
+whole. Hash ranges are summed; the one in which the budget ends is divided again, RANGE_LEVELS
+times in all, and only what is then left of it is put in order.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from cipherlode.runtime import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_LEAVES = 100_000
-RANGE_DIGITS = 3
+"""Leaves of some 100 bytes each that are broadcast; more are joined."""
+RANGE_DIGITS, RANGE_LEVELS = 2, 3
+"""A hash range is divided into 16**RANGE_DIGITS; after the last division it holds one in 16 million rows of a leaf."""
 
 
 @dataclass(frozen=True)
@@ -42,10 +45,19 @@ def domain_of(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("domain"), (F.try_to_number(F.nullif(F.substring(F.regexp_extract(source, "([0-9]+)", 1), 1, 9), F.lit("")), F.lit("999999999")).cast("long") % 4).cast("string")), F.lit("other"))
 
 
-def with_leaf(docs: DataFrame) -> DataFrame:
-    """Adds m_domain, m_lang, m_source and m_tokens; null or missing names are `none`."""
-    text, source = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("none"))
-    return docs.withColumns({"m_domain": domain_of(source), "m_lang": F.coalesce(F.col("lang").cast("string"), F.lit("none")), "m_source": source, "m_tokens": F.regexp_count(text, F.lit(WORD)).cast("long")})
+def measured(docs: DataFrame) -> DataFrame:
+    """m_domain, m_lang, m_source, m_tokens, m_name and m_key of each row that has words, and the row itself as m_doc.
+
+    Null languages and sources are `none`. m_name tells the rows apart by id, those without one by text.
+    """
+    text, source = F.col("m_doc.text").cast("string"), F.coalesce(F.col("m_doc.source").cast("string"), F.lit("none"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("m_doc"))
+    rows = rows.select(
+        "m_doc", domain_of(source).alias("m_domain"), F.coalesce(F.col("m_doc.lang").cast("string"), F.lit("none")).alias("m_lang"), source.alias("m_source"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long").alias("m_tokens"),
+        F.md5(text.cast("binary")).alias("m_key"),
+    )
+    name = F.coalesce(F.col("m_doc.doc_id").cast("string"), F.concat(F.lit("null:"), F.col("m_key")))
+    return rows.where("m_tokens > 0").withColumn("m_name", name)
 
 
 def _weight(level: str, mix: Mix) -> Column:
@@ -76,7 +88,7 @@ def share_out(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
 
 
 def budgets(rows: DataFrame, mix: Mix) -> DataFrame:
-    """(m_domain, m_lang, m_source, total, b) of each leaf; rows: what with_leaf adds."""
+    """(m_domain, m_lang, m_source, tokens, b) of each leaf; rows: what measured gives."""
     names = [f"m_{x}" for x in LEVELS]
     leaves = stored(rows.groupBy(*names).agg(F.sum("m_tokens").alias("tokens")), "leaves")
     whole = leaves.agg(F.sum("tokens")).first()[0] or 0
@@ -91,55 +103,78 @@ def budgets(rows: DataFrame, mix: Mix) -> DataFrame:
     return stored(above.withColumnRenamed("total", "b").join(leaves, names), "budgets")
 
 
-def _hash(mix: Mix, epoch: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-
+NAMES = [f"m_{x}" for x in LEVELS]
+NARROW = [*NAMES, "m_tokens", "m_name", "m_key"]
 
-def select_epochs(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """docs (doc_id, text, lang, source and any others) with m_domain, m_lang, m_source, m_tokens, epoch and m_taken.
 
-    One row for each epoch in which a document is taken, m_taken of its m_tokens words. Texts
-    without words, null ones too, take no budget and are not returned; an empty table gives an
-    empty one. Rows that repeat are separate documents that come next to each other.
-    """
-    rows = with_leaf(docs)
-    leaves = budgets(rows, mix)
-    names = [f"m_{x}" for x in LEVELS]
+def _selected(rows: DataFrame, narrow: DataFrame, mix: Mix) -> DataFrame:
+    """rows with epoch and m_taken, one row for each epoch; narrow: the columns NARROW of rows."""
+    leaves = budgets(narrow, mix)
     small = leaves.count() <= BROADCAST_LEAVES
-    ends = leaves.where("tokens > 0").select(*names, F.expr("b div tokens").alias("m_full"), F.expr("b % tokens").alias("m_rest"))
-
-    def placed(leaf: DataFrame) -> DataFrame:
-        joined = rows.where("m_tokens > 0").join(F.broadcast(leaf) if small else leaf, names)
-        return joined.withColumn("m_hash", _hash(mix, F.col("m_full"))).withColumn("m_range", F.substring("m_hash", 1, RANGE_DIGITS))
-
-    sums = placed(ends).where("m_rest > 0").groupBy(*names, "m_rest", "m_range").agg(F.sum("m_tokens").alias("s"))
-    upto = Window.partitionBy(*names).orderBy("m_range").rowsBetween(Window.unboundedPreceding, 0)  # 4,096 ranges a leaf at most
-    last = sums.withColumn("upto", F.sum("s").over(upto)).where("upto >= m_rest").groupBy(*names).agg(F.min(F.struct("m_range", (F.col("upto") - F.col("s")).alias("before"))).alias("x"))
-    last = stored(last.select(*names, F.col("x.m_range").alias("m_last"), F.col("x.before").alias("m_before")), "ends")
-    found = placed(ends.join(last, names, "left"))
-    found = found.withColumn("m_part", F.when((F.col("m_rest") == 0) | (F.col("m_range") > F.col("m_last")), F.lit("out")).when(F.col("m_range") < F.col("m_last"), F.lit("in")).otherwise(F.lit("end")))
-    order = Window.partitionBy(*names).orderBy("m_hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    ends = leaves.where("tokens > 0").select(*NAMES, F.expr("b div tokens").alias("m_full"), F.expr("b % tokens").alias("m_rest"))
+
+    def placed(rows: DataFrame, leaf: DataFrame) -> DataFrame:
+        joined = rows.join(F.broadcast(leaf) if small else leaf, NAMES)
+        return joined.withColumn("m_hash", F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("m_full").cast("string"), F.col("m_name")).cast("binary")))
+
+    last = ends.where("m_rest > 0").withColumns({"m_last": F.lit(""), "m_before": F.lit(0).cast("long")})
+    for level in range(RANGE_LEVELS):
+        inside = placed(narrow, last).where(F.substring("m_hash", 1, RANGE_DIGITS * level) == F.col("m_last"))
+        sums = inside.groupBy(*NAMES, "m_full", "m_rest", "m_before", F.substring("m_hash", 1, RANGE_DIGITS * (level + 1)).alias("range")).agg(F.sum("m_tokens").alias("s"))
+        order = Window.partitionBy(*NAMES).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)  # at most 16**RANGE_DIGITS rows a leaf
+        upto = sums.withColumn("upto", F.col("m_before") + F.sum("s").over(order)).where("upto >= m_rest")
+        found = upto.groupBy(*NAMES, "m_full", "m_rest").agg(F.min(F.struct("range", (F.col("upto") - F.col("s")).alias("before"))).alias("x"))
+        last = stored(found.select(*NAMES, "m_full", "m_rest", F.col("x.range").alias("m_last"), F.col("x.before").alias("m_before")), "ends")
+    found = placed(rows, ends.join(last.drop("m_full", "m_rest"), NAMES, "left"))
+    own = F.substring("m_hash", 1, RANGE_DIGITS * RANGE_LEVELS)
+    found = found.withColumn("m_part", F.when((F.col("m_rest") == 0) | (own > F.col("m_last")), F.lit("out")).when(own < F.col("m_last"), F.lit("in")).otherwise(F.lit("end")))
+    order = Window.partitionBy(*NAMES).orderBy("m_hash", "m_name", "m_key").rowsBetween(Window.unboundedPreceding, -1)
     end = found.where("m_part = 'end'").withColumn("m_ahead", F.col("m_before") + F.coalesce(F.sum("m_tokens").over(order), F.lit(0)))
     end = end.withColumn("m_taken", F.least("m_tokens", F.greatest(F.lit(0), F.col("m_rest") - F.col("m_ahead")))).withColumn("epoch", F.col("m_full")).where("m_taken > 0")
     whole = found.withColumn("m_n", F.col("m_full") + F.when(F.col("m_part") == "in", 1).otherwise(0)).where("m_n > 0")
     whole = whole.withColumn("epoch", F.explode(F.expr("sequence(0L, m_n - 1)"))).withColumn("m_taken", F.col("m_tokens"))
-    out = [*docs.columns, *names, "m_tokens", "epoch", "m_taken"]
+    out = [*rows.columns, "epoch", "m_taken"]
     return whole.select(*out).unionByName(end.select(*out))
 
 
+OWN = (*NAMES, "m_tokens", "epoch", "m_taken")
+
+
+def select_epochs(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """docs (doc_id, text, lang, source and any others) with m_domain, m_lang, m_source, m_tokens, epoch and m_taken.
+
+    One row for each epoch in which a document is taken, m_taken of its m_tokens words. Texts
+    without words, null ones too, take no budget and are not returned; an empty table gives an
+    empty one. Rows that repeat are separate documents that come next to each other; rows with one
+    id or none are told apart by their texts, so the result doesn't depend on the layout.
+    Columns of docs with one of the added names are replaced.
+    """
+    rows = measured(docs)
+    narrow = stored(rows.select(*NARROW), "measured")
+    return _selected(rows, narrow, mix).select(*[F.col(f"m_doc.`{c}`").alias(c) for c in docs.columns if c not in OWN], *OWN)
+
+
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The mixed documents with the columns of docs: cut texts keep their first words, joined by one space."""
-    first = F.array_join(F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, F.col("m_taken").cast("int")), " ")
-    text = F.when(F.col("m_taken") < F.col("m_tokens"), first).otherwise(F.col("text"))
-    rows = select_epochs(docs, mix).withColumn("text", text)
+    """The mixed documents with the columns of docs, whatever their names: cut texts keep their first words, joined by one space.
+
+    Null texts and texts without words are not returned; an empty table gives an empty one;
+    rows that repeat, or share an id, are taken and cut separately.
+    """
+    rows = measured(docs)
+    taken = _selected(rows, stored(rows.select(*NARROW), "measured"), mix)
+    cut, text = F.col("m_taken") < F.col("m_tokens"), F.col("m_doc.text").cast("string")
+    first = F.array_join(F.slice(F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, F.col("m_taken").cast("int")), " ")
+    changed = {"text": F.when(cut, first).otherwise(text)}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("m_taken") < F.col("m_tokens"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        changed["n_chars"] = F.when(cut, F.length(first).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("m_doc.n_chars"))
+    return taken.select(*[changed.get(c, F.col(f"m_doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = select_epochs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return rows.select("doc_id", F.col("m_domain").alias("domain"), F.col("m_lang").alias("lang"), F.col("m_source").alias("source"), "epoch", F.col("m_tokens").alias("n_tokens"), F.col("m_taken").alias("n_taken"))
+    """Which words of each document are taken in which epoch, with the default weights."""
+    rows = measured(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
+    narrow = stored(rows.select(F.col("m_doc.doc_id").alias("doc_id"), *NARROW), "measured")
+    return _selected(narrow, narrow, Mix()).select("doc_id", F.col("m_domain").alias("domain"), F.col("m_lang").alias("lang"), F.col("m_source").alias("source"), "epoch", F.col("m_tokens").alias("n_tokens"), F.col("m_taken").alias("n_taken"))
 
 
 def _share_sql(name: str, of: str, parents: str, key: str, weight: str, above: str) -> str:
@@ -158,7 +193,7 @@ def _share_sql(name: str, of: str, parents: str, key: str, weight: str, above: s
 
 SQL = rf"""
 with rows as (
-  select doc_id, coalesce(source, 'none') as source, coalesce(lang, 'none') as lang,
+  select doc_id, md5(text) as text_key, coalesce(source, 'none') as source, coalesce(lang, 'none') as lang,
     case when regexp_matches(coalesce(source, 'none'), '[0-9]') then 'domain' || (left(regexp_extract(source, '[0-9]+'), 9)::bigint % 4) else 'other' end as domain,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::hugeint as n_tokens
   from documents),
@@ -168,7 +203,7 @@ root as (select least(sum(tokens)::hugeint * 3 // 4, sum(tokens)::hugeint * 4) a
 {_share_sql("l", "leaves", "domain", "lang", "case lang when 'en' then 5 when 'de' then 2 when 'fr' then 2 else 1 end", "d")},
 {_share_sql("s", "leaves", "domain, lang", "source", "case source when 'src0' then 2 else 1 end", "l")},
 ends as (select domain, lang, source, b // tokens::hugeint as m, b % tokens::hugeint as rest from s join leaves using (domain, lang, source) where tokens > 0),
-placed as (select r.*, m, rest, sum(n_tokens) over (partition by domain, lang, source order by md5('17:' || m || ':' || coalesce(doc_id::varchar, 'null')), doc_id rows between unbounded preceding and current row) - n_tokens as ahead
+placed as (select r.*, m, rest, sum(n_tokens) over (partition by domain, lang, source order by md5('17:' || m || ':' || coalesce(doc_id::varchar, 'null:' || text_key)), doc_id, text_key rows between unbounded preceding and current row) - n_tokens as ahead
   from rows r join ends using (domain, lang, source) where n_tokens > 0),
 part as (select *, least(n_tokens, greatest(0, rest - ahead)) as taken from placed),
 out as (
