@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cipherlode.llm import flat
@@ -25,9 +25,10 @@ LEAST, NORMAL, MOST = 32, 64, 256
 STRICT, LOOSE = np.uint32(0x7F << 20), np.uint32(0x1F << 20)
 _GEAR = (flat.mix(np.arange(1001, 1257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
-BUCKET_BITS = 10
-"""Neighbouring documents are looked for in ranges of 2**BUCKET_BITS ids."""
-BROADCAST_ROWS = 1_000_000
+BUCKET_BITS = 12
+"""Documents are dealt to 2**BUCKET_BITS ranges of ids with about as many rows in each, however the ids lie."""
+NULL_BITS = 8
+"""Rows without an id are dealt by their texts' hashes to 2**NULL_BITS ranges below."""
 
 
 def gear(raw: np.ndarray) -> np.ndarray:
@@ -101,19 +102,28 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def _bucket(cuts: list[int]) -> Column:
+    """How many cuts are not above doc_id, by bisection; rows without an id come below, by hash."""
+    padded = cuts + [(1 << 63) - 1] * ((1 << BUCKET_BITS) - 1 - len(cuts))
+    steps = ", ".join(str(1 << k) for k in reversed(range(BUCKET_BITS)))
+    found = F.expr(f"aggregate(array({steps}), 0, (at, step) -> if(element_at(array({', '.join(f'{c}L' for c in padded)}), at + step) <= doc_id, at + step, at))")
+    return F.when(F.col("doc_id").isNull(), (F.shiftright("h", 64 - NULL_BITS) - (1 << NULL_BITS)).cast("int")).otherwise(found)
+
+
 def _with_next(docs: DataFrame) -> DataFrame:
-    """Rows by descending id in each range of ids, ended by a ghost row: the first one of the next range."""
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").withColumn("bucket", F.coalesce(F.shiftright("doc_id", BUCKET_BITS), F.lit(-(1 << 62))))
-    # a null id comes after all others
-    tops = rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).withColumn("area", F.shiftright("bucket", 12))
-    areas = tops.groupBy("area").agg(F.max_by("top", "bucket").alias("top"))
-    whole = Window.orderBy("area")  # one row for each 4 million ids
-    last = Window.orderBy("area").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    areas = areas.select("area", F.coalesce(F.lag("top").over(whole), F.last("top").over(last)).alias("below"))
-    links = tops.join(areas, "area").select("bucket", F.coalesce(F.lag("top").over(Window.partitionBy("area").orderBy("bucket")), "below").alias("target"))
-    small = links.count() <= BROADCAST_ROWS
-    ghosts = rows.drop("bucket").join(F.broadcast(links) if small else links, F.col("doc_id").eqNullSafe(F.col("target"))).select("bucket", F.lit(1).alias("ghost"), "doc_id", "text")
-    return rows.select("bucket", F.lit(0).alias("ghost"), "doc_id", "text").unionByName(ghosts)
+    """Rows by descending id (and hash of the text) in each range, ended by a ghost row: the first one of the next range.
+
+    What the driver sees are the cuts and each range's first row: at most a few thousand numbers.
+    """
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").withColumn("h", F.xxhash64("text"))
+    n = 1 << BUCKET_BITS
+    cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 5 * n).alias("cuts")).first()["cuts"] or []
+    rows = rows.withColumn("bucket", _bucket(sorted({c for c in cuts if c < (1 << 63) - 1})))
+    tops = sorted((r["bucket"], r["top"]) for r in rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "h")).alias("top")).collect())
+    links = [(b, *tops[k - 1][1]) for k, (b, _) in enumerate(tops)]  # the lowest range is followed by the highest
+    targets = docs.sparkSession.createDataFrame(links, "bucket int, id long, th long")
+    ghosts = rows.drop("bucket").join(F.broadcast(targets), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("th"))).select("bucket", F.lit(1).alias("ghost"), "doc_id", "h", "text")
+    return rows.select("bucket", F.lit(0).alias("ghost"), "doc_id", "h", "text").unionByName(ghosts)
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -123,14 +133,14 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     """Each row's fingerprint, that of its edited text, and their likeness, also to the next document.
 
     The next document is the one with the next lower doc_id (after the last: the first). Rows
-    with one doc_id follow each other by text; a null id is the lowest. Null texts count as
-    empty, whose fingerprint is empty. A table of one row has itself as its next. Other columns
-    are left out. One shuffle by id ranges; nothing is collected.
+    with one doc_id follow each other by the hash of their texts; a null id is the lowest. Null
+    texts count as empty, whose fingerprint is empty. A table of one row has itself as its next.
+    Other columns are left out. One shuffle by id ranges of about equal size.
     """
     spark = ship(docs.sparkSession)
     rows = _with_next(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "bucket").sortWithinPartitions(F.desc("bucket"), "ghost", F.desc_nulls_last("doc_id"), "text")
+    dealt = rows.repartition(parts, "bucket").sortWithinPartitions(F.desc("bucket"), "ghost", F.desc_nulls_last("doc_id"), F.desc("h")).drop("h")
 
     def group(ids: list, texts: list[str]) -> pa.RecordBatch:
         """Rows of one range; the last text is the one after them."""
