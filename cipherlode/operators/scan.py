@@ -1,9 +1,11 @@
 """Text scanner: rule hits with line numbers, context and first-wins order.
 
-Each rule set is a literal array; only the rules that match a file become rows. Where a regular
-expression's matches lie follows from splitting the text at it: the line of match i is one more
-than the line breaks in all pieces and matches before it. One shuffle, by file, orders the hits
-of a file and drops those that an earlier rule has on the same line.
+Every pattern is a literal, so it is compiled once; a text is tested for all of a table's patterns
+together, then for each, and only those that match are looked for. Where matches lie follows from
+setting a mark before each: a line has as many matches as its marked form has more characters.
+All of that, and the context of a hit, is linear in the text, and computed before hits become
+rows, which are narrow. One shuffle, by file, orders the hits of a file and drops those that an
+earlier rule has on the same line.
 """
 
 from __future__ import annotations
@@ -16,132 +18,153 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cipherlode import rules
-from cipherlode.functions.classify import any_of, first_of, strip
+from cipherlode.functions.classify import any_of, strip
 from cipherlode.runtime import ship
 
 FLAGS = "(?iuU)"
 LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 CALL = r"(?U)\b(\w++)\s*+\("
+HIT = ("phase", "detector", "rule_ord", "match_ord", "name", "algorithm", "primitive", "confidence", "line")
 RANGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("name", T.StringType())]))
 
 
-def _breaks(c: Column) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+MARK = "\x01"
+NONE = "cast(array() as array<int>)"
 
+# Tables of dozens of rules are written as SQL text: one expression is parsed at once, where as many
+# Column calls would each go to the JVM.
 
-def match_lines(content: Column, rx: Column) -> Column:
-    """Line numbers of all matches, from 1."""
-    pieces, found = F.split(content, rx, -1), F.regexp_extract_all(content, rx, F.lit(0))
-    start = F.struct(F.array().cast("array<int>").alias("lines"), F.lit(1).alias("at"))
 
-    def step(acc: Column, i: Column) -> Column:
-        here = acc["at"] + _breaks(F.get(pieces, i))
-        return F.struct(F.concat(acc["lines"], F.array(here)).alias("lines"), (here + _breaks(F.get(found, i))).alias("at"))
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    n = F.size(found)
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda acc: acc["lines"])).otherwise(F.array().cast("array<int>"))
 
+def _line_counts(content: str, marked: str) -> str:
+    """The line numbers, from 1, of a text's marks: one for each mark, in order."""
+    both = f"arrays_zip(split({content}, '\\n', -1), split({marked}, '\\n', -1))"
+    counts = f"transform({both}, (x, i) -> named_struct('line', i + 1, 'n', length(x['1']) - length(x['0'])))"
+    return f"flatten(transform(filter({counts}, x -> x.n > 0), x -> array_repeat(x.line, x.n)))"
 
-def _rule_array(table) -> Column:
-    """Rows (pattern, algorithm, primitive, confidence) with their order."""
-    return F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(FLAGS + rx).alias("rx"), F.lit(a).alias("algorithm"), F.lit(p).alias("primitive"), F.lit(c).alias("confidence")) for i, (rx, a, p, c) in enumerate(table)])
 
+def _marked(content: str, rx: str) -> str:
+    return f"regexp_replace({content}, {quoted(rx)}, {quoted(MARK + '$0')})"
 
-def _hit(phase: int, detector: str, ord_: Column, at: Column, name: Column, algorithm: Column, primitive: Column, confidence: Column, line: Column) -> Column:
-    return F.struct(F.lit(phase).alias("phase"), F.lit(detector).alias("detector"), ord_.alias("rule_ord"), at.alias("match_ord"), name.alias("name"), algorithm.alias("algorithm"), primitive.alias("primitive"), confidence.alias("confidence"), line.alias("line"))
 
+def _match_lines(content: str, rx: str) -> str:
+    return f"if(rlike({content}, {quoted(rx)}), {_line_counts(content, _marked(content, rx))}, {NONE})"
 
-def _exploded(files: DataFrame, hits: Column) -> DataFrame:
-    rows = files.withColumn("_h", F.explode(hits))
+
+def match_lines(content: str, rx: str) -> Column:
+    """Line numbers, from 1, of all matches of a pattern in a column."""
+    return F.expr(_match_lines(content, rx))
+
+
+def _facts(algorithm: str, primitive: str, confidence: float) -> str:
+    return f"named_struct('algorithm', {algorithm}, 'primitive', {quoted(primitive)}, 'confidence', {confidence}D)"
+
+
+def _hit(phase: int, detector: str, rule_ord: str, at: str, name: str, facts: str, line: str) -> str:
+    return f"named_struct('phase', {phase}, 'detector', '{detector}', 'rule_ord', {rule_ord}, 'match_ord', {at}, 'name', {name}, 'algorithm', {facts}.algorithm, 'primitive', {facts}.primitive, 'confidence', {facts}.confidence, 'line', {line})"
+
+
+def _exploded(files: DataFrame, hits: str) -> DataFrame:
+    rows = files.withColumn("_h", F.explode(F.expr(hits)))
     return rows.select(*files.columns, "_h.*")
 
 
-def pattern_array(content: Column, table, phase: int, detector: str, start: int = 0) -> Column:
+def pattern_array(content: str, table, phase: int, detector: str, start: int = 0) -> str:
     """Hits of a rule table in a text: one for each match of the rules that match at all."""
-    matching = F.filter(_rule_array(table), lambda r: F.regexp_like(content, r["rx"]))
-    return F.flatten(F.transform(matching, lambda r: F.transform(match_lines(content, r["rx"]), lambda line, i: _hit(phase, detector, r["ord"] + start, i, r["algorithm"], r["algorithm"], r["primitive"], r["confidence"], line))))
+    patterns = [FLAGS + rx for rx, *_ in table]
+    tests = ", ".join(f"if(rlike({content}, {quoted(rx)}), {i}, null)" for i, rx in enumerate(patterns))
+    whole = quoted(FLAGS + "|".join(f"(?:{rx})" for rx, *_ in table))
+    matching = f"if(rlike({content}, {whole}), array_compact(array({tests})), {NONE})"
+    marked = "case i " + " ".join(f"when {i} then {_marked(content, rx)}" for i, rx in enumerate(patterns)) + " end"
+    facts = f"array({', '.join(_facts(quoted(a), p, c) for _, a, p, c in table)})"
+    found = f"transform({matching}, i -> named_struct('i', i, 'r', get({facts}, i), 'lines', {_line_counts(content, marked)}))"
+    return f"flatten(transform({found}, f -> transform(f.lines, (line, k) -> {_hit(phase, detector, f'f.i + {start}', 'k', 'f.r.algorithm', 'f.r', 'line')})))"
 
 
 def pattern_hits(files: DataFrame, table, phase: int, detector: str) -> DataFrame:
-    return _exploded(files, pattern_array(F.col("content"), table, phase, detector))
+    return _exploded(files, pattern_array("content", table, phase, detector))
+
 
+def _numbered(content: str, rx: str, *groups: int) -> str:
+    """Structs of each match's groups, by number from 0, and its line."""
+    parts = [f"regexp_extract_all({content}, {quoted(rx)}, {g})" for g in groups]
+    names = ", ".join(f"'g{k}', m['{k}']" for k in range(len(groups)))
+    return f"transform(arrays_zip({', '.join([*parts, _match_lines(content, rx)])}), (m, i) -> named_struct({names}, 'line', m['{len(groups)}'], 'i', i))"
 
-def call_array(content: Column) -> Column:
+
+def call_array(content: str) -> str:
     """Calls of known functions: identifiers before a bracket are found once and looked up."""
-    known = F.create_map(*[x for i, (name, a, p, c) in enumerate(rules.CALLS) for x in (F.lit(name.lower()), F.struct(F.lit(i).alias("ord"), F.lit(name).alias("name"), F.lit(a).alias("algorithm"), F.lit(c).alias("confidence")))])
-    rx = F.lit(CALL)
-    tokens = F.transform(F.arrays_zip(F.regexp_extract_all(content, rx, F.lit(1)).alias("token"), match_lines(content, rx).alias("line")), lambda m, i: F.struct(F.try_element_at(known, F.lower(m["token"])).alias("r"), m["line"].alias("line"), i.alias("i")))
-    return F.transform(F.filter(tokens, lambda t: t["r"].isNotNull()), lambda t: _hit(4, "source_symbol", t["r"]["ord"], t["i"], t["r"]["name"], t["r"]["algorithm"], F.lit(None).cast("string"), t["r"]["confidence"], t["line"]))
+    known = ", ".join(f"{quoted(name.lower())}, named_struct('ord', {i}, 'name', {quoted(name)}, 'algorithm', {quoted(a)}, 'primitive', cast(null as string), 'confidence', {c}D)" for i, (name, a, _, c) in enumerate(rules.CALLS))
+    tokens = f"transform({_numbered(content, CALL, 1)}, t -> named_struct('r', try_element_at(map({known}), lower(t.g0)), 'line', t.line, 'i', t.i))"
+    return f"transform(filter({tokens}, t -> t.r is not null), t -> {_hit(4, 'source_symbol', 't.r.ord', 't.i', 't.r.name', 't.r', 't.line')})"
 
 
 def call_hits(files: DataFrame) -> DataFrame:
-    return _exploded(files, call_array(F.col("content")))
+    return _exploded(files, call_array("content"))
 
 
-def string_constants(content: Column) -> Column:
+def string_constants(content: str) -> Column:
     """Map of Java String constants; the last assignment wins."""
-    rx = F.lit(FLAGS + rules.STRING_CONSTANT)
-    names, values = F.regexp_extract_all(content, rx, F.lit(1)), F.regexp_extract_all(content, rx, F.lit(2))
-    pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
-    last = F.array_distinct(names)
-    return F.map_from_arrays(last, F.transform(last, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
+    rx = quoted(FLAGS + rules.STRING_CONSTANT)
+    pairs = f"transform(arrays_zip(regexp_extract_all({content}, {rx}, 1), regexp_extract_all({content}, {rx}, 2)), (p, i) -> named_struct('k', p['0'], 'i', i, 'v', p['1']))"
+    # sorted by name and place, a name's last value is the one before another name
+    last = f"transform(array(array_sort({pairs})), s -> filter(s, (p, i) -> not get(s, i + 1).k <=> p.k))[0]"
+    return F.expr(f"map_from_entries(transform({last}, p -> struct(p.k, p.v)))")
 
 
-def resolved(argument: Column, constants: Column) -> Column:
-    """A literal's text, else the constant of that name or of its last part, else empty."""
-    raw = strip(argument)
-    literal = F.regexp_extract(raw, r'^"([^"]+)"$', 1)
-    token = strip(F.element_at(F.split(raw, r"\."), -1))
-    return F.when(literal != "", literal).otherwise(F.coalesce(F.try_element_at(constants, raw), F.try_element_at(constants, token), F.lit("")))
+def _stripped(c: str) -> str:
+    return f"regexp_replace({c}, '(?U)^\\\\s+|\\\\s+$', '')"
 
 
-def _facts(algorithm, primitive: str, confidence: float) -> Column:
-    return F.struct((algorithm if isinstance(algorithm, Column) else F.lit(algorithm)).alias("algorithm"), F.lit(primitive).alias("primitive"), F.lit(confidence).alias("confidence"))
+def resolved(argument: str, constants: str) -> str:
+    """A literal's text, else the constant of that name or of its last part, else empty."""
+    literal = f"regexp_extract(x, '^\"([^\"]+)\"$', 1)"
+    token = _stripped("element_at(split(x, '\\\\.'), -1)")
+    value = f"if({literal} <> '', {literal}, coalesce(try_element_at({constants}, x), try_element_at({constants}, {token}), ''))"
+    return f"transform(array({_stripped(argument)}), x -> {value})[0]"
 
 
-def classify_get_instance(api: Column, argument: Column) -> Column:
-    """Struct (algorithm, primitive, confidence) of a getInstance call; an unknown API, in another case too, is generic."""
-    n = F.upper(argument)
-    cases = []
+def classify_get_instance(api: str, n: str) -> str:
+    """Struct (algorithm, primitive, confidence) of a getInstance call with an upper-case argument; an unknown API, in another case too, is generic."""
+    by_api: dict = {}
     for name, test, algorithm, primitive, confidence in rules.GET_INSTANCE_RULES:
         kind, _, value = test.partition(":")
         head, _, rest = value.partition("+")
-        holds = {"has": n.contains(value), "starts": n.startswith(head) & n.contains(rest), "is": n == value, "any": F.lit(True)}[kind]
-        cases.append(((api == name) & holds, _facts(algorithm, primitive, confidence)))
-    return first_of(*cases, default=_facts("generic-crypto", "encryption", 0.6))
+        holds = {"has": f"contains({n}, '{value}')", "starts": f"startswith({n}, '{head}') and contains({n}, '{rest}')", "is": f"{n} = '{value}'", "any": "true"}[kind]
+        by_api.setdefault(name, []).append(f"when {holds} then {_facts(quoted(algorithm), primitive, confidence)}")
+    other = _facts("'generic-crypto'", "encryption", 0.6)
+    return f"case {api} " + " ".join(f"when '{name}' then case {' '.join(cases)} else {other} end" for name, cases in by_api.items()) + f" else {other} end"
 
 
-def jca_array(content: Column, constants: Column) -> Column:
+def jca_array(content: str, constants: str) -> str:
     """Java getInstance calls with literal or constant arguments."""
-    rx = F.lit(FLAGS + rules.GET_INSTANCE)
-    found = F.arrays_zip(F.regexp_extract_all(content, rx, F.lit(1)).alias("api"), F.regexp_extract_all(content, rx, F.lit(2)).alias("arg"), match_lines(content, rx).alias("line"))
-    facts = F.transform(found, lambda m, i: F.struct(classify_get_instance(m["api"], resolved(m["arg"], constants)).alias("r"), m["line"].alias("line"), i.alias("i")))
-    return F.transform(facts, lambda x: _hit(2, "java_jca_resolver", F.lit(0), x["i"], x["r"]["algorithm"], x["r"]["algorithm"], x["r"]["primitive"], x["r"]["confidence"], x["line"]))
+    named = f"transform({_numbered(content, FLAGS + rules.GET_INSTANCE, 1, 2)}, m -> named_struct('api', m.g0, 'n', upper({resolved('m.g1', constants)}), 'line', m.line, 'i', m.i))"
+    facts = f"transform({named}, m -> named_struct('r', {classify_get_instance('m.api', 'm.n')}, 'line', m.line, 'i', m.i))"
+    return f"transform({facts}, m -> {_hit(2, 'java_jca_resolver', '0', 'm.i', 'm.r.algorithm', 'm.r', 'm.line')})"
 
 
 def jca_hits(files: DataFrame) -> DataFrame:
-    return _exploded(files, jca_array(F.col("content"), string_constants(F.col("content"))))
+    return _exploded(files.withColumn("_constants", string_constants("content")), jca_array("content", "_constants")).drop("_constants")
 
 
-def operation_array(content: Column, constants: Column) -> Column:
+def operation_array(content: str, constants: str) -> str:
     """Java constructors and operations; a key's algorithm is resolved like a getInstance argument."""
     (key_rx, *_), *others = rules.OPERATIONS
-    rx = F.lit(FLAGS + key_rx)
-    found = F.arrays_zip(F.regexp_extract_all(content, rx, F.lit(1)).alias("arg"), match_lines(content, rx).alias("line"))
-
-    def kind(n: Column) -> Column:
-        return first_of(
-            (any_of(n, "AES"), _facts("AES", "block-cipher", 0.9)), (any_of(n, "RSA"), _facts("RSA", "asymmetric", 0.9)), (any_of(n, "CHACHA"), _facts("ChaCha20", "stream-cipher", 0.9)),
-            (n != "", _facts(n, "block-cipher", 0.82)), default=_facts("generic-symmetric-key", "block-cipher", 0.7),
-        )
-
-    facts = F.transform(found, lambda m, i: F.struct(kind(F.upper(resolved(m["arg"], constants))).alias("r"), m["line"].alias("line"), i.alias("i")))
-    keys = F.transform(facts, lambda x: _hit(2, "java_jca_resolver", F.lit(1), x["i"], x["r"]["algorithm"], x["r"]["algorithm"], x["r"]["primitive"], x["r"]["confidence"], x["line"]))
-    return F.concat(keys, pattern_array(content, others, 2, "java_jca_resolver", 2))
+    named = f"transform({_numbered(content, FLAGS + key_rx, 1)}, m -> named_struct('n', upper({resolved('m.g0', constants)}), 'line', m.line, 'i', m.i))"
+    kind = (
+        f"case when contains(m.n, 'AES') then {_facts(quoted('AES'), 'block-cipher', 0.9)} when contains(m.n, 'RSA') then {_facts(quoted('RSA'), 'asymmetric', 0.9)} when contains(m.n, 'CHACHA') then {_facts(quoted('ChaCha20'), 'stream-cipher', 0.9)} "
+        f"when m.n <> '' then {_facts('m.n', 'block-cipher', 0.82)} else {_facts(quoted('generic-symmetric-key'), 'block-cipher', 0.7)} end"
+    )
+    facts = f"transform({named}, m -> named_struct('r', {kind}, 'line', m.line, 'i', m.i))"
+    keys = f"transform({facts}, m -> {_hit(2, 'java_jca_resolver', '1', 'm.i', 'm.r.algorithm', 'm.r', 'm.line')})"
+    return f"concat({keys}, {pattern_array(content, others, 2, 'java_jca_resolver', 2)})"
 
 
 def operation_hits(files: DataFrame) -> DataFrame:
-    return _exploded(files, operation_array(F.col("content"), string_constants(F.col("content"))))
+    return _exploded(files.withColumn("_constants", string_constants("content")), operation_array("content", "_constants")).drop("_constants")
 
 
 def function_ranges(files: DataFrame) -> DataFrame:
@@ -167,15 +190,18 @@ def function_ranges(files: DataFrame) -> DataFrame:
     return files.withColumn("ranges", ranges(F.when(F.lower("path").endswith(".py"), F.col("content"))))
 
 
-def with_context(hits: DataFrame, window: int = 2) -> DataFrame:
-    """Adds snippet, context_before, context_after and function_name; drops the text."""
-    lines, line = F.col("lines"), F.col("line")
-    first = F.greatest(line - window, F.lit(1))
-    before = F.when(line > first, strip(F.array_join(F.slice(lines, first, line - first), "\n"))).otherwise("")
-    after = strip(F.array_join(F.slice(lines, line + 1, window), "\n"))
-    inside = F.get(F.filter("ranges", lambda r: (r["start"] <= line) & (line <= r["end"])), F.lit(0))["name"]
-    rows = hits.withColumn("lines", F.split("content", LINE_ENDS, -1))
-    return rows.select(*[c for c in hits.columns if c not in ("content", "ranges")], strip(F.coalesce(F.get(lines, line - 1), F.lit(""))).alias("snippet"), before.alias("context_before"), after.alias("context_after"), inside.alias("function_name"))
+def with_context(hits: Column, lines: Column, ranges: Column, window: int = 2) -> Column:
+    """Each hit of an array with snippet, context_before, context_after and function_name."""
+
+    def one(h: Column) -> Column:
+        line = h["line"]
+        first = F.greatest(line - window, F.lit(1))
+        before = F.when(line > first, strip(F.array_join(F.slice(lines, first, line - first), "\n"))).otherwise("")
+        after = strip(F.array_join(F.slice(lines, line + 1, window), "\n"))
+        inside = F.get(F.filter(ranges, lambda r: (r["start"] <= line) & (line <= r["end"])), F.lit(0))["name"]
+        return F.struct(*[h[c].alias(c) for c in HIT], strip(F.coalesce(F.get(lines, line - 1), F.lit(""))).alias("snippet"), before.alias("context_before"), after.alias("context_after"), inside.alias("function_name"))
+
+    return F.transform(hits, one)
 
 
 def scan_text(files: DataFrame) -> DataFrame:
@@ -185,12 +211,14 @@ def scan_text(files: DataFrame) -> DataFrame:
     elliptic curves; a generic cipher gives way to a specific one on its line. Null and empty
     texts have no hits.
     """
+    java = F.lower("path").endswith(".java")
     files = function_ranges(files.withColumn("content", F.regexp_replace("content", "\r\n?", "\n")))
-    text, constants = F.col("content"), string_constants(F.col("content"))
-    java = F.concat(pattern_array(text, rules.IMPORTS, 1, "java_import_signal"), jca_array(text, constants), operation_array(text, constants))
-    every = F.concat(pattern_array(text, rules.PATTERNS, 3, "source_pattern"), call_array(text))
-    found = F.when(F.lower("path").endswith(".java"), F.concat(java, every)).otherwise(every)
-    hits = with_context(_exploded(files, found))
+    rows = files.withColumns({"_java": java, "_lines": F.split("content", LINE_ENDS, -1), "_constants": F.when(java, string_constants("content"))})
+    only = [pattern_array("content", rules.IMPORTS, 1, "java_import_signal"), jca_array("content", "_constants"), operation_array("content", "_constants")]
+    every = [pattern_array("content", rules.PATTERNS, 3, "source_pattern"), call_array("content")]
+    rows = rows.withColumn("_hits", F.expr(f"concat(if(_java, concat({', '.join(only)}), array()), {', '.join(every)})"))
+    kept = [c for c in files.columns if c not in ("content", "ranges")]
+    hits = rows.select(*kept, F.explode(with_context(F.col("_hits"), F.col("_lines"), F.col("ranges"))).alias("_h")).select(*kept, "_h.*")
     hits = hits.repartition("file_id")  # all windows below are within a file
     key = F.when(F.col("phase") == 4, F.col("name")).otherwise(F.col("algorithm"))
     order = ("phase", "rule_ord", "match_ord")

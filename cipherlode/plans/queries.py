@@ -47,7 +47,7 @@ def x02_call_hits(spark, d):
 
 
 def x03_string_constants(spark, d):
-    rows = code_files(spark, d).select("file_id", F.explode(scan.string_constants(F.col("content"))).alias("name", "value"))
+    rows = code_files(spark, d).select("file_id", F.explode(scan.string_constants("content")).alias("name", "value"))
     return rows
 
 
@@ -67,7 +67,7 @@ def x07_java_imports(spark, d):
 
 
 def x08_match_lines(spark, d):
-    rows = read(spark, d, "documents").where("text is not null").select("doc_id", scan.match_lines(F.col("text"), F.lit(r"[0-9]{3}")).alias("l"))
+    rows = read(spark, d, "documents").where("text is not null").select("doc_id", scan.match_lines("text", r"[0-9]{3}").alias("l"))
     return rows.select("doc_id", F.size("l").alias("n"), F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x).alias("line_sum"))
 
 

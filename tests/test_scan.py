@@ -67,7 +67,7 @@ def test_average_risk(hits):
 
 def test_lines_equal_python(spark):
     text = "a1\nbb22 c333\n\n44\n55 66\n"
-    got = spark.range(1).select(scan.match_lines(F.lit(text), F.lit(r"\d+"))).first()[0]
+    got = spark.createDataFrame([(text,)], "t string").select(scan.match_lines("t", r"\d+")).first()[0]
     assert got == [text[: m.start()].count("\n") + 1 for m in re.finditer(r"\d+", text)]
 
 
