@@ -34,10 +34,16 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder all executors share: the session's spark.checkpoint.dir.
+
+    Where that is unset, an own folder in local mode; on a cluster an error, as executors would
+    each write to their own disk.
+    """
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_cipherlode_work", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_cipherlode_work", None)
     if not base:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='cipherlode-')}"
         sc._cipherlode_work = base
     return base
@@ -56,7 +62,7 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     """Cut the lineage: write df as Parquet in the shared folder and read it again.
 
     A lost executor then costs a re-read, not a recomputation. The table is removed when
-    Python ends.
+    Python ends, or before by discard.
     """
     spark = df.sparkSession
     path = f"{work_folder(spark)}/cipherlode-{name}-{uuid.uuid4().hex[:12]}"
@@ -65,4 +71,13 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cipherlode_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that stored gave, once nothing reads it any more."""
+    path = getattr(df, "_cipherlode_path", None)
+    if path:
+        _remove(df.sparkSession, path)
