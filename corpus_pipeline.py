@@ -1,7 +1,8 @@
 """From raw documents to token ids: five operators, one after another.
 
 Each stage gets what its predecessor kept and returns rows with the columns of documents, the
-last one the token ids. Rows without an id are never merged or dropped as copies.
+last one the token ids. An empty table gives an empty one; null texts pass the first three stages,
+as nothing in them is rejected, and have no words to be mixed. Columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 from cipherlode.llm import jaccard, mixing, substrings, tokens, toxicity
 from cipherlode.runtime import stored
 
-BROADCAST_ROWS = 1_000_000
 MIX = mixing.Mix(share=(1, 1), epochs=2)
 """As many tokens as there are; a document is taken twice at most."""
 
@@ -24,14 +24,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word n-grams at 0.8 or more, the one with the smallest id stays."""
-    found = stored(jaccard.groups(jaccard.similar(docs, 5, jaccard.Threshold(80, 100))), "groups")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
-        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept
+    """Of documents linked by five-word n-grams at 0.8 or more, the one with the smallest id stays.
+
+    Rows without an id come last, by text; of rows that repeat one stays. Rows that share an id but
+    aren't linked, null texts and texts without words stay.
+    """
+    return jaccard.one_of_each(docs, jaccard.similar(docs, 5, jaccard.Threshold(80, 100)))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
