@@ -86,3 +86,39 @@ def test_ids(stages):
     got = stages[5].collect()
     assert sorted((r.doc_id, " ".join(map(str, r.ids))) for r in got) == want
     assert all(r.ids_sha256 == hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest() for r in got)
+
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, th string, c int, m_tokens string, spans string, kept string, k_text string, _row string, score double"
+TEXTS = ["alpha beta gamma delta epsilon zeta eta theta", "alpha beta gamma delta epsilon zeta eta theta", "quite another text that is linked with nothing at all", None, "", " \n ", "Ünïcode wörds ÄÖ ß 日本 end of it", "x"]
+
+
+def edge_rows():
+    return [(1 if i in (0, 2) else None if i in (1, 4) else i, t, None if i % 2 else "en", "src1" if i % 3 else None, None if t is None else len(t), "a", i, "b", "c", "d", "e", "f", 0.5) for i, t in enumerate(TEXTS)]
+
+
+def test_stages_take_nulls_repeats_and_clashing_columns(spark, sf):
+    docs = spark.createDataFrame(edge_rows(), EXTRA).repartition(3)
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, sf)
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes), name
+        got = sorted(map(str, out.select("doc_id", "text", "th", "c", "m_tokens", "spans", "kept", "k_text", "_row").collect()))
+        if name == "ngram_join":  # one of the two equal texts; the two texts of id 1 aren't linked
+            rows = sorted((str(r.doc_id), str(r.text)) for r in out.collect())
+            assert rows == sorted((str(r[0]), str(r[1])) for i, r in enumerate(edge_rows()) if i != 1)
+        assert got
+    last = corpus_pipeline.STAGES[-1][1](spark, out, sf)
+    words = lambda rows: sum(len((r or "").split()) for r in rows)
+    assert last.count() == out.count() and words(r.text for r in out.collect()) == words(t for i, t in enumerate(TEXTS) if i != 1)
+
+
+def test_stages_of_an_empty_table(spark, sf):
+    out = spark.createDataFrame([], EXTRA)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, out, sf)
+        assert out.count() == 0
+
+
+def test_pipeline_keeps_texts_that_share_an_id(spark, sf):
+    docs = spark.createDataFrame([(1, "one two three four five six", "en", "src0", 27), (1, "seven eight nine ten eleven twelve", "en", "src0", 34)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.drop_copies(spark, docs, sf).count() == 2
