@@ -196,3 +196,13 @@ def example_band(risk: Column) -> Column:
 
 def fit_band(r2: Column) -> Column:
     return first_of((r2 > 0.9, "very high"), (r2 > 0.8, "high"), (r2 > 0.7, "medium"), default="low")
+
+
+def target_type(file_type: Column) -> Column:
+    return F.when(file_type.isin("ELF", "PE"), "binary").otherwise("source-code")
+
+
+def merged_maps(a: Column, b: Column, overwrite: bool = True) -> Column:
+    """Two maps of strings as one; where both have a key, the second one's value, or the first one's."""
+    first, second = (b, a) if overwrite else (a, b)
+    return F.map_concat(first, F.map_filter(second, lambda k, v: ~F.map_contains_key(first, k)))

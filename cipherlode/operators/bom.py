@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cipherlode import rules
 from cipherlode.functions import classify as C
+from cipherlode.sources.files import library_families
 
 CONTEXT_DETECTORS = ("java_import_signal",)
 
@@ -35,7 +36,8 @@ def layer(detectors) -> F.Column:
 
 def with_layers(assets: DataFrame, labels: DataFrame) -> DataFrame:
     """Assets with the layer that their labels' evidence gives; an asset without a label is confirmed."""
-    seen = labels.groupBy("ref").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("evidence", lambda e: e["detector"])))).alias("_d"))
+    one = labels.select("ref", F.explode(F.transform("evidence", lambda e: e["detector"])).alias("detector"))
+    seen = one.groupBy("ref").agg(F.collect_set("detector").alias("_d"))
     return assets.join(seen, "ref", "left").withColumn("layer", layer(F.coalesce("_d", F.array().cast("array<string>")))).drop("_d")
 
 
@@ -120,3 +122,20 @@ def migrations(assets: DataFrame) -> DataFrame:
 
 def file_summary(hits: DataFrame) -> DataFrame:
     return hits.groupBy("file_id").agg(F.count("*").alias("total_crypto_functions"), F.countDistinct("algorithm").alias("unique_algorithms"))
+
+
+def file_names(hits: DataFrame, libraries: DataFrame | None = None) -> DataFrame:
+    """Per file: symbols, distinct algorithms, their names in order of detection, library families of its binary."""
+    order = F.struct("phase", "rule_ord", "match_ord")
+    one = hits.groupBy("file_id", "algorithm").agg(F.count("*").alias("n"), F.min(order).alias("o"))
+    rows = one.groupBy("file_id").agg(F.sum("n").alias("total_crypto_functions"), F.count("*").alias("unique_algorithms"), F.transform(F.array_sort(F.collect_list(F.struct("o", "algorithm"))), lambda x: x["algorithm"]).alias("algorithms"))
+    if libraries is None:
+        return rows.withColumn("detected_libraries", F.array().cast("array<string>"))
+    found = libraries.select("file_id", F.explode(library_families(F.col("name"))).alias("family")).groupBy("file_id").agg(F.array_sort(F.collect_set("family")).alias("detected_libraries"))
+    return rows.join(found, "file_id", "left").withColumn("detected_libraries", F.coalesce("detected_libraries", F.array().cast("array<string>")))
+
+
+def summary_names(assets: DataFrame, *by: str) -> DataFrame:
+    """summary with the names of a group's assets, sorted: for groups the size of a file's assets."""
+    names = assets.groupBy(*by).agg(F.array_sort(F.collect_list("algorithm")).alias("algorithm_names"))
+    return summary(assets, *by).join(names, list(by))

@@ -26,9 +26,11 @@ def asset_ref(*parts: Column) -> Column:
 def collect_evidence(hits: DataFrame) -> DataFrame:
     """(file_id, algorithm, evidence): first-seen evidence items, in order of detection."""
     order = ["phase", "rule_ord", "match_ord"]
-    same = Window.partitionBy("file_id", "algorithm", "line", "snippet", "function_name").orderBy(*order)
+    kind = F.col("source_type") if "source_type" in hits.columns else F.lit("source")
+    hits = hits.withColumn("source_type", kind)
+    same = Window.partitionBy("file_id", "algorithm", "line", "snippet", "function_name", "source_type").orderBy(*order)
     rows = hits.withColumn("rank", F.row_number().over(same)).where("rank = 1")
-    item = F.struct(F.struct(*order).alias("o"), F.col("path").alias("file_path"), F.lit(None).cast("string").alias("language"), F.col("line").alias("line_start"), F.col("line").alias("line_end"), "function_name", "snippet", "context_before", "context_after", "detector", F.lit("source").alias("source_type"))
+    item = F.struct(F.struct(*order).alias("o"), F.col("path").alias("file_path"), F.lit(None).cast("string").alias("language"), F.col("line").alias("line_start"), F.col("line").alias("line_end"), "function_name", "snippet", "context_before", "context_after", "detector", "source_type")
     found = rows.groupBy("file_id", "algorithm").agg(F.array_sort(F.collect_list(item)).alias("e"))
     return found.select("file_id", "algorithm", F.transform("e", lambda x: x.dropFields("o")).alias("evidence"))
 
@@ -94,8 +96,12 @@ def validate(assets: DataFrame) -> DataFrame:
     }).drop("base")
 
 
-def _from_policy(issue: Column, at: int) -> Column:
-    table = F.create_map(*[F.lit(x) for p in rules.POLICY for x in (p[0], p[at])])
+# Severity and action of an issue that a policy without an UNKNOWN entry lacks.
+UNLISTED = ("UNKNOWN", "medium", "require_review")
+
+
+def _from_policy(issue: Column, at: int, issues: tuple) -> Column:
+    table = F.create_map(*[F.lit(x) for p in {p[0]: p for p in (UNLISTED, *issues)}.values() for x in (p[0], p[at])])
     return F.coalesce(F.try_element_at(table, issue), F.try_element_at(table, F.lit("UNKNOWN")))
 
 
@@ -112,7 +118,9 @@ def decide(labels: DataFrame, policy: dict = rules.POLICY_VALUES) -> DataFrame:
 
     Strong TLS, SSL and RNG evidence is included whatever else holds. Needs evidence_count.
     """
-    found = F.transform("issues", lambda i: F.struct(C.issue_key(i).alias("issue"), _from_policy(C.issue_key(i), 1).alias("severity"), _from_policy(C.issue_key(i), 2).alias("action")))
+    table = policy.get("issues", rules.POLICY)
+    keys = F.transform("issues", C.issue_key)
+    found = F.transform(keys, lambda i: F.struct(i.alias("issue"), _from_policy(i, 1, table).alias("severity"), _from_policy(i, 2, table).alias("action")))
     rows = labels.withColumn("issue_decisions", found)
     worst = lambda field, names: F.get(F.array(*map(F.lit, names)), F.coalesce(F.array_max(F.transform("issue_decisions", lambda d: _rank(d[field], names))), F.lit(1)) - 1)
     penalty = lambda d: C.first_of(*[(d["severity"] == s, F.lit(v)) for s, v in policy["penalties"].items()], default=0.0)
@@ -148,22 +156,46 @@ def decide(labels: DataFrame, policy: dict = rules.POLICY_VALUES) -> DataFrame:
     return rows.withColumn("split", C.first_of((F.col("include"), "training"), (F.col("final_action") == "require_review", "review"), (F.col("final_action") == "drop", "policy_drop"), default="quality_reject"))
 
 
-def label(assets: DataFrame) -> DataFrame:
+def label(assets: DataFrame, policy: dict = rules.POLICY_VALUES) -> DataFrame:
     """validate and decide, for assets with algorithm, key_length, mode, padding, confidence and evidence_count."""
-    return decide(validate(assets))
+    return decide(validate(assets), policy)
+
+
+def describe(assets: DataFrame, key_length: str | None = None, mode: str | None = None, safe: str | None = None) -> DataFrame:
+    """Adds an asset's ref, risk, type, functions and post-quantum facts; the columns named are those that a code model gave."""
+    none, name = F.lit(None), F.col("algorithm")
+    given = lambda c, other: F.coalesce(F.col(c), other) if c else other
+    return assets.withColumns({
+        "ref": asset_ref(F.col("path"), name), "key_length": given(key_length, none.cast("int")), "mode": given(mode, none.cast("string")), "padding": none.cast("string"), "risk": C.final_risk(name), "risk_level": C.risk_level(C.final_risk(name)),
+        "primitive_type": C.primitive_type(name), "functions": C.crypto_functions(name), "is_pqc_safe": given(safe, C.is_pqc_safe(name)), "pqc_label": C.pqc_label(name), "source": F.lit("source-code"),
+    })
 
 
 def file_assets(hits: DataFrame, *by: str) -> DataFrame:
     """Assets of scanned files with their evidence, risk and type, ready to be labelled."""
     from cipherlode.operators.scan import fold_assets
 
-    none = F.lit(None)
-    assets = with_evidence(fold_assets(hits, *by), hits)
-    name = F.col("algorithm")
-    return assets.withColumns({
-        "ref": asset_ref(F.col("path"), name), "key_length": none.cast("int"), "mode": none.cast("string"), "padding": none.cast("string"), "risk": C.final_risk(name), "risk_level": C.risk_level(C.final_risk(name)),
-        "primitive_type": C.primitive_type(name), "functions": C.crypto_functions(name), "is_pqc_safe": C.is_pqc_safe(name), "pqc_label": C.pqc_label(name), "source": F.lit("source-code"),
-    })
+    return describe(with_evidence(fold_assets(hits, *by), hits))
+
+
+def training_only(labels: DataFrame) -> DataFrame:
+    return labels.where("include")
+
+
+def with_severity(labels: DataFrame, chosen: list[str]) -> DataFrame:
+    """Labels whose worst severity is one of those chosen; none where none is."""
+    return labels.where(F.col("max_severity").isin(chosen))
+
+
+def with_tier(labels: DataFrame, chosen: list[str]) -> DataFrame:
+    """Labels of the quality tiers chosen; all of them where none is."""
+    return labels.where(F.col("quality_tier").isin(chosen)) if chosen else labels
+
+
+def first_evidence(labels: DataFrame, most: int = 3) -> DataFrame:
+    """(ref, at, evidence columns) of the first items of each label."""
+    rows = labels.select("ref", F.posexplode(F.slice("evidence", 1, most)).alias("at", "item"))
+    return rows.select("ref", "at", "item.*")
 
 
 def instructions(labels: DataFrame, instruction: str = INSTRUCTION) -> DataFrame:

@@ -240,4 +240,4 @@ def fold_assets(hits: DataFrame, *by: str) -> DataFrame:
         F.count("*").alias("occurrences"), F.max(F.coalesce("confidence", F.lit(0.5))).alias("confidence"), F.min(order).alias("first"),
         F.array_sort(F.collect_list(F.struct(order.alias("o"), F.concat(F.lit("Line "), F.col("line")).alias("at")))).alias("places"), F.collect_set("detector").alias("detectors"),
     )
-    return found.withColumn("locations", F.transform("places", lambda p: p["at"])).drop("places")
+    return found.withColumn("locations", F.array_compact(F.transform("places", lambda p: p["at"]))).drop("places")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cipherlode import rules
-from cipherlode.sources.corpus import CODE_FILES_SQL, OBSERVED_SQL
+from cipherlode.sources.corpus import BINARY_FILES_SQL, BINARY_HITS_SQL, CODE_FILES_SQL, OBSERVED_SQL, TEXT_FILES_SQL
 
 
 def _text(v) -> str:
@@ -121,7 +121,36 @@ _out = "regexp_matches(lower(path), '[.]git|node_modules|target|build|dist|vendo
 _counts = "count(*) as assets_total, sum((split = 'training')::int)::bigint as training, sum((split = 'review')::int)::bigint as review, sum((split = 'policy_drop')::int)::bigint as policy_drop, sum((split = 'quality_reject')::int)::bigint as quality_reject, sum((split in ('policy_drop', 'quality_reject'))::int)::bigint as dropped"
 _rec = "case when risk >= 80 then " + " ".join([_text(rules.RECOMMENDATIONS[0][1]), "when risk >= 50 then", _text(rules.RECOMMENDATIONS[1][1]), "when risk >= 25 then", _text(rules.RECOMMENDATIONS[2][1]), "else", _text(rules.RECOMMENDATIONS[3][1]), "end"])
 
+# the repository with binaries: as above, over nine tenths of the texts, and what the binaries hold
+R_SCAN = f"{SCAN.replace(CODE_FILES_SQL, TEXT_FILES_SQL)}, bfiles as ({BINARY_FILES_SQL}), bhits as ({BINARY_HITS_SQL})"
+R_ASSETS = f"""{R_SCAN}, assets as (
+  select file_id, path, algorithm, 'source-code' as source, max(confidence) as confidence, count(distinct line) as evidence_count from hits group by all
+  union all select file_id, path, algorithm, 'binary', max(confidence), count(*) from bhits group by all)"""
+R_LABELLED = f"with {R_ASSETS}, src as (select *, null::int as key_length, null::varchar as mode, null::varchar as padding from assets), {VALID.replace('{SRC}', 'src')}, {DECIDE}"
+_plain = "coalesce(base, 50.0::double) * 0.7::double + coalesce(pqc, 0.0::double) * 0.3::double"
+_synonyms = "regexp_replace(upper(x), '^[ \\t]+|[ \\t]+$', '', 'g')"
+for _old, _new in rules.SYNONYMS:
+    _synonyms = f"replace({_synonyms}, {_text(_old)}, {_text(_new)})"
+
 SQL = {
+    "e03_scan_files": f"with {R_SCAN} select file_id::varchar as file_id, detector, name, algorithm, line, confidence from hits union all select file_id::varchar, detector, name, algorithm, 0, confidence from bhits",
+    "t07_failures": f"with b as ({BINARY_FILES_SQL}) select path as file, case kind when 3 then 'no PE header' else 'unreadable' end as error from b where kind in (3, 5)",
+    "k07_batch_summary": f"{R_LABELLED} select source, {_counts} from dec group by source",
+    "a04_report": f"""with {R_ASSETS}, {RISK}, s as (select a.*, {_plain} as risk, coalesce(pqc, 0.0) > 50 as ready from assets a left join risks using (algorithm))
+      select file_id::varchar as file_id, source as target_type, count(*) as total_crypto_components, sum(ready::int)::bigint as pqc_ready, sum((not ready)::int)::bigint as not_pqc_ready, least(100.0, avg(risk)) as overall_risk_score, round_even(avg(risk), 2) as average_risk,
+      string_agg(algorithm, ',' order by algorithm) as names, sum((risk >= 80)::int)::int as critical_issues, sum((risk >= 60 and risk < 80)::int)::int as high_priority, sum((risk >= 40 and risk < 60)::int)::int as medium_priority, sum((risk < 40)::int)::int as low_priority from s group by file_id, source""",
+    "a02_file_names": f"""with {R_SCAN}, u as (select file_id, algorithm, phase * 100000000::bigint + ord * 1000000 + line as o from hits union all select file_id, algorithm, phase * 100000000::bigint + ord * 1000000 + place from bhits),
+      one as (select file_id, algorithm, count(*) as n, min(o) as o from u group by 1, 2)
+      select file_id::varchar as file_id, sum(n)::bigint as total_crypto_functions, count(*) as unique_algorithms, string_agg(algorithm, ',' order by o) as algorithms, case when max(kind) in (0, 1) then 'OpenSSL' else '' end as libraries from one left join bfiles using (file_id) group by file_id""",
+    "a03_summary_names": f"with {ASSETS}, {RISK}, s as (select file_id, algorithm, {_plain} as risk, coalesce(pqc, 0.0) as pqc from assets left join risks using (algorithm)) select file_id, count(*) as total_algorithms, sum((pqc > 50)::int)::bigint as pqc_compliant, sum((pqc <= 50)::int)::bigint as legacy_algorithms, round_even(avg(risk), 2) as average_risk, string_agg(algorithm, ',' order by algorithm) as names from s group by file_id",
+    "a24_totals": f"with {SCORED} select count(*) as total_algorithms, sum((pqc > 50)::int)::bigint as pqc_compliant, sum((pqc <= 50)::int)::bigint as legacy_algorithms, round_even(avg(risk), 2) as average_risk, least(100.0, avg(risk)) as risk_score from scored",
+    "f11_training_records": f"{LABELLED} select ref, algorithm, quality_tier from dec where include",
+    "f15_severity_filter": f"{LABELLED} select ref, max_severity from dec where max_severity <> 'low'",
+    "f16_tier_filter": f"{LABELLED} select ref, quality_tier from dec where quality_tier = 'high_quality'",
+    "o06_first_evidence": f"with {SCAN}, e as (select file_id, algorithm, line, min(phase * 1000000 + ord * 1000) as o from hits group by 1, 2, 3), k as (select *, row_number() over (partition by file_id, algorithm order by o, line) - 1 as place from e) select place::int as place, count(*) as n, sum(line)::bigint as lines from k where place < 3 group by 1",
+    "c12_quality_scores": f"{LABELLED} select ref, quality_score, quality_tier from dec",
+    "c25_target_types": f"with t as (select 'TEXT' as file_type from part where p_partkey % 10 <> 7 union all select ['ELF', 'ELF', 'PE', 'PE', 'BINARY', 'UNKNOWN'][((p_partkey // 10) % 6 + 1)::int] from part where p_partkey % 10 = 7) select file_type, case when file_type in ('ELF', 'PE') then 'binary' else 'source-code' end as target_type, count(*) as n from t group by 1, 2",
+    "f22_algorithm_risk": f"with {SCORED} select ref, round_even(risk, 1) as risk from scored",
     "x01_scan_hits": f"with {SCAN} select file_id, phase, detector, name, algorithm, line, confidence from hits",
     "x02_call_hits": f"with {CODE}, r as (select * from {_values([(n, a) for n, a, _, _ in rules.CALLS], 'name, algorithm')}), m as (select line, lower(unnest(regexp_extract_all(txt, '(\\w+)\\s*\\(', 1))) as tok from lines) select name, algorithm, count(*) as n, sum(line)::bigint as lines from m join r on tok = lower(name) group by all",
     "x03_string_constants": f"with {CODE}, {_consts} select distinct file_id, unnest(ks) as name, unnest(vs) as value from consts",
@@ -156,7 +185,7 @@ SQL = {
     "a22_set_sizes": f"{LABELLED}, c as (select {_counts} from dec) select unnest(['all', 'training', 'review', 'policy_drop', 'quality_reject', 'dropped']) as stage, unnest([assets_total, training, review, policy_drop, quality_reject, dropped]) as n from c",
     "a23_validity": f"{LABELLED} select algorithm, sum((len(issues) = 0)::int)::bigint as valid, sum((len(issues) > 0)::int)::bigint as invalid, round_even(avg(base), 3) as avg_confidence from dec group by 1",
     "c01_risk_score": f"with {SCORED} select ref, algorithm, key_length, risk, {LEVEL} as level from scored",
-    "c03_primitive_type": _name(PRIMITIVE), "c04_functions": _name(FUNCTIONS), "c05_family": _name(FAMILY), "c06_category": _name(CATEGORY), "c07_pqc_status": _name(STATUS), "c18_normal_name": _name("upper(algorithm)"),
+    "c03_primitive_type": _name(PRIMITIVE), "c04_functions": _name(FUNCTIONS), "c05_family": _name(FAMILY), "c06_category": _name(CATEGORY), "c07_pqc_status": _name(STATUS), "c18_normal_name": f"with {OBS}, n as (select ref, algorithm, '  ' || replace(algorithm, 'AES', 'Advanced Encryption Standard') || chr(9) as x from obs) select ref, algorithm, {_synonyms} as value from n",
     "c10_labels": f"""with {OBS}, {VALID.replace('{SRC}', 'obs')} select ref, category, family, case when key_length_state = 'known' then key_length::varchar end as key_length_value, key_length_state, case key_length_state when 'known' then 'detected_or_inferred' when 'unknown' then 'not_detected' else case category when 'rng' then 'rng_key_length_not_applicable' else 'hash_functions_do_not_use_key_length' end end as key_length_reason,
       case when mode_state = 'known' then mode end as mode_value, mode_state, case when ms = 'bad' then 'mode_not_in_known_set' when ms = 'rsa' then 'rsa_does_not_use_mode' when ms = 'known' then 'detected_or_inferred' when ms = 'unknown' then 'not_detected' else case category when 'rng' then 'rng_mode_not_applicable' when 'mac' then 'mac_does_not_use_block_mode' when 'key_exchange' then 'key_exchange_does_not_use_mode' when 'hash_function' then 'hash_functions_do_not_use_mode' else 'asymmetric_algorithms_do_not_use_mode' end end as mode_reason,
       case when padding_state = 'known' then padding end as padding_value, padding_state, case when ps = 'aead' then 'padding_not_used_in_aead_or_ctr' when ps = 'known' then 'detected_or_inferred' when ps = 'unknown' then case category when 'asymmetric_cryptography' then 'padding_may_apply_but_not_detected' else 'not_detected' end else case category when 'rng' then 'rng_padding_not_applicable' when 'mac' then 'mac_does_not_use_padding' when 'key_exchange' then 'key_exchange_does_not_use_padding' else 'hash_functions_do_not_use_padding' end end as padding_reason,
@@ -169,7 +198,7 @@ SQL = {
     "c23_cache_keys": "select conv_id, turn, sha256('mock|rules|' || text) as key from conversations",
     "c26_pqc_flags": f"with {SCORED} select ref, pqc > 50 as safe, case when pqc > 80 then 'standardized' else 'legacy' end as label from scored",
     "c31_migrations": f"with {OBS}, m as (select * from {_values(rules.MIGRATIONS, 'algorithm, target, timeline, b, a')}) select algorithm, target, timeline, count(*) as n, sum(b - a)::bigint as gain from obs join m using (algorithm) group by 1, 2, 3",
-    "c32_github_urls": "select page_id, page_id % 4 = 0 as ok from pages",
+    "c32_github_urls": "with u as (select page_id, case when page_id % 2 = 0 then 'https://github.com/org' || page_id || case when page_id % 4 = 0 then '/repo' else '/' end else url end as u from pages) select page_id, regexp_matches(u, '^https://(?i:github[.]com)/+[^/?#]+/+[^/?#]+') as ok from u",
     "k06_safe_names": "with n as (select p_partkey, regexp_replace(regexp_replace(p_name || ' / ' || p_type, '[^a-zA-Z0-9._-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g') as x from part) select p_partkey, case when x = '' then 'run' else x end as name from n",
     "f08_candidates": f"with {ASSETS}, n as (select file_id, count(*) as n from hits group by 1) select distinct file_id from assets join n using (file_id) where confidence <= 0.8 or regexp_matches(lower(algorithm), 'generic|unknown') or n >= 8",
     "f12_layer": f"with {ASSETS} select file_id, algorithm, case when detectors = ['java_import_signal'] then 'context_crypto' else 'confirmed_crypto' end as layer from assets",

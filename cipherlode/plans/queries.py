@@ -9,7 +9,8 @@ from cipherlode import rules
 from cipherlode.functions import classify as C
 from cipherlode.operators import bom, enrich, forecast, labels, scan
 from cipherlode.sources import files
-from cipherlode.sources.corpus import code_files, observed
+from cipherlode.plans import repository
+from cipherlode.sources.corpus import code_files, observed, repository_files
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -321,6 +322,76 @@ def t01_instructions(spark, d):
     return r.select("input", "output.algorithm", "output.category", "output.key_length_state", "output.pqc_status", F.concat_ws(",", "output.usage").alias("usage"), "metadata.include", "metadata.decision_action", "metadata.quality_tier", "split")
 
 
+# a repository run
+
+
+def _run(spark, d):
+    return repository.analyse(repository_files(spark, d).drop("repo_id"))
+
+
+def e03_scan_files(spark, d):
+    _, hits, _, _ = repository.scan_files(repository_files(spark, d))
+    return hits.select("file_id", "detector", "name", "algorithm", F.coalesce("line", F.lit(0)).alias("line"), "confidence")
+
+
+def t07_failures(spark, d):
+    return repository.scan_files(repository_files(spark, d))[3]
+
+
+def k07_batch_summary(spark, d):
+    return repository.batch_summary(_run(spark, d), "source")
+
+
+def a04_report(spark, d):
+    r = repository.report(_run(spark, d))
+    n = [F.size(c).alias(c) for c in ("critical_issues", "high_priority", "medium_priority", "low_priority")]
+    return r.select("file_id", "target_type", "total_crypto_components", "pqc_ready", "not_pqc_ready", "overall_risk_score", "average_risk", F.concat_ws(",", "algorithm_names").alias("names"), *n)
+
+
+def a02_file_names(spark, d):
+    _, hits, symbols, _ = repository.scan_files(repository_files(spark, d))
+    r = bom.file_names(hits, symbols.where("kind = 'library'"))
+    return r.select("file_id", "total_crypto_functions", "unique_algorithms", F.concat_ws(",", "algorithms").alias("algorithms"), F.concat_ws(",", "detected_libraries").alias("libraries"))
+
+
+def a03_summary_names(spark, d):
+    assets = scan.fold_assets(_hits(spark, d)).withColumn("key_length", F.lit(None).cast("int"))
+    return bom.summary_names(assets, "file_id").select("file_id", "total_algorithms", "pqc_compliant", "legacy_algorithms", "average_risk", F.concat_ws(",", "algorithm_names").alias("names"))
+
+
+def a24_totals(spark, d):
+    return bom.summary(observed(spark, d))
+
+
+def f11_training_records(spark, d):
+    return labels.training_only(_labelled(spark, d)).select("ref", "algorithm", "quality_tier")
+
+
+def f15_severity_filter(spark, d):
+    return labels.with_severity(_labelled(spark, d), ["high", "medium"]).select("ref", "max_severity")
+
+
+def f16_tier_filter(spark, d):
+    return labels.with_tier(_labelled(spark, d), ["high_quality"]).select("ref", "quality_tier")
+
+
+def o06_first_evidence(spark, d):
+    return labels.first_evidence(_file_labels(spark, d)).groupBy(F.col("at").alias("place")).agg(F.count("*").alias("n"), F.sum("line_start").alias("lines"))
+
+
+def c12_quality_scores(spark, d):
+    return _labelled(spark, d).select("ref", "quality_score", "quality_tier")
+
+
+def c25_target_types(spark, d):
+    facts = repository.scan_files(repository_files(spark, d))[0]
+    return facts.groupBy("file_type", "target_type").agg(F.count("*").alias("n"))
+
+
+def f22_algorithm_risk(spark, d):
+    return bom.algorithm_table(observed(spark, d)).select("ref", "risk")
+
+
 # forecasts
 
 
@@ -359,4 +430,4 @@ def m02_boosted_forecast(spark, d):
     return model.transform(rows).select("event_id", F.col("prediction"))
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if k[:3] in {f"{c}{a}{b}" for c in "xsacfjtwmk" for a in "0123" for b in "0123456789"} and callable(v)}
+QUERIES = {k: v for k, v in list(globals().items()) if k[:3] in {f"{c}{a}{b}" for c in "xsacfjtwmkeo" for a in "0123" for b in "0123456789"} and callable(v)}

@@ -6,6 +6,8 @@ key. The same can be said in SQL, so that results can be compared with another e
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,66 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def elf_file(libraries: list[str], symbols: list[str]) -> bytes:
+    """A 64-bit ELF file with needed libraries and dynamic symbols, and nothing else."""
+    names, places = b"\0", []
+    for n in libraries:
+        places.append(len(names))
+        names += n.encode() + b"\0"
+    dynamic = b"".join(struct.pack("<qQ", 1, at) for at in places) + bytes(16)
+    texts, table = b"\0", bytes(24)
+    for n in symbols:
+        table += struct.pack("<IBBHQQ", len(texts), 0, 0, 0, 0, 0)
+        texts += n.encode() + b"\0"
+    body, sections, at = b"", [(0,) * 10], 64
+    for kind, data, link, entry in ((3, names, 0, 0), (6, dynamic, 1, 16), (3, texts, 0, 0), (11, table, 3, 24)):
+        sections.append((0, kind, 0, 0, at + len(body), len(data), link, 0, 1, entry))
+        body += data
+    head = b"\x7fELF\2\1\1" + bytes(9) + struct.pack("<HHIQQQIHHHHHH", 3, 62, 1, 0, 0, 64 + len(body), 0, 64, 0, 0, 64, len(sections), 0)
+    return head + body + b"".join(struct.pack("<IIQQQQIIQQ", *x) for x in sections)
+
+
+def pe_file(imports: dict[str, list[str]], exports: list[str]) -> bytes:
+    """A 64-bit PE file of one section with import and export tables, and nothing else."""
+    base, offset, data = 0x1000, 0x200, bytearray()
+
+    def put(b: bytes) -> int:
+        data.extend(b)
+        return base + len(data) - len(b)
+
+    entries = b""
+    for library, functions in imports.items():
+        names = [put(b"\0\0" + f.encode() + b"\0") for f in functions]
+        thunks = put(struct.pack(f"<{len(names) + 1}Q", *names, 0))
+        entries += struct.pack("<5I", thunks, 0, 0, put(library.encode() + b"\0"), thunks)
+    imported = put(entries + bytes(20))
+    named = [put(e.encode() + b"\0") for e in exports]
+    exported = put(bytes(20) + struct.pack("<5I", 0, len(named), 0, put(struct.pack(f"<{len(named)}I", *named)), 0))
+    directory = struct.pack("<4I", exported, 40, imported, len(entries) + 20) + bytes(112)
+    optional = struct.pack("<H", 0x20B) + bytes(110) + directory
+    head = b"MZ" + bytes(58) + struct.pack("<I", 64) + b"PE\0\0" + struct.pack("<2H3I2H", 0x8664, 1, 0, 0, 0, len(optional), 0)
+    section = b".data\0\0\0" + struct.pack("<4I", len(data), base, len(data), offset) + bytes(16)
+    return (head + optional + section).ljust(offset, b"\0") + bytes(data)
+
+
+# Extension and content of the synthetic repository's binaries: two kinds that parse, a damaged one, one of no known type, one that can't be read.
+BINARIES = (
+    (".so", elf_file(["libcrypto.so.3"], ["AES_encrypt", "BCryptFoo", "main"])), (".so", elf_file(["libssl.so.3", "libm.so.6"], ["SSL_new", "RSA_sign", "SHA256"])),
+    (".dll", pe_file({"bcrypt.dll": ["BCryptFoo", "BCryptHashData"], "kernel32.dll": ["ExitProcess"]}, ["NCryptX", "Start"])), (".exe", b"MZ" + bytes(80)), (".bin", b"\xff\xfe\x00"), (".py", None),
+)
+
+
+def repository_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, repo_id, path, content as bytes) of each part; every tenth is a binary."""
+    key = F.col("p_partkey")
+    text = code_files(spark, sf_dir).where("file_id % 10 <> 7").select(F.col("file_id").cast("string").alias("file_id"), "repo_id", "path", F.encode("content", "UTF-8").alias("content"))
+    kind = (F.floor(key / 10) % len(BINARIES) + 1).cast("int")
+    path = F.concat(F.lit("bin/F"), key.cast("string"), F.element_at(F.array(*[F.lit(e) for e, _ in BINARIES]), kind))
+    content = F.element_at(F.array(*[F.lit(b).cast("binary") for _, b in BINARIES]), kind)
+    binary = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 10 = 7").select(key.cast("string").alias("file_id"), (key % 50).alias("repo_id"), path.alias("path"), content.alias("content"))
+    return text.unionByName(binary)
+
+
 def _sql_list(values: tuple) -> str:
     return "[" + ", ".join("null" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
 
@@ -80,3 +142,12 @@ OBSERVED_SQL = f"""select l_orderkey || '-' || l_linenumber as ref, l_orderkey %
   case when l_linenumber % 3 = 0 then null else (l_linenumber * 64)::int end as key_length, {_sql_pick(MODES, "l_partkey + 2 * l_linenumber")} as mode, {_sql_pick(PADDINGS, "l_partkey + l_linenumber")} as padding,
   0.5::double + l_discount * 5.0::double as confidence, (l_linenumber % 3)::int as evidence_count
 from lineitem"""
+
+# What the binaries hold, by the tables of symbols and prefixes: kind, phase, order, place, name, algorithm, confidence, detector, snippet.
+_FOUND = (
+    (0, 0, 1, "AES_encrypt", "AES", 0.95, "elf_symbol", "AES_encrypt"), (1, 0, 2, "SSL_new", "TLS/SSL", 0.9, "elf_symbol", "SSL_new"), (1, 0, 3, "RSA_sign", "RSA", 0.9, "elf_symbol", "RSA_sign"), (1, 0, 4, "SHA256", "SHA-256", 0.85, "elf_symbol", "SHA256"),
+    (2, 0, 2, "BCryptFoo", "generic-cipher", 0.65, "pe_import", "bcrypt.dll!BCryptFoo"), (2, 0, 3, "BCryptHashData", "generic-hash", 0.8, "pe_import", "bcrypt.dll!BCryptHashData"), (2, 1, 5, "NCryptX", "generic-asymmetric", 0.65, "pe_export", "NCryptX"),
+)
+TEXT_FILES_SQL = CODE_FILES_SQL + " where p_partkey % 10 <> 7"
+BINARY_FILES_SQL = f"""select p_partkey as file_id, p_partkey % 50 as repo_id, (p_partkey // 10) % {len(BINARIES)} as kind, 'bin/F' || p_partkey || ({_sql_list(tuple(e for e, _ in BINARIES))})[((p_partkey // 10) % {len(BINARIES)} + 1)::int] as path from part where p_partkey % 10 = 7"""
+BINARY_HITS_SQL = "select b.file_id, b.repo_id, b.path, 0 as phase, f.ord, f.place, f.name, f.algorithm, f.confidence::double as confidence, f.detector, f.snippet from bfiles b join (values " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in _FOUND) + ") as f(kind, ord, place, name, algorithm, confidence, detector, snippet) on b.kind = f.kind"

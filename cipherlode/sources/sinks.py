@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cipherlode.runtime import stored
+
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
@@ -19,16 +23,38 @@ def write_jsonl(df: DataFrame, path: str) -> int:
     return df.sparkSession.read.text(path).count()
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_document(rows: DataFrame, path: str, head: str = "[", tail: str = "]") -> None:
+    """Rows of JSON (value) between two texts, separated by commas: part files that, one after another, are one document.
+
+    However many rows there are, no task gets more than its own.
+    """
+    spark = rows.sparkSession
+    table = stored(rows.select("value"), "document").withColumn("at", F.monotonically_increasing_id())
+    least = table.agg(F.min("at")).first()[0]
+    body = table.select(F.when(F.col("at") == F.lit(least), F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+    edge = lambda text: spark.createDataFrame([(text,)], "value string").coalesce(1)
+    edge(head).union(body).union(edge(tail)).write.mode("overwrite").text(path)
+
+
 def write_json_array(df: DataFrame, path: str) -> None:
-    """JSON lines that together are an array when read by key order; one file for each task, as a document may be larger than a task."""
-    as_json(df).write.mode("overwrite").text(path)
+    """Rows as one JSON array."""
+    write_document(as_json(df), path)
+
+
+def write_bom(head: dict, assets: DataFrame, path: str) -> None:
+    """A bill of materials: the entries of head, then its assets."""
+    text = json.dumps(head, ensure_ascii=False)
+    write_document(as_json(assets), path, f'{text[:-1]}, "crypto_assets": [', "]}")
 
 
-def write_bom(header: DataFrame, assets: DataFrame, path: str) -> None:
-    """Bills of materials: each header row (bom_ref, ...) with its assets in it."""
-    inside = assets.groupBy("bom_ref").agg(F.collect_list(F.struct(*[c for c in assets.columns if c != "bom_ref"])).alias("crypto_assets"))
-    whole = header.join(inside, "bom_ref", "left")
-    whole.select(F.to_json(F.struct(*whole.columns), KEEP_NULLS | {"pretty": "true"}).alias("value")).write.mode("overwrite").text(path)
+def read_document(spark: SparkSession, path: str) -> str:
+    """The text that write_document wrote; for documents that one machine can hold."""
+    rows = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")).collect()
+    return "\n".join(r["value"] for r in sorted(rows, key=lambda r: (r["file"], r["at"])))
 
 
 def write_splits(records: DataFrame, path: str) -> None:
