@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FEATURES = ("open", "high", "low", "close", "volume", "days", "price_change", "average_price", "daily_return", "ma_7")
+from cipherlode.runtime import ship, stored
+
+FEATURES = ("days", "open", "high", "low", "volume", "price_change", "average_price", "daily_return", "ma_7", "volatility")
+WEEK = 7
+STEPS_OUT = 30
+"""Steps of a forecast that are given out together."""
 
 
 def features(prices: DataFrame, key: str = "ticker", time: str = "ts", tie: str | None = None) -> DataFrame:
@@ -42,24 +52,115 @@ def train(rows: DataFrame, seed: int = 42, columns: tuple[str, ...] = FEATURES,
     return model, RegressionEvaluator(labelCol=target, metricName="r2").evaluate(model.transform(test))
 
 
-def recursive(rows: DataFrame, steps: int, key: str = "ticker", time: str = "ts") -> DataFrame:
-    """(key, step, forecast): each step feeds the next; a drift model of each key's last week.
+@dataclass(frozen=True)
+class Tree:
+    """Nodes of a regression tree in arrays; a leaf has no feature (-1)."""
+
+    weight: float
+    feature: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+
+
+def trees_of(model) -> list[Tree]:
+    """The boosted trees of what train gave, from the model's own description."""
+    lines = iter(model.stages[-1].toDebugString.splitlines()[1:])
+    out = []
+    for line in lines:
+        nodes: list[list] = []
+
+        def node() -> int:
+            text, at = next(lines).strip(), len(nodes)
+            nodes.append([-1, 0.0, 0, 0, 0.0])
+            if text.startswith("Predict:"):
+                nodes[at][4] = float(text.split()[1])
+                return at
+            found = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", text)
+            nodes[at][:2] = int(found[1]), float(found[2])
+            nodes[at][2] = node()
+            next(lines)  # Else
+            nodes[at][3] = node()
+            return at
+
+        node()
+        kinds = (np.int64, np.float64, np.int64, np.int64, np.float64)
+        out.append(Tree(float(re.search(r"weight (\S+)\)", line)[1]), *(np.array(c, k) for c, k in zip(zip(*nodes), kinds))))
+    return out
+
+
+def predict(trees: list[Tree], x: np.ndarray) -> np.ndarray:
+    """The model's predictions for rows of FEATURES."""
+    total, rows = np.zeros(len(x)), np.arange(len(x))
+    for t in trees:
+        at = np.zeros(len(x), np.int64)
+        while (t.feature[at] >= 0).any():
+            inner = t.feature[at] >= 0
+            low = x[rows, np.maximum(t.feature[at], 0)] <= t.cut[at]
+            at = np.where(inner, np.where(low, t.left[at], t.right[at]), at)
+        total += t.weight * t.value[at]
+    return total
+
+
+def _ahead(trees: list[Tree], last: np.ndarray, closes: np.ndarray, steps: int) -> Iterator[np.ndarray]:
+    """Prices of all rows, step by step: each prediction becomes the next day, whose features follow from the last week."""
+    x = last.copy()
+    for _ in range(steps):
+        price = np.maximum(predict(trees, x), 0.01)
+        before = closes[:, -1]
+        closes = np.column_stack([closes, price])[:, -WEEK:]
+        high, low = np.maximum(before, price), np.minimum(before, price)
+        change = np.divide(price - before, before, out=np.zeros_like(price), where=before != 0)
+        x = np.column_stack([x[:, 0] + 1, before, high, low, x[:, 4], high - low, (high + low) / 2, change, closes.mean(axis=1), closes.std(axis=1, ddof=1) if closes.shape[1] > 1 else np.zeros(len(price))])
+        yield price
+
+
+def last_week(rows: DataFrame, key: str = "ticker", time: str = "ts", tie: str | None = None) -> DataFrame:
+    """(key, n, last: FEATURES of the last row, closes: at most seven, oldest first) of complete rows."""
+    order = [F.desc(time)] + ([F.desc(tie)] if tie else [])
+    w = Window.partitionBy(key).orderBy(*order)
+    ranked = rows.withColumns({"_k": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy(key))}).where(F.col("_k") <= WEEK)
+    inputs = F.array(*[F.col(f).cast("double") for f in FEATURES])
+    weeks = ranked.groupBy(key).agg(F.max("_n").alias("n"), F.min_by(inputs, "_k").alias("last"), F.sort_array(F.collect_list(F.struct("_k", "close")), False).alias("w"))
+    return weeks.select(key, "n", "last", F.transform("w", lambda x: x["close"]).alias("closes"))
+
+
+def recursive(weeks: DataFrame, model, steps: int, key: str = "ticker") -> DataFrame:
+    """(key, step, forecast) from what last_week gave: each step feeds the next.
 
-    Sequential within a key, so it runs as one grouped function a key.
+    Sequential in the steps, so a task takes its keys together; a key is one row of last values.
     """
+    ship(weeks.sparkSession)
+    trees = trees_of(model)
+    kind = weeks.schema[key].dataType.simpleString()
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(time)
-        closes = frame["close"].tail(7).tolist()
-        out = []
-        for i in range(steps):
-            change = (closes[-1] - closes[0]) / max(1, len(closes) - 1)
-            closes = [*closes, max(0.01, closes[-1] + change)][-7:]
-            out.append((frame[key].iloc[0], i + 1, closes[-1]))
-        return pd.DataFrame(out, columns=[key, "step", "forecast"])
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, time, "close").na.drop().groupBy(key).applyInPandas(run, f"{key} {kind}, step int, forecast double")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for _, part in frame.groupby(frame["closes"].map(len)):
+                keys, held, done = part[key].to_numpy(), [], 0
+                for price in _ahead(trees, np.array(part["last"].tolist(), float), np.array(part["closes"].tolist(), float), steps):
+                    held.append(price)
+                    if len(held) == STEPS_OUT or done + len(held) == steps:
+                        n = len(held)
+                        yield pd.DataFrame({key: np.tile(keys, n), "step": np.repeat(np.arange(done + 1, done + n + 1), len(keys)), "forecast": np.concatenate(held)})
+                        held, done = [], done + n
+
+    return weeks.select(key, "last", "closes").mapInPandas(run, f"{key} {kind}, step int, forecast double")
+
+
+def forecast(prices: DataFrame, years: int, key: str = "ticker", time: str = "ts", tie: str | None = None, trees: int = 100) -> DataFrame:
+    """(key, current_price, future_price, change_percentage, years, r2, data_points): train on all rows given, then 365 steps a year for each key.
+
+    Keys without a complete row are left out.
+    """
+    rows = stored(complete(features(prices, key, time, tie)), "prices")
+    model, r2 = train(rows, trees=trees)
+    weeks = last_week(rows, key, time, tie)
+    future = recursive(weeks, model, years * 365, key).where(F.col("step") == years * 365)
+    done = weeks.join(future, key).select(key, F.element_at("closes", -1).alias("current_price"), F.col("forecast").alias("future_price"), F.col("n").alias("data_points"))
+    change = outcome(F.col("current_price"), F.col("future_price"))[0]
+    return done.select(key, "current_price", "future_price", change.alias("change_percentage"), F.lit(years).alias("years"), F.lit(float(r2)).alias("r2"), "data_points")
 
 
 def outcome(last_close, forecast):

@@ -213,5 +213,6 @@ SQL = {
     "w03_rolling": f"with {PRICES} select event_id, case when count(close) {_week} = 7 then round(avg(close) {_week}, 6) end as ma_7, case when count(close) {_week} = 7 then round(stddev_samp(close) {_week}, 6) end as volatility from p",
     "w05_lag_lead": f"with {PRICES}, w as (select *, lag(close) over (partition by ticker order by ts, event_id) as b, lead(close) over (partition by ticker order by ts, event_id) as next_close, min(ts) over (partition by ticker) as t0 from p) select event_id, round(close / nullif(b, 0) - 1, 6) as daily_return, next_close, (epoch_us(ts) - epoch_us(t0)) // 86400000000 as days, round(high - low, 6) as price_change, round((high + low) / 2, 6) as average_price from w",
     "f19_complete_rows": f"with {PRICES}, w as (select ticker, lag(close) over (partition by ticker order by ts, event_id) as b, lead(close) over (partition by ticker order by ts, event_id) as a, row_number() over (partition by ticker order by ts, event_id) as k from p) select ticker, count(*) as n from w where k >= 7 and b is not null and b <> 0 and a is not null group by 1",
+    "w09_last_week": f"with {PRICES}, w as (select *, lag(close) over (partition by ticker order by ts, event_id) as b, lead(close) over (partition by ticker order by ts, event_id) as a, row_number() over (partition by ticker order by ts, event_id) as k from p), c as (select *, row_number() over (partition by ticker order by ts desc, event_id desc) as r, count(*) over (partition by ticker) as n from w where k >= 7 and b is not null and b <> 0 and a is not null) select ticker, n, string_agg(printf('%.4f', close), ',' order by r desc) as closes from c where r <= 7 group by 1, 2",
     "w09_last_rows": f"with {PRICES} select ticker, arg_max(close, struct_pack(ts := ts, e := event_id)) as last_close, count(*) as n from p group by 1",
 }

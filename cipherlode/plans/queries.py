@@ -416,7 +416,14 @@ def f19_complete_rows(spark, d):
 
 
 def w08_recursive_forecast(spark, d):
-    return forecast.recursive(_prices(spark, d), 365)
+    rows = forecast.complete(forecast.features(_prices(spark, d), tie="event_id"))
+    model, _ = forecast.train(rows.orderBy("event_id").coalesce(4))
+    return forecast.recursive(forecast.last_week(rows, tie="event_id"), model, 365)
+
+
+def w09_last_week(spark, d):
+    rows = forecast.complete(forecast.features(_prices(spark, d), tie="event_id"))
+    return forecast.last_week(rows, tie="event_id").select("ticker", "n", F.concat_ws(",", F.transform("closes", lambda c: F.format_string("%.4f", c))).alias("closes"))
 
 
 def w09_last_rows(spark, d):
@@ -430,4 +437,9 @@ def m02_boosted_forecast(spark, d):
     return model.transform(rows).select("event_id", F.col("prediction"))
 
 
+def m04_forecast(spark, d):
+    """A year ahead for every ticker."""
+    return forecast.forecast(_prices(spark, d), 1, tie="event_id")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[:3] in {f"{c}{a}{b}" for c in "xsacfjtwmkeo" for a in "0123" for b in "0123456789"} and callable(v)}

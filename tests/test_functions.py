@@ -116,7 +116,8 @@ def test_windows(spark):
     got = forecast.features(df).orderBy("ts").collect()
     assert got[5].ma_7 is None and got[6].ma_7 == 4.0 and got[0].next_close == 2.0 and got[9].next_close is None and got[3].days == 3
     assert forecast.complete(forecast.features(df)).count() == 3
-    assert [r.forecast for r in forecast.recursive(df, 2).orderBy("step").collect()] == [11.0, 12.0]
+    weeks = forecast.last_week(forecast.complete(forecast.features(df))).first()
+    assert (weeks.n, weeks.closes) == (3, [7.0, 8.0, 9.0]) and weeks["last"][:4] == [8.0, 9.0, 10.0, 8.0]
 
 
 def test_tables():
