@@ -219,7 +219,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     docs: doc_id, text, th. Rows without id or text are left out: they neither repeat nor are repeated.
     """
     found = _anchored(docs, window, anchor)
-    shared = found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
+    # written first: the join then reads two plain shuffles, of which a key with many rows can be split
+    shared = stored(found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"), "shared")
     rows = stored(found.join(shared, "key"), "runs")
     first = stored(rows.groupBy("key", "run").agg(F.min(F.struct("doc_id", "th", "a", "n")).alias("f")).select("key", "run", "f.*"), "firstruns")
     several = first.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
