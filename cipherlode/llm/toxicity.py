@@ -6,7 +6,9 @@ whole words and word beginnings with the log-odds of toxic labels; a hit inside
 phrase (a pair of neighbouring words that labels show to be harmless) doesn't count. The hits'
 weights, their sum normalised by length and the strongest one give a logistic score.
 
-Fitting takes a bounded sample of labelled rows, SAMPLE_ROWS for each label, chosen by hash.
+Fitting takes a bounded sample of labelled rows, SAMPLE_ROWS for each label, chosen by hash. The
+lexicon comes from all of them; the score is fitted on each row's features by a lexicon that
+comes from the other FOLDS - 1 parts, so no row vouches for its own words.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cipherlode.llm import flat
@@ -29,10 +31,14 @@ from cipherlode.runtime import ship
 
 SAMPLE_ROWS = {0: 24_000, 1: 12_000}
 """At most about so many labelled rows of each label are learned from."""
-MIN_TOXIC = 2
+MIN_TOXIC, MIN_CLEAN = 2, 3
+"""Toxic texts that an entry needs, and clean ones that an exception needs."""
 MIN_G2 = 6.63
 """Log-likelihood ratio that label and entry are independent, the 1 % level; the same at every size."""
 MIN_ODDS = 2.5
+SHRINK = 1.64
+"""An entry's weight is its log-odds less so many standard errors: few texts give little weight."""
+FOLDS = 3
 PREFIXES = range(4, 9)
 THRESHOLD = 0.7
 
@@ -108,15 +114,15 @@ def hits(folded: str, matcher, exceptions) -> list[tuple[str, str, str, float]]:
 
 
 def features(found: list, folded: str) -> tuple[float, float, float]:
-    """Strongest hit, sum of hits, and their sum for each hundred words."""
+    """Strongest hit, the hits' squares together, and these for each hundred words: many weak hits of a long text count little."""
     if not found:
         return 0.0, 0.0, 0.0
-    total = sum(x[3] for x in found)
+    total = sum(x[3] * x[3] for x in found)
     return max(x[3] for x in found), math.log1p(total), math.log1p(100 * total / (20 + folded.count(" ")))
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Training rows (doc_id, text, toxic, half: 0 for two thirds): labelled, not held out, a bounded number."""
+    """Training rows (doc_id, text, toxic, fold): labelled, not held out, a bounded number."""
     seen = labels.selectExpr("cast(doc_id as long) doc_id", "cast(toxic as int) toxic").where("doc_id is not null and toxic in (0, 1) and pmod(crc32(cast(doc_id as string)), 3) <> 1")
     counts = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     keep = F.lit(False)
@@ -125,89 +131,111 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     chosen = seen.where(keep).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("text is not null")
     # chosen has at most about sum(SAMPLE_ROWS) rows of 12 bytes, whatever the input
-    return rows.join(F.broadcast(chosen), "doc_id").withColumn("half", (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(3)) == 2).cast("int"))
+    return rows.join(F.broadcast(chosen), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
+
+
+def _sum(names: list[str]) -> Column:
+    total = F.lit(0).cast("long")
+    for n in names:
+        total = total + F.col(n)
+    return total
+
+
+def _entry(toxic: Column, clean: Column, n1: int, n0: int) -> Column:
+    """The weight of an entry in so many of n1 toxic and n0 clean texts, or null: one rule at every size."""
+    share, seen = n1 / max(1, n1 + n0), toxic + clean
+    g2 = 2 * (toxic * F.log(toxic / (seen * share)) + F.when(clean > 0, clean * F.log(clean / (seen * (1 - share)))).otherwise(0.0))
+    odds = F.log((toxic + 0.5) / (n1 + 1.0)) - F.log((clean + 0.5) / (n0 + 1.0))
+    raw = F.log((toxic + 0.1) / (n1 + 0.2)) - F.log((clean + 0.1) / (n0 + 0.2))
+    weight = odds - SHRINK * F.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+    return F.when((toxic >= MIN_TOXIC) & (raw >= MIN_ODDS) & (g2 >= MIN_G2) & (weight > 0), weight)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """Learn the lexicon from two thirds of the sample, exceptions and score from the rest.
+    """Learn lexicon and exceptions from the sample, the score from it part by part.
 
     Rows held out by crc32(doc_id) mod 3 = 1, unlabelled rows and null texts teach nothing.
     With too few toxic rows the lexicon is empty and every score is low.
     """
-    ship(docs.sparkSession)
+    spark = ship(docs.sparkSession)
     sample = _sample(docs, labels)
+    counts = [f"{kind}{f}" for kind in ("c", "t") for f in range(FOLDS)]  # clean and toxic texts by fold
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: tuple[Counter, Counter, Counter] = (Counter(), Counter(), Counter())
+        tally: dict[str, list[int]] = {}
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = set(fold(text).split())
-                tally[toxic].update({p for w in words if len(w) <= 40 for p in patterns(w)})
-        names = [p for p, n in tally[1].items()]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([tally[1][p] for p in names], pa.int64()), pa.array([0] * len(names), pa.int64())], names=["p", "toxic", "clean"])
-        names = [p for p, n in tally[0].items()]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([0] * len(names), pa.int64()), pa.array([tally[0][p] for p in names], pa.int64())], names=["p", "toxic", "clean"])
-
-    first = sample.where("half = 0")
-    sizes = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    share = n1 / max(1, n1 + n0)
-    seen = F.col("toxic") + F.col("clean")
-    g2 = 2 * (F.col("toxic") * F.log(F.col("toxic") / (seen * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (seen * (1 - share)))).otherwise(0.0))
-    odds = F.log((F.col("toxic") + 0.1) / (n1 + 0.2)) - F.log((F.col("clean") + 0.1) / (n0 + 0.2))
-    table = first.select("text", "toxic").mapInArrow(flat.lean(count), "p string, toxic long, clean long").groupBy("p").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    rows = table.where(F.col("toxic") >= MIN_TOXIC).withColumn("w", odds).where((F.col("w") >= MIN_ODDS) & (g2 >= MIN_G2)).collect()
-    lexicon = Lexicon({r["p"]: r["w"] for r in rows})
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon.weights)
+            for text, toxic, fold_ in zip(*(c.to_pylist() for c in batch.columns)):
+                for p in {p for w in set(fold(text).split()) for p in patterns(w)}:
+                    tally.setdefault(p, [0] * len(counts))[toxic * FOLDS + fold_] += 1
+        columns = zip(*tally.values()) if tally else [()] * len(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["p", *counts])
+
+    n = dict.fromkeys(counts, 0)
+    for r in sample.groupBy("toxic", "fold").agg(F.count("*").alias("n")).collect():
+        n[f"{'ct'[r['toxic']]}{r['fold']}"] = r["n"]
+    table = sample.select("text", "toxic", "fold").mapInArrow(flat.lean(count), "p string, " + ", ".join(f"{c} long" for c in counts)).groupBy("p").agg(*[F.sum(c).alias(c) for c in counts])
+    parts = [[f for f in range(FOLDS) if f != k] for k in range(FOLDS)] + [list(range(FOLDS))]  # the last one is the whole
+    entries = [_entry(_sum([f"t{f}" for f in part]), _sum([f"c{f}" for f in part]), sum(n[f"t{f}"] for f in part), sum(n[f"c{f}"] for f in part)).alias(f"w{k}") for k, part in enumerate(parts)]
+    rows = table.where(_sum([f"t{f}" for f in range(FOLDS)]) >= MIN_TOXIC).select("p", *entries).where(" or ".join(f"w{k} is not null" for k in range(FOLDS + 1))).collect()  # bounded by the sample
+    lexicons = [Lexicon({r["p"]: r[f"w{k}"] for r in rows if r[f"w{k}"] is not None}) for k in range(FOLDS + 1)]
+    sent = spark.sparkContext.broadcast({r["p"]: 1.0 for r in rows})
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Lexicon(sent.value).matcher()
         for batch in batches:
-            out: list[tuple[str, str, int]] = []
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out: list[tuple[str, str, int, int]] = []
+            for text, toxic, fold_ in zip(*(c.to_pylist() for c in batch.columns)):
                 pairs = set()
                 for before, word, after, _ in hits(fold(text), matcher, ()):
                     pairs |= {(before, word), (word, after)}
-                out += [(a, b, toxic) for a, b in pairs if a and b]
-            a, b, t = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(t, pa.int32())], names=["a", "b", "toxic"])
-
-    second = sample.where("half = 1").select("text", "toxic")
-    pairs = second.mapInArrow(flat.lean(look), "a string, b string, toxic int").groupBy("a", "b").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    harmless = pairs.where("t = 0 and n >= 3").collect()
-    lexicon.exceptions = {(r["a"], r["b"]) for r in harmless}
-    rest = docs.sparkSession.sparkContext.broadcast(lexicon)
+                out += [(a, b, toxic, fold_) for a, b in pairs if a and b]
+            columns = zip(*out) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32()))], names=["a", "b", "toxic", "fold"])
+
+    pairs = sample.select("text", "toxic", "fold").mapInArrow(flat.lean(look), "a string, b string, toxic int, fold int").groupBy("a", "b").agg(*[F.count(F.when((F.col("fold") == f) & (F.col("toxic") == y), 1)).alias(f"{'ct'[y]}{f}") for y in (0, 1) for f in range(FOLDS)])
+    harmless = [((_sum([f"t{f}" for f in part]) == 0) & (_sum([f"c{f}" for f in part]) >= MIN_CLEAN)).alias(f"x{k}") for k, part in enumerate(parts)]
+    for r in pairs.select("a", "b", *harmless).where(" or ".join(f"x{k}" for k in range(FOLDS + 1))).collect():
+        for k, lexicon in enumerate(lexicons):
+            if r[f"x{k}"]:
+                lexicon.exceptions.add((r["a"], r["b"]))
+    rest = spark.sparkContext.broadcast(lexicons[:FOLDS])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, exceptions = rest.value.matcher(), rest.value.exceptions
+        own = [(x.matcher(), x.exceptions) for x in rest.value]
         for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
+            found = []
+            for text, fold_ in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 folded = fold(text)
-                rows.append(features(hits(folded, matcher, exceptions), folded))
-            x = np.array(rows, float).reshape(-1, 3)
+                found.append(features(hits(folded, *own[fold_]), folded))
+            x = np.array(found, float).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(3)] + [batch.column(1)], names=["x0", "x1", "x2", "y"])
 
     # three numbers for each row of the bounded sample
-    seen = second.mapInArrow(flat.lean(measure), "x0 double, x1 double, x2 double, y int").toPandas()
-    lexicon.model = _logistic(seen[["x0", "x1", "x2"]].to_numpy(), seen["y"].to_numpy(float))
-    return lexicon
+    seen = sample.select("text", "toxic", "fold").mapInArrow(flat.lean(measure), "x0 double, x1 double, x2 double, y int").toPandas()
+    lexicons[-1].model = _logistic(seen[["x0", "x1", "x2"]].to_numpy(), seen["y"].to_numpy(float))
+    return lexicons[-1]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Newton's method with a small penalty, over rows in a fixed order."""
+    """Newton's method with a small penalty, over rows in a fixed order; a feature that would speak against toxicity is left out."""
     if not len(y) or not y.sum():
         return (-3.0, 0.0, 0.0, 0.0)
     order = np.lexsort((y, *x.T))
     x, y = np.column_stack([np.ones(len(y)), x])[order], y[order]
-    w, penalty = np.zeros(4), np.diag([1e-3, 0.1, 0.1, 0.1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
+    used = [0, 1, 2, 3]
+    while True:
+        part, w, penalty = x[:, used], np.zeros(len(used)), np.diag([1e-3, 0.1, 0.1, 0.1])[np.ix_(used, used)]
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            step = np.linalg.solve((part * (p * (1 - p))[:, None]).T @ part + penalty, part.T @ (y - p) - penalty @ w)
+            w = w + step
+            if np.abs(step).max() < 1e-8:
+                break
+        if len(used) == 1 or w[1:].min() >= 0:
             break
-    return tuple(float(v) for v in w)
+        used.pop(1 + int(w[1:].argmin()))
+    out = dict(zip(used, w.tolist()))
+    return tuple(out.get(k, 0.0) for k in range(4))
 
 
 SCORES = "score double, n_hits long"
