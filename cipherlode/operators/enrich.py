@@ -73,6 +73,33 @@ def cache_key(snippet: Column, provider: str = "mock", model: str = "rules") ->
     return F.sha2(F.concat(F.lit(f"{provider}|{model}|"), snippet), 256)
 
 
+def provider_of(name: str, known: dict[str, Callable] | None = None) -> Callable | None:
+    """The provider of that name among those known; None, the built-in mock, for any other."""
+    return (known or {}).get(name)
+
+
+def asked(provider: Callable[[list[str]], list[dict]], snippets: list[str]) -> list[dict]:
+    """A provider's answers: blank snippets fail without being asked, and so does what the provider raises for, alone."""
+    out: list = [{"success": False, "is_pqc_safe": False, "confidence": 0.0, "error": "empty snippet"}] * len(snippets)
+    full = [i for i, s in enumerate(snippets) if s and s.strip()]
+    try:
+        answers = provider([snippets[i] for i in full]) if full else []
+    except Exception as first:
+        answers = []
+        for i in full:
+            try:
+                answers += provider([snippets[i]]) if len(full) > 1 else [_failed(first)]
+            except Exception as e:
+                answers.append(_failed(e))
+    for i, answer in zip(full, answers):
+        out[i] = answer
+    return out
+
+
+def _failed(e: Exception) -> dict:
+    return {"success": False, "is_pqc_safe": False, "confidence": 0.0, "error": f"{type(e).__name__}: {e}"}
+
+
 def analyse(pieces: DataFrame, provider: Callable[[list[str]], list[dict]] | None = None) -> DataFrame:
     """Adds r (RESULT) to rows with a snippet. A given provider sees each distinct snippet once."""
     if provider is None:
@@ -83,7 +110,7 @@ def analyse(pieces: DataFrame, provider: Callable[[list[str]], list[dict]] | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("success", pa.bool_()), ("algorithm", pa.string()), ("key_length", pa.int32()), ("mode", pa.string()), ("is_pqc_safe", pa.bool_()), ("confidence", pa.float64()), ("error", pa.string())])
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(provider(batch.column(1).to_pylist()), kind)], names=["cache_key", "r"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(asked(provider, batch.column(1).to_pylist()), kind)], names=["cache_key", "r"])
 
     answers = keyed.groupBy("cache_key").agg(F.first("snippet").alias("snippet")).mapInArrow(run, f"cache_key string, r {RESULT}")
     return keyed.join(answers, "cache_key").drop("cache_key")
