@@ -84,66 +84,31 @@ def pqc_label(name: Column) -> Column:
     return F.when(pqc_compliance(name) > 80, "standardized").otherwise("legacy")
 
 
+def by_parts(name: Column, table, default) -> Column:
+    """The value of a rule table's first row of which the name has a part."""
+    value = lambda v: F.array(*map(F.lit, v)) if isinstance(v, tuple) else F.lit(v)
+    return first_of(*[(any_of(name, *parts), value(v)) for v, parts in table], default=default if isinstance(default, Column) else value(default))
+
+
 def primitive_type(name: Column) -> Column:
-    n = F.lower(name)
-    return first_of(
-        (any_of(n, "csprng", "random"), "key-derivation"),
-        (any_of(n, "pbkdf2", "bcrypt", "argon2", "scrypt", "kdf"), "key-derivation"),
-        (any_of(n, "cipher", "encrypt", "decrypt"), "block-cipher"),
-        (any_of(n, "rsa", "ecc", "ecdsa", "ecdh"), "asymmetric"),
-        (any_of(n, "aes", "des", "rc4"), "block-cipher"),
-        (any_of(n, "sha", "md5", "blake"), "hash"),
-        (any_of(n, "hmac"), "hmac"),
-        (any_of(n, "gcm", "ccm", "chacha"), "authenticated-encryption"),
-        default="hash",
-    )
+    return by_parts(F.lower(name), rules.PRIMITIVE_TYPES, rules.PRIMITIVE_DEFAULT)
 
 
 def crypto_functions(name: Column) -> Column:
     """Array of likely functions; an algorithm family outweighs the kind of derivation."""
-    n, some = F.lower(name), lambda *x: F.array(*map(F.lit, x))
-    return first_of(
-        (any_of(n, "aes", "des", "rc4"), some("encrypt", "decrypt")),
-        (any_of(n, "rsa", "ecc"), some("key-generation", "key-agreement")),
-        (any_of(n, "sha", "md5", "blake"), some("hash")),
-        (any_of(n, "sign", "dsa", "ecdsa"), some("sign", "verify")),
-        (any_of(n, "pbkdf2", "bcrypt", "argon2", "scrypt", "kdf"), some("key-derivation")),
-        (any_of(n, "csprng", "random"), some("random-number-generation")),
-        default=some("encrypt"),
-    )
+    return by_parts(F.lower(name), rules.FUNCTIONS, rules.FUNCTIONS_DEFAULT)
 
 
 def family(name: Column) -> Column:
-    n = F.upper(name)
-    return first_of(
-        (any_of(n, "AES"), "AES"), (any_of(n, "CHACHA"), "ChaCha20"), (any_of(n, "RSA"), "RSA"), (any_of(n, "ECDSA"), "ECDSA"), (any_of(n, "ECDH"), "ECDH"),
-        (any_of(n, "ECC", "EC_"), "ECC"), (any_of(n, "SHA"), "SHA"), (any_of(n, "MD5"), "MD5"), (any_of(n, "HMAC"), "HMAC"), (any_of(n, "PBKDF2"), "PBKDF2"),
-        (any_of(n, "BCRYPT"), "bcrypt"), (any_of(n, "ARGON2"), "argon2"), (any_of(n, "KYBER", "ML-KEM"), "ML-KEM"), (any_of(n, "ML-DSA", "DILITHIUM"), "ML-DSA"), (any_of(n, "CSPRNG", "RANDOM"), "RNG"),
-        default=name,
-    )
+    return by_parts(F.upper(name), rules.FAMILIES, name)
 
 
 def category(name: Column) -> Column:
-    n = F.upper(name)
-    return first_of(
-        (any_of(n, "AES", "CHACHA", "DES", "RC4"), "symmetric_encryption"),
-        (any_of(n, "RSA", "ECC", "ECDSA", "ECDH", "DSA", "ML-DSA"), "asymmetric_cryptography"),
-        (any_of(n, "SHA", "MD5", "BLAKE", "PBKDF2", "BCRYPT", "ARGON2"), "hash_function"),
-        (any_of(n, "HMAC"), "mac"),
-        (any_of(n, "KEM", "KEY-EXCHANGE", "KEY_AGREEMENT"), "key_exchange"),
-        (any_of(n, "RNG", "RANDOM"), "rng"),
-        default="unknown",
-    )
+    return by_parts(F.upper(name), rules.CATEGORIES, rules.UNKNOWN)
 
 
 def pqc_status(name: Column) -> Column:
-    n = F.upper(name)
-    return first_of(
-        (any_of(n, "ML-KEM", "KYBER", "ML-DSA", "DILITHIUM", "FALCON", "SLH-DSA"), "pqc_safe"),
-        (any_of(n, "RSA", "ECDSA", "ECDH", "MD5", "SHA-1"), "legacy"),
-        (any_of(n, "AES", "SHA-256", "SHA-512", "HMAC"), "transition"),
-        default="unknown",
-    )
+    return by_parts(F.upper(name), rules.PQC_STATUSES, rules.UNKNOWN)
 
 
 def normal_name(name: Column) -> Column:

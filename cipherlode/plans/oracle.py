@@ -26,17 +26,12 @@ SCORED = f"""{OBS}, {RISK}, plain as (select o.*, coalesce(r.base, 50.0::double)
 scored as (select *, least(100.0::double, case when key_length is not null and key_length <> 0 and key_length < 128 then r0 + 15.0::double when key_length > 256 then r0 - 5.0::double else r0 end) as risk from plain)"""
 LEVEL = "case when risk >= 80 then 'critical' when risk >= 60 then 'high' when risk >= 40 then 'medium' else 'low' end"
 
-PRIMITIVE = _case("algorithm", [
-    (("csprng", "random", "pbkdf2", "bcrypt", "argon2", "scrypt", "kdf"), "key-derivation"), (("cipher", "encrypt", "decrypt"), "block-cipher"), (("rsa", "ecc", "ecdsa", "ecdh"), "asymmetric"), (("aes", "des", "rc4"), "block-cipher"),
-    (("sha", "md5", "blake"), "hash"), (("hmac",), "hmac"), (("gcm", "ccm", "chacha"), "authenticated-encryption")], "'hash'", "lower")
-FUNCTIONS = _case("algorithm", [
-    (("aes", "des", "rc4"), "encrypt,decrypt"), (("rsa", "ecc"), "key-generation,key-agreement"), (("sha", "md5", "blake"), "hash"), (("sign", "dsa", "ecdsa"), "sign,verify"), (("pbkdf2", "bcrypt", "argon2", "scrypt", "kdf"), "key-derivation"), (("csprng", "random"), "random-number-generation")], "'encrypt'", "lower")
-FAMILY = _case("algorithm", [
-    (("AES",), "AES"), (("CHACHA",), "ChaCha20"), (("RSA",), "RSA"), (("ECDSA",), "ECDSA"), (("ECDH",), "ECDH"), (("ECC", "EC_"), "ECC"), (("SHA",), "SHA"), (("MD5",), "MD5"), (("HMAC",), "HMAC"), (("PBKDF2",), "PBKDF2"), (("BCRYPT",), "bcrypt"), (("ARGON2",), "argon2"),
-    (("KYBER", "ML-KEM"), "ML-KEM"), (("ML-DSA", "DILITHIUM"), "ML-DSA"), (("CSPRNG", "RANDOM"), "RNG")], "algorithm")
-CATEGORY = _case("algorithm", [
-    (("AES", "CHACHA", "DES", "RC4"), "symmetric_encryption"), (("RSA", "ECC", "ECDSA", "ECDH", "DSA"), "asymmetric_cryptography"), (("SHA", "MD5", "BLAKE"), "hash_function"), (("PBKDF2", "BCRYPT", "ARGON2"), "hash_function"), (("HMAC",), "mac"), (("KEM", "KEY-EXCHANGE", "KEY_AGREEMENT"), "key_exchange"), (("RNG", "RANDOM"), "rng")], "'unknown'")
-STATUS = _case("algorithm", [(("ML-KEM", "KYBER", "ML-DSA", "DILITHIUM", "FALCON", "SLH-DSA"), "pqc_safe"), (("RSA", "ECDSA", "ECDH", "MD5", "SHA-1"), "legacy"), (("AES", "SHA-256", "SHA-512", "HMAC"), "transition")], "'unknown'")
+_parts = lambda table: [(parts, ",".join(v) if isinstance(v, tuple) else v) for v, parts in table]
+PRIMITIVE = _case("algorithm", _parts(rules.PRIMITIVE_TYPES), f"'{rules.PRIMITIVE_DEFAULT}'", "lower")
+FUNCTIONS = _case("algorithm", _parts(rules.FUNCTIONS), f"'{','.join(rules.FUNCTIONS_DEFAULT)}'", "lower")
+FAMILY = _case("algorithm", _parts(rules.FAMILIES), "algorithm")
+CATEGORY = _case("algorithm", _parts(rules.CATEGORIES), f"'{rules.UNKNOWN}'")
+STATUS = _case("algorithm", _parts(rules.PQC_STATUSES), f"'{rules.UNKNOWN}'")
 
 
 def _jca(arg: str) -> str:

@@ -318,6 +318,61 @@ MITIGATIONS = {
 SYNONYMS = (("ADVANCED ENCRYPTION STANDARD", "AES"), ("RIVEST SHAMIR ADLEMAN", "RSA"), ("ELLIPTIC CURVE", "ECC"), ("SECURE HASH ALGORITHM", "SHA"), ("MESSAGE DIGEST", "MD"))
 
 
+# What an algorithm's name says. Each row has a value and the parts of the name, any of which gives it; the first row that fits counts.
+# Types and functions look at lower-case names, the others at upper-case ones.
+PRIMITIVE_TYPES = (
+    ("key-derivation", ("csprng", "random")),
+    ("key-derivation", ("pbkdf2", "bcrypt", "argon2", "scrypt", "kdf")),
+    ("block-cipher", ("cipher", "encrypt", "decrypt")),
+    ("asymmetric", ("rsa", "ecc", "ecdsa", "ecdh")),
+    ("block-cipher", ("aes", "des", "rc4")),
+    ("hash", ("sha", "md5", "blake")),
+    ("hmac", ("hmac",)),
+    ("authenticated-encryption", ("gcm", "ccm", "chacha")),
+)
+PRIMITIVE_DEFAULT = "hash"
+FUNCTIONS = (
+    (("encrypt", "decrypt"), ("aes", "des", "rc4")),
+    (("key-generation", "key-agreement"), ("rsa", "ecc")),
+    (("hash",), ("sha", "md5", "blake")),
+    (("sign", "verify"), ("sign", "dsa", "ecdsa")),
+    (("key-derivation",), ("pbkdf2", "bcrypt", "argon2", "scrypt", "kdf")),
+    (("random-number-generation",), ("csprng", "random")),
+)
+FUNCTIONS_DEFAULT = ("encrypt",)
+FAMILIES = (
+    ("AES", ("AES",)),
+    ("ChaCha20", ("CHACHA",)),
+    ("RSA", ("RSA",)),
+    ("ECDSA", ("ECDSA",)),
+    ("ECDH", ("ECDH",)),
+    ("ECC", ("ECC", "EC_")),
+    ("SHA", ("SHA",)),
+    ("MD5", ("MD5",)),
+    ("HMAC", ("HMAC",)),
+    ("PBKDF2", ("PBKDF2",)),
+    ("bcrypt", ("BCRYPT",)),
+    ("argon2", ("ARGON2",)),
+    ("ML-KEM", ("KYBER", "ML-KEM")),
+    ("ML-DSA", ("ML-DSA", "DILITHIUM")),
+    ("RNG", ("CSPRNG", "RANDOM")),
+)
+CATEGORIES = (
+    ("symmetric_encryption", ("AES", "CHACHA", "DES", "RC4")),
+    ("asymmetric_cryptography", ("RSA", "ECC", "ECDSA", "ECDH", "DSA", "ML-DSA")),
+    ("hash_function", ("SHA", "MD5", "BLAKE", "PBKDF2", "BCRYPT", "ARGON2")),
+    ("mac", ("HMAC",)),
+    ("key_exchange", ("KEM", "KEY-EXCHANGE", "KEY_AGREEMENT")),
+    ("rng", ("RNG", "RANDOM")),
+)
+PQC_STATUSES = (
+    ("pqc_safe", ("ML-KEM", "KYBER", "ML-DSA", "DILITHIUM", "FALCON", "SLH-DSA")),
+    ("legacy", ("RSA", "ECDSA", "ECDH", "MD5", "SHA-1")),
+    ("transition", ("AES", "SHA-256", "SHA-512", "HMAC")),
+)
+UNKNOWN = "unknown"
+
+
 def _rows(text: str, splits: int = -1) -> list[list[str]]:
     return [line.split(None, splits) for line in text.strip().splitlines()]
 
