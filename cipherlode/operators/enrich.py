@@ -28,21 +28,27 @@ MOCK_MODE, MOCK_KEY_CONFIDENCE, MOCK_MODE_CONFIDENCE = "GCM/CBC/ECB/CTR", 0.7, 0
 RESULT = "struct<success:boolean, algorithm:string, key_length:int, mode:string, is_pqc_safe:boolean, confidence:double, error:string>"
 
 
-def mock(code: Column) -> Column:
-    """The mock's result for a snippet; a blank one fails."""
-    has = lambda rx: F.regexp_like(code, F.lit(f"(?i){rx}"))
-    algorithm = C.first_of(*[(has(rx), a) for rx, a, _, _ in reversed(MOCK)], default="unknown")
-    keyed, moded = has(r"[0-9]{3,4}(bit|-bit)"), has("gcm|cbc|ecb|ctr")
-    confidence = C.first_of((moded, F.lit(MOCK_MODE_CONFIDENCE)), (keyed, F.lit(MOCK_KEY_CONFIDENCE)), *[(has(rx), F.lit(c)) for rx, _, c, _ in reversed(MOCK)], default=0.3)
-    key = F.when(keyed, F.expr("try_cast(nullif(regexp_extract(_code, '(?i)([0-9]{3,4})\\\\s*(bit|bitleng|-bit)', 1), '') as int)"))
+def signs(code: Column) -> Column:
+    """Which of the mock's patterns a snippet has: each is tested once."""
+    has = lambda rx: F.rlike(code, F.lit(f"(?i){rx}"))
+    named = [has(rx).alias(f"p{i}") for i, (rx, *_) in enumerate(MOCK)]
+    return F.struct(*named, has(r"[0-9]{3,4}(bit|-bit)").alias("keyed"), has("gcm|cbc|ecb|ctr").alias("moded"), (F.coalesce(C.strip(code), F.lit("")) == "").alias("blank"))
+
+
+def mock(code: Column, sign: Column) -> Column:
+    """The mock's result for a snippet with its signs; a blank one fails."""
+    p = [sign[f"p{i}"] for i in range(len(MOCK))]
+    late = list(zip(p, MOCK))[::-1]
+    algorithm = C.first_of(*[(has, a) for has, (_, a, _, _) in late], default="unknown")
+    confidence = C.first_of((sign["moded"], F.lit(MOCK_MODE_CONFIDENCE)), (sign["keyed"], F.lit(MOCK_KEY_CONFIDENCE)), *[(has, F.lit(c)) for has, (_, _, c, _) in late], default=0.3)
+    key = F.when(sign["keyed"], F.nullif(F.regexp_extract(code, r"(?i)([0-9]{3,4})\s*(bit|bitleng|-bit)", 1), F.lit("")).cast("int"))
     safe = F.lit(False)
-    for rx, _, _, pqc in MOCK:
-        safe = safe | (has(rx) if pqc else F.lit(False))
-    blank = F.coalesce(C.strip(code), F.lit("")) == ""
+    for has, (*_, pqc) in late:
+        safe = safe | has if pqc else safe
     null = lambda kind: F.lit(None).cast(kind)
     fail = F.struct(F.lit(False).alias("success"), null("string").alias("algorithm"), null("int").alias("key_length"), null("string").alias("mode"), F.lit(False).alias("is_pqc_safe"), F.lit(0.0).alias("confidence"), F.lit("empty snippet").alias("error"))
-    good = F.struct(F.lit(True).alias("success"), algorithm.alias("algorithm"), key.alias("key_length"), F.when(moded, MOCK_MODE).alias("mode"), safe.alias("is_pqc_safe"), confidence.alias("confidence"), null("string").alias("error"))
-    return F.when(blank, fail).otherwise(good)
+    good = F.struct(F.lit(True).alias("success"), algorithm.alias("algorithm"), key.alias("key_length"), F.when(sign["moded"], MOCK_MODE).alias("mode"), safe.alias("is_pqc_safe"), confidence.alias("confidence"), null("string").alias("error"))
+    return F.when(sign["blank"], fail).otherwise(good)
 
 
 def parse_reply(text: Column) -> Column:
@@ -103,7 +109,7 @@ def _failed(e: Exception) -> dict:
 def analyse(pieces: DataFrame, provider: Callable[[list[str]], list[dict]] | None = None) -> DataFrame:
     """Adds r (RESULT) to rows with a snippet. A given provider sees each distinct snippet once."""
     if provider is None:
-        return pieces.withColumn("_code", F.col("snippet")).withColumn("r", mock(F.col("_code"))).drop("_code")
+        return pieces.withColumn("_signs", signs(F.col("snippet"))).withColumn("r", mock(F.col("snippet"), F.col("_signs"))).drop("_signs")
     ship(pieces.sparkSession)
     keyed = pieces.withColumn("cache_key", cache_key(F.col("snippet"), "custom", "custom"))
 

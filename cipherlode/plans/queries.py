@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cipherlode import rules
 from cipherlode.functions import classify as C
 from cipherlode.operators import bom, enrich, forecast, labels, scan
+from cipherlode.runtime import stored
 from cipherlode.sources import files
 from cipherlode.plans import repository
 from cipherlode.sources.corpus import code_files, observed, repository_files
@@ -27,7 +28,7 @@ def _labelled(spark, d):
 
 
 def _file_labels(spark, d):
-    return labels.label(labels.file_assets(_hits(spark, d), "repo_id"))
+    return labels.label(labels.file_assets(stored(_hits(spark, d), "hits"), "repo_id"))  # assets and evidence read the hits
 
 
 def entry(spark, d):
