@@ -146,6 +146,13 @@ SQL = {
     "c12_quality_scores": f"{LABELLED} select ref, quality_score, quality_tier from dec",
     "c25_target_types": f"with t as (select 'TEXT' as file_type from part where p_partkey % 10 <> 7 union all select ['ELF', 'ELF', 'PE', 'PE', 'BINARY', 'UNKNOWN'][((p_partkey // 10) % 6 + 1)::int] from part where p_partkey % 10 = 7) select file_type, case when file_type in ('ELF', 'PE') then 'binary' else 'source-code' end as target_type, count(*) as n from t group by 1, 2",
     "f22_algorithm_risk": f"with {SCORED} select ref, round_even(risk, 1) as risk from scored",
+    "s10_decode_all": "select doc_id, length(t)::int as chars, md5(t) as md5 from (select doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) as t from documents)",
+    "f20_label_rows": f"{FILES_LABELLED} select substr(sha256(path || '|' || algorithm), 1, 16) as ref, algorithm, family, category, key_length_state, mode_state, padding_state, pqc_status, base as label_confidence, len(issues) = 0 as is_valid, issue_count from dec",
+    "j12_upsert": f"""with {ASSETS}, {RISK}, m as (select file_id, content as t from code where length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) >= 50),
+      f as (select file_id, regexp_matches(t, '(?i)rsa') as rsa, regexp_matches(t, '(?i)aes') as aes, regexp_matches(t, '(?i)sha-?256') as s2, regexp_matches(t, '(?i)sha-?512') as s5, regexp_matches(t, '(?i)md5') as md, regexp_matches(t, '(?i)kyber|ml-kem') as ky, regexp_matches(t, '(?i)dilithium|ml-dsa') as di, regexp_matches(t, '(?i)[0-9]{{3,4}}(bit|-bit)') as kb, regexp_matches(t, '(?i)gcm|cbc|ecb|ctr') as mo from m),
+      r as (select file_id, case when di then 'Dilithium/ML-DSA' when ky then 'Kyber/ML-KEM' when md then 'MD5' when s5 then 'SHA-512' when s2 then 'SHA-256' when aes then 'AES' when rsa then 'RSA' else 'unknown' end as algorithm, case when mo then 0.6 when kb then 0.7 when di or ky then 0.9 when md or s5 or s2 then 0.8 when aes or rsa then 0.7 else 0.3 end::double as c, case when mo then 'GCM/CBC/ECB/CTR' end as mode, ky or di as safe from f),
+      a as (select file_id, algorithm, confidence, coalesce(pqc, 0.0) > 50 as safe from assets left join risks using (algorithm))
+      select coalesce(a.file_id, r.file_id) as file_id, coalesce(a.algorithm, r.algorithm) as algorithm, greatest(a.confidence, r.c) as confidence, r.mode, coalesce(a.safe, false) or coalesce(r.safe, false) as is_pqc_safe, case when a.file_id is null then 'source-code' else 'static' end as source from a full join r on a.file_id = r.file_id and a.algorithm = r.algorithm""",
     "x01_scan_hits": f"with {SCAN} select file_id, phase, detector, name, algorithm, line, confidence from hits",
     "x02_call_hits": f"with {CODE}, r as (select * from {_values([(n, a) for n, a, _, _ in rules.CALLS], 'name, algorithm')}), m as (select line, lower(unnest(regexp_extract_all(txt, '(\\w+)\\s*\\(', 1))) as tok from lines) select name, algorithm, count(*) as n, sum(line)::bigint as lines from m join r on tok = lower(name) group by all",
     "x03_string_constants": f"with {CODE}, {_consts} select distinct file_id, unnest(ks) as name, unnest(vs) as value from consts",
