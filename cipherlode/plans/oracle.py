@@ -146,6 +146,7 @@ SQL = {
     "c12_quality_scores": f"{LABELLED} select ref, quality_score, quality_tier from dec",
     "c25_target_types": f"with t as (select 'TEXT' as file_type from part where p_partkey % 10 <> 7 union all select ['ELF', 'ELF', 'PE', 'PE', 'BINARY', 'UNKNOWN'][((p_partkey // 10) % 6 + 1)::int] from part where p_partkey % 10 = 7) select file_type, case when file_type in ('ELF', 'PE') then 'binary' else 'source-code' end as target_type, count(*) as n from t group by 1, 2",
     "f22_algorithm_risk": f"with {SCORED} select ref, round_even(risk, 1) as risk from scored",
+    "k09_asset_lines": f"with {OBS}, {RISK}, s as (select o.*, {_plain} as risk, coalesce(pqc, 0.0) > 50 as safe from obs o left join risks r using (algorithm)) select concat_ws(',', algorithm, {PRIMITIVE}, coalesce(nullif(key_length, 0)::varchar, 'N/A'), case when safe then 'True' else 'False' end, printf('%.1f', risk), {LEVEL}) as value from s",
     "s10_decode_all": "select doc_id, length(t)::int as chars, md5(t) as md5 from (select doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) as t from documents)",
     "f20_label_rows": f"{FILES_LABELLED} select substr(sha256(path || '|' || algorithm), 1, 16) as ref, algorithm, family, category, key_length_state, mode_state, padding_state, pqc_status, base as label_confidence, len(issues) = 0 as is_valid, issue_count from dec",
     "j12_upsert": f"""with {ASSETS}, {RISK}, m as (select file_id, content as t from code where length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) >= 50),

@@ -9,7 +9,7 @@ from cipherlode import rules
 from cipherlode.functions import classify as C
 from cipherlode.operators import bom, enrich, forecast, labels, scan
 from cipherlode.runtime import stored
-from cipherlode.sources import files
+from cipherlode.sources import files, sinks
 from cipherlode.plans import repository
 from cipherlode.sources.corpus import code_files, observed, repository_files
 
@@ -343,6 +343,12 @@ def k07_batch_summary(spark, d):
     return repository.batch_summary(_run(spark, d), "source")
 
 
+def k09_asset_lines(spark, d):
+    n = F.col("algorithm")
+    rows = observed(spark, d).select("algorithm", "key_length", C.primitive_type(n).alias("primitive_type"), C.is_pqc_safe(n).alias("is_pqc_safe"), C.final_risk(n).alias("risk"), C.risk_level(C.final_risk(n)).alias("risk_level"))
+    return sinks.asset_lines(rows)
+
+
 def a04_report(spark, d):
     r = repository.report(_run(spark, d))
     n = [F.size(c).alias(c) for c in ("critical_issues", "high_priority", "medium_priority", "low_priority")]

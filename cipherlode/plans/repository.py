@@ -172,3 +172,7 @@ def write_run(spark: SparkSession, root: str, profile: dict, output: str, how: E
     sinks.write_text(spark, json.dumps(summary, indent=2, ensure_ascii=False), f"{folder}/{prefix}_batch_summary.json")
     return summary
 
+
+def write_report(run: Run, path: str) -> None:
+    """The reports of all files with assets, as one JSON array."""
+    sinks.write_json_array(report(run), path)

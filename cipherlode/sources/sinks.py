@@ -65,3 +65,19 @@ def write_splits(records: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+# Fixed value: the header of the asset table.
+ASSET_HEADER = "Algoritma,Tür,Anahtar Uzunluğu,PQC,Risk Skoru,Seviye"
+
+
+def asset_lines(assets: DataFrame) -> DataFrame:
+    """(value) a line for each asset (algorithm, primitive_type, key_length, is_pqc_safe, risk, risk_level), unquoted; a missing or zero key length is N/A."""
+    key = F.coalesce(F.nullif(F.col("key_length"), F.lit(0)).cast("string"), F.lit("N/A"))
+    return assets.select(F.concat_ws(",", "algorithm", "primitive_type", key, F.initcap(F.col("is_pqc_safe").cast("string")), F.format_string("%.1f", F.col("risk")), "risk_level").alias("value"))
+
+
+def write_asset_csv(assets: DataFrame, path: str) -> None:
+    """The asset table with its header: part files that, one after another, are one file."""
+    header = assets.sparkSession.createDataFrame([(ASSET_HEADER,)], "value string").coalesce(1)
+    header.union(asset_lines(assets)).write.mode("overwrite").text(path)

@@ -80,6 +80,16 @@ def test_products(spark, root, tmp_path):
     assert written["assets_total"] == n and written["outputs"] == out
 
 
+def test_report_and_table_files(spark, run, tmp_path):
+    repository.write_report(run, str(tmp_path / "report"))
+    assert {r["path"] for r in json.loads(sinks.read_document(spark, str(tmp_path / "report")))} == {r.path for r in run.assets.select("path").distinct().collect()}
+    sinks.write_asset_csv(run.assets, str(tmp_path / "csv"))
+    lines = sinks.read_document(spark, str(tmp_path / "csv")).split("\n")
+    assert lines[0] == "Algoritma,Tür,Anahtar Uzunluğu,PQC,Risk Skoru,Seviye" and "MD5,hash,N/A,False,66.5,high" in lines and len(lines) == run.assets.count() + 1
+    sinks.write_json_array(run.labels.limit(0), str(tmp_path / "none"))
+    assert json.loads(sinks.read_document(spark, str(tmp_path / "none"))) == []
+
+
 def test_a_run_without_files(spark, tmp_path):
     (tmp_path / "none").mkdir()
     (tmp_path / "none/readme.txt").write_text("x")
