@@ -1,7 +1,8 @@
-"""MPEG-1 Layer III streams: writing a payload into frames, and reading streams back.
+"""MPEG Layer III streams: writing a payload into frames, and reading streams back.
 
-The reader resynchronises on frame headers, parses ID3v2 and ID3v1 tags and the Xing table,
-verifies the frames' CRC-16 and gives the exact duration and every frame's seek offset.
+The reader takes MPEG-1, MPEG-2 and MPEG-2.5, resynchronises on frame headers, parses ID3v2.3,
+ID3v2.4 and ID3v1 tags and the Xing, Info and VBRI tables, verifies the frames' CRC-16 and gives
+the exact duration and every frame's seek offset.
 
 The writer stores a payload losslessly in the format's own unit, the main data of a frame:
 `part2_3_length` of the two granules says how many bits of main data a frame has, which
@@ -26,11 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from cipherlode.llm import flat
 from cipherlode.runtime import ship
 
-# Fixed values of the format: kbit/s by index (MPEG-1 Layer III) and samples a second by index.
+# Fixed values of the format: kbit/s by index (MPEG-1, then MPEG-2 and 2.5, Layer III), samples a second by index,
+# samples in a frame and side information of one and of two channels.
 BITRATES = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+LOW_BITRATES = (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)
 RATES = (44100, 48000, 32000)
-SAMPLES = 1152
+SAMPLES, LOW_SAMPLES = 1152, 576
 SIDE_MONO, SIDE_STEREO = 17, 32
+LOW_SIDE_MONO, LOW_SIDE_STEREO = 9, 17
 GENERATOR = 0x8005
 
 FRAME_DATA = 960
@@ -126,39 +130,97 @@ class Stream:
         return b"".join(self.data)
 
 
-def parse_header(b: bytes, at: int) -> tuple[int, int, int, bool, int] | None:
-    """(frame size, bitrate, samples a second, protected, side information's size) of an MPEG-1 Layer III header."""
-    if at + 4 > len(b) or b[at] != 0xFF or b[at + 1] & 0xFE != 0xFA:
+@dataclass(frozen=True)
+class Header:
+    """size: of the whole frame; side: of its side information; low: MPEG-2 or 2.5."""
+
+    size: int
+    bitrate: int
+    rate: int
+    protected: bool
+    side: int
+    low: bool
+
+    @property
+    def samples(self) -> int:
+        return LOW_SAMPLES if self.low else SAMPLES
+
+
+@lru_cache(4096)
+def _header(second: int, third: int, mono: bool) -> Header | None:
+    version = second >> 3 & 3  # 3: MPEG-1, 2: MPEG-2, 0: MPEG-2.5
+    if second & 0xE6 != 0xE2 or version == 1 or third >> 4 in (0, 15) or third >> 2 & 3 == 3:
         return None
-    third, fourth = b[at + 2], b[at + 3]
-    if third >> 4 in (0, 15) or third >> 2 & 3 == 3:
+    low = version != 3
+    bitrate = (LOW_BITRATES if low else BITRATES)[third >> 4]
+    rate = RATES[third >> 2 & 3] >> {3: 0, 2: 1, 0: 2}[version]
+    side = (LOW_SIDE_MONO if mono else LOW_SIDE_STEREO) if low else (SIDE_MONO if mono else SIDE_STEREO)
+    return Header((72_000 if low else 144_000) * bitrate // rate + (third >> 1 & 1), bitrate, rate, not second & 1, side, low)
+
+
+def parse_header(b: bytes, at: int) -> Header | None:
+    """The Layer III frame header at a place, if there is one."""
+    if at + 4 > len(b) or b[at] != 0xFF:
         return None
-    bitrate, rate = BITRATES[third >> 4], RATES[third >> 2 & 3]
-    return frame_size(bitrate, rate, third >> 1 & 1), bitrate, rate, not b[at + 1] & 1, SIDE_MONO if fourth >> 6 == 3 else SIDE_STEREO
+    return _header(b[at + 1], b[at + 2], b[at + 3] >> 6 == 3)
 
 
-def _granule_bits(side: bytes) -> int:
+def _granule_bits(side: bytes, h: Header) -> int:
     """Bits of main data, over all granules and channels."""
-    n, width = int.from_bytes(side, "big"), len(side) * 8
-    lead, channels = (18, 1) if len(side) == SIDE_MONO else (20, 2)
-    return sum(n >> width - lead - 59 * k - 12 & 0xFFF for k in range(2 * channels))
+    n, width, mono = int.from_bytes(side, "big"), len(side) * 8, h.side in ((LOW_SIDE_MONO,) if h.low else (SIDE_MONO,))
+    lead = (9 if mono else 10) if h.low else (18 if mono else 20)
+    step, parts = (63, 1 if mono else 2) if h.low else (59, 2 if mono else 4)
+    return sum(n >> width - lead - step * k - 12 & 0xFFF for k in range(parts))
+
+
+def _text(body: bytes) -> str:
+    """A tag's text, led by its encoding: Latin-1, UTF-16 with a mark, UTF-16 big-endian or UTF-8."""
+    return body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0] if body else 0, "latin-1"), "replace").rstrip("\0")
+
+
+def _safe(b: bytes) -> int:
+    """A number in four bytes of seven bits."""
+    return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
 
 
 def _id3(b: bytes, tags: dict) -> int:
+    """End of the ID3v2 tag at the start, 0 without one. Sizes are plain in version 3 and of seven bits a byte in version 4."""
     if b[:3] != b"ID3" or len(b) < 10 or any(x & 0x80 for x in b[6:10]):
         return 0
-    end = min(len(b), 10 + (b[6] << 21 | b[7] << 14 | b[8] << 7 | b[9]))
+    end, number = min(len(b), 10 + _safe(b[6:10])), _safe if b[3] >= 4 else lambda x: int.from_bytes(x, "big")
     at = 10
+    if b[5] & 0x40 and at + 4 <= end:  # an extended header; its size has its own four bytes in version 4 only
+        at += number(b[at : at + 4]) + (0 if b[3] >= 4 else 4)
     while at + 10 <= end and b[at : at + 4].isalnum():
-        size = b[at + 4] << 21 | b[at + 5] << 14 | b[at + 6] << 7 | b[at + 7]
+        size = number(b[at + 4 : at + 8])
         body = b[at + 10 : min(end, at + 10 + size)]
-        tags[b[at : at + 4].decode("ascii", "replace")] = body[1:].decode("utf-8" if body[:1] == b"\3" else "latin-1", "replace")
+        tags[b[at : at + 4].decode("ascii", "replace")] = _text(body) if b[at : at + 1] == b"T" else body.decode("latin-1")
         at += 10 + size
     return end
 
 
+def _table(b: bytes, at: int, body: int) -> dict | None:
+    """A variable-bitrate table in the frame at a place: Xing or Info after the side information, or VBRI 36 bytes in."""
+    if b[body : body + 4] in (b"Xing", b"Info"):
+        flags, p = int.from_bytes(b[body + 4 : body + 8], "big"), body + 8
+        table: dict = {"kind": b[body : body + 4].decode()}
+        for bit, name in ((1, "frames"), (2, "bytes")):
+            if flags & bit:
+                table[name] = int.from_bytes(b[p : p + 4], "big")
+                p += 4
+        if flags & 4:
+            table["seek"] = list(b[p : p + 100])
+        return table
+    p = at + 36
+    if b[p : p + 4] == b"VBRI" and p + 26 <= len(b):
+        entries, scale, width, each = struct.unpack_from(">4H", b, p + 18)
+        sizes = [int.from_bytes(b[p + 26 + width * k : p + 26 + width * (k + 1)], "big") * scale for k in range(entries)]
+        return {"kind": "VBRI", "bytes": int.from_bytes(b[p + 10 : p + 14], "big"), "frames": int.from_bytes(b[p + 14 : p + 18], "big"), "frames_each": each, "sizes": sizes}
+    return None
+
+
 def decode(b: bytes) -> Stream:
-    """Read a stream. A header counts if another one, the ID3v1 tag or the end follows its frame."""
+    """Read a stream. A header counts if its frame's checksum holds, or if another header, the ID3v1 tag or the end follows the frame."""
     s = Stream()
     at, end = _id3(b, s.tags), len(b)
     if end - at >= 128 and b[end - 128 : end - 125] == b"TAG":
@@ -167,37 +229,32 @@ def decode(b: bytes) -> Stream:
     first = True
     while at < end:
         h = parse_header(b, at)
-        if h is None or at + h[0] > end or (at + h[0] < end and parse_header(b, at + h[0]) is None):
+        fits = h is not None and at + h.size <= end
+        if fits:
+            side_at = at + (6 if h.protected else 4)
+            side, body = b[side_at : side_at + h.side], side_at + h.side
+            whole = not h.protected or frame_crc(b[at + 2 : at + 4] + side) == int.from_bytes(b[at + 4 : at + 6], "big")
+            fits = (h.protected and whole) or at + h.size == end or parse_header(b, at + h.size) is not None
+        if not fits:
             following = b.find(b"\xff", at + 1, end)
             following = end if following < 0 else following
             s.skipped += following - at
             at = following
             continue
-        size, bitrate, rate, protected, side_size = h
-        side_at = at + (6 if protected else 4)
-        side, body = b[side_at : side_at + side_size], side_at + side_size
-        if first and b[body : body + 4] in (b"Xing", b"Info"):
-            flags = int.from_bytes(b[body + 4 : body + 8], "big")
-            p, table = body + 8, {"kind": b[body : body + 4].decode()}
-            for bit, name in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
-                    table[name] = int.from_bytes(b[p : p + 4], "big")
-                    p += 4
-            if flags & 4:
-                table["seek"] = list(b[p : p + 100])
-            s.vbr, first, at = table, False, at + size
-            continue
+        table = _table(b, at, body) if first else None
         first = False
-        whole = not protected or frame_crc(b[at + 2 : at + 4] + side) == int.from_bytes(b[at + 4 : at + 6], "big")
-        s.checked += protected
+        if table:
+            s.vbr, at = table, at + h.size
+            continue
+        s.checked += h.protected
         if whole:
-            s.data.append(b[body : min(at + size, body + _granule_bits(side) // 8)])
+            s.data.append(b[body : min(at + h.size, body + _granule_bits(side, h) // 8)])
         else:
             s.damaged += 1
         s.offsets.append(at)
-        s.samples, s.rate = s.samples + SAMPLES, rate
-        s.bitrates[bitrate] = s.bitrates.get(bitrate, 0) + 1
-        at += size
+        s.samples, s.rate = s.samples + h.samples, h.rate
+        s.bitrates[h.bitrate] = s.bitrates.get(h.bitrate, 0) + 1
+        at += h.size
     return s
 
 
@@ -241,4 +298,5 @@ def store_texts(docs: DataFrame, with_media: bool = False) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored in frames and read back, with the stream's facts."""
     return store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("frame_offsets")
