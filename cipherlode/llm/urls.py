@@ -63,9 +63,9 @@ def lexical(rows: DataFrame, url: str = "url") -> DataFrame:
         .withColumn("n_params", (count(u, "=") + count(u, "&")).cast("double"))
         .withColumn("n_hyphens", count(u, "-").cast("double"))
         .withColumn("n_labels", count(F.col("host"), ".").cast("double"))
-        .withColumn("last_number", F.coalesce(F.expr("try_cast(left(regexp_extract(path, '([0-9]+)[^0-9]*$', 1), 15) as double)"), F.lit(-1.0)))
+        .withColumn("last_number", F.coalesce(F.expr("try_cast(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) as double)"), F.lit(-1.0)))
         .withColumn("tld", F.regexp_extract("host", r"[^.]*$", 0))
-        .withColumn("head", F.regexp_extract("path", r"^/[^/]{0,8}", 0))
+        .withColumn("head", F.regexp_extract("path", r"^/[^/]*", 0))
     )
 
 
@@ -100,13 +100,14 @@ def tree_column(tree) -> Column:
     return F.when(F.col(feature) <= cut, tree_column(left)).otherwise(tree_column(right))
 
 
-MAX_SUFFIXES = 200
+LEAST_ROWS = 20
+"""A value of a suffix column needs so many rows of the sample to have statistics: SAMPLE_ROWS / LEAST_ROWS values at most."""
 
 
 def _suffix_odds(sample: DataFrame, key: str) -> dict[str, float]:
-    """Smoothed log odds of being blocked, for the most frequent values of a column."""
-    found = sample.groupBy(key).agg(F.sum("y").alias("b"), F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(MAX_SUFFIXES).collect()
-    return {r[key]: math.log((r["b"] + 1.0) / (r["n"] - r["b"] + 1.0)) for r in found}
+    """Smoothed log odds of being blocked, for the values that are frequent enough."""
+    found = sample.groupBy(key).agg(F.sum("y").alias("b"), F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).collect()
+    return {r[key]: math.log((r["b"] + 1.0) / (r["n"] - r["b"] + 1.0)) for r in sorted(found)}
 
 
 def fit(pages: DataFrame, rules=RULES) -> Model:
@@ -185,5 +186,6 @@ def judge(pages: DataFrame, model: Model, rules=RULES) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every URL's parts, rule and verdict; the trees are learned from the URLs that a rule decides."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return judge(pages, fit(pages))
