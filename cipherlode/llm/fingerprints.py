@@ -180,4 +180,5 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's fingerprint, that of its edited text, and their likeness, also to the next document."""
     return compare_neighbours(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -286,4 +286,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, columns: tuple[str, ..
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 50 words and more that an earlier one has."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), columns=("kept_sha256",))

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
 from collections.abc import Iterator, Sequence
 
@@ -48,6 +49,7 @@ class Vocabulary:
     def __init__(self, raw: bytes | str):
         spec = json.loads(raw)
         model, end = spec["model"], spec["model"]["end_of_word_suffix"]
+        self._check(spec)
         ids = model["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.base = len(ids) - len(pairs)
@@ -71,6 +73,22 @@ class Vocabulary:
             self.symbols.append(self.symbols[a] + self.symbols[b])
         self.alone = [i < self.base or self._merged(i) for i in range(len(self.split))]
 
+    @staticmethod
+    def _check(spec: dict) -> None:
+        """Refuse a file that asks for steps the encoder doesn't take: another normaliser, splitter, decoder or kind of added token."""
+        parts = lambda x, name: x.get(name, [x]) if x else []
+        normal = [(n["type"], n.get("pattern", {}).get("Regex"), n.get("content")) for n in parts(spec.get("normalizer"), "normalizers")]
+        if normal != [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)]:
+            raise ValueError(f"normaliser not supported: {normal}")
+        split = parts(spec.get("pre_tokenizer"), "pretokenizers")
+        if [p["type"] for p in split] != ["Split", "ByteLevel"] or (split[0]["behavior"], split[0]["invert"]) != ("Removed", True) or split[1]["add_prefix_space"] or split[1].get("use_regex", True):
+            raise ValueError(f"splitter not supported: {split}")
+        model = spec["model"]
+        if model["type"] != "BPE" or spec.get("decoder") or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            raise ValueError("model or decoder not supported")
+        if any(t[k] for t in spec["added_tokens"] for k in ("normalized", "lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens must be plain strings")
+
     def _merged(self, token: int) -> bool:
         """Whether merging the token's own symbols gives the token (else no text has it)."""
         parts = [ord(c) - 1 for c in self.symbols[token]]
@@ -115,6 +133,8 @@ class Encoder:
         self.automaton.make_automaton()
         self.find = regex.compile(vocabulary.pattern).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")").split if vocabulary.special else None
+        self.mark = os.path.commonprefix(list(vocabulary.special))
+        """What every special token begins with: texts without it needn't be cut."""
         self.table = {chr(b): s for b, s in vocabulary.inner.items()}
         self.translate = str.maketrans(self.table)
         self.young: dict = {}
@@ -167,7 +187,7 @@ class Encoder:
         return found
 
     def parts(self, text: str) -> Iterator[tuple[str, str, int]]:
-        for piece in self.cut(text) if self.cut and "<|" in text else (text,):
+        for piece in self.cut(text) if self.cut and self.mark in text else (text,):
             special = self.v.special.get(piece)
             if special is not None:
                 yield str(special), piece, 1
@@ -255,5 +275,6 @@ def default_path() -> str:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and hash of every text's ids, and the hash of what they decode to."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return encode_documents(docs, default_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))

@@ -275,6 +275,7 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's score by a lexicon learned from the labels of rows not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     lexicon = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_texts(docs, lexicon).selectExpr("doc_id", "pmod(crc32(cast(doc_id as string)), 3) = 1 held_out", "score", f"cast(score >= {THRESHOLD} as int) predicted", "n_hits")

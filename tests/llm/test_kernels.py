@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,56 @@ def test_media_resynchronises():
     assert media.decode(b"").payload == b"" and media.decode(b"\xff" * 50).offsets == []
 
 
+def frame(second, third, mono, payload=b"", crc=True):
+    """A frame of any version whose main data is payload."""
+    h = media._header(second, third, mono)
+    lead, step = ((9 if mono else 10), 63) if h.low else ((18 if mono else 20), 59)
+    bits = len(payload) * 8
+    parts, side, k = (1 if h.low else 2) * (1 if mono else 2), 0, 0
+    while bits:
+        part = min(bits, 4088)
+        side |= part << h.side * 8 - lead - step * k - 12
+        bits, k = bits - part, k + 1
+    assert k <= parts
+    head, side = bytes((0xFF, second, third, 0xC0 if mono else 0)), side.to_bytes(h.side, "big")
+    check = struct.pack(">H", media.frame_crc(head[2:] + side)) if h.protected else b""
+    return (head + check + side + payload).ljust(h.size, b"\0")
+
+
+@pytest.mark.parametrize(("second", "rate", "samples"), [(0xFA, 48000, 1152), (0xFB, 48000, 1152), (0xF2, 24000, 576), (0xE2, 12000, 576)])
+@pytest.mark.parametrize("mono", [True, False])
+def test_media_versions(second, rate, samples, mono):
+    third = 9 << 4 | 1 << 2
+    s = media.decode(b"".join(frame(second, third, mono, bytes([i]) * 50) for i in range(5)))
+    assert s.payload == b"".join(bytes([i]) * 50 for i in range(5)) and (s.rate, s.samples, s.skipped) == (rate, samples * 5, 0)
+
+
+def test_media_keeps_a_frame_whose_checksum_holds():
+    good = frame(0xFA, 0x90, True, b"x" * 40)
+    s = media.decode(good + b"junk" * 20 + good + b"!")
+    assert s.payload == b"x" * 80 and s.skipped == 81
+
+
+def test_media_tags_and_tables():
+    def tag(version, frames, flags=0, ahead=b""):
+        size = media._synchsafe if version == 4 else lambda n: n.to_bytes(4, "big")
+        body = ahead + b"".join(n + size(len(b)) + b"\0\0" + b for n, b in frames)
+        return b"ID3" + bytes((version, 0, flags)) + media._synchsafe(len(body)) + body
+
+    long = "t" * 200  # sizes over 127 tell the versions apart
+    sound = frame(0xFA, 0x90, True, b"x" * 40) * 2
+    for version in (3, 4):
+        frames = [(b"TIT2", b"\1" + "ü日".encode("utf-16")), (b"TALB", b"\2" + "ab".encode("utf-16-be")), (b"TPE1", b"\0" + long.encode()), (b"PRIV", b"own")]
+        s = media.decode(tag(version, frames) + sound)
+        assert s.tags == {"TIT2": "ü日", "TALB": "ab", "TPE1": long, "PRIV": "own"} and s.payload == b"x" * 80 and s.skipped == 0
+        ahead = media._synchsafe(6) + b"\1\0" if version == 4 else (6).to_bytes(4, "big") + bytes(6)
+        assert media.decode(tag(version, frames, 0x40, ahead) + sound).tags["TPE1"] == long
+    first = bytearray(frame(0xFB, 0x90, True))
+    first[36 : 36 + 30] = b"VBRI" + struct.pack(">3H2I4H2H", 1, 0, 0, 999, 2, 2, 10, 2, 1, 41, 42)
+    s = media.decode(bytes(first) + sound)
+    assert s.vbr == {"kind": "VBRI", "bytes": 999, "frames": 2, "frames_each": 1, "sizes": [410, 420]} and len(s.offsets) == 2
+
+
 def test_fingerprints_resist_shifts():
     random.seed(2)
     words = ["".join(random.choices("abcdefgh", k=6)) for _ in range(3000)]

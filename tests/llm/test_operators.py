@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import json
 import math
 import os
 import zlib
@@ -252,6 +253,27 @@ def test_media_contract(docs, plain):
         assert r.media_sha256 == hashlib.sha256(r.media).hexdigest() and media.decode(bytes(r.media)).payload == payload
 
 
+def test_bpe_query_equals_the_library(spark, sf, plain):
+    """Every text of the table, by its whole result."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.default_path())
+    library.no_truncation()
+    library.no_padding()
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in tokens.query(spark, sf).collect()}
+    assert len(got) == len(plain)
+    for (i, _), e in zip(plain, library.encode_batch([t or "" for _, t in plain], add_special_tokens=False)):
+        want = len(e.ids), " ".join(map(str, e.ids)), library.decode(e.ids, skip_special_tokens=False)
+        assert got[i] == (want[0], *(hashlib.sha256(x.encode()).hexdigest() for x in want[1:]))
+
+
+def test_bpe_refuses_what_it_does_not_do():
+    spec = json.load(open(tokens.default_path()))
+    for change in ({"normalizer": {"type": "NFKC"}}, {"decoder": {"type": "ByteLevel"}}, {"normalizer": None}, {"added_tokens": [{**spec["added_tokens"][0], "lstrip": True}]}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        with pytest.raises(ValueError):
+            tokens.Vocabulary(json.dumps({**spec, **change}))
+
+
 def test_mixing_equals_sql(spark, sf):
     con = duckdb.connect()
     for f in glob.glob(f"{sf}/*.parquet"):
@@ -323,7 +345,7 @@ def test_scores_equal_a_plain_version(spark, sf):
         words = toxicity.fold(r.text).split()
         found = []
         for i, w in enumerate(words):
-            best = max([lexicon.weights.get(p, 0.0) for p in toxicity.patterns(w)])
+            best = max([lexicon.weights.get(p, 0.0) for p in (f" {w} ", *(f" {w[:n]}" for n in toxicity.PREFIXES if len(w) >= n))])
             near = ((words[i - 1] if i else "", w) in lexicon.exceptions) or ((w, words[i + 1] if i + 1 < len(words) else "") in lexicon.exceptions)
             if best > 0 and not near:
                 found.append(best)

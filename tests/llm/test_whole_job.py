@@ -29,8 +29,8 @@ def test_a_rare_language_keeps_its_words(spark):
 def test_rare_toxic_words_stay_in_a_large_lexicon(spark):
     """With over 1,000 toxic rows, words of three or four toxic texts are still entries."""
     rare = "concat('q', translate(cast(id div 10 as string), '0123456789', 'abcdefghij'))"
-    docs = spark.range(14_000).selectExpr("id doc_id", f"if(id < 2800, concat('common vile ', {rare}), 'common calm') text")
-    labels = spark.range(14_000).selectExpr("id doc_id", "1 quality", "cast(id < 2800 as int) toxic")
+    docs = spark.range(21_000).selectExpr("id doc_id", f"if(id < 4200, concat('common vile ', {rare}), 'common calm') text")
+    labels = spark.range(21_000).selectExpr("id doc_id", "1 quality", "cast(id < 4200 as int) toxic")
     first = toxicity._sample(docs, labels).where("toxic = 1")
     assert first.count() >= 1000
     seen = Counter(r.text.split()[2] for r in first.collect())
