@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cipherlode.llm import fingerprints, jaccard, langid, lm, media, mixing, substrings, tokens, toxicity, urls
+from cipherlode.llm import exact, fingerprints, jaccard, langid, lm, media, mixing, periods, substrings, tokens, toxicity, trie, urls
 
 
 def queries():
@@ -17,8 +17,11 @@ def queries():
         "op8_langid": langid.query,
         "op9_urls": urls.query,
         "op10_substrings": substrings.query,
+        "op11_exact": exact.query,
+        "op12_periods": periods.query,
+        "op13_trie": trie.query,
     }
 
 
 def oracle_sql():
-    return {"op2_mixing": mixing.SQL}
+    return {"op2_mixing": mixing.SQL, "op11_exact": exact.SQL, "op13_trie": trie.SQL}
