@@ -107,10 +107,11 @@ def algorithm_table(assets: DataFrame) -> DataFrame:
     return assets.select("ref", "algorithm", C.primitive_type(F.col("algorithm")).alias("type"), "key_length", C.is_pqc_safe(F.col("algorithm")).alias("is_pqc_safe"), "confidence", F.bround(risk, 1).alias("risk"))
 
 
-def risk_references(spark) -> DataFrame:
-    """The risk map with the two reference lists: PQC algorithms and legacy ones."""
-    rows = spark.createDataFrame(rules.RISKS, "algorithm string, base double, pqc double, status string")
-    return rows.withColumn("reference", F.when(F.col("pqc") > 50, "pqc").when((F.col("pqc") < 50) & (F.col("base") > 50), "legacy"))
+def risk_references(assets: DataFrame) -> DataFrame:
+    """Assets whose algorithm is on one of the two reference lists, with it: post-quantum algorithms and legacy ones."""
+    rows = assets.sparkSession.createDataFrame(rules.RISKS, "algorithm string, base double, pqc double, status string")
+    listed = rows.withColumn("reference", F.when(F.col("pqc") > 50, "pqc").when((F.col("pqc") < 50) & (F.col("base") > 50), "legacy")).where("reference is not null")
+    return assets.join(F.broadcast(listed), "algorithm")  # the risk map's rows
 
 
 def migrations(assets: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Enrichment of assets by a code model: candidates, snippets, a cache of distinct ones, merging.
 
-The built-in provider is a rule mock, an expression. Others are functions from a list of snippets
-to a list of results, called once for each distinct snippet through Arrow batches.
+The built-in provider is a rule mock, an expression. Others (operators/providers.py) are functions from a list
+of snippets to a list of results, called once for each distinct snippet through Arrow batches.
 """
 
 from __future__ import annotations
@@ -9,14 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cipherlode.functions import classify as C
-from cipherlode.runtime import ship
+from cipherlode.operators.providers import failed
+from cipherlode.runtime import exists, ship, stored
 
 SNIPPET_CHARS, SNIPPETS, LEAST_CHARS = 2000, 4, 50
 MAX_NAMES, MAX_LIBRARIES = 120, 40
+ASK_ROWS = 64
+"""Snippets that a provider gets at a time."""
 
 # Fixed values of the mock: pattern, algorithm, confidence, post-quantum; a later match wins.
 MOCK = (
@@ -26,6 +29,7 @@ MOCK = (
 MOCK_MODE, MOCK_KEY_CONFIDENCE, MOCK_MODE_CONFIDENCE = "GCM/CBC/ECB/CTR", 0.7, 0.6
 
 RESULT = "struct<success:boolean, algorithm:string, key_length:int, mode:string, is_pqc_safe:boolean, confidence:double, error:string>"
+ANSWER = f"cache_key string, r {RESULT}"
 
 
 def signs(code: Column) -> Column:
@@ -79,14 +83,9 @@ def cache_key(snippet: Column, provider: str = "mock", model: str = "rules") ->
     return F.sha2(F.concat(F.lit(f"{provider}|{model}|"), snippet), 256)
 
 
-def provider_of(name: str, known: dict[str, Callable] | None = None) -> Callable | None:
-    """The provider of that name among those known; None, the built-in mock, for any other."""
-    return (known or {}).get(name)
-
-
 def asked(provider: Callable[[list[str]], list[dict]], snippets: list[str]) -> list[dict]:
     """A provider's answers: blank snippets fail without being asked, and so does what the provider raises for, alone."""
-    out: list = [{"success": False, "is_pqc_safe": False, "confidence": 0.0, "error": "empty snippet"}] * len(snippets)
+    out: list = [failed("empty snippet")] * len(snippets)
     full = [i for i, s in enumerate(snippets) if s and s.strip()]
     try:
         answers = provider([snippets[i] for i in full]) if full else []
@@ -94,32 +93,48 @@ def asked(provider: Callable[[list[str]], list[dict]], snippets: list[str]) -> l
         answers = []
         for i in full:
             try:
-                answers += provider([snippets[i]]) if len(full) > 1 else [_failed(first)]
+                answers += provider([snippets[i]]) if len(full) > 1 else [failed(f"{type(first).__name__}: {first}")]
             except Exception as e:
-                answers.append(_failed(e))
+                answers.append(failed(f"{type(e).__name__}: {e}"))
     for i, answer in zip(full, answers):
         out[i] = answer
     return out
 
 
-def _failed(e: Exception) -> dict:
-    return {"success": False, "is_pqc_safe": False, "confidence": 0.0, "error": f"{type(e).__name__}: {e}"}
-
-
-def analyse(pieces: DataFrame, provider: Callable[[list[str]], list[dict]] | None = None) -> DataFrame:
-    """Adds r (RESULT) to rows with a snippet. A given provider sees each distinct snippet once."""
-    if provider is None:
-        return pieces.withColumn("_signs", signs(F.col("snippet"))).withColumn("r", mock(F.col("snippet"), F.col("_signs"))).drop("_signs")
-    ship(pieces.sparkSession)
-    keyed = pieces.withColumn("cache_key", cache_key(F.col("snippet"), "custom", "custom"))
+def _asking(snippets: DataFrame, provider: Callable[[list[str]], list[dict]]) -> DataFrame:
+    """(cache_key, r) of rows (cache_key, snippet)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("success", pa.bool_()), ("algorithm", pa.string()), ("key_length", pa.int32()), ("mode", pa.string()), ("is_pqc_safe", pa.bool_()), ("confidence", pa.float64()), ("error", pa.string())])
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(asked(provider, batch.column(1).to_pylist()), kind)], names=["cache_key", "r"])
+            for at in range(0, batch.num_rows, ASK_ROWS):
+                part = batch.slice(at, ASK_ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(asked(provider, part.column(1).to_pylist()), kind)], names=["cache_key", "r"])
+
+    return snippets.select("cache_key", "snippet").mapInArrow(run, ANSWER)
+
+
+def analyse(pieces: DataFrame, provider: Callable[[list[str]], list[dict]] | None = None, cache: str | None = None, tasks: int = 8) -> DataFrame:
+    """Adds r (RESULT) to rows with a snippet; without a provider, the mock's.
 
-    answers = keyed.groupBy("cache_key").agg(F.first("snippet").alias("snippet")).mapInArrow(run, f"cache_key string, r {RESULT}")
-    return keyed.join(answers, "cache_key").drop("cache_key")
+    A provider sees each distinct snippet once, from `tasks` tasks at a time. cache: a table that is kept between
+    runs; what it holds for this provider and model isn't asked again. Successful answers are appended to it, one
+    for each key; where two runs have asked for one key at once, either answer is taken.
+    """
+    if provider is None:
+        return pieces.withColumn("_signs", signs(F.col("snippet"))).withColumn("r", mock(F.col("snippet"), F.col("_signs"))).drop("_signs")
+    spark = ship(pieces.sparkSession)
+    keyed = pieces.withColumn("cache_key", cache_key(F.col("snippet"), getattr(provider, "provider", "custom"), getattr(provider, "model", "custom")))
+    new = keyed.where("cache_key is not null").groupBy("cache_key").agg(F.first("snippet").alias("snippet"))
+    if cache is None:
+        answers = _asking(new.repartition(tasks), provider)
+    else:
+        known = spark.read.schema(ANSWER).parquet(cache).dropDuplicates(["cache_key"]) if exists(spark, cache) else spark.createDataFrame([], ANSWER)
+        known = stored(known.join(new.select("cache_key"), "cache_key", "left_semi"), "known")  # the table is appended to below
+        fresh = stored(_asking(new.join(known, "cache_key", "left_anti").repartition(tasks), provider), "answers")
+        fresh.where("r.success").coalesce(1).write.mode("append").parquet(cache)
+        answers = known.unionByName(fresh)
+    return keyed.join(answers, "cache_key", "left").drop("cache_key")
 
 
 def candidates(assets: DataFrame, symbols: DataFrame, threshold: float) -> DataFrame:
@@ -150,7 +165,25 @@ def upsert(assets: DataFrame, answers: DataFrame, source: str = "source-code") -
     )
 
 
-def binary_prompt(name: Column, libraries: Column, symbols: Column) -> Column:
-    """The text that a model gets of a binary: bounded lists of distinct names."""
-    listed = lambda c, n: F.when(F.size(c) > 0, F.array_join(F.slice(F.array_distinct(c), 1, n), ", ")).otherwise("none")
-    return F.concat(F.lit("Binary file: "), name, F.lit("\nDetected libraries: "), listed(libraries, MAX_LIBRARIES), F.lit("\nDetected symbol names:\n"), listed(symbols, MAX_NAMES))
+def first_seen(rows: DataFrame, key: str, value: str, place: str, most: int) -> DataFrame:
+    """(key, values): each key's distinct values in the order in which they come first, at most so many.
+
+    Repeated values are merged before they are sent, and no more than `most` of them meet for a key.
+    """
+    one = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(place).alias("_at"))
+    kept = one.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy("_at", value))).where(F.col("_k") <= most)
+    return kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_k", F.col(value).alias("v")))).alias("values")).select(key, F.transform("values", lambda x: x["v"]).alias("values"))
+
+
+def binary_prompts(symbols: DataFrame) -> DataFrame:
+    """(file_id, chunk, snippet): what a model gets of each binary with a library or a known symbol; no row for others.
+
+    symbols: file_id, path, kind (library, symbol, import or export), name, at (order of detection) and
+    algorithm, null where the tables don't know the name.
+    """
+    libraries = first_seen(symbols.where("kind = 'library'"), "file_id", "name", "at", MAX_LIBRARIES).withColumnRenamed("values", "libraries")
+    names = first_seen(symbols.where("kind <> 'library' and algorithm is not null"), "file_id", "name", "at", MAX_NAMES).withColumnRenamed("values", "names")
+    paths = symbols.groupBy("file_id").agg(F.min("path").alias("path"))
+    listed = lambda c: F.coalesce(F.array_join(c, ", "), F.lit("none"))
+    snippet = F.concat(F.lit("Binary file: "), F.element_at(F.split("path", "/"), -1), F.lit("\nDetected libraries: "), listed("libraries"), F.lit("\nDetected symbol names:\n"), listed("names"))
+    return libraries.join(names, "file_id", "full").join(paths, "file_id").select("file_id", F.lit(0).alias("chunk"), snippet.alias("snippet"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cipherlode import rules
-from cipherlode.sources.corpus import BINARY_FILES_SQL, BINARY_HITS_SQL, CODE_FILES_SQL, OBSERVED_SQL, TEXT_FILES_SQL
+from cipherlode.sources.corpus import BINARY_FILES_SQL, BINARY_HITS_SQL, CODE_FILES_SQL, FOLDERS, OBSERVED_SQL, SYMBOL_ROWS_SQL, TEXT_FILES_SQL, _sql_list
 
 
 def _text(v) -> str:
@@ -117,6 +117,16 @@ _counts = "count(*) as assets_total, sum((split = 'training')::int)::bigint as t
 _rec = "case when risk >= 80 then " + " ".join([_text(rules.RECOMMENDATIONS[0][1]), "when risk >= 50 then", _text(rules.RECOMMENDATIONS[1][1]), "when risk >= 25 then", _text(rules.RECOMMENDATIONS[2][1]), "else", _text(rules.RECOMMENDATIONS[3][1]), "end"])
 
 # the repository with binaries: as above, over nine tenths of the texts, and what the binaries hold
+
+
+def _bucket(holds: str) -> str:
+    item = f"concat_ws('|', algorithm, printf('%.2f', risk), {_rec}, case status when 'legacy' then {_text(rules.MITIGATIONS['legacy'])} when 'broken' then {_text(rules.MITIGATIONS['broken'])} end)"
+    return f"coalesce(string_agg({item}, ';' order by algorithm) filter (where {holds}), '')"
+
+
+_known = f"(name in ({', '.join(_text(n) for n, *_ in rules.SYMBOLS)}) or (kind <> 'symbol' and ({' or '.join(f'starts_with(name, {_text(n)})' for n, *_ in rules.PREFIXES)})))"
+SYMBOLS = f"""seen as ({SYMBOL_ROWS_SQL}), firsts as (select file_id, case kind when 'library' then 'library' else 'name' end as kind, name, min(place) as place from seen where kind = 'library' or {_known} group by 1, 2, 3),
+placed as (select *, row_number() over (partition by file_id, kind order by place, name) as k from firsts), names as (select * from placed where k <= case kind when 'library' then 40 else 120 end)"""
 R_SCAN = f"{SCAN.replace(CODE_FILES_SQL, TEXT_FILES_SQL)}, bfiles as ({BINARY_FILES_SQL}), bhits as ({BINARY_HITS_SQL})"
 R_ASSETS = f"""{R_SCAN}, assets as (
   select file_id, path, algorithm, 'source-code' as source, max(confidence) as confidence, count(distinct line) as evidence_count from hits group by all
@@ -129,11 +139,13 @@ for _old, _new in rules.SYNONYMS:
 
 SQL = {
     "e03_scan_files": f"with {R_SCAN} select file_id::varchar as file_id, detector, name, algorithm, line, confidence from hits union all select file_id::varchar, detector, name, algorithm, 0, confidence from bhits",
+    "c24_binary_prompts": f"with {SYMBOLS} select file_id, 'Binary file: S' || file_id || '.dll' || chr(10) || 'Detected libraries: ' || coalesce(string_agg(name, ', ' order by k) filter (where kind = 'library'), 'none') || chr(10) || 'Detected symbol names:' || chr(10) || coalesce(string_agg(name, ', ' order by k) filter (where kind = 'name'), 'none') as snippet from names group by file_id",
+    "o05_names": f"with {SYMBOLS} select file_id, kind, (k - 1)::int as place, name as value from names",
     "t07_failures": f"with b as ({BINARY_FILES_SQL}) select path as file, case kind when 3 then 'no PE header' else 'unreadable' end as error from b where kind in (3, 5)",
     "k07_batch_summary": f"{R_LABELLED} select source, {_counts} from dec group by source",
-    "a04_report": f"""with {R_ASSETS}, {RISK}, s as (select a.*, {_plain} as risk, coalesce(pqc, 0.0) > 50 as ready from assets a left join risks using (algorithm))
+    "a04_report": f"""with {R_ASSETS}, {RISK}, s as (select a.*, status, {_plain} as risk, coalesce(pqc, 0.0) > 50 as ready from assets a left join risks using (algorithm))
       select file_id::varchar as file_id, source as target_type, count(*) as total_crypto_components, sum(ready::int)::bigint as pqc_ready, sum((not ready)::int)::bigint as not_pqc_ready, least(100.0, avg(risk)) as overall_risk_score, round_even(avg(risk), 2) as average_risk,
-      string_agg(algorithm, ',' order by algorithm) as names, sum((risk >= 80)::int)::int as critical_issues, sum((risk >= 60 and risk < 80)::int)::int as high_priority, sum((risk >= 40 and risk < 60)::int)::int as medium_priority, sum((risk < 40)::int)::int as low_priority from s group by file_id, source""",
+      string_agg(algorithm, ',' order by algorithm) as names, {_bucket("risk >= 80")} as critical_issues, {_bucket("risk >= 60 and risk < 80")} as high_priority, {_bucket("risk >= 40 and risk < 60")} as medium_priority, {_bucket("risk < 40")} as low_priority from s group by file_id, source""",
     "a02_file_names": f"""with {R_SCAN}, u as (select file_id, algorithm, phase * 100000000::bigint + ord * 1000000 + line as o from hits union all select file_id, algorithm, phase * 100000000::bigint + ord * 1000000 + place from bhits),
       one as (select file_id, algorithm, count(*) as n, min(o) as o from u group by 1, 2)
       select file_id::varchar as file_id, sum(n)::bigint as total_crypto_functions, count(*) as unique_algorithms, string_agg(algorithm, ',' order by o) as algorithms, case when max(kind) in (0, 1) then 'OpenSSL' else '' end as libraries from one left join bfiles using (file_id) group by file_id""",
@@ -161,14 +173,15 @@ SQL = {
     "x06_java_operations": f"with {SCAN} select file_id, line, x.a as algorithm, 'block-cipher' as primitive, x.c as confidence from kcls union all select file_id, line, o.algorithm, o.primitive, o.confidence::double from lines join {_values([('(?i)' + rx, a, k, c) for rx, a, k, c in rules.OPERATIONS[1:]], 'rx, algorithm, primitive, confidence').replace('as t', 'as o')} on regexp_matches(txt, o.rx) where ends_with(path, '.java')",
     "x07_java_imports": f"with {CODE}, {_rule_table('r1', rules.IMPORTS, 1, 'x')} select file_id, line, algorithm, confidence from lines join r1 on regexp_matches(txt, rx) where ends_with(path, '.java')",
     "x08_match_lines": "with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as line from documents where text is not null), m as (select doc_id, line, len(regexp_extract_all(t, '[0-9]{3}')) as k from l) select doc_id, sum(k)::int as n, sum(k * line)::bigint as line_sum from m group by doc_id",
-    "x09_context": f"with {SCAN}, nb as (select h.file_id, h.algorithm, h.line, trim(h.snippet) as snippet, string_agg(case when l.line < h.line then l.txt end, chr(10) order by l.line) as b, string_agg(case when l.line > h.line then l.txt end, chr(10) order by l.line) as a from hits h join lines l on l.file_id = h.file_id and abs(l.line - h.line) <= 2 where h.phase = 3 group by all) select file_id, algorithm, line, snippet, trim(coalesce(b, ''), ' ' || chr(10)) as context_before, trim(coalesce(a, ''), ' ' || chr(10)) as context_after from nb",
+    "x09_context": f"with {SCAN}, nb as (select h.file_id, h.phase, h.name, h.algorithm, h.line, trim(h.snippet) as snippet, string_agg(case when l.line < h.line then l.txt end, chr(10) order by l.line) as b, string_agg(case when l.line > h.line then l.txt end, chr(10) order by l.line) as a from hits h join lines l on l.file_id = h.file_id and abs(l.line - h.line) <= 2 group by all) select file_id, phase, name, algorithm, line, snippet, trim(coalesce(b, ''), ' ' || chr(10)) as context_before, trim(coalesce(a, ''), ' ' || chr(10)) as context_after from nb",
     "x14_mock": """with m as (select doc_id, text, regexp_matches(text, '(?i)rsa') as rsa, regexp_matches(text, '(?i)aes') as aes, regexp_matches(text, '(?i)sha-?256') as s2, regexp_matches(text, '(?i)sha-?512') as s5, regexp_matches(text, '(?i)md5') as md, regexp_matches(text, '(?i)kyber|ml-kem') as ky, regexp_matches(text, '(?i)dilithium|ml-dsa') as di, regexp_matches(text, '(?i)[0-9]{3,4}(bit|-bit)') as kb, regexp_matches(text, '(?i)gcm|cbc|ecb|ctr') as mo from documents)
       select doc_id, true as success, case when di then 'Dilithium/ML-DSA' when ky then 'Kyber/ML-KEM' when md then 'MD5' when s5 then 'SHA-512' when s2 then 'SHA-256' when aes then 'AES' when rsa then 'RSA' else 'unknown' end as algorithm, case when kb then try_cast(regexp_extract(text, '(?i)([0-9]{3,4})\\s*(bit|bitleng|-bit)', 1) as int) end as key_length,
       case when mo then 'GCM/CBC/ECB/CTR' end as mode, ky or di as is_pqc_safe, case when mo then 0.6 when kb then 0.7 when di or ky then 0.9 when md or s5 or s2 then 0.8 when aes or rsa then 0.7 else 0.3 end::double as confidence from m""",
     "x15_json_reply": "with t as (select event_id, regexp_extract('the answer is ' || props || case when event_id % 3 = 0 then ' trailing } brace' else ' done' end, '(?s)\\{.*\\}') as b from events) select event_id, json_valid(b) as success, case when json_valid(b) then json_extract(b, '$.k')::int end as k from t",
+    "s01_repository_rows": f"with code as ({CODE_FILES_SQL}), paths as (select ({_sql_list(FOLDERS)})[(file_id % {len(FOLDERS)} + 1)::int] || '/' || path as path, content from code) select substr(sha256(path), 1, 16) as file_id, path, strlen(content) as length, sha256(content) as sha256, null::varchar as error from paths where regexp_matches(path, '[.](py|java|c|cpp|h|hpp|go|js|ts)$') and not {_out}",
     "s01_profile_files": f"with {_paths} select min(path) as path from paths where regexp_matches(path, '[.](py|java|c|cpp|h|hpp|go|js|ts)$') and not {_out} group by lower(path)",
     "s03_excluded": f"with {_paths} select distinct path, {_out} as out from paths",
-    "s10_decode": "select doc_id, length(text)::int as chars from documents where lang = 'en' or doc_id % 2 = 0",
+    "s10_decode": "select doc_id, length(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)))::int as chars from documents",
     "s20_file_hash": "select doc_id, sha256(text) as sha256, md5(text) as md5, sha1(text) as sha1 from documents",
     "a01_fold": f"with {SCAN} select file_id, algorithm, count(*) as occurrences, max(confidence) as confidence, string_agg('Line ' || line, ',' order by 'Line ' || line) as locations from hits group by file_id, algorithm",
     "a02_file_summary": f"with {SCAN} select file_id, count(*) as total_crypto_functions, count(distinct algorithm) as unique_algorithms from hits group by file_id",
@@ -205,7 +218,7 @@ SQL = {
     "k06_safe_names": "with n as (select p_partkey, regexp_replace(regexp_replace(p_name || ' / ' || p_type, '[^a-zA-Z0-9._-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g') as x from part) select p_partkey, case when x = '' then 'run' else x end as name from n",
     "f08_candidates": f"with {ASSETS}, n as (select file_id, count(*) as n from hits group by 1) select distinct file_id from assets join n using (file_id) where confidence <= 0.8 or regexp_matches(lower(algorithm), 'generic|unknown') or n >= 8",
     "f12_layer": f"with {ASSETS} select file_id, algorithm, case when detectors = ['java_import_signal'] then 'context_crypto' else 'confirmed_crypto' end as layer from assets",
-    "f17_risk_references": f"with {RISK} select algorithm, case when pqc > 50 then 'pqc' else 'legacy' end as reference, pqc, base from risks where pqc > 50 or base > 50",
+    "f17_risk_references": f"with {OBS}, {RISK} select algorithm, case when pqc > 50 then 'pqc' else 'legacy' end as reference, pqc, base, count(*) as assets, count(distinct repo_id) as repositories from obs join risks using (algorithm) where pqc > 50 or (pqc < 50 and base > 50) group by all",
     "f20_label_table": f"{FILES_LABELLED} select distinct algorithm, family, category, key_length_state, mode_state, padding_state, pqc_status, len(issues) = 0 as is_valid, issue_count from dec",
     "f21_decision_table": f"{LABELLED} select ref, algorithm, include, final_action, max_severity, quality_tier, evidence_count, case when len(reasons) = 0 then 'none' else array_to_string(reasons, ', ') end as reasons from dec",
     "f22_algorithm_table": f"with {SCORED} select ref, algorithm, {PRIMITIVE} as type, key_length, pqc > 50 as is_pqc_safe, round(round_even(risk, 1), 0) as risk from scored",

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from cipherlode import rules
 from cipherlode.functions import classify as C
 from cipherlode.operators import bom, enrich, forecast, labels, scan
-from cipherlode.runtime import stored
-from cipherlode.sources import files, sinks
 from cipherlode.plans import repository
-from cipherlode.sources.corpus import code_files, observed, repository_files
+from cipherlode.runtime import stored, work_path
+from cipherlode.sources import files, sinks
+from cipherlode.sources.corpus import FOLDERS, code_files, observed, repository_files, symbol_rows
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -74,7 +74,7 @@ def x08_match_lines(spark, d):
 
 
 def x09_context(spark, d):
-    return _hits(spark, d).where("phase = 3").select("file_id", "algorithm", "line", "snippet", "context_before", "context_after")
+    return _hits(spark, d).select("file_id", "phase", "name", "algorithm", "line", "snippet", "context_before", "context_after")
 
 
 def x09_context_all(spark, d):
@@ -103,7 +103,7 @@ def s01_profile_files(spark, d):
 
 def _paths(spark, d):
     p = read(spark, d, "part")
-    folder = F.element_at(F.array(*map(F.lit, ("src", "src/build", "lib", "vendor/x", "SRC", "m4", "node_modules/a"))), (F.col("p_partkey") % 7 + 1).cast("int"))
+    folder = F.element_at(F.array(*map(F.lit, FOLDERS)), (F.col("p_partkey") % len(FOLDERS) + 1).cast("int"))
     ext = F.element_at(F.array(*map(F.lit, (".py", ".java", ".txt", ".c", ".ts"))), (F.col("p_partkey") % 5 + 1).cast("int"))
     return p.select(F.concat(folder, F.lit("/F"), (F.col("p_partkey") % 300).cast("string"), ext).alias("path"))
 
@@ -113,9 +113,10 @@ def s03_excluded(spark, d):
 
 
 def s10_decode(spark, d):
-    raw = F.encode(F.col("text"), "ISO-8859-1")
-    body = F.when(F.col("doc_id") % 2 == 0, F.encode(F.col("text"), "UTF-8")).otherwise(raw)
-    return read(spark, d, "documents").where("lang = 'en' or doc_id % 2 = 0").select("doc_id", F.length(files.decode_text(body)).alias("chars"))
+    """Lengths of every text that was stored as Latin-1 where it can be, whatever its id."""
+    fits = ~F.col("text").rlike("[^\\x{00}-\\x{FF}]")
+    body = F.when(fits, F.encode(F.col("text"), "ISO-8859-1")).otherwise(F.encode(F.col("text"), "UTF-8"))
+    return read(spark, d, "documents").select("doc_id", F.length(files.decode_text(body)).alias("chars"))
 
 
 def s10_decode_all(spark, d):
@@ -279,7 +280,8 @@ def f12_layer(spark, d):
 
 
 def f17_risk_references(spark, d):
-    return bom.risk_references(spark).where("reference is not null").select("algorithm", "reference", "pqc", "base")
+    """The observed assets of the algorithms on the two reference lists."""
+    return bom.risk_references(observed(spark, d)).groupBy("algorithm", "reference", "pqc", "base").agg(F.count("*").alias("assets"), F.countDistinct("repo_id").alias("repositories"))
 
 
 def f20_label_table(spark, d):
@@ -335,6 +337,33 @@ def e03_scan_files(spark, d):
     return hits.select("file_id", "detector", "name", "algorithm", F.coalesce("line", F.lit(0)).alias("line"), "confidence")
 
 
+def s01_repository_rows(spark, d):
+    """Files of many folders, written out and read back as a repository by a profile: what it takes, whole."""
+    folder = work_path(spark, "repository")
+    rows = code_files(spark, d).select(F.concat(F.element_at(F.array(*map(F.lit, FOLDERS)), (F.col("file_id") % len(FOLDERS) + 1).cast("int")), F.lit("/"), "path").alias("path"), F.encode("content", "UTF-8").alias("content"))
+    sinks.write_files(rows, folder)
+    # a profile takes so many files at most; here all of them
+    profile = files.scan_profile("default-source") | {"max_files": 1 << 30}
+    found = files.read_repository(spark, folder, profile)
+    return found.select("file_id", "path", "length", F.sha2("content", 256).alias("sha256"), "error")
+
+
+def c24_binary_prompts(spark, d):
+    """Prompts of binaries with many libraries and names; none for those without known ones."""
+    rows = symbol_rows(spark, d)
+    known = rows.withColumn("algorithm", files.known_symbol(F.col("name"), F.col("kind"))["algorithm"])
+    return enrich.binary_prompts(known).select("file_id", "snippet")
+
+
+def o05_names(spark, d):
+    """Each binary's first 120 names and 40 libraries, in order of detection."""
+    rows = symbol_rows(spark, d)
+    known = rows.withColumn("algorithm", files.known_symbol(F.col("name"), F.col("kind"))["algorithm"]).where("algorithm is not null and kind <> 'library'")
+    names = enrich.first_seen(known, "file_id", "name", "at", enrich.MAX_NAMES).select("file_id", F.lit("name").alias("kind"), F.posexplode("values").alias("place", "value"))
+    libraries = enrich.first_seen(rows.where("kind = 'library'"), "file_id", "name", "at", enrich.MAX_LIBRARIES).select("file_id", F.lit("library").alias("kind"), F.posexplode("values").alias("place", "value"))
+    return names.unionByName(libraries)
+
+
 def t07_failures(spark, d):
     return repository.scan_files(repository_files(spark, d))[3]
 
@@ -351,8 +380,9 @@ def k09_asset_lines(spark, d):
 
 def a04_report(spark, d):
     r = repository.report(_run(spark, d))
-    n = [F.size(c).alias(c) for c in ("critical_issues", "high_priority", "medium_priority", "low_priority")]
-    return r.select("file_id", "target_type", "total_crypto_components", "pqc_ready", "not_pqc_ready", "overall_risk_score", "average_risk", F.concat_ws(",", "algorithm_names").alias("names"), *n)
+    text = lambda x: F.concat_ws("|", x["algorithm"], F.format_string("%.2f", x["current_risk"]), x["recommendation"], x["mitigation"])
+    items = [F.concat_ws(";", F.transform(c, text)).alias(c) for c in ("critical_issues", "high_priority", "medium_priority", "low_priority")]
+    return r.select("file_id", "target_type", "total_crypto_components", "pqc_ready", "not_pqc_ready", "overall_risk_score", "average_risk", F.concat_ws(",", "algorithm_names").alias("names"), *items)
 
 
 def a02_file_names(spark, d):

@@ -23,12 +23,17 @@ from cipherlode.sources import sinks
 
 @dataclass(frozen=True)
 class Enrichment:
-    """How a code model is asked: only for candidates, at or below a confidence, with so many snippets a file."""
+    """How a code model is asked: only for candidates, at or below a confidence, with so many snippets a file.
+
+    provider: a function of snippets, None for the mock; cache: a table of answers kept between runs; tasks: how many ask at a time.
+    """
 
     candidate_only: bool = False
     min_confidence: float = 0.85
     max_snippets: int = 2
     provider: object = None
+    cache: str | None = None
+    tasks: int = 8
 
 
 @dataclass
@@ -59,47 +64,52 @@ def binary_hits(symbols: DataFrame) -> DataFrame:
     )
 
 
-def scan_files(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(files, hits, symbols, failures) of rows (file_id, path, content as bytes).
+def scan_files(files: DataFrame, texts: bool = True, binaries: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(files, hits, symbols, failures) of rows (file_id, path, content as bytes, and error if a source gives it).
 
-    Content is null where a file couldn't be read. Each file is read as what its first bytes say.
+    Content is null where a file couldn't be read. Each file is read as what its first bytes say. texts, binaries: whether
+    such files are analysed.
     """
-    typed = files.select(F.col("file_id").cast("string").alias("file_id"), "path", "content").withColumn("file_type", source.file_type(F.col("content")))
+    why = F.coalesce("error", F.lit("unreadable")) if "error" in files.columns else F.lit("unreadable")
+    typed = files.select(F.col("file_id").cast("string").alias("file_id"), "path", "content", why.alias("error")).withColumn("file_type", source.file_type(F.col("content")))
     facts = typed.select("file_id", "path", "file_type", C.target_type(F.col("file_type")).alias("target_type"))
-    texts = typed.where("file_type = 'TEXT'").select("file_id", "path", source.decode_text(F.col("content")).alias("content"))
-    symbols = source.binary_symbols(typed)
-    hits = scan.scan_text(texts).withColumn("source_type", F.lit("source")).unionByName(binary_hits(symbols))
-    unread = typed.where("content is null").select(F.col("path").alias("file"), F.lit("unreadable").alias("error"))
+    sources = typed.where(F.col("file_type") == "TEXT").where(F.lit(texts)).select("file_id", "path", source.decode_text(F.col("content")).alias("content"))
+    symbols = source.binary_symbols(typed.where(F.lit(binaries)))
+    hits = scan.scan_text(sources).withColumn("source_type", F.lit("source")).unionByName(binary_hits(symbols))
+    unread = typed.where("content is null").select(F.col("path").alias("file"), "error")
     failures = unread.unionByName(symbols.where("kind = 'error'").select(F.col("path").alias("file"), "error"))
     return facts, hits, symbols, failures
 
 
-def _answers(texts: DataFrame, files: DataFrame, symbols: DataFrame, hits: DataFrame, assets: DataFrame, how: Enrichment) -> DataFrame:
-    """A code model's answers for texts, by snippets, and for binaries, by their names."""
-    taken = enrich.candidates(assets, hits, how.min_confidence) if how.candidate_only else files.select("file_id")
-    own = texts.join(taken, "file_id", "left_semi")
-    names = symbols.where("name is not null").groupBy("file_id").agg(F.collect_set(F.when(F.col("kind") == "library", F.col("name"))).alias("libraries"), F.collect_set(F.when(F.col("kind") != "library", F.col("name"))).alias("names"))  # of one binary
-    none = F.array().cast("array<string>")
-    other = files.where("file_type in ('ELF', 'PE', 'BINARY')").join(taken, "file_id", "left_semi").join(names, "file_id", "left")
-    prompt = enrich.binary_prompt(F.col("path"), F.array_sort(F.coalesce("libraries", none)), F.array_sort(F.coalesce("names", none)))
-    pieces = enrich.snippets(own, how.max_snippets).unionByName(other.select("file_id", F.lit(0).alias("chunk"), prompt.alias("snippet")))
-    return enrich.analyse(pieces, how.provider)
+def _answers(files: DataFrame, facts: DataFrame, symbols: DataFrame, hits: DataFrame, assets: DataFrame, how: Enrichment, texts: bool) -> DataFrame:
+    """A code model's answers for texts, by snippets, and for binaries, by their known names and libraries."""
+    taken = enrich.candidates(assets, hits, how.min_confidence) if how.candidate_only else facts.select("file_id")
+    typed = files.select(F.col("file_id").cast("string").alias("file_id"), "content").where(source.file_type(F.col("content")) == "TEXT").where(F.lit(texts))
+    own = typed.join(taken, "file_id", "left_semi").select("file_id", source.decode_text(F.col("content")).alias("content"))
+    known = symbols.where("kind <> 'error'").join(taken, "file_id", "left_semi")
+    known = known.withColumn("algorithm", source.known_symbol(F.col("name"), F.col("kind"))["algorithm"])
+    pieces = enrich.snippets(own, how.max_snippets).unionByName(enrich.binary_prompts(known))
+    return enrich.analyse(pieces, how.provider, how.cache, how.tasks)
 
 
-def analyse(files: DataFrame, how: Enrichment | None = None, policy: dict = rules.POLICY_VALUES) -> Run:
-    """Everything a repository run derives from its files (file_id, path, content as bytes)."""
-    facts, hits, symbols, failures = scan_files(files)
-    hits, symbols = stored(hits, "hits"), stored(symbols, "symbols")
-    failures = symbols.where("kind = 'error'").select(F.col("path").alias("file"), "error").unionByName(files.where("content is null").select(F.col("path").alias("file"), F.lit("unreadable").alias("error")))
+def analyse(files: DataFrame, how: Enrichment | None = None, policy: dict = rules.POLICY_VALUES, texts: bool = True, binaries: bool = True) -> Run:
+    """Everything a repository run derives from its files (file_id, path, content as bytes, and error if a source gives it)."""
+    facts, hits, symbols, _ = scan_files(files, texts, binaries)
+    hits, symbols, facts = stored(hits, "hits"), stored(symbols, "symbols"), stored(facts, "facts")
+    unread = files.where("content is null").select(F.col("path").alias("file"), (F.coalesce("error", F.lit("unreadable")) if "error" in files.columns else F.lit("unreadable")).alias("error"))
+    failures = unread.unionByName(symbols.where("kind = 'error'").select(F.col("path").alias("file"), "error"))
     assets = scan.fold_assets(hits)
     if how is not None:
-        texts = files.select(F.col("file_id").cast("string").alias("file_id"), "content").join(facts.where("file_type = 'TEXT'").select("file_id"), "file_id", "left_semi").select("file_id", source.decode_text(F.col("content")).alias("content"))
         plain = assets.withColumns({"key_length": F.lit(None).cast("int"), "mode": F.lit(None).cast("string"), "is_pqc_safe": C.is_pqc_safe(F.col("algorithm"))})
-        more = enrich.upsert(plain, _answers(texts, facts, symbols, hits, assets, how)).select("file_id", "algorithm", F.col("confidence").alias("_c"), F.col("key_length").alias("_k"), F.col("mode").alias("_m"), F.col("is_pqc_safe").alias("_p"), F.col("source").alias("_s"))
+        answers = _answers(files, facts, symbols, hits, assets, how, texts)
+        more = enrich.upsert(plain, answers).select("file_id", "algorithm", F.col("confidence").alias("_c"), F.col("key_length").alias("_k"), F.col("mode").alias("_m"), F.col("is_pqc_safe").alias("_p"), (F.col("source") != "static").alias("_new"))
         assets = more.join(assets.drop("path"), ["file_id", "algorithm"], "left").join(facts.select("file_id", "path"), "file_id")
         assets = assets.withColumns({"confidence": F.col("_c"), "occurrences": F.coalesce("occurrences", F.lit(0).cast("long")), "locations": F.coalesce("locations", F.array().cast("array<string>"))})
+    else:
+        assets = assets.withColumn("_new", F.lit(False))
     done = labels.describe(labels.with_evidence(assets, hits), *(("_k", "_m", "_p") if how is not None else ()))
-    done = done.join(facts.select("file_id", "file_type", "target_type"), "file_id").withColumn("source", F.col("target_type"))
+    done = done.join(facts.select("file_id", "file_type", "target_type"), "file_id")
+    done = done.withColumn("source", F.when(F.col("_new") & (F.col("file_type") != "TEXT"), "binary-llm").when(F.col("_new"), "source-code").otherwise(F.col("target_type"))).drop("_new")
     done = stored(labels.label(done, policy), "labels")
     layer = bom.layer(F.transform("evidence", lambda e: e["detector"]))
     names = ("ref", "file_id", "path", "algorithm", "primitive_type", "functions", "key_length", "mode", "is_pqc_safe", "pqc_label", "source", "confidence", "risk", "risk_level", "occurrences", "locations")
@@ -111,7 +121,8 @@ def report(run: Run) -> DataFrame:
 
     A file's recommendations are in its row; there is one for each algorithm of the file.
     """
-    rows = run.assets.withColumn("now", C.final_risk(F.col("algorithm"), F.col("key_length")))
+    rows = run.assets.drop("source").join(run.files.select("file_id", F.col("target_type").alias("source")), "file_id")
+    rows = rows.withColumn("now", C.final_risk(F.col("algorithm"), F.col("key_length")))
     item = F.struct("algorithm", F.col("now").alias("current_risk"), C.recommendation(F.col("now")).alias("recommendation"), C.mitigation(C.risk_status(F.col("algorithm"))).alias("mitigation"))
     rows = rows.withColumns({"item": item, "bucket": C.priority(F.col("now"))})
     buckets = [F.array_sort(F.collect_list(F.when(F.col("bucket") == b, F.col("item")))).alias(b) for b in ("critical_issues", "high_priority", "medium_priority", "low_priority")]
@@ -131,15 +142,16 @@ def run_folder(output: str, label: str, stamp: str) -> str:
     return f"{output.rstrip('/')}/run_{stamp}_{label}"
 
 
-def write_run(spark: SparkSession, root: str, profile: dict, output: str, how: Enrichment | None = None, policy: dict = rules.POLICY_VALUES, instruction: str = labels.INSTRUCTION) -> dict:
+def write_run(spark: SparkSession, root: str, profile: dict, output: str, how: Enrichment | None = None, policy: dict = rules.POLICY_VALUES, instruction: str = labels.INSTRUCTION, texts: bool = True, binaries: bool = True, max_bytes: int | None = None) -> dict:
     """Scan a repository's files and write the ten products; the summary is returned too.
 
-    The products are folders of text files that are one document when read in order of name.
+    The products are folders of text files that are one document when read in order of name. The files are read
+    once, into the work folder, so that all products speak of the same state.
     """
     began, name, prefix = time.time(), profile["name"], profile.get("output_prefix", "repo")
     label = spark.range(1).select(C.safe_name(F.lit(f"{prefix}-{name}"))).first()[0]
     folder = run_folder(output, label, time.strftime("%Y%m%d_%H%M%S", time.gmtime()))
-    files = source.read_repository(spark, root, profile)
+    files = stored(source.read_repository(spark, root, profile, **({"max_bytes": max_bytes} if max_bytes else {})), "files")
     selected = files.select("file_id").count()
     flags = {"use_llm": how is not None, "llm_candidate_only": bool(how and how.candidate_only), "llm_min_confidence": how.min_confidence if how else 0.85, "llm_max_snippets": how.max_snippets if how else 2}
     summary = {"profile": name, "repo_root": root, "output_dir": folder, "workers": spark.sparkContext.defaultParallelism, **flags, "files_selected": selected, "failures": [], "outputs": {}}
@@ -147,8 +159,7 @@ def write_run(spark: SparkSession, root: str, profile: dict, output: str, how: E
     if not selected:
         summary |= zero | {"duration_seconds": 0.0, "message": "No files found for the profile."}
     else:
-        run = analyse(files, how, policy)
-        counts = batch_summary(run).first().asDict()
+        run = analyse(files, how, policy, texts, binaries)
         outputs = {}
 
         def at(key: str, file: str) -> str:
@@ -163,12 +174,12 @@ def write_run(spark: SparkSession, root: str, profile: dict, output: str, how: E
             head = {"bom_ref": f"cbom-repo-{label}", "target_file": root, "target_type": "application", "metadata": meta, "risk_score": facts.pop("risk_score"), "summary": facts}
             sinks.write_bom(head, rows, at(key, file))
         sinks.write_json_array(run.labels, at("labeled_json", "labeled_v2.json"))
-        records = stored(labels.instructions(run.labels, instruction), "records")
-        for split in (*labels.SPLITS, "dropped"):
-            inside = F.col("split").isin("policy_drop", "quality_reject") if split == "dropped" else F.col("split") == split
-            sinks.write_jsonl(records.where(inside).drop("split"), at(f"{split}_jsonl", f"dataset_{split}.jsonl"))
-        sinks.write_jsonl(run.failures, at("failures_jsonl", "failures.jsonl"))
-        summary |= counts | {"failures": run.failures.count(), "outputs": outputs, "duration_seconds": round(time.time() - began, 2)}
+        records = labels.instructions(run.labels, instruction)
+        records = records.withColumn("sets", F.array_compact(F.array("split", F.when(F.col("split").isin("policy_drop", "quality_reject"), "dropped")))).drop("split")
+        counts = sinks.write_sets(records, "sets", {s: at(f"{s}_jsonl", f"dataset_{s}.jsonl") for s in (*labels.SPLITS, "dropped")})
+        failures = sinks.write_jsonl(run.failures, at("failures_jsonl", "failures.jsonl"))
+        total = sum(counts[s] for s in labels.SPLITS)
+        summary |= {"assets_total": total, **counts, "failures": failures, "outputs": outputs, "duration_seconds": round(time.time() - began, 2)}
     sinks.write_text(spark, json.dumps(summary, indent=2, ensure_ascii=False), f"{folder}/{prefix}_batch_summary.json")
     return summary
 

@@ -49,7 +49,8 @@ def work_folder(spark: SparkSession) -> str:
     return base
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder from any file system that Spark knows."""
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -58,6 +59,28 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a folder; where there is none, make an empty one."""
+    names = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = names(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(names(path)):
+        fs.mkdirs(names(to))
+    elif not fs.rename(names(path), names(to)):
+        raise OSError(f"{path} could not be renamed to {to}")
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the work folder; what is there is removed when Python ends."""
+    path = f"{work_folder(spark)}/cipherlode-{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(remove, spark, path)
+    return path
+
+
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it again.
 
@@ -65,12 +88,11 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     Python ends, or before by discard.
     """
     spark = df.sparkSession
-    path = f"{work_folder(spark)}/cipherlode-{name}-{uuid.uuid4().hex[:12]}"
+    path = work_path(spark, name)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cipherlode_path = path
     return out
@@ -80,4 +102,4 @@ def discard(df: DataFrame) -> None:
     """Remove a table that stored gave, once nothing reads it any more."""
     path = getattr(df, "_cipherlode_path", None)
     if path:
-        _remove(df.sparkSession, path)
+        remove(df.sparkSession, path)

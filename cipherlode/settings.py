@@ -6,14 +6,21 @@ import os
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-
-def _flag(env: Mapping[str, str], name: str, default: str) -> bool:
-    return env.get(name, default).lower() == "true"
+# For each provider the variables of its key, address and model, and the model that it defaults to.
+VARIABLES = {
+    "openai": ("OPENAI_API_KEY", "OPENAI_BASE_URL", "OPENAI_MODEL", "gpt-3.5-turbo"),
+    "huggingface": ("HUGGINGFACE_API_KEY", "HUGGINGFACE_BASE_URL", "HUGGINGFACE_MODEL", "mistralai/Mistral-7B-v0.1"),
+    "ollama": (None, "OLLAMA_BASE_URL", "OLLAMA_MODEL", "mistral"),
+}
 
 
 @dataclass(frozen=True)
 class Settings:
-    """provider: mock, openai, huggingface or ollama; any other name is the mock."""
+    """What a run may do and whom it asks.
+
+    provider: mock, openai, huggingface, ollama, or a name given to providers.register. rate: calls
+    a second of one task, 0 for no limit. binaries, sources: whether such files are analysed.
+    """
 
     provider: str = "mock"
     use_llm: bool = False
@@ -23,29 +30,18 @@ class Settings:
     temperature: float = 0.3
     max_tokens: int = 500
     timeout: int = 30
+    rate: float = 0.0
     binaries: bool = True
     sources: bool = True
 
     @classmethod
     def from_environment(cls, env: Mapping[str, str] | None = None) -> Settings:
         env = os.environ if env is None else env
-        provider = env.get("LLM_PROVIDER", "mock")
-        # The variables of each provider and the models that they default to.
-        names = {"openai": ("OPENAI_API_KEY", None, "OPENAI_MODEL", "gpt-3.5-turbo"), "huggingface": ("HUGGINGFACE_API_KEY", None, "HUGGINGFACE_MODEL", "mistralai/Mistral-7B-v0.1"), "ollama": (None, "OLLAMA_BASE_URL", "OLLAMA_MODEL", "mistral")}
-        key, url, model, default = names.get(provider, (None, None, None, None))
+        flag = lambda name, other: env.get(name, other).lower() == "true"
+        name = env.get("LLM_PROVIDER", "mock")
+        key, url, model, usual = VARIABLES.get(name, (None,) * 4)
+        of = lambda variable, other=None: env.get(variable, other) if variable else other
         return cls(
-            provider=provider if provider in names else "mock", use_llm=_flag(env, "USE_LLM", "false"), api_key=env.get(key) if key else None, base_url=env.get(url, "http://localhost:11434") if url else None, model=env.get(model, default) if model else None,
-            temperature=float(env.get("OPENAI_TEMPERATURE", "0.3")), max_tokens=int(env.get("OPENAI_MAX_TOKENS", "500")), timeout=int(env.get("API_TIMEOUT", "30")),
-            binaries=_flag(env, "ENABLE_BINARY_ANALYSIS", "true"), sources=_flag(env, "ENABLE_SOURCE_CODE_ANALYSIS", "true"),
+            name, flag("USE_LLM", "false"), of(key), of(url), of(model, usual), float(env.get("OPENAI_TEMPERATURE", "0.3")), int(env.get("OPENAI_MAX_TOKENS", "500")),
+            int(env.get("API_TIMEOUT", "30")), float(env.get("LLM_CALLS_PER_SECOND", "0")), flag("ENABLE_BINARY_ANALYSIS", "true"), flag("ENABLE_SOURCE_CODE_ANALYSIS", "true"),
         )
-
-    def of_provider(self) -> dict:
-        """What a provider is called with."""
-        parts = {"openai": ("api_key", "model", "temperature", "max_tokens"), "huggingface": ("api_key", "model"), "ollama": ("base_url", "model")}.get(self.provider, ())
-        return {"provider": self.provider} | {p: getattr(self, p) for p in parts}
-
-    def problems(self) -> list[str]:
-        """What is missing for a run; empty where nothing is."""
-        if self.use_llm and self.provider in ("openai", "huggingface") and not self.api_key:
-            return [f"provider {self.provider} needs an API key"]
-        return []

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXTENSIONS = (".py", ".java", ".c", ".go")
+FOLDERS = ("src", "src/build", "lib", "vendor/x", "SRC", "m4", "node_modules/a")
 
 SNIPPETS = (
     'key = hashlib.sha256(data).hexdigest()',
@@ -125,6 +126,19 @@ def repository_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.unionByName(binary)
 
 
+SYMBOL_NAMES = ("AES_encrypt", "main", "SHA256", "printf", "RSA_sign", "SSL_new", "memcpy")
+
+
+def symbol_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols and libraries of fifty binaries, one for each order line; a fifth of the binaries has nothing that the tables know."""
+    line, part, file = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey") % 50
+    kind = F.when(file % 5 == 4, "symbol").otherwise(_pick(("library", "symbol", "import", "export"), line))
+    other = F.when(part % 3 == 0, F.concat(F.lit("BCrypt"), (part % 597).cast("string"))).otherwise(F.concat(F.lit("Fn"), (part % 500).cast("string")))
+    name = F.when(file % 5 == 4, F.concat(F.lit("f"), (part % 90).cast("string"))).when(kind == "library", F.concat(F.lit("lib"), (part % 61).cast("string"), F.lit(".so"))).when(kind == "symbol", _pick(SYMBOL_NAMES, part)).otherwise(other)
+    at = F.col("l_orderkey") * 8 + line
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(file.alias("file_id"), F.concat(F.lit("bin/x86/S"), file.cast("string"), F.lit(".dll")).alias("path"), kind.alias("kind"), name.alias("name"), at.cast("long").alias("at"))
+
+
 def _sql_list(values: tuple) -> str:
     return "[" + ", ".join("null" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
 
@@ -151,3 +165,7 @@ _FOUND = (
 TEXT_FILES_SQL = CODE_FILES_SQL + " where p_partkey % 10 <> 7"
 BINARY_FILES_SQL = f"""select p_partkey as file_id, p_partkey % 50 as repo_id, (p_partkey // 10) % {len(BINARIES)} as kind, 'bin/F' || p_partkey || ({_sql_list(tuple(e for e, _ in BINARIES))})[((p_partkey // 10) % {len(BINARIES)} + 1)::int] as path from part where p_partkey % 10 = 7"""
 BINARY_HITS_SQL = "select b.file_id, b.repo_id, b.path, 0 as phase, f.ord, f.place, f.name, f.algorithm, f.confidence::double as confidence, f.detector, f.snippet from bfiles b join (values " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in _FOUND) + ") as f(kind, ord, place, name, algorithm, confidence, detector, snippet) on b.kind = f.kind"
+SYMBOL_ROWS_SQL = f"""select l_suppkey % 50 as file_id, 'bin/x86/S' || (l_suppkey % 50) || '.dll' as path, l_orderkey * 8 + l_linenumber as place, k as kind,
+  case when l_suppkey % 50 % 5 = 4 then 'f' || (l_partkey % 90) when k = 'library' then 'lib' || (l_partkey % 61) || '.so' when k = 'symbol' then {_sql_pick(SYMBOL_NAMES, "l_partkey")}
+  when l_partkey % 3 = 0 then 'BCrypt' || (l_partkey % 597) else 'Fn' || (l_partkey % 500) end as name
+from (select *, case when l_suppkey % 50 % 5 = 4 then 'symbol' else {_sql_pick(("library", "symbol", "import", "export"), "l_linenumber")} end as k from lineitem)"""

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from cipherlode.runtime import stored
+from cipherlode.runtime import move, remove, ship, stored
+from cipherlode.sources.reader import opened
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -17,10 +20,53 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), KEEP_NULLS).alias("value"))
 
 
+JSON_LINES = {"ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint": "true"}
+
+
 def write_jsonl(df: DataFrame, path: str) -> int:
-    """JSON lines, ASCII only; returns how many."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").option("writeNonAsciiCharacterAsCodePoint", "true").json(path)
-    return df.sparkSession.read.text(path).count()
+    """JSON lines, ASCII only; returns how many, counted while they are written."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").options(**JSON_LINES).json(path)
+    return seen.get["n"]
+
+
+def write_sets(records: DataFrame, sets: str, paths: dict[str, str]) -> dict[str, int]:
+    """JSON lines in a folder for each set, in one pass: a record goes to every set named in its column `sets`, which isn't written.
+
+    Returns each set's number of records, counted while they are written. A set without records is an empty folder.
+    """
+    spark, top = records.sparkSession, next(iter(paths.values())) + "_parts"
+    seen = Observation()
+    rows = records.withColumn("_set", F.explode(sets)).drop(sets).where(F.col("_set").isin(*paths))
+    counts = [F.count(F.when(F.col("_set") == name, 1)).alias(name) for name in paths]
+    rows.observe(seen, *counts).write.mode("overwrite").partitionBy("_set").options(**JSON_LINES).json(top)
+    for name, path in paths.items():
+        move(spark, f"{top}/_set={name}", path)
+    remove(spark, top)
+    return {name: seen.get[name] for name in paths}
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """A file for each row (path, content as bytes) below a folder on any file system that Arrow opens; returns how many.
+
+    A task that runs again writes the same files again.
+    """
+    ship(rows.sparkSession)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = opened(folder)
+        known: set[str] = set()
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parent = f"{top}/{path}".rpartition("/")[0]
+                if parent not in known:
+                    system.create_dir(parent, recursive=True)
+                    known.add(parent)
+                with system.open_output_stream(f"{top}/{path}") as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return rows.select("path", "content").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
@@ -57,16 +103,6 @@ def read_document(spark: SparkSession, path: str) -> str:
     return "\n".join(r["value"] for r in sorted(rows, key=lambda r: (r["file"], r["at"])))
 
 
-def write_splits(records: DataFrame, path: str) -> None:
-    """Instruction records in a folder for each split, and dropped ones (two splits) in one more."""
-    records.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("split").json(f"{path}/by_split")
-    records.where(F.col("split").isin("policy_drop", "quality_reject")).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/dropped")
-
-
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
-
-
 # Fixed value: the header of the asset table.
 ASSET_HEADER = "Algoritma,Tür,Anahtar Uzunluğu,PQC,Risk Skoru,Seviye"
 

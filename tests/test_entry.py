@@ -22,8 +22,9 @@ def test_imports_without_the_optional_parts(tmp_path, gone):
             shutil.rmtree(path)
         elif path.exists():
             path.unlink()
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'x01_scan_hits' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q); print(len(q))"
-    done = subprocess.run([sys.executable, "-c", code], cwd=top, capture_output=True, text=True, timeout=120)
+    code = f"import sys; sys.path.insert(0, {str(top)!r}); import __spark_entry__ as e; q = e.queries(); assert 'x01_scan_hits' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q); assert e.__file__.startswith({str(top)!r})"
+    # the original folder stays importable: what is gone must not be found there
+    done = subprocess.run([sys.executable, "-c", code], cwd=top, env={**os.environ, "PYTHONPATH": ROOT}, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
 
 

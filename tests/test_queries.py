@@ -26,7 +26,7 @@ def rows(frame):
     return sorted([tuple(plain(v) for v in r) for r in frame.itertuples(index=False)], key=str)
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n in ("x01_scan_hits", "a06_repository_summary", "c10_labels", "c12_decisions", "a03_bom_summary", "t01_instructions", "w03_rolling", "x14_mock", "s01_profile_files", "c22_chunks", "k07_batch_summary", "k09_asset_lines", "a04_report", "a02_file_names", "t07_failures", "j12_upsert", "f20_label_rows", "s10_decode_all", "c12_quality_scores", "c18_normal_name", "c32_github_urls", "o06_first_evidence", "w09_last_week")])
+@pytest.mark.parametrize("name", [n for n in NAMES if n in ("x01_scan_hits", "a06_repository_summary", "c10_labels", "c12_decisions", "a03_bom_summary", "t01_instructions", "w03_rolling", "x14_mock", "s01_profile_files", "c22_chunks", "k07_batch_summary", "k09_asset_lines", "a04_report", "a02_file_names", "t07_failures", "j12_upsert", "f20_label_rows", "s10_decode_all", "c12_quality_scores", "c18_normal_name", "c32_github_urls", "o06_first_evidence", "w09_last_week", "x09_context", "s10_decode", "f17_risk_references", "s01_repository_rows", "c24_binary_prompts", "o05_names")])
 def test_query_equals_sql(spark, sf, duck, name):
     got, want = registry.queries()[name](spark, sf).toPandas(), duck.execute(registry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
