@@ -147,6 +147,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text's language, learned from rows not held out."""
+    """Every text's language, learned from rows not held out.
+
+    Rows without id aren't held out; texts that are null or have no letters are `und`; rows that repeat get equal rows; an
+    empty table gives an empty one.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return identify(docs, fit(docs)).selectExpr("doc_id", "pmod(crc32(cast(doc_id as string)), 4) = 2 held_out", "lang_pred", "score")
+    return identify(docs, fit(docs)).selectExpr("doc_id", "coalesce(pmod(crc32(cast(doc_id as string)), 4) = 2, false) held_out", "lang_pred", "score")

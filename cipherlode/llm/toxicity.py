@@ -275,10 +275,14 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text's score by a lexicon learned from the labels of rows not held out."""
+    """Every text's score by a lexicon learned from the labels of rows not held out.
+
+    Rows without id teach nothing and aren't held out; null and empty texts get the score of a text without hits; rows
+    that repeat get equal rows; an empty table gives an empty one.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     lexicon = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_texts(docs, lexicon).selectExpr("doc_id", "pmod(crc32(cast(doc_id as string)), 3) = 1 held_out", "score", f"cast(score >= {THRESHOLD} as int) predicted", "n_hits")
+    return score_texts(docs, lexicon).selectExpr("doc_id", "coalesce(pmod(crc32(cast(doc_id as string)), 3) = 1, false) held_out", "score", f"cast(score >= {THRESHOLD} as int) predicted", "n_hits")
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:

@@ -4,7 +4,7 @@ A turn is named by the SHA-256 of role and text, so the trie is made of names, n
 conversations become one path first, and the ids of those that end at a node are hashed from sorted
 pieces of PIECE ids each, so a conversation that is repeated any number of times weighs little.
 
-Paths are dealt by their first turn. Each group becomes a dictionary trie inside applyInPandas; nodes
+Paths are dealt by their first turn, many first turns to a bucket. Each becomes a dictionary trie inside applyInPandas; nodes
 are made before their children, so that going through them backwards is a postorder without recursion. A group with
 more than MOST_TURNS turns is dealt again by the next turn, and so on: what all its paths share is a chain, and
 paths are dealt by the turn behind it. Chains get their counts from sums over the subtries above them,
@@ -26,6 +26,8 @@ from cipherlode.runtime import ship, stored
 
 MOST_TURNS = 2_000
 """Turns of a group that is built in one piece."""
+TOGETHER = 20_000
+"""Turns of the groups that one call of applyInPandas gets, on average; single groups are no larger than MOST_TURNS."""
 PIECE = 512
 """Ids that become one text before they are hashed."""
 FEW = 20_000
@@ -123,13 +125,18 @@ def subtrie(keys: list, words: list, n: list[int], least: list[int], ends: list[
     return [(low[v], deep[v], low[up[v]] if v else above, count[v], len(after[v]), leaves[v], saved[v], tail[v]) for v in range(len(after))]
 
 
-def _build(group: pd.DataFrame) -> pd.DataFrame:
-    first = group.iloc[0]
-    above = None if pd.isna(first["above"]) else int(first["above"])
-    rows = subtrie(*(group[c].tolist() for c in ("keys", "words", "n", "least", "ends")), int(first["depth"]), above)
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in NODE.split(", ")][:8])
-    out["parent_conv_id"] = out["parent_conv_id"].astype("Int64")
-    return out.assign(up=first["up"], top=out["depth"] == first["depth"])
+def _build(bucket: pd.DataFrame) -> pd.DataFrame:
+    """The nodes of all groups that were dealt to one bucket."""
+    names = [c.split()[0] for c in NODE.split(", ")]
+    groups: dict[str, list] = {}
+    for gid, depth, up, above, *path in zip(*(bucket[c].tolist() for c in ("gid", "depth", "up", "above", "keys", "words", "n", "least", "ends"))):
+        groups.setdefault(gid, [depth, up, None if pd.isna(above) else int(above), []])[3].append(path)
+    out = []
+    for depth, up, above, rows in groups.values():
+        out += [(*node, up, node[1] == depth) for node in subtrie(*zip(*rows), depth, above)]
+    done = pd.DataFrame(out, columns=names)
+    done["parent_conv_id"] = done["parent_conv_id"].astype("Int64")
+    return done
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +165,9 @@ def trie(convs: DataFrame, most: int = MOST_TURNS) -> DataFrame:
     spark = convs.sparkSession
     ship(spark)
     all_paths = stored(paths(convs), "paths")
-    least = all_paths.agg(F.min("least")).first()[0]
+    facts = all_paths.agg(F.min("least").alias("least"), F.sum(F.size("keys")).alias("turns")).first()
+    least = facts["least"]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(facts["turns"] or 0) // TOGETHER))
     rows = all_paths.where(F.size("keys") > 0).select("keys", "words", "n", "least", "ends", F.get("keys", F.lit(0)).alias("gid"), F.lit(1).alias("depth"), F.lit("").alias("up"), F.lit(least).cast("long").alias("above"))
     built, big = [], []
     while True:
@@ -179,7 +188,7 @@ def trie(convs: DataFrame, most: int = MOST_TURNS) -> DataFrame:
         rows = stored(inside.where(F.size("keys") > F.col("shared")).select("keys", "words", "n", "least", "ends", below.alias("gid"), (F.col("shared") + 1).alias("depth"), F.col("gid").alias("up"), F.col("low").alias("above")), "deeper")
     nodes = None
     for part in built:
-        made = part.groupBy("gid").applyInPandas(_build, NODE)
+        made = part.groupBy(F.pmod(F.xxhash64("gid"), F.lit(buckets)).alias("bucket")).applyInPandas(_build, NODE)
         nodes = made if nodes is None else nodes.unionByName(made)
     nodes = stored(nodes, "nodes")
     for over, ended, hint in reversed(big):

@@ -20,8 +20,13 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 
 SAMPLE_ROWS = 20_000
 """At most about so many labelled URLs are learned from."""
-TREES, DEPTH, RATE, BINS, PENALTY = 8, 3, 0.3, 16, 1.0
-FEATURES = ("url_length", "host_length", "depth", "digit_ratio", "entropy", "n_params", "n_hyphens", "n_labels", "last_number", "tld_odds", "path_odds")
+TREES, DEPTH, RATE, BINS, PENALTY = 12, 3, 0.3, 16, 1.0
+LEAST_WEIGHT = 0.4
+"""A leaf needs so much second derivative: some three rows at first."""
+FOLDS, PRIOR = 5, 2.0
+"""Suffix statistics of a training row come from the other folds; they begin with so many average rows."""
+SUFFIXES = {"tld_odds": "tld", "path_odds": "head", "area_odds": "area"}
+FEATURES = ("url_length", "host_length", "depth", "digit_ratio", "entropy", "n_params", "n_hyphens", "n_labels", "last_number", *SUFFIXES)
 
 
 def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -66,25 +71,26 @@ def lexical(rows: DataFrame, url: str = "url") -> DataFrame:
         .withColumn("last_number", F.coalesce(F.expr("try_cast(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) as double)"), F.lit(-1.0)))
         .withColumn("tld", F.regexp_extract("host", r"[^.]*$", 0))
         .withColumn("head", F.regexp_extract("path", r"^/[^/]*", 0))
+        .withColumn("area", F.concat(F.regexp_extract("host", r"[^.]*(?:\.[^.]*)?$", 0), "head"))
     )
 
 
 @dataclass
 class Model:
-    """suffixes: log odds by last host label and by first path part; trees: (feature, cut, left, right) or a leaf."""
+    """odds: a table (suffix, odds) for each kind of suffix, at most SAMPLE_ROWS rows; trees: (feature, cut, left, right) or a leaf."""
 
-    tld: dict[str, float]
-    head: dict[str, float]
+    odds: dict[str, DataFrame]
     bias: float
     trees: list
 
     def suffix_columns(self, rows: DataFrame) -> DataFrame:
-        def looked_up(table: dict[str, float], key: str) -> Column:
-            if not table:
-                return F.lit(0.0)
-            return F.coalesce(F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv])[F.col(key)], F.lit(0.0))
-
-        return rows.withColumn("tld_odds", looked_up(self.tld, "tld")).withColumn("path_odds", looked_up(self.head, "head"))
+        """Adds the odds of a row's suffixes; 0 where the sample has none such."""
+        for name, key in SUFFIXES.items():
+            if name in self.odds:
+                rows = rows.join(F.broadcast(self.odds[name].select(F.col("suffix").alias(key), F.col("odds").alias(name))), key, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+            else:
+                rows = rows.withColumn(name, F.lit(0.0))
+        return rows
 
     def margin(self, upto: int | None = None) -> Column:
         total = F.lit(self.bias)
@@ -100,33 +106,54 @@ def tree_column(tree) -> Column:
     return F.when(F.col(feature) <= cut, tree_column(left)).otherwise(tree_column(right))
 
 
-LEAST_ROWS = 20
-"""A value of a suffix column needs so many rows of the sample to have statistics: SAMPLE_ROWS / LEAST_ROWS values at most."""
+def _odds(blocked: Column, n: Column, share: float) -> Column:
+    """Log odds of being blocked over those of all rows, drawn to 0 where there are few."""
+    return F.log((blocked + PRIOR * share) / (n - blocked + PRIOR * (1 - share))) - math.log(share / (1 - share))
 
 
-def _suffix_odds(sample: DataFrame, key: str) -> dict[str, float]:
-    """Smoothed log odds of being blocked, for the values that are frequent enough."""
-    found = sample.groupBy(key).agg(F.sum("y").alias("b"), F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).collect()
-    return {r[key]: math.log((r["b"] + 1.0) / (r["n"] - r["b"] + 1.0)) for r in sorted(found)}
+def _suffix_odds(sample: DataFrame, share: float) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(odds by suffix from all rows, the sample with odds from the folds that a row isn't in)."""
+    tables = {}
+    for name, key in SUFFIXES.items():
+        by_fold = stored(sample.groupBy(F.col(key).alias("suffix"), "fold").agg(F.sum("y").alias("b"), F.count("*").alias("n")), "suffixes")
+        whole = stored(by_fold.groupBy("suffix").agg(F.sum("b").alias("b"), F.sum("n").alias("n")), "suffixes")
+        tables[name] = whole.select("suffix", F.round(_odds(F.col("b"), F.col("n"), share), 9).alias("odds"))
+        others = by_fold.alias("f").join(whole.alias("w"), "suffix").select(F.col("suffix").alias(key), "fold", F.round(_odds(F.col("w.b") - F.col("f.b"), F.col("w.n") - F.col("f.n"), share), 9).alias(name))
+        sample = sample.join(F.broadcast(others), [key, "fold"])
+    return tables, sample
 
 
-def fit(pages: DataFrame, rules=RULES) -> Model:
-    """Boosted trees on the URLs that a rule labels; without any labelled URL everything is allowed."""
+def training(pages: DataFrame, rules=RULES) -> tuple[DataFrame, dict[str, DataFrame], float] | None:
+    """(url, y and features of the sample's rows, odds by suffix, share of blocked rows); None without any labelled URL."""
     labelled = with_parts(pages.select("url")).withColumn("verdict", rule_of(rules)[1]).where("verdict is not null")
     n = labelled.count()
     if not n:
-        return Model({}, {}, -1.0, [])
+        return None
     limit = int(1_000_000 * min(1.0, SAMPLE_ROWS / n))
     chosen = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < limit)
-    chosen = stored(lexical(chosen).withColumn("y", (F.col("verdict") == "block").cast("double")).drop("verdict"), "urls")
+    chosen = lexical(chosen).withColumn("y", (F.col("verdict") == "block").cast("double")).withColumn("fold", F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS))).drop("verdict")
+    chosen = stored(chosen, "urls")
     y = chosen.agg(F.sum("y").alias("b"), F.count("*").alias("n")).first()
-    blocked, n = y["b"] or 0.0, y["n"]
-    model = Model(_suffix_odds(chosen, "tld"), _suffix_odds(chosen, "head"), math.log((blocked + 1.0) / (n - blocked + 1.0)), [])
-    # the sample is bounded, so one partition in a fixed order makes the sums repeatable
-    sample = model.suffix_columns(chosen).select("url", "y", *FEATURES)
+    # one row of each kind is added, so that neither share is 0
+    share = ((y["b"] or 0.0) + 1.0) / (y["n"] + 2.0)
+    tables, sample = _suffix_odds(chosen, share)
+    return stored(sample.select("url", "y", *FEATURES), "urlsample"), tables, share
+
+
+def cut_points(sample: DataFrame) -> dict[str, list[float]]:
     quantiles = sample.agg(*[F.percentile_approx(f, [k / BINS for k in range(1, BINS)], 10_000).alias(f) for f in FEATURES]).first()
-    cuts = {f: sorted(set(quantiles[f] or [])) for f in FEATURES}
+    return {f: sorted(set(quantiles[f] or [])) for f in FEATURES}
+
+
+def fit(pages: DataFrame, rules=RULES) -> Model:
+    """Boosted trees on the URLs that a rule labels; without any labelled URL everything is allowed."""
+    found = training(pages, rules)
+    if found is None:
+        return Model({}, -1.0, [])
+    sample, tables, share = found
+    model, cuts = Model(tables, math.log(share / (1 - share)), []), cut_points(sample)
     bins = F.array(*[sum([(F.col(f) > c).cast("int") for c in cuts[f]], F.lit(0)) for f in FEATURES])
+    # the sample is bounded, so one partition in a fixed order makes the sums repeatable
     sample = stored(sample.withColumn("bins", bins).coalesce(1).sortWithinPartitions("url"), "urlbins").coalesce(1)
     for _ in range(TREES):
         model.trees.append(_grow(sample, model, cuts))
@@ -144,20 +171,19 @@ def _grow(sample: DataFrame, model: Model, cuts: dict) -> object:
             for k, (feature, cut) in ((k, s) for k, s in splits.items() if k >= 1 << _):
                 if k < 2 << _:
                     node = F.when(node == k, F.when(F.col(feature) <= cut, 2 * k).otherwise(2 * k + 1)).otherwise(node)
-        found = rows.select(node.alias("node"), "g", "h", F.posexplode("bins").alias("k", "bin")).groupBy("node", "k", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n")).collect()
+        found = rows.select(node.alias("node"), "g", "h", F.posexplode("bins").alias("k", "bin")).groupBy("node", "k", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
         table: dict = {}
         for r in found:
-            table.setdefault(r["node"], {}).setdefault(r["k"], {})[r["bin"]] = (r["g"], r["h"], r["n"])
+            table.setdefault(r["node"], {}).setdefault(r["k"], {})[r["bin"]] = (r["g"], r["h"])
         for k, by_feature in sorted(table.items()):
             if level and k not in leaves:
                 continue
             g, h, best = sum(x[0] for x in by_feature[0].values()), sum(x[1] for x in by_feature[0].values()), (1e-6, None)
             for f, hist in sorted(by_feature.items()):
-                left_g = left_h = left_n = 0
-                n = sum(x[2] for x in hist.values())
+                left_g = left_h = 0.0
                 for b in sorted(hist)[:-1]:
-                    left_g, left_h, left_n = left_g + hist[b][0], left_h + hist[b][1], left_n + hist[b][2]
-                    if min(left_n, n - left_n) < 5:
+                    left_g, left_h = left_g + hist[b][0], left_h + hist[b][1]
+                    if min(left_h, h - left_h) < LEAST_WEIGHT:
                         continue
                     gain = left_g**2 / (left_h + PENALTY) + (g - left_g) ** 2 / (h - left_h + PENALTY) - g**2 / (h + PENALTY)
                     if gain > best[0] + 1e-9:
@@ -186,6 +212,9 @@ def judge(pages: DataFrame, model: Model, rules=RULES) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every URL's parts, rule and verdict; the trees are learned from the URLs that a rule decides."""
+    """Every URL's parts, rule and verdict; the trees are learned from the URLs that a rule decides.
+
+    Null, empty, very long and repeated URLs, an empty table, other columns: see judge.
+    """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return judge(pages, fit(pages))
