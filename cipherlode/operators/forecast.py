@@ -1,16 +1,15 @@
-"""Price features over time windows, a boosted regressor and a recursive forecast."""
+"""Price features over time windows, a boosted regressor for each key and a recursive forecast."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cipherlode.operators import boosting
 from cipherlode.runtime import ship, stored
 
 FEATURES = ("days", "open", "high", "low", "volume", "price_change", "average_price", "daily_return", "ma_7", "volatility")
@@ -40,74 +39,16 @@ def complete(rows: DataFrame) -> DataFrame:
     return rows.na.drop()
 
 
-def train(rows: DataFrame, seed: int = 42, columns: tuple[str, ...] = FEATURES, target: str = "next_close", trees: int = 100):
-    """(model, R² on a fifth of the rows); the model's input columns are assembled inside."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    fit, test = rows.randomSplit([0.8, 0.2], seed)
-    model = Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="_x"), GBTRegressor(featuresCol="_x", labelCol=target, maxIter=trees, stepSize=0.1, maxDepth=5, seed=seed)]).fit(fit)
-    return model, RegressionEvaluator(labelCol=target, metricName="r2").evaluate(model.transform(test))
-
-
-@dataclass(frozen=True)
-class Tree:
-    """Nodes of a regression tree in arrays; a leaf has no feature (-1)."""
-
-    weight: float
-    feature: np.ndarray
-    cut: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    value: np.ndarray
-
-
-def trees_of(model) -> list[Tree]:
-    """The boosted trees of what train gave, from the model's own description."""
-    lines = iter(model.stages[-1].toDebugString.splitlines()[1:])
-    out = []
-    for line in lines:
-        nodes: list[list] = []
-
-        def node() -> int:
-            text, at = next(lines).strip(), len(nodes)
-            nodes.append([-1, 0.0, 0, 0, 0.0])
-            if text.startswith("Predict:"):
-                nodes[at][4] = float(text.split()[1])
-                return at
-            found = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", text)
-            nodes[at][:2] = int(found[1]), float(found[2])
-            nodes[at][2] = node()
-            next(lines)  # Else
-            nodes[at][3] = node()
-            return at
-
-        node()
-        kinds = (np.int64, np.float64, np.int64, np.int64, np.float64)
-        out.append(Tree(float(re.search(r"weight (\S+)\)", line)[1]), *(np.array(c, k) for c, k in zip(zip(*nodes), kinds))))
-    return out
-
-
-def predict(trees: list[Tree], x: np.ndarray) -> np.ndarray:
-    """The model's predictions for rows of FEATURES."""
-    total, rows = np.zeros(len(x)), np.arange(len(x))
-    for t in trees:
-        at = np.zeros(len(x), np.int64)
-        while (t.feature[at] >= 0).any():
-            inner = t.feature[at] >= 0
-            low = x[rows, np.maximum(t.feature[at], 0)] <= t.cut[at]
-            at = np.where(inner, np.where(low, t.left[at], t.right[at]), at)
-        total += t.weight * t.value[at]
-    return total
-
-
-def _ahead(trees: list[Tree], last: np.ndarray, closes: np.ndarray, steps: int) -> Iterator[np.ndarray]:
-    """Prices of all rows, step by step: each prediction becomes the next day, whose features follow from the last week."""
-    x = last.copy()
+def models(rows: DataFrame, key: str = "ticker", order: str = "ts", columns: tuple[str, ...] = FEATURES, target: str = "next_close", trees: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(models, predictions) of complete rows: one model for each key, learned from four fifths of its rows. See boosting.fit_predict."""
+    return boosting.fit_predict(rows, key, order, columns, target, boosting.Params(trees=trees))
+
+
+def _ahead(forest: boosting.Forest, last: np.ndarray, closes: np.ndarray, steps: int) -> Iterator[np.ndarray]:
+    """Prices of all keys, step by step: each prediction becomes the next day, whose features follow from the last week."""
+    x, owner = last.copy(), np.arange(len(last))
     for _ in range(steps):
-        price = np.maximum(predict(trees, x), 0.01)
+        price = np.maximum(forest.predict(x, owner), 0.01)
         before = closes[:, -1]
         closes = np.column_stack([closes, price])[:, -WEEK:]
         high, low = np.maximum(before, price), np.minimum(before, price)
@@ -126,41 +67,43 @@ def last_week(rows: DataFrame, key: str = "ticker", time: str = "ts", tie: str |
     return weeks.select(key, "n", "last", F.transform("w", lambda x: x["close"]).alias("closes"))
 
 
-def recursive(weeks: DataFrame, model, steps: int, key: str = "ticker") -> DataFrame:
-    """(key, step, forecast) from what last_week gave: each step feeds the next.
+def recursive(weeks: DataFrame, made: DataFrame, steps: int, key: str = "ticker", trees: int = 100) -> DataFrame:
+    """(key, step, forecast) from what last_week gave and each key's own model: each step feeds the next.
 
-    Sequential in the steps, so a task takes its keys together; a key is one row of last values.
+    Sequential in the steps, so a task takes its keys together; a key is one row of last values and a model.
     """
     ship(weeks.sparkSession)
-    trees = trees_of(model)
+    p = boosting.Params(trees=trees)
     kind = weeks.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for _, part in frame.groupby(frame["closes"].map(len)):
                 keys, held, done = part[key].to_numpy(), [], 0
-                for price in _ahead(trees, np.array(part["last"].tolist(), float), np.array(part["closes"].tolist(), float), steps):
+                for price in _ahead(boosting.unpacked(part, p), np.array(part["last"].tolist(), float), np.array(part["closes"].tolist(), float), steps):
                     held.append(price)
                     if len(held) == STEPS_OUT or done + len(held) == steps:
                         n = len(held)
                         yield pd.DataFrame({key: np.tile(keys, n), "step": np.repeat(np.arange(done + 1, done + n + 1), len(keys)), "forecast": np.concatenate(held)})
                         held, done = [], done + n
 
-    return weeks.select(key, "last", "closes").mapInPandas(run, f"{key} {kind}, step int, forecast double")
+    joined = weeks.select(key, "last", "closes").join(made.select(key, "base", *boosting.PACKED), key)
+    return joined.mapInPandas(run, f"{key} {kind}, step int, forecast double")
 
 
 def forecast(prices: DataFrame, years: int, key: str = "ticker", time: str = "ts", tie: str | None = None, trees: int = 100) -> DataFrame:
-    """(key, current_price, future_price, change_percentage, years, r2, data_points): train on all rows given, then 365 steps a year for each key.
+    """(key, current_price, future_price, change_percentage, years, r2, data_points): each key's own model, then 365 steps a year.
 
-    Keys without a complete row are left out.
+    r2 is of the fifth of a key's rows that its model hasn't seen; null with less than two such rows. Keys without a
+    complete row are left out.
     """
     rows = stored(complete(features(prices, key, time, tie)), "prices")
-    model, r2 = train(rows, trees=trees)
+    made = stored(models(rows, key, tie or time, trees=trees)[0], "models")
     weeks = last_week(rows, key, time, tie)
-    future = recursive(weeks, model, years * 365, key).where(F.col("step") == years * 365)
-    done = weeks.join(future, key).select(key, F.element_at("closes", -1).alias("current_price"), F.col("forecast").alias("future_price"), F.col("n").alias("data_points"))
+    future = recursive(weeks, made, years * 365, key, trees).where(F.col("step") == years * 365)
+    done = weeks.join(future, key).join(made.select(key, "r2"), key).select(key, F.element_at("closes", -1).alias("current_price"), F.col("forecast").alias("future_price"), F.col("n").alias("data_points"), "r2")
     change = outcome(F.col("current_price"), F.col("future_price"))[0]
-    return done.select(key, "current_price", "future_price", change.alias("change_percentage"), F.lit(years).alias("years"), F.lit(float(r2)).alias("r2"), "data_points")
+    return done.select(key, "current_price", "future_price", change.alias("change_percentage"), F.lit(years).alias("years"), "r2", "data_points")
 
 
 def outcome(last_close, forecast):

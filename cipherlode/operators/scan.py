@@ -1,7 +1,7 @@
 """Text scanner: rule hits with line numbers, context and first-wins order.
 
-Every pattern is a literal, so it is compiled once; a text is tested for all of a table's patterns
-together, then for each, and only those that match are looked for. Where matches lie follows from
+The rules of a table are one constant array (rulebook.py). A text is tested only for those patterns whose literals
+it has, and only those that match are looked for. Where matches lie follows from
 setting a mark before each: a line has as many matches as its marked form has more characters.
 All of that, and the context of a hit, is linear in the text, and computed before hits become
 rows, which are narrow. One shuffle, by file, orders the hits of a file and drops those that an
@@ -19,11 +19,11 @@ from pyspark.sql import types as T
 
 from cipherlode import rules
 from cipherlode.functions.classify import any_of, strip
+from cipherlode.operators.rulebook import BUILT_IN, Rulebook, literals
 from cipherlode.runtime import ship
 
 FLAGS = "(?iuU)"
 LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
-CALL = r"(?U)\b(\w++)\s*+\("
 HIT = ("phase", "detector", "rule_ord", "match_ord", "name", "algorithm", "primitive", "confidence", "line")
 RANGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("name", T.StringType())]))
 
@@ -33,6 +33,8 @@ NONE = "cast(array() as array<int>)"
 
 # Tables of dozens of rules are written as SQL text: one expression is parsed at once, where as many
 # Column calls would each go to the JVM.
+# Upper, then lower case: what the patterns' case-blind letters match becomes the plain letter.
+LOW = "lower(upper(content))"
 
 
 def quoted(text: str) -> str:
@@ -47,16 +49,17 @@ def _line_counts(content: str, marked: str) -> str:
 
 
 def _marked(content: str, rx: str) -> str:
-    return f"regexp_replace({content}, {quoted(rx)}, {quoted(MARK + '$0')})"
+    """A text with a mark before each match; rx is a SQL expression."""
+    return f"regexp_replace({content}, {rx}, {quoted(MARK + '$0')})"
 
 
 def _match_lines(content: str, rx: str) -> str:
-    return f"if(rlike({content}, {quoted(rx)}), {_line_counts(content, _marked(content, rx))}, {NONE})"
+    return f"if(rlike({content}, {rx}), {_line_counts(content, _marked(content, rx))}, {NONE})"
 
 
 def match_lines(content: str, rx: str) -> Column:
     """Line numbers, from 1, of all matches of a pattern in a column."""
-    return F.expr(_match_lines(content, rx))
+    return F.expr(_match_lines(content, quoted(rx)))
 
 
 def _facts(algorithm: str, primitive: str, confidence: float) -> str:
@@ -72,38 +75,43 @@ def _exploded(files: DataFrame, hits: str) -> DataFrame:
     return rows.select(*files.columns, "_h.*")
 
 
-def pattern_array(content: str, table, phase: int, detector: str, start: int = 0) -> str:
-    """Hits of a rule table in a text: one for each match of the rules that match at all."""
-    patterns = [FLAGS + rx for rx, *_ in table]
-    tests = ", ".join(f"if(rlike({content}, {quoted(rx)}), {i}, null)" for i, rx in enumerate(patterns))
-    whole = quoted(FLAGS + "|".join(f"(?:{rx})" for rx, *_ in table))
-    matching = f"if(rlike({content}, {whole}), array_compact(array({tests})), {NONE})"
-    marked = "case i " + " ".join(f"when {i} then {_marked(content, rx)}" for i, rx in enumerate(patterns)) + " end"
-    facts = f"array({', '.join(_facts(quoted(a), p, c) for _, a, p, c in table)})"
-    found = f"transform({matching}, i -> named_struct('i', i, 'r', get({facts}, i), 'lines', {_line_counts(content, marked)}))"
+def pattern_array(content: str, low: str, table, phase: int, detector: str, start: int = 0) -> str:
+    """Hits of a rule table in a text: one for each match of the rules that match at all. low: the text in plain lower case."""
+    if not table:
+        return "array()"
+    entry = lambda i, rx, a, p, c: f"named_struct('i', {i}, 'rx', {quoted(FLAGS + rx)}, 'has', array({', '.join(map(quoted, literals(rx)))}), 'r', {_facts(quoted(a), p, c)})"
+    rows = ", ".join(entry(i, *r) for i, r in enumerate(table))
+    matching = f"filter(filter(array({rows}), r -> exists(r.has, h -> contains({low}, h))), r -> rlike({content}, r.rx))"
+    found = f"transform({matching}, r -> named_struct('i', r.i, 'r', r.r, 'lines', {_line_counts(content, _marked(content, 'r.rx'))}))"
     return f"flatten(transform({found}, f -> transform(f.lines, (line, k) -> {_hit(phase, detector, f'f.i + {start}', 'k', 'f.r.algorithm', 'f.r', 'line')})))"
 
 
 def pattern_hits(files: DataFrame, table, phase: int, detector: str) -> DataFrame:
-    return _exploded(files, pattern_array("content", table, phase, detector))
+    return _exploded(files.withColumn("_low", F.expr(LOW)), pattern_array("content", "_low", table, phase, detector)).drop("_low")
 
 
 def _numbered(content: str, rx: str, *groups: int) -> str:
-    """Structs of each match's groups, by number from 0, and its line."""
-    parts = [f"regexp_extract_all({content}, {quoted(rx)}, {g})" for g in groups]
+    """Structs of each match's groups, by number from 0, and its line; rx is a SQL expression."""
+    parts = [f"regexp_extract_all({content}, {rx}, {g})" for g in groups]
     names = ", ".join(f"'g{k}', m['{k}']" for k in range(len(groups)))
     return f"transform(arrays_zip({', '.join([*parts, _match_lines(content, rx)])}), (m, i) -> named_struct({names}, 'line', m['{len(groups)}'], 'i', i))"
 
 
-def call_array(content: str) -> str:
-    """Calls of known functions: identifiers before a bracket are found once and looked up."""
-    known = ", ".join(f"{quoted(name.lower())}, named_struct('ord', {i}, 'name', {quoted(name)}, 'algorithm', {quoted(a)}, 'primitive', cast(null as string), 'confidence', {c}D)" for i, (name, a, _, c) in enumerate(rules.CALLS))
-    tokens = f"transform({_numbered(content, CALL, 1)}, t -> named_struct('r', try_element_at(map({known}), lower(t.g0)), 'line', t.line, 'i', t.i))"
-    return f"transform(filter({tokens}, t -> t.r is not null), t -> {_hit(4, 'source_symbol', 't.r.ord', 't.i', 't.r.name', 't.r', 't.line')})"
+def call_array(content: str, low: str, table) -> str:
+    """Calls of known functions: of those whose names a text has at all, all places in one search."""
+    if not table:
+        return "array()"
+    known = ", ".join(f"{quoted(name.lower())}, named_struct('ord', {i}, 'name', {quoted(name)}, 'algorithm', {quoted(a)}, 'primitive', cast(null as string), 'confidence', {c}D)" for i, (name, a, _, c) in enumerate(table))
+    names = f"filter(array({', '.join(quoted(name.lower()) for name, *_ in table)}), n -> contains({low}, n))"
+    tokens = f"transform({_numbered(content, 'rx', 1)}, t -> named_struct('r', try_element_at(map({known}), lower(t.g0)), 'line', t.line, 'i', t.i))"
+    hits = f"transform(filter({tokens}, t -> t.r is not null), t -> {_hit(4, 'source_symbol', 't.r.ord', 't.i', 't.r.name', 't.r', 't.line')})"
+    search = f"transform({names}, n -> n)"
+    # a search without any name finds nothing
+    return f"flatten(transform(filter(array(concat({quoted('(?iuU)' + chr(92) + 'b(')}, array_join({search}, '|'), {quoted(')' + chr(92) + 's*+' + chr(92) + '(')})), rx -> not contains(rx, '()')), rx -> {hits}))"
 
 
-def call_hits(files: DataFrame) -> DataFrame:
-    return _exploded(files, call_array("content"))
+def call_hits(files: DataFrame, table=BUILT_IN.calls) -> DataFrame:
+    return _exploded(files.withColumn("_low", F.expr(LOW)), call_array("content", "_low", table)).drop("_low")
 
 
 def string_constants(content: str) -> Column:
@@ -141,7 +149,7 @@ def classify_get_instance(api: str, n: str) -> str:
 
 def jca_array(content: str, constants: str) -> str:
     """Java getInstance calls with literal or constant arguments."""
-    named = f"transform({_numbered(content, FLAGS + rules.GET_INSTANCE, 1, 2)}, m -> named_struct('api', m.g0, 'n', upper({resolved('m.g1', constants)}), 'line', m.line, 'i', m.i))"
+    named = f"transform({_numbered(content, quoted(FLAGS + rules.GET_INSTANCE), 1, 2)}, m -> named_struct('api', m.g0, 'n', upper({resolved('m.g1', constants)}), 'line', m.line, 'i', m.i))"
     facts = f"transform({named}, m -> named_struct('r', {classify_get_instance('m.api', 'm.n')}, 'line', m.line, 'i', m.i))"
     return f"transform({facts}, m -> {_hit(2, 'java_jca_resolver', '0', 'm.i', 'm.r.algorithm', 'm.r', 'm.line')})"
 
@@ -150,21 +158,24 @@ def jca_hits(files: DataFrame) -> DataFrame:
     return _exploded(files.withColumn("_constants", string_constants("content")), jca_array("content", "_constants")).drop("_constants")
 
 
-def operation_array(content: str, constants: str) -> str:
+def operation_array(content: str, low: str, constants: str, table) -> str:
     """Java constructors and operations; a key's algorithm is resolved like a getInstance argument."""
-    (key_rx, *_), *others = rules.OPERATIONS
-    named = f"transform({_numbered(content, FLAGS + key_rx, 1)}, m -> named_struct('n', upper({resolved('m.g0', constants)}), 'line', m.line, 'i', m.i))"
+    if not table:
+        return "array()"
+    (key_rx, *_), *others = table
+    named = f"transform({_numbered(content, quoted(FLAGS + key_rx), 1)}, m -> named_struct('n', upper({resolved('m.g0', constants)}), 'line', m.line, 'i', m.i))"
     kind = (
         f"case when contains(m.n, 'AES') then {_facts(quoted('AES'), 'block-cipher', 0.9)} when contains(m.n, 'RSA') then {_facts(quoted('RSA'), 'asymmetric', 0.9)} when contains(m.n, 'CHACHA') then {_facts(quoted('ChaCha20'), 'stream-cipher', 0.9)} "
         f"when m.n <> '' then {_facts('m.n', 'block-cipher', 0.82)} else {_facts(quoted('generic-symmetric-key'), 'block-cipher', 0.7)} end"
     )
     facts = f"transform({named}, m -> named_struct('r', {kind}, 'line', m.line, 'i', m.i))"
     keys = f"transform({facts}, m -> {_hit(2, 'java_jca_resolver', '1', 'm.i', 'm.r.algorithm', 'm.r', 'm.line')})"
-    return f"concat({keys}, {pattern_array(content, others, 2, 'java_jca_resolver', 2)})"
+    return f"concat({keys}, {pattern_array(content, low, others, 2, 'java_jca_resolver', 2)})"
 
 
-def operation_hits(files: DataFrame) -> DataFrame:
-    return _exploded(files.withColumn("_constants", string_constants("content")), operation_array("content", "_constants")).drop("_constants")
+def operation_hits(files: DataFrame, table=BUILT_IN.operations) -> DataFrame:
+    rows = files.withColumns({"_constants": string_constants("content"), "_low": F.expr(LOW)})
+    return _exploded(rows, operation_array("content", "_low", "_constants", table)).drop("_constants", "_low")
 
 
 def function_ranges(files: DataFrame) -> DataFrame:
@@ -204,18 +215,19 @@ def with_context(hits: Column, lines: Column, ranges: Column, window: int = 2) -
     return F.transform(hits, one)
 
 
-def scan_text(files: DataFrame) -> DataFrame:
+def scan_text(files: DataFrame, book: Rulebook = BUILT_IN) -> DataFrame:
     """All hits of text files (file_id, path, content, and others), first ones only for each (name, line).
 
     Java files also go through imports, getInstance calls and operations. SQL lines are no
     elliptic curves; a generic cipher gives way to a specific one on its line. Null and empty
-    texts have no hits.
+    texts have no hits. book: the rules, for one's own see Rulebook.of.
     """
     java = F.lower("path").endswith(".java")
     files = function_ranges(files.withColumn("content", F.regexp_replace("content", "\r\n?", "\n")))
-    rows = files.withColumns({"_java": java, "_lines": F.split("content", LINE_ENDS, -1), "_constants": F.when(java, string_constants("content"))})
-    only = [pattern_array("content", rules.IMPORTS, 1, "java_import_signal"), jca_array("content", "_constants"), operation_array("content", "_constants")]
-    every = [pattern_array("content", rules.PATTERNS, 3, "source_pattern"), call_array("content")]
+    rows = files.withColumns({"_java": java, "_lines": F.split("content", LINE_ENDS, -1), "_low": F.expr(LOW)})
+    rows = rows.withColumn("_constants", F.when(F.col("_java") & F.contains("_low", F.lit("string")), string_constants("content")))
+    only = [pattern_array("content", "_low", book.imports, 1, "java_import_signal"), jca_array("content", "_constants"), operation_array("content", "_low", "_constants", book.operations)]
+    every = [pattern_array("content", "_low", book.patterns, 3, "source_pattern"), call_array("content", "_low", book.calls)]
     rows = rows.withColumn("_hits", F.expr(f"concat(if(_java, concat({', '.join(only)}), array()), {', '.join(every)})"))
     kept = [c for c in files.columns if c not in ("content", "ranges")]
     hits = rows.select(*kept, F.explode(with_context(F.col("_hits"), F.col("_lines"), F.col("ranges"))).alias("_h")).select(*kept, "_h.*")

@@ -453,9 +453,9 @@ def f19_complete_rows(spark, d):
 
 
 def w08_recursive_forecast(spark, d):
-    rows = forecast.complete(forecast.features(_prices(spark, d), tie="event_id"))
-    model, _ = forecast.train(rows.orderBy("event_id").coalesce(4))
-    return forecast.recursive(forecast.last_week(rows, tie="event_id"), model, 365)
+    """A year ahead for every ticker, each step from the one before, by the ticker's own model."""
+    rows = stored(forecast.complete(forecast.features(_prices(spark, d), tie="event_id")), "prices")
+    return forecast.recursive(forecast.last_week(rows, tie="event_id"), forecast.models(rows, order="event_id")[0], 365)
 
 
 def w09_last_week(spark, d):
@@ -469,9 +469,9 @@ def w09_last_rows(spark, d):
 
 
 def m02_boosted_forecast(spark, d):
-    rows = forecast.complete(forecast.features(_prices(spark, d), tie="event_id")).orderBy("event_id").coalesce(4)
-    model, _ = forecast.train(rows)
-    return model.transform(rows).select("event_id", F.col("prediction"))
+    """What each ticker's own model of 100 trees gives for every complete row."""
+    rows = forecast.complete(forecast.features(_prices(spark, d), tie="event_id"))
+    return forecast.models(rows, order="event_id")[1].select("event_id", "prediction")
 
 
 def m04_forecast(spark, d):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cipherlode.operators import bom, labels, scan
+from cipherlode.operators.rulebook import BUILT_IN, SCHEMA, Rulebook, literals
 
 PY = "\n\n\n\nprivate_key = rsa.generate_private_key(65537)\nsha = hashlib.sha256(b'x')\nmd5 = hashlib.md5(b'y')\n\n\n\ncipher = Cipher(algorithms.AES(key), modes.CBC(iv))\n"
 JAVA = 'import javax.crypto.Cipher;\nclass A {\n  static final String ALG = "AES/GCM/NoPadding";\n  void f() throws Exception {\n    Cipher c = Cipher.getInstance(ALG);\n    MessageDigest d = MessageDigest.getInstance("MD5");\n    Object p = new BCryptPasswordEncoder();\n  }\n}\n'
@@ -83,3 +84,48 @@ def test_direct_labels(spark):
     assert (got["HMAC", None].quality_score, got["HMAC", None].split) == (61.58, "quality_reject")
     assert got["CSPRNG", None].quality_score == 89.96
     assert got["bcrypt", None].reasons == ["low_confidence"] and got["bcrypt", None].quality_score == 66.49
+
+
+def test_own_rules(spark):
+    """Built-in rules read back from a table find the same; a user's patterns, operations and names are added, replaced or left out."""
+    text = "r = hashlib.md5(x)\nfoo = libsodium.Box (k)\nMY_AES_encrypt (a); AES_encrypt(b);\nhybrid_seal(y); hybrid_seal (z)\n"
+    java = 'import org.acme.Vault;\nObject k = new AcmeKey("RSA-4096", 1);\nCipher c = Cipher.getInstance("AES");\n'
+    files = spark.createDataFrame([(1, "a.py", text), (2, "B.java", java), (3, "c.c", None), (4, "d.c", "")], "file_id long, path string, content string")
+    rows = lambda book: {(r.file_id, r.name, r.algorithm, r.line) for r in scan.scan_text(files, book).collect()}
+    table = BUILT_IN.table(spark)
+    plain = rows(BUILT_IN)
+    assert plain == rows(Rulebook.of(table)) and (1, "AES_encrypt", "AES", 3) in plain and not any(r[3] == 4 for r in plain)
+    more = [("pattern", 900, r"libsodium\.(box|seal)\s*\(", "NaCl", "asymmetric", 0.8), ("pattern", 901, r"[a-z]+_\d", "never", "x", 0.1), ("call", 900, "hybrid_seal", "Hybrid", "asymmetric", 0.7), ("import", 900, r"\bimport\s+org\.acme\.Vault\b", "vault", "x", 0.6)]
+    own = Rulebook.of(table.where("rule not like '%md5%'").union(spark.createDataFrame(more, SCHEMA)))
+    assert rows(own) - plain == {(1, "NaCl", "NaCl", 2), (1, "hybrid_seal", "Hybrid", 4), (2, "vault", "vault", 1)} and {r[:2] for r in plain - rows(own)} == {(1, "MD5")}
+    keyed = Rulebook.of(spark.createDataFrame([("operation", 0, r"new\s+AcmeKey\s*\(\s*([^,]+),", "x", "x", 0.5)], SCHEMA))
+    assert (2, "RSA", "RSA", 2) in rows(keyed) and {r[0] for r in rows(keyed)} == {2}
+    for wrong in ("others", "call"):
+        with pytest.raises(ValueError):
+            Rulebook.of(spark.createDataFrame([(wrong, 0, "a b", "x", "x", 0.5)], SCHEMA))
+
+
+@pytest.mark.parametrize(
+    ("pattern", "wanted"),
+    [
+        (r"\bhashlib\.md5\s*\(", ["hashlib.md5"]), (r"ec\.(SECP\d+|ECDSA)\b", ["ecdsa", "secp"]), (r"(ab|cd)?x+", ["x"]), (r"\w+\s*", [""]), (r"a|bcd", ["a", "bcd"]), (r"(?:foo){2,}bar?", ["foo"]), (r"é+z", ["z"]), (r"[ab]c{0,3}", [""]),
+        (r"broken(", [""]), (r"(x|\d)yy", ["yy"]),
+    ],
+)
+def test_literals_of_patterns(pattern, wanted):
+    assert literals(pattern) == wanted
+
+
+def test_every_match_has_a_literal():
+    """For each built-in pattern, on texts made of its own parts and on look-alike letters."""
+    import random
+    import re
+
+    random.seed(4)
+    pieces = [p for rx, *_ in (*BUILT_IN.patterns, *BUILT_IN.imports, *BUILT_IN.operations) for p in re.sub(r"\\[bsd]|[\\^$*+?()\[\]{}|]", " ", rx).split()]
+    for _ in range(300):
+        text = "".join(random.choice(["", " ", "(", ".", '("', "/"]) + random.choice([str.lower, str.upper, str])(random.choice(pieces)) for _ in range(40)).replace("s", random.choice("sſ")).replace("K", random.choice("KK"))
+        low = text.upper().lower()
+        for rx, *_ in (*BUILT_IN.patterns, *BUILT_IN.imports, *BUILT_IN.operations):
+            if re.search(rx, text, re.IGNORECASE):
+                assert any(h in low for h in literals(rx)), (rx, text)

@@ -2,9 +2,6 @@
 
 import hashlib
 
-import numpy as np
-
-from cipherlode.operators import forecast
 from cipherlode.plans import queries
 
 
@@ -27,19 +24,6 @@ def test_decode_covers_latin1_texts(spark, sf):
     assert fallback > 10
 
 
-def test_forecasts_have_all_trees_and_a_year(spark, sf, monkeypatch):
-    real, asked = forecast.train, {}
-
-    def train(rows, **more):
-        asked.update(more)
-        return real(rows, **{**more, "trees": 1})
-
-    monkeypatch.setattr(forecast, "train", train)
-    assert queries.QUERIES["m02_boosted_forecast"](spark, sf).count() > 0 and asked.get("trees", 100) == 100
-    got = queries.QUERIES["w08_recursive_forecast"](spark, sf)
-    assert {r["count"] for r in got.groupBy("ticker").count().collect()} == {365}
-
-
 def test_every_hit_has_its_context(spark, sf):
     files = {r.file_id: r.content.split("\n") for r in queries.code_files(spark, sf).collect()}
     got = queries.QUERIES["x09_context_all"](spark, sf).collect()
@@ -51,30 +35,3 @@ def test_every_hit_has_its_context(spark, sf):
     assert queries.QUERIES["f20_label_rows"](spark, sf).count() == queries.QUERIES["f12_layer"](spark, sf).count()
 
 
-def test_forecast_feeds_the_model(spark, sf):
-    """Each step by the plain recursion, a row at a time, with the model's own predictions."""
-    rows = forecast.complete(forecast.features(queries._prices(spark, sf).where("ticker < 6"), tie="event_id")).cache()
-    model, _ = forecast.train(rows, trees=5)
-    trees = forecast.trees_of(model)
-    own = model.transform(rows).select(*forecast.FEATURES, "prediction").toPandas()
-    assert len(trees) == 5 and abs(forecast.predict(trees, own[list(forecast.FEATURES)].to_numpy(float)) - own.prediction).max() < 1e-9
-    weeks = forecast.last_week(rows, tie="event_id")
-    got = {(r.ticker, r.step): r.forecast for r in forecast.recursive(weeks, model, 40).collect()}
-    assert len(got) == 40 * weeks.count() > 0
-    for w in weeks.collect():
-        x, closes = dict(zip(forecast.FEATURES, w["last"])), list(w.closes)
-        for step in range(1, 41):
-            price = max(0.01, float(forecast.predict(trees, np.array([[x[f] for f in forecast.FEATURES]]))[0]))
-            closes.append(price)
-            before, week = closes[-2], closes[-7:]
-            mean = sum(week) / len(week)
-            spread = (sum((c - mean) ** 2 for c in week) / (len(week) - 1)) ** 0.5 if len(week) > 1 else 0.0
-            high, low = max(before, price), min(before, price)
-            x |= {"days": x["days"] + 1, "open": before, "high": high, "low": low, "price_change": high - low, "average_price": (high + low) / 2, "daily_return": (price - before) / before if before else 0.0, "ma_7": mean, "volatility": spread}
-            assert abs(got[w.ticker, step] - price) < 1e-6
-
-
-def test_forecast_of_years(spark, sf):
-    got = forecast.forecast(queries._prices(spark, sf).where("ticker < 4"), 1, tie="event_id", trees=3).collect()
-    assert got and all(r.years == 1 and r.data_points > 0 and r.future_price >= 0.01 for r in got)
-    assert all(abs(r.change_percentage - (r.future_price - r.current_price) / r.current_price * 100) < 1e-9 for r in got)
