@@ -210,6 +210,37 @@ def test_ngram_join(docs, plain, monkeypatch, short):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_long_lists_of_near_copies(spark, monkeypatch):
+    """700 versions of one text, of several lengths, most too different to link: exact components, few texts sent."""
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for i in range(700):
+        words = base[: int(rng.choice([150, 160, 300, 400]))]
+        words = [f"x{i}y{j}" if rng.random() < (0.002 if i % 10 == 0 else 0.06) else w for j, w in enumerate(words)]
+        texts.append(" ".join(words))
+    sets = [{tuple(w[j : j + 3]) for j in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    known = {g: k for k, g in enumerate({g for s in sets for g in s})}
+    a = np.zeros((len(sets), len(known)), np.float32)
+    for i, s in enumerate(sets):
+        a[i, [known[g] for g in s]] = 1
+    overlap, size = (a @ a.T).astype(int), np.array([len(s) for s in sets])
+    linked = 100 * overlap >= 90 * (size[:, None] + size[None, :] - overlap)
+    root = np.arange(len(sets))
+    while True:
+        least = np.where(linked, root[None, :], len(sets)).min(axis=1)
+        if (least == root).all():
+            break
+        root = least
+    sent, real = [], jaccard._products
+    monkeypatch.setattr(jaccard, "_products", lambda docs, members, *more: (sent.append(members.count()), real(docs, members, *more))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard.groups(jaccard.similar(df, 3, jaccard.Threshold(90, 100))).collect()}
+    assert got == dict(enumerate(root.tolist())) and 20 < len(set(got.values())) < 690
+    assert sum(sent) < 20 * len(texts)
+
+
 @pytest.mark.parametrize("runs", [800, 2])
 def test_substrings(docs, plain, monkeypatch, runs):
     """Exact removals, with and without salted anchors."""
