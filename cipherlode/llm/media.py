@@ -36,6 +36,7 @@ SAMPLES, LOW_SAMPLES = 1152, 576
 SIDE_MONO, SIDE_STEREO = 17, 32
 LOW_SIDE_MONO, LOW_SIDE_STEREO = 9, 17
 GENERATOR = 0x8005
+RESERVOIR = 511
 
 FRAME_DATA = 960
 """Payload bytes in a full frame; two granules can hold 1,023."""
@@ -108,7 +109,7 @@ def encode(payload: bytes, title: str = "") -> bytes:
 
 @dataclass
 class Stream:
-    """What a stream holds. offsets: of each audio frame, from the stream's start."""
+    """What a stream holds. offsets: of each audio frame, from the stream's start; incomplete: frames whose data begins in ones that are missing."""
 
     tags: dict = field(default_factory=dict)
     vbr: dict | None = None
@@ -118,6 +119,7 @@ class Stream:
     rate: int = 0
     checked: int = 0
     damaged: int = 0
+    incomplete: int = 0
     skipped: int = 0
     bitrates: dict = field(default_factory=dict)
 
@@ -219,6 +221,11 @@ def _table(b: bytes, at: int, body: int) -> dict | None:
     return None
 
 
+def _data_begin(side: bytes, h: Header) -> int:
+    """How many bytes of main data before its own a frame's data begins."""
+    return side[0] if h.low else side[0] << 1 | side[1] >> 7
+
+
 def decode(b: bytes) -> Stream:
     """Read a stream. A header counts if its frame's checksum holds, or if another header, the ID3v1 tag or the end follows the frame."""
     s = Stream()
@@ -226,7 +233,7 @@ def decode(b: bytes) -> Stream:
     if end - at >= 128 and b[end - 128 : end - 125] == b"TAG":
         s.tags["ID3v1"] = b[end - 125 : end - 95].rstrip(b"\0 ").decode("latin-1")
         end -= 128
-    first = True
+    first, held = True, b""
     while at < end:
         h = parse_header(b, at)
         fits = h is not None and at + h.size <= end
@@ -239,7 +246,7 @@ def decode(b: bytes) -> Stream:
             following = b.find(b"\xff", at + 1, end)
             following = end if following < 0 else following
             s.skipped += following - at
-            at = following
+            at, held = following, b""
             continue
         table = _table(b, at, body) if first else None
         first = False
@@ -247,10 +254,15 @@ def decode(b: bytes) -> Stream:
             s.vbr, at = table, at + h.size
             continue
         s.checked += h.protected
-        if whole:
-            s.data.append(b[body : min(at + h.size, body + _granule_bits(side, h) // 8)])
-        else:
+        area = b[body : at + h.size]
+        if not whole:
             s.damaged += 1
+        elif (back := _data_begin(side, h)) <= len(held):
+            # main data may begin in the frames before
+            s.data.append((held[len(held) - back :] + area)[: _granule_bits(side, h) // 8])
+        else:
+            s.incomplete += 1
+        held = (held + area)[-RESERVOIR:]
         s.offsets.append(at)
         s.samples, s.rate = s.samples + h.samples, h.rate
         s.bitrates[h.bitrate] = s.bitrates.get(h.bitrate, 0) + 1
@@ -298,5 +310,5 @@ def store_texts(docs: DataFrame, with_media: bool = False) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text stored in frames and read back, with the stream's facts."""
-    return store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("frame_offsets")
+    """Every text stored in frames and read back, with the stream's facts and every frame's seek offset; see store_texts."""
+    return store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -287,3 +287,21 @@ def test_tokens_lower_ascii_only():
     h, ptr = lm.tokens(*flat.utf8(pa.array(["A É", "a é", None])))
     assert h[0] == h[3] and h[1] != h[4] and np.diff(ptr).tolist() == [3, 3, 1] and h[-1] == lm.END
     assert re.fullmatch(r"[^\x20\x09-\x0D]+", "É")
+
+
+def test_main_data_in_earlier_frames():
+    """Frames that keep what a frame before has left over; one whose data began in lost frames is told."""
+    sizes, area = [100, 300, 700, 400, 470], media.frame_size(128, 44100, 0) - 6 - media.SIDE_MONO
+    stream = bytes(i * 7 % 251 for i in range(sum(sizes)))
+    frames, start = [], 0
+    for k, size in enumerate(sizes):
+        begin, first = area * k - start, min(size * 8, 4088)
+        assert 0 <= begin <= media.RESERVOIR and start + size <= area * (k + 1)
+        header = bytes((0xFF, 0xFA, 0x90, 0xC0))
+        side = (begin << 127 | first << 106 | (size * 8 - first) << 47).to_bytes(media.SIDE_MONO, "big")
+        frames.append(header + struct.pack(">H", media.frame_crc(header[2:] + side)) + side + stream.ljust(area * len(sizes), b"x")[area * k : area * (k + 1)])
+        start += size
+    s = media.decode(b"".join(frames))
+    assert s.payload == stream and (s.incomplete, s.damaged) == (0, 0) and [o % len(frames[0]) for o in s.offsets] == [0] * 5
+    s = media.decode(b"".join(frames[1:]))
+    assert s.incomplete == 1 and s.payload == stream[400:]
