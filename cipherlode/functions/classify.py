@@ -28,9 +28,13 @@ def first_of(*cases: tuple[Column, Column | str], default) -> Column:
     return out.otherwise(default if isinstance(default, Column) else F.lit(default))
 
 
+# Fixed value: white space at a text's ends.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Without white space at either end, Unicode's too."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space at either end, Unicode's too. Only the ends are looked at, however long the text."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def _risk_part(name: Column, at: int) -> Column:

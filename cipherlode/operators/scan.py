@@ -2,7 +2,7 @@
 
 The rules of a table are one constant array (rulebook.py). A text is tested only for those patterns whose literals
 it has, and only those that match are looked for. Where matches lie follows from
-setting a mark before each: a line has as many matches as its marked form has more characters.
+setting a mark before each: a line has as many matches as it has marks then.
 All of that, and the context of a hit, is linear in the text, and computed before hits become
 rows, which are narrow. One shuffle, by file, orders the hits of a file and drops those that an
 earlier rule has on the same line.
@@ -28,7 +28,7 @@ HIT = ("phase", "detector", "rule_ord", "match_ord", "name", "algorithm", "primi
 RANGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("name", T.StringType())]))
 
 
-MARK = "\x01"
+MARK, OTHER = "\x01", "\x02"
 NONE = "cast(array() as array<int>)"
 
 # Tables of dozens of rules are written as SQL text: one expression is parsed at once, where as many
@@ -41,20 +41,19 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _line_counts(content: str, marked: str) -> str:
+def _line_counts(marked: str) -> str:
     """The line numbers, from 1, of a text's marks: one for each mark, in order."""
-    both = f"arrays_zip(split({content}, '\\n', -1), split({marked}, '\\n', -1))"
-    counts = f"transform({both}, (x, i) -> named_struct('line', i + 1, 'n', length(x['1']) - length(x['0'])))"
-    return f"flatten(transform(filter({counts}, x -> x.n > 0), x -> array_repeat(x.line, x.n)))"
+    lines = f"transform(split({marked}, '\\n', -1), (x, i) -> if(contains(x, {quoted(MARK)}), named_struct('line', i + 1, 'n', length(x) - length(replace(x, {quoted(MARK)}, ''))), null))"
+    return f"flatten(transform(filter({lines}, p -> p is not null), p -> array_repeat(p.line, p.n)))"
 
 
 def _marked(content: str, rx: str) -> str:
-    """A text with a mark before each match; rx is a SQL expression."""
-    return f"regexp_replace({content}, {rx}, {quoted(MARK + '$0')})"
+    """A text with a mark before each match and nowhere else; rx is a SQL expression."""
+    return f"regexp_replace(replace({content}, {quoted(MARK)}, {quoted(OTHER)}), {rx}, {quoted(MARK + '$0')})"
 
 
 def _match_lines(content: str, rx: str) -> str:
-    return f"if(rlike({content}, {rx}), {_line_counts(content, _marked(content, rx))}, {NONE})"
+    return f"if(rlike({content}, {rx}), {_line_counts(_marked(content, rx))}, {NONE})"
 
 
 def match_lines(content: str, rx: str) -> Column:
@@ -82,7 +81,7 @@ def pattern_array(content: str, low: str, table, phase: int, detector: str, star
     entry = lambda i, rx, a, p, c: f"named_struct('i', {i}, 'rx', {quoted(FLAGS + rx)}, 'has', array({', '.join(map(quoted, literals(rx)))}), 'r', {_facts(quoted(a), p, c)})"
     rows = ", ".join(entry(i, *r) for i, r in enumerate(table))
     matching = f"filter(filter(array({rows}), r -> exists(r.has, h -> contains({low}, h))), r -> rlike({content}, r.rx))"
-    found = f"transform({matching}, r -> named_struct('i', r.i, 'r', r.r, 'lines', {_line_counts(content, _marked(content, 'r.rx'))}))"
+    found = f"transform({matching}, r -> named_struct('i', r.i, 'r', r.r, 'lines', {_line_counts(_marked(content, 'r.rx'))}))"
     return f"flatten(transform({found}, f -> transform(f.lines, (line, k) -> {_hit(phase, detector, f'f.i + {start}', 'k', 'f.r.algorithm', 'f.r', 'line')})))"
 
 
@@ -234,14 +233,14 @@ def scan_text(files: DataFrame, book: Rulebook = BUILT_IN) -> DataFrame:
     hits = hits.repartition("file_id")  # all windows below are within a file
     key = F.when(F.col("phase") == 4, F.col("name")).otherwise(F.col("algorithm"))
     order = ("phase", "rule_ord", "match_ord")
-    hits = hits.withColumn("key", key).withColumn("rank", F.row_number().over(Window.partitionBy("file_id", "key", "line").orderBy(*order)))
+    hits = hits.withColumn("key", key).withColumn("rank", F.row_number().over(Window.partitionBy("file_id", "line", "key").orderBy(*order)))
     specific = (F.col("phase") == 2) & (F.col("rank") == 1) & (F.col("algorithm") != "generic-cipher")
     hits = hits.withColumn("specific", F.max(specific.cast("int")).over(Window.partitionBy("file_id", "line")))
     low, up = F.lower("snippet"), F.upper("snippet")
     sql = (F.col("phase") == 3) & (F.col("algorithm") == "ECC") & low.contains("ec.") & any_of(low, "select ", " from ", " join ", " where ", "insert ", "update ")
     generic = (F.col("phase") == 3) & (F.col("algorithm") == "generic-cipher") & F.col("snippet").contains("Cipher.getInstance")
     weak = generic & ((F.col("specific") == 1) | any_of(up, "AES/", "RSA/", "CHACHA20", "DES/"))
-    hits = hits.where(~sql & ~weak).withColumn("rank", F.row_number().over(Window.partitionBy("file_id", "key", "line").orderBy(*order)))
+    hits = hits.where(~sql & ~weak).withColumn("rank", F.row_number().over(Window.partitionBy("file_id", "line", "key").orderBy(*order)))
     return hits.where("rank = 1").drop("key", "rank", "specific")
 
 
