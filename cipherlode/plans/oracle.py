@@ -179,6 +179,12 @@ SQL = {
       case when mo then 'GCM/CBC/ECB/CTR' end as mode, ky or di as is_pqc_safe, case when mo then 0.6 when kb then 0.7 when di or ky then 0.9 when md or s5 or s2 then 0.8 when aes or rsa then 0.7 else 0.3 end::double as confidence from m""",
     "x15_json_reply": "with t as (select event_id, regexp_extract('the answer is ' || props || case when event_id % 3 = 0 then ' trailing } brace' else ' done' end, '(?s)\\{.*\\}') as b from events) select event_id, json_valid(b) as success, case when json_valid(b) then json_extract(b, '$.k')::int end as k from t",
     "s01_repository_rows": f"with code as ({CODE_FILES_SQL}), paths as (select ({_sql_list(FOLDERS)})[(file_id % {len(FOLDERS)} + 1)::int] || '/' || path as path, content from code) select substr(sha256(path), 1, 16) as file_id, path, strlen(content) as length, sha256(content) as sha256, null::varchar as error from paths where regexp_matches(path, '[.](py|java|c|cpp|h|hpp|go|js|ts)$') and not {_out}",
+    "c21_merged_maps": "select l_orderkey, l_linenumber, l_returnflag as new_flag, l_partkey::varchar as new_status, l_suppkey::varchar as new_how, l_returnflag as old_flag, l_linestatus as old_status, l_suppkey::varchar as old_how from lineitem",
+    "c28_outcomes": "with e as (select user_id as ticker, arg_min(value, {'ts': ts, 'id': event_id}) as first, arg_max(value, {'ts': ts, 'id': event_id}) as last from events group by 1) select ticker, round((last - first) / nullif(first, 0.0) * 100.0, 6) as change, round(1000.0 + 1000.0 * ((last - first) / nullif(first, 0.0) * 100.0) / 100.0, 6) as worth from e",
+    "c29_fit_bands": "with f as (select user_id as ticker, value as x, lead(value) over (partition by user_id order by ts, event_id) as y from events), r as (select ticker, regr_r2(y, x) as r2, count(*) as n from f where y is not null group by 1) select ticker, case when r2 > 0.9 then 'very high' when r2 > 0.8 then 'high' when r2 > 0.7 then 'medium' else 'low' end as band, n from r",
+    "c30_example_bands": f"with {SCORED} select algorithm, case when risk > 80 then 'critical' when risk > 60 then 'high' when risk > 40 then 'medium' else 'low' end as band, count(*) as n from scored group by 1, 2",
+    "o03_limited_files": f"with {_paths} select min(path) as path from paths where regexp_matches(path, '[.](py|java|c|cpp|h|hpp|go|js|ts)$') and not {_out} group by lower(path) order by path limit 50",
+    "o04_snippets": "with p as (select doc_id as file_id, i as chunk, substring(text, i * 2000 + 1, 2000) as t from (select doc_id, text, unnest(range(0, ceil(length(text) / 2000.0)::bigint))::int as i from documents) where i < 2) select file_id, chunk, md5(t) as md5 from p where length(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) >= 50",
     "s01_profile_files": f"with {_paths} select min(path) as path from paths where regexp_matches(path, '[.](py|java|c|cpp|h|hpp|go|js|ts)$') and not {_out} group by lower(path)",
     "s03_excluded": f"with {_paths} select distinct path, {_out} as out from paths",
     "s10_decode": "select doc_id, length(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)))::int as chars from documents",

@@ -325,6 +325,30 @@ def t01_instructions(spark, d):
     return r.select("input", "output.algorithm", "output.category", "output.key_length_state", "output.pqc_status", F.concat_ws(",", "output.usage").alias("usage"), "metadata.include", "metadata.decision_action", "metadata.quality_tier", "split")
 
 
+def c21_merged_maps(spark, d):
+    """Two maps of an order line as one: the second one's values win, or the first one's."""
+    a = F.create_map(F.lit("flag"), "l_returnflag", F.lit("status"), "l_linestatus")
+    b = F.create_map(F.lit("status"), F.col("l_partkey").cast("string"), F.lit("how"), F.col("l_suppkey").cast("string"))
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", C.merged_maps(a, b).alias("new"), C.merged_maps(a, b, False).alias("old"))
+    return rows.select("l_orderkey", "l_linenumber", *[F.col(m)[k].alias(f"{m}_{k}") for m in ("new", "old") for k in ("flag", "status", "how")])
+
+
+def c30_example_bands(spark, d):
+    risk = C.final_risk(F.col("algorithm"), F.col("key_length"))
+    return observed(spark, d).groupBy("algorithm", C.example_band(risk).alias("band")).agg(F.count("*").alias("n"))
+
+
+def o03_limited_files(spark, d):
+    """A profile whose limit binds: the first fifty files by name."""
+    return files.select_files(_paths(spark, d), files.scan_profile("default-source") | {"max_files": 50})
+
+
+def o04_snippets(spark, d):
+    """The first two pieces of each text that are long enough; a short one in front is not made up for by a later one."""
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
+    return enrich.snippets(rows, 2).select("file_id", "chunk", F.md5("snippet").alias("md5"))
+
+
 # a repository run
 
 
@@ -452,6 +476,20 @@ def f19_complete_rows(spark, d):
     return forecast.complete(forecast.features(_prices(spark, d), tie="event_id")).groupBy("ticker").agg(F.count("*").alias("n"))
 
 
+def c28_outcomes(spark, d):
+    """What a thousand units in each ticker's first price are at its last one."""
+    p = _prices(spark, d)
+    ends = p.groupBy("ticker").agg(F.min_by("close", F.struct("ts", "event_id")).alias("first"), F.max_by("close", F.struct("ts", "event_id")).alias("last"))
+    change, worth = forecast.outcome(F.col("first"), F.col("last"))
+    return ends.select("ticker", F.round(change, 6).alias("change"), F.round(worth, 6).alias("worth"))
+
+
+def c29_fit_bands(spark, d):
+    """How well each ticker's next price follows from its price on a line, in the bands of R²."""
+    rows = forecast.features(_prices(spark, d), tie="event_id").where("next_close is not null")
+    return rows.groupBy("ticker").agg(F.regr_r2("next_close", "close").alias("r2"), F.count("*").alias("n")).select("ticker", C.fit_band(F.col("r2")).alias("band"), "n")
+
+
 def w08_recursive_forecast(spark, d):
     """A year ahead for every ticker, each step from the one before, by the ticker's own model."""
     rows = stored(forecast.complete(forecast.features(_prices(spark, d), tie="event_id")), "prices")

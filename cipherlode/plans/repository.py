@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cipherlode import rules
 from cipherlode.functions import classify as C
 from cipherlode.operators import bom, enrich, labels, scan
-from cipherlode.runtime import stored
+from cipherlode.runtime import scratch, stored
 from cipherlode.sources import files as source
 from cipherlode.sources import sinks
 
@@ -146,8 +146,13 @@ def write_run(spark: SparkSession, root: str, profile: dict, output: str, how: E
     """Scan a repository's files and write the ten products; the summary is returned too.
 
     The products are folders of text files that are one document when read in order of name. The files are read
-    once, into the work folder, so that all products speak of the same state.
+    once, into the work folder, so that all products speak of the same state; what a run has put there is gone at its end.
     """
+    with scratch(spark):
+        return _write_run(spark, root, profile, output, how, policy, instruction, texts, binaries, max_bytes)
+
+
+def _write_run(spark: SparkSession, root: str, profile: dict, output: str, how: Enrichment | None, policy: dict, instruction: str, texts: bool, binaries: bool, max_bytes: int | None) -> dict:
     began, name, prefix = time.time(), profile["name"], profile.get("output_prefix", "repo")
     label = spark.range(1).select(C.safe_name(F.lit(f"{prefix}-{name}"))).first()[0]
     folder = run_folder(output, label, time.strftime("%Y%m%d_%H%M%S", time.gmtime()))

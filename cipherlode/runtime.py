@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,10 +76,36 @@ def move(spark: SparkSession, path: str, to: str) -> None:
         raise OSError(f"{path} could not be renamed to {to}")
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that stored makes inside are removed at the end, but for those given to what this yields.
+
+    For work that is finished by then: whatever reads such a table lazily afterwards finds it gone.
+    """
+    made: list[str] = []
+    _open.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        made[:] = [path for path in made if path != df._cipherlode_path]
+        return df
+
+    try:
+        yield keep
+    finally:
+        _open.remove(made)
+        for path in made:
+            remove(spark, path)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the work folder; what is there is removed when Python ends."""
     path = f"{work_folder(spark)}/cipherlode-{name}-{uuid.uuid4().hex[:12]}"
     atexit.register(remove, spark, path)
+    if _open:
+        _open[-1].append(path)
     return path
 
 
@@ -85,7 +113,7 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     """Cut the lineage: write df as Parquet in the shared folder and read it again.
 
     A lost executor then costs a re-read, not a recomputation. The table is removed when
-    Python ends, or before by discard.
+    Python ends, or before by discard or scratch.
     """
     spark = df.sparkSession
     path = work_path(spark, name)

@@ -57,3 +57,13 @@ def test_stored_tables_can_be_discarded(spark):
     runtime.discard(df)
     assert not os.path.exists(path)
     runtime.discard(spark.range(1))
+
+
+def test_scratch_tables_go(spark):
+    with runtime.scratch(spark) as keep:
+        gone = runtime.stored(spark.range(3), "gone")
+        with runtime.scratch(spark):
+            inner = runtime.stored(gone.selectExpr("id + 1 as id"), "inner")
+        kept = keep(runtime.stored(gone.selectExpr("id * 2 as id"), "kept"))
+    paths = [os.path.isdir(d._cipherlode_path.removeprefix("file://")) for d in (gone, inner, kept)]
+    assert paths == [False, False, True] and sorted(r.id for r in kept.collect()) == [0, 2, 4]

@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 
 import cipherlode
-from cipherlode import cli, rules
+from cipherlode import cli, rules, runtime
 from cipherlode.functions import classify as C
 from cipherlode.operators import enrich, labels, providers, scan
 from cipherlode.plans import repository
@@ -72,6 +72,8 @@ def test_report(run):
 
 
 def test_products(spark, root, tmp_path):
+    work = runtime.work_folder(spark).removeprefix("file://")
+    before = {str(p) for p in pathlib.Path(work).iterdir()}
     summary = repository.write_run(spark, root, files.scan_profile("default-source"), str(tmp_path))
     assert (summary["files_selected"], summary["failures"]) == (7, 1) and re.search(r"/run_\d{8}_\d{6}_repo-default-source$", summary["output_dir"])
     out = summary["outputs"]
@@ -85,6 +87,7 @@ def test_products(spark, root, tmp_path):
     assert counts == {k: summary[k] for k in counts} and counts["dropped"] == counts["policy_drop"] + counts["quality_reject"]
     written = json.loads(sinks.read_document(spark, f"{summary['output_dir']}/repo_batch_summary.json"))
     assert written["assets_total"] == n and written["outputs"] == out
+    assert {str(p) for p in pathlib.Path(work).iterdir()} == before  # what the run has stored meanwhile is gone
 
 
 def test_report_and_table_files(spark, run, tmp_path):
