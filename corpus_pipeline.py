@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cipherlode.llm import jaccard, mixing, substrings, tokens, toxicity
-from cipherlode.runtime import stored
+from cipherlode.runtime import discard, scratch, stored
 
 MIX = mixing.Mix(share=(1, 1), epochs=2)
 """As many tokens as there are; a document is taken twice at most."""
@@ -60,7 +60,11 @@ ORACLE_SQL = None  # a learned lexicon and BPE are beyond SQL; tests compare wit
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another. What a stage has stored on its way, and its predecessor's rows, are removed once its own rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:
+            done = keep(stored(stage(spark, docs, sf_dir), name))
+        discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
