@@ -1,17 +1,19 @@
 """The pipeline's stages against brute force, each on its own input."""
 
 import hashlib
+import pathlib
 
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
+from cipherlode import runtime
 from cipherlode.llm import tokens, toxicity
 
 
 def test_registered():
     names = list(__spark_entry__.queries())
-    assert "pipeline" in names and [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert "pipeline" in names and [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_join", "substrings", "mixing", "bpe"]
 
 
@@ -122,3 +124,13 @@ def test_stages_of_an_empty_table(spark, sf):
 def test_pipeline_keeps_texts_that_share_an_id(spark, sf):
     docs = spark.createDataFrame([(1, "one two three four five six", "en", "src0", 27), (1, "seven eight nine ten eleven twelve", "en", "src0", 34)], "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.drop_copies(spark, docs, sf).count() == 2
+
+
+def test_run_equals_the_stages(spark, sf, stages):
+    """The same rows; of what the stages have stored only the last table that is still read is left."""
+    work = pathlib.Path(runtime.work_folder(spark).removeprefix("file://"))
+    before = set(work.iterdir())
+    done = corpus_pipeline.run(spark, sf)
+    assert len(set(work.iterdir()) - before) == 1
+    rows = lambda df: sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in df.collect())
+    assert rows(done) == rows(stages[-1])
