@@ -8,9 +8,11 @@ from importlib import import_module
 _HOMES = {
     "cipherlode.operators.bom": ("summary",),
     "cipherlode.operators.labels": ("decide", "file_assets", "instructions", "label", "validate"),
+    "cipherlode.operators.rulebook": ("Rulebook",),
     "cipherlode.operators.scan": ("fold_assets", "scan_text"),
     "cipherlode.plans.repository": ("Enrichment", "Run", "analyse", "batch_summary", "report", "scan_files", "write_run"),
     "cipherlode.settings": ("Settings",),
+    "cipherlode.sources.github": ("GitHubRepository",),
     "cipherlode.sources.files": ("policy", "profile_names", "read_repository", "scan_profile", "select_files"),
 }
 _HOME = {name: home for home, names in _HOMES.items() for name in names}
