@@ -18,7 +18,7 @@ from dataclasses import replace
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from cipherlode.operators import providers
+from cipherlode.operators import providers, rulebook
 from cipherlode.plans import repository
 from cipherlode.plans.repository import Enrichment
 from cipherlode.settings import Settings
@@ -35,6 +35,7 @@ def _repo_options(p: argparse.ArgumentParser) -> None:
     rules.add_argument("--profile", metavar="NAME", help=f"one of {', '.join(files.profile_names())}, or of --profiles; the first one where not given")
     rules.add_argument("--profiles", metavar="JSON", help="profiles other than the built-in ones")
     rules.add_argument("--policy", metavar="JSON", help="a policy other than the built-in one")
+    rules.add_argument("--rules", metavar="TABLE", help="JSON lines of rules other than the built-in ones: table, ord, rule, algorithm, primitive, confidence")
     rules.add_argument("--max-bytes", type=int, help="files with more are failures")
     git = p.add_argument_group("GitHub")
     git.add_argument("--ref", default="", help="branch, tag or commit")
@@ -83,9 +84,11 @@ def repo_run(spark: SparkSession, a: argparse.Namespace, settings: Settings) ->
     if a.use_llm or settings.use_llm:
         how = replace(USUAL, candidate_only=a.llm_candidate_only, min_confidence=a.llm_min_confidence, max_snippets=a.llm_max_snippets, provider=providers.provider(settings), cache=a.llm_cache)
     remote = "://" in a.source and a.source.lower().startswith("http")
-    policy = {"policy": files.policy(a.policy)} if a.policy else {}
+    own = {"policy": files.policy(a.policy)} if a.policy else {}
+    if a.rules:
+        own["book"] = rulebook.Rulebook.of(spark.read.schema(rulebook.SCHEMA).json(a.rules))
     with GitHubRepository.at(a.source, a.ref, a.depth).fetched(spark, a.keep_clone) if remote else nullcontext(a.source) as root:
-        summary = repository.write_run(spark, root, profile, a.output_dir, how, texts=settings.sources, binaries=settings.binaries, max_bytes=a.max_bytes, **policy)
+        summary = repository.write_run(spark, root, profile, a.output_dir, how, texts=settings.sources, binaries=settings.binaries, max_bytes=a.max_bytes, **own)
     return summary | ({"repo_url": a.source, "ref": a.ref} if remote else {})
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cipherlode import rules
 from cipherlode.functions import classify as C
 from cipherlode.operators import bom, enrich, labels, scan
+from cipherlode.operators.rulebook import BUILT_IN, Rulebook
 from cipherlode.runtime import scratch, stored
 from cipherlode.sources import files as source
 from cipherlode.sources import sinks
@@ -64,18 +65,18 @@ def binary_hits(symbols: DataFrame) -> DataFrame:
     )
 
 
-def scan_files(files: DataFrame, texts: bool = True, binaries: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def scan_files(files: DataFrame, texts: bool = True, binaries: bool = True, book: Rulebook = BUILT_IN) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(files, hits, symbols, failures) of rows (file_id, path, content as bytes, and error if a source gives it).
 
     Content is null where a file couldn't be read. Each file is read as what its first bytes say. texts, binaries: whether
-    such files are analysed.
+    such files are analysed; book: the rules for texts.
     """
     why = F.coalesce("error", F.lit("unreadable")) if "error" in files.columns else F.lit("unreadable")
     typed = files.select(F.col("file_id").cast("string").alias("file_id"), "path", "content", why.alias("error")).withColumn("file_type", source.file_type(F.col("content")))
     facts = typed.select("file_id", "path", "file_type", C.target_type(F.col("file_type")).alias("target_type"))
     sources = typed.where(F.col("file_type") == "TEXT").where(F.lit(texts)).select("file_id", "path", source.decode_text(F.col("content")).alias("content"))
     symbols = source.binary_symbols(typed.where(F.lit(binaries)))
-    hits = scan.scan_text(sources).withColumn("source_type", F.lit("source")).unionByName(binary_hits(symbols))
+    hits = scan.scan_text(sources, book).withColumn("source_type", F.lit("source")).unionByName(binary_hits(symbols))
     unread = typed.where("content is null").select(F.col("path").alias("file"), "error")
     failures = unread.unionByName(symbols.where("kind = 'error'").select(F.col("path").alias("file"), "error"))
     return facts, hits, symbols, failures
@@ -92,9 +93,9 @@ def _answers(files: DataFrame, facts: DataFrame, symbols: DataFrame, hits: DataF
     return enrich.analyse(pieces, how.provider, how.cache, how.tasks)
 
 
-def analyse(files: DataFrame, how: Enrichment | None = None, policy: dict = rules.POLICY_VALUES, texts: bool = True, binaries: bool = True) -> Run:
+def analyse(files: DataFrame, how: Enrichment | None = None, policy: dict = rules.POLICY_VALUES, texts: bool = True, binaries: bool = True, book: Rulebook = BUILT_IN) -> Run:
     """Everything a repository run derives from its files (file_id, path, content as bytes, and error if a source gives it)."""
-    facts, hits, symbols, _ = scan_files(files, texts, binaries)
+    facts, hits, symbols, _ = scan_files(files, texts, binaries, book)
     hits, symbols, facts = stored(hits, "hits"), stored(symbols, "symbols"), stored(facts, "facts")
     unread = files.where("content is null").select(F.col("path").alias("file"), (F.coalesce("error", F.lit("unreadable")) if "error" in files.columns else F.lit("unreadable")).alias("error"))
     failures = unread.unionByName(symbols.where("kind = 'error'").select(F.col("path").alias("file"), "error"))
@@ -142,17 +143,17 @@ def run_folder(output: str, label: str, stamp: str) -> str:
     return f"{output.rstrip('/')}/run_{stamp}_{label}"
 
 
-def write_run(spark: SparkSession, root: str, profile: dict, output: str, how: Enrichment | None = None, policy: dict = rules.POLICY_VALUES, instruction: str = labels.INSTRUCTION, texts: bool = True, binaries: bool = True, max_bytes: int | None = None) -> dict:
+def write_run(spark: SparkSession, root: str, profile: dict, output: str, how: Enrichment | None = None, policy: dict = rules.POLICY_VALUES, instruction: str = labels.INSTRUCTION, texts: bool = True, binaries: bool = True, max_bytes: int | None = None, book: Rulebook = BUILT_IN) -> dict:
     """Scan a repository's files and write the ten products; the summary is returned too.
 
     The products are folders of text files that are one document when read in order of name. The files are read
     once, into the work folder, so that all products speak of the same state; what a run has put there is gone at its end.
     """
     with scratch(spark):
-        return _write_run(spark, root, profile, output, how, policy, instruction, texts, binaries, max_bytes)
+        return _write_run(spark, root, profile, output, how, policy, instruction, texts, binaries, max_bytes, book)
 
 
-def _write_run(spark: SparkSession, root: str, profile: dict, output: str, how: Enrichment | None, policy: dict, instruction: str, texts: bool, binaries: bool, max_bytes: int | None) -> dict:
+def _write_run(spark: SparkSession, root: str, profile: dict, output: str, how: Enrichment | None, policy: dict, instruction: str, texts: bool, binaries: bool, max_bytes: int | None, book: Rulebook) -> dict:
     began, name, prefix = time.time(), profile["name"], profile.get("output_prefix", "repo")
     label = spark.range(1).select(C.safe_name(F.lit(f"{prefix}-{name}"))).first()[0]
     folder = run_folder(output, label, time.strftime("%Y%m%d_%H%M%S", time.gmtime()))
@@ -164,7 +165,7 @@ def _write_run(spark: SparkSession, root: str, profile: dict, output: str, how:
     if not selected:
         summary |= zero | {"duration_seconds": 0.0, "message": "No files found for the profile."}
     else:
-        run = analyse(files, how, policy, texts, binaries)
+        run = analyse(files, how, policy, texts, binaries, book)
         outputs = {}
 
         def at(key: str, file: str) -> str:

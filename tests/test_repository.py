@@ -232,6 +232,10 @@ def test_command_line(spark, root, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["files_selected"] == 7
     assert cli.main(["file", f"{root}/src/a.py"]) == 0
     assert json.loads(capsys.readouterr().out)["algorithm_names"] == ["MD5", "RSA"]
+    (tmp_path / "rules.json").write_text(json.dumps({"table": "pattern", "ord": 0, "rule": r"\bfiller\b", "algorithm": "Filler", "primitive": "none", "confidence": 0.9}))
+    assert cli.main(["repo", root, "--profile", "default-source", "--output-dir", str(tmp_path / "own"), "--rules", str(tmp_path / "rules.json")]) == 0
+    bom = json.loads(sinks.read_document(spark, json.loads(capsys.readouterr().out)["outputs"]["cbom_json"]))
+    assert {a["algorithm"] for a in bom["crypto_assets"] if a["source"] == "source-code"} <= {"Filler", "MD5", "generic-cipher"}
     assert cli.main(["file", f"{root}/src/empty.ts"]) == 0
     assert json.loads(capsys.readouterr().out)["total_crypto_components"] == 0
     assert cli.main(["file", f"{root}/src/none.ts"]) == 2 and cli.main(["repo", root, "--profile", "none"]) == 2
