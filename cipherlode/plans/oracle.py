@@ -213,7 +213,7 @@ SQL = {
       case when padding_state = 'known' then padding end as padding_value, padding_state, case when ps = 'aead' then 'padding_not_used_in_aead_or_ctr' when ps = 'known' then 'detected_or_inferred' when ps = 'unknown' then case category when 'asymmetric_cryptography' then 'padding_may_apply_but_not_detected' else 'not_detected' end else case category when 'rng' then 'rng_padding_not_applicable' when 'mac' then 'mac_does_not_use_padding' when 'key_exchange' then 'key_exchange_does_not_use_padding' else 'hash_functions_do_not_use_padding' end end as padding_reason,
       array_to_string(issues, ',') as issues, len(issues) = 0 as is_valid, pqc_status, case when pqc_status = 'unknown' then 0.4 else 0.9 end::double as pqc_confidence from v3""",
     "c12_decisions": f"{LABELLED} select ref, max_severity, final_action, unknown_ratio, issue_count, severity_penalty, round(favg, 9) as field_confidence_avg, include, array_to_string(reasons, ',') as reasons, split from dec",
-    "c12_quality_bounds": f"{LABELLED} select algorithm, split, count(*) as n, round(min(quality_score), 1) as low, round(max(quality_score), 1) as high from dec group by 1, 2",
+    "c12_quality_bounds": f"{LABELLED} select algorithm, split, count(*) as n, min(quality_score) as low, max(quality_score) as high from dec group by 1, 2",
     "c19_size_text": "with n as (select doc_id, (n_chars * doc_id * doc_id)::double as b from documents) select doc_id, case when b < 1024 then printf('%.2f B', b) when b < 1048576 then printf('%.2f KB', b / 1024) when b < 1073741824 then printf('%.2f MB', b / 1048576) else printf('%.2f GB', b / 1073741824) end as size from n",
     "c20_json_validity": "select event_id, json_valid(case when event_id % 5 = 0 then props || '}' else props end) as ok from events",
     "c22_chunks": "with c as (select doc_id as file_id, unnest(range(((length(text) + 1999) // 2000)::bigint)) as chunk, text from documents) select file_id, chunk::int as chunk, length(substring(text, chunk * 2000 + 1, 2000))::int as n, md5(substring(text, chunk * 2000 + 1, 2000)) as md5 from c",
@@ -225,9 +225,9 @@ SQL = {
     "f08_candidates": f"with {ASSETS}, n as (select file_id, count(*) as n from hits group by 1) select distinct file_id from assets join n using (file_id) where confidence <= 0.8 or regexp_matches(lower(algorithm), 'generic|unknown') or n >= 8",
     "f12_layer": f"with {ASSETS} select file_id, algorithm, case when detectors = ['java_import_signal'] then 'context_crypto' else 'confirmed_crypto' end as layer from assets",
     "f17_risk_references": f"with {OBS}, {RISK} select algorithm, case when pqc > 50 then 'pqc' else 'legacy' end as reference, pqc, base, count(*) as assets, count(distinct repo_id) as repositories from obs join risks using (algorithm) where pqc > 50 or (pqc < 50 and base > 50) group by all",
-    "f20_label_table": f"{FILES_LABELLED} select distinct algorithm, family, category, key_length_state, mode_state, padding_state, pqc_status, len(issues) = 0 as is_valid, issue_count from dec",
-    "f21_decision_table": f"{LABELLED} select ref, algorithm, include, final_action, max_severity, quality_tier, evidence_count, case when len(reasons) = 0 then 'none' else array_to_string(reasons, ', ') end as reasons from dec",
-    "f22_algorithm_table": f"with {SCORED} select ref, algorithm, {PRIMITIVE} as type, key_length, pqc > 50 as is_pqc_safe, round(round_even(risk, 1), 0) as risk from scored",
+    "f20_label_table": f"{FILES_LABELLED} select algorithm, family, category, key_length_state, mode_state, padding_state, pqc_status, len(issues) = 0 as is_valid, issue_count from dec",
+    "f21_decision_table": f"{LABELLED} select ref, algorithm, include, final_action, max_severity, quality_score, quality_tier, unknown_ratio, evidence_count, case when len(reasons) = 0 then 'none' else array_to_string(reasons, ', ') end as reasons from dec",
+    "f22_algorithm_table": f"with {SCORED} select ref, algorithm, {PRIMITIVE} as type, key_length, pqc > 50 as is_pqc_safe, confidence, round_even(risk, 1) as risk from scored",
     "j04_evidence": f"with {ASSETS}, f as (select file_id, algorithm, arg_min(trim(snippet), phase * 1000000 + ord * 1000 + line) as first_snippet from hits group by 1, 2) select file_id, algorithm, evidence_count::int as evidence_count, first_snippet from assets join f using (file_id, algorithm)",
     "j10_issue_policies": f"{LABELLED}, i as (select upper(unnest(issues)) as issue from dec), p as (select * from {_values(rules.POLICY, 'issue, severity, action')}) select issue, severity, action, count(*) as n from i join p using (issue) group by 1, 2, 3",
     "j15_snippet_cache": "select sha256('mock|rules|' || text) as key, count(*) as n, min(doc_id) as first from documents group by 1",

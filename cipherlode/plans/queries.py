@@ -231,8 +231,7 @@ def c12_decisions(spark, d):
 
 
 def c12_quality_bounds(spark, d):
-    """Scores before rounding to two places, so that engines' rounding doesn't matter."""
-    return _labelled(spark, d).groupBy("algorithm", "split").agg(F.count("*").alias("n"), F.round(F.min("quality_score"), 1).alias("low"), F.round(F.max("quality_score"), 1).alias("high"))
+    return _labelled(spark, d).groupBy("algorithm", "split").agg(F.count("*").alias("n"), F.min("quality_score").alias("low"), F.max("quality_score").alias("high"))
 
 
 def c19_size_text(spark, d):
@@ -285,7 +284,7 @@ def f17_risk_references(spark, d):
 
 
 def f20_label_table(spark, d):
-    return bom.label_table(_file_labels(spark, d)).select("algorithm", "family", "category", "key_length_state", "mode_state", "padding_state", "pqc_status", "is_valid", "issue_count").distinct()
+    return bom.label_table(_file_labels(spark, d)).select("algorithm", "family", "category", "key_length_state", "mode_state", "padding_state", "pqc_status", "is_valid", "issue_count")
 
 
 def f20_label_rows(spark, d):
@@ -293,11 +292,11 @@ def f20_label_rows(spark, d):
 
 
 def f21_decision_table(spark, d):
-    return bom.decision_table(_labelled(spark, d)).select("ref", "algorithm", "include", "final_action", "max_severity", "quality_tier", "evidence_count", "reasons")
+    return bom.decision_table(_labelled(spark, d))
 
 
 def f22_algorithm_table(spark, d):
-    return bom.algorithm_table(observed(spark, d)).select("ref", "algorithm", "type", "key_length", "is_pqc_safe", F.round("risk", 0).alias("risk"))
+    return bom.algorithm_table(observed(spark, d))
 
 
 def j04_evidence(spark, d):
