@@ -241,6 +241,26 @@ def test_long_lists_of_near_copies(spark, monkeypatch):
     assert sum(sent) < 20 * len(texts)
 
 
+def test_ngram_join_holds_no_list_of_members_on_the_driver(spark, monkeypatch):
+    """Texts to be sent are found by marks of bounded size, which other rows may share; no broadcast has a row for each member."""
+
+    def refuse(*_):
+        raise AssertionError("a row for each member")
+
+    monkeypatch.setattr(jaccard, "MARK_BITS", jaccard.BUCKET_BITS)
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [(i, words(i)) for i in range(300)] + [(1000 + i, words(i) + " end") for i in range(0, 300, 2)] + [(None, words(301)), (None, words(301) + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marked = spark.range(20_000)
+    marks = jaccard._marks(marked, "id")
+    at = np.array([r.m for r in marked.select(jaccard._mark(8 * len(marks), "id").alias("m")).collect()])
+    assert len(marks) == jaccard.BUCKET_BITS // 8 and (marks[at >> 3] >> (at & 7) & 1).all() and np.unpackbits(marks).sum() == len(set(at.tolist()))
+    monkeypatch.setattr(jaccard.F, "broadcast", refuse)
+    monkeypatch.setattr(type(df), "toPandas", refuse)
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.groups(jaccard.similar(df, 3, jaccard.Threshold(90, 100))).collect())
+    assert got == Counter([(i, i) for i in range(300)] + [(1000 + i, i) for i in range(0, 300, 2)] + [(None, None)] * 2)
+
+
 @pytest.mark.parametrize("runs", [800, 2])
 def test_substrings(docs, plain, monkeypatch, runs):
     """Exact removals, with and without salted anchors."""
