@@ -18,7 +18,7 @@ import hashlib
 import json
 import os
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import ahocorasick
 import pyarrow as pa
@@ -31,6 +31,8 @@ from cipherlode.runtime import ship
 CACHE_WORDS = 150_000
 """Words in each of a task's two cache generations."""
 CACHE_PAIRS = 300_000
+CACHE_PIECES = 100_000
+"""Pieces of words, kept apart: those of words that differ by their punctuation are the same."""
 CACHE_BYTES = 64
 """Longer words are not kept."""
 
@@ -64,6 +66,8 @@ class Vocabulary:
         for name, i in self.special.items():
             self.names += [""] * (i + 1 - len(self.names))
             self.names[i] = name
+        self.decimal = [str(i) for i in range(len(self.names))]
+        self.decoded = dict(enumerate(self.names)) | dict(zip(self.decimal, self.names))
         self.pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         shown = byte_symbols()
         self.inner = {b: chr(ids[c] + 1) for b, c in enumerate(shown)}
@@ -140,57 +144,70 @@ class Encoder:
         self.young: dict = {}
         self.old: dict = {}
         self.pairs: dict = {}
+        self.pieces: dict = {}
 
     def forget(self) -> None:
         """Empty the caches, which would else stay with the worker."""
         self.young, self.old = {}, {}
         self.pairs.clear()
+        self.pieces.clear()
 
     def word(self, raw: bytes) -> list[int]:
         """Ids of one word, by dynamic programming over its prefixes."""
         text = raw[:-1].decode("latin-1").translate(self.translate) + self.v.final[raw[-1]]
-        last = [-1] * (len(text) + 1)
-        pairs, compatible = self.pairs, self.v.compatible
-        for end, (token, size) in self.automaton.iter(text):
-            end += 1
+        last = [-1] * len(text)
+        pairs, compatible, symbols = self.pairs, self.v.compatible, self.v.symbols
+        known = pairs.get
+        for end, found in self.automaton.iter(text):
             if last[end] >= 0:
                 continue
-            if size == end:
+            token, size = found
+            if size > end:
                 last[end] = token
                 continue
             left = last[end - size]
             key = left << 20 | token
-            fits = pairs.get(key)
+            fits = known(key)
             if fits is None:
                 if len(pairs) > CACHE_PAIRS:
                     pairs.clear()
                 fits = pairs[key] = compatible(left, token)
             if fits:
                 last[end] = token
-        out, at = [], len(text)
-        while at:
+        out, at = [], len(text) - 1
+        while at >= 0:
             out.append(last[at])
-            at -= len(self.v.symbols[last[at]])
+            at -= len(symbols[last[at]])
         return out[::-1]
 
+    def _piece(self, piece: str) -> list[int]:
+        ids = self.word(piece.encode())
+        if len(piece) <= CACHE_BYTES:
+            if len(self.pieces) >= CACHE_PIECES:
+                self.pieces.clear()
+            self.pieces[piece] = ids
+        return ids
+
     def _chunk(self, chunk: str) -> tuple[str, str, int]:
         """Ids and token strings, each joined by a space, of a text without white space."""
         found = self.old.get(chunk)
         if found is None:
-            ids = [i for piece in self.find(chunk) for i in self.word(piece.encode())]
-            names = self.v.names
-            found = (" ".join(map(str, ids)), " ".join([names[i] for i in ids]), len(ids))
+            kept = self.pieces.get
+            ids = [i for piece in self.find(chunk) for i in kept(piece) or self._piece(piece)]
+            names, decimal = self.v.names, self.v.decimal
+            found = (" ".join([decimal[i] for i in ids]), " ".join([names[i] for i in ids]), len(ids))
         if len(chunk) <= CACHE_BYTES:
             if len(self.young) >= CACHE_WORDS:
                 self.old, self.young = self.young, {}
             self.young[chunk] = found
         return found
 
-    def parts(self, text: str) -> Iterator[tuple[str, str, int]]:
+    def parts(self, text: str) -> list[tuple[str, str, int]]:
+        out, kept = [], self.young
         for piece in self.cut(text) if self.cut and self.mark in text else (text,):
             special = self.v.special.get(piece)
             if special is not None:
-                yield str(special), piece, 1
+                out.append((str(special), piece, 1))
                 continue
             if not unicodedata.is_normalized("NFC", piece):
                 piece = unicodedata.normalize("NFC", piece)
@@ -201,20 +218,21 @@ class Encoder:
             else:
                 chunks = piece.split()
             for chunk in chunks:
-                found = self.young.get(chunk) or self._chunk(chunk)
-                if found[2]:
-                    yield found
+                found = kept.get(chunk)
+                if found is None:
+                    found = self._chunk(chunk)
+                    kept = self.young
+                out.append(found)
+        return [found for found in out if found[2]]
 
     def encode(self, text: str) -> tuple[str, str, int]:
         """(ids joined by a space, decoded text, number of ids) of a whole text."""
-        parts = list(self.parts(text))
-        if not parts:
-            return "", "", 0
-        ids, names, sizes = zip(*parts)
-        return " ".join(ids), " ".join(names), sum(sizes)
+        parts = self.parts(text)
+        return " ".join([x[0] for x in parts]), " ".join([x[1] for x in parts]), sum([x[2] for x in parts])
 
-    def decode(self, ids: Sequence[int]) -> str:
-        return " ".join([self.v.names[i] for i in ids if i < len(self.v.names) and self.v.names[i]])
+    def decode(self, ids: Iterable[int | str]) -> str:
+        """Names of the ids, numbers or their decimals, joined by a space; ids without a token are left out."""
+        return " ".join(filter(None, map(self.v.decoded.get, ids)))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -231,9 +249,9 @@ def encoder(key: str, raw: bytes) -> Encoder:
 COLUMNS = {
     "n_tokens": ("long", pa.int64(), lambda e, t, x: x[2]),
     "ids": ("array<int>", pa.list_(pa.int32()), lambda e, t, x: [int(i) for i in x[0].split()]),
-    "decoded": ("string", pa.string(), lambda e, t, x: e.decode(map(int, x[0].split()))),
+    "decoded": ("string", pa.string(), lambda e, t, x: e.decode(x[0].split())),
     "ids_sha256": ("string", pa.string(), lambda e, t, x: hashlib.sha256(x[0].encode()).hexdigest()),
-    "decoded_sha256": ("string", pa.string(), lambda e, t, x: hashlib.sha256(e.decode(map(int, x[0].split())).encode()).hexdigest()),
+    "decoded_sha256": ("string", pa.string(), lambda e, t, x: hashlib.sha256(e.decode(x[0].split()).encode()).hexdigest()),
 }
 
 

@@ -47,3 +47,18 @@ def test_decoded_hash_is_of_decoded_ids(monkeypatch):
     assert digest(own, "some words", found) == hashlib.sha256(own.decode(map(int, found[0].split())).encode()).hexdigest()
     monkeypatch.setattr(own, "decode", lambda ids: "wrong")
     assert digest(own, "some words", found) == hashlib.sha256(b"wrong").hexdigest()
+
+
+def test_words_that_differ_by_punctuation_are_encoded_once(monkeypatch):
+    """The cache of pieces is bounded, emptied with the others and gives the ids that encoding anew gives."""
+    with open(tokens.default_path(), "rb") as f:
+        own = tokens.Encoder(tokens.Vocabulary(f.read()))
+    asked, real = [], own.word
+    monkeypatch.setattr(own, "word", lambda raw: (asked.append(raw), real(raw))[1])
+    text = "Threadbare threadbare, threadbare. (threadbare) éclair's éclair"
+    found = own.encode(text)
+    assert Counter(asked)["threadbare".encode()] == 1 and Counter(asked)["éclair".encode()] == 1
+    assert own.decode(map(int, found[0].split())) == own.decode(found[0].split()) == found[1]
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 2)
+    own.forget()
+    assert not own.pieces and own.encode(text) == found and len(own.pieces) <= 2
