@@ -1,9 +1,9 @@
 """Byte-pair encoding by per-prefix dynamic programming, and decoding.
 
 For every prefix of a word exactly one token can be the last one of the prefix's encoding.
-An automaton over the vocabulary (goto and suffix links) lists, at each position, all tokens
-that are suffixes of the prefix; a token is the last one if the rest of the prefix, whose last
-token is already stored, may stand before it. Whether two tokens may stand side by side is a
+An automaton over the vocabulary (goto and suffix links) gives, at each position, the longest token
+that is a suffix of the prefix, and from there the shorter ones; a token is the last one if the rest of
+the prefix, whose last token is already stored, may stand before it. Whether two tokens may stand side by side is a
 test on the merges alone: undo the merges along the seam, and see that none across it would
 have come first. Following the stored tokens back from the end gives the exact ids, in time
 linear in the word.
@@ -20,7 +20,6 @@ import os
 import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
 
-import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +30,11 @@ from cipherlode.runtime import ship
 CACHE_WORDS = 150_000
 """Words in each of a task's two cache generations."""
 CACHE_PAIRS = 300_000
+CACHE_MOVES = 500_000
+"""Moves of the automaton that are kept besides its gotos."""
 CACHE_PIECES = 100_000
 """Pieces of words, kept apart: those of words that differ by their punctuation are the same."""
+FINAL = 256
 CACHE_BYTES = 64
 """Longer words are not kept."""
 
@@ -70,8 +72,8 @@ class Vocabulary:
         self.decoded = dict(enumerate(self.names)) | dict(zip(self.decimal, self.names))
         self.pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         shown = byte_symbols()
-        self.inner = {b: chr(ids[c] + 1) for b, c in enumerate(shown)}
-        self.final = [chr(ids[c + end] + 1) for c in shown]
+        self.code = {ids[c]: b for b, c in enumerate(shown)} | {ids[c + end]: b | FINAL for b, c in enumerate(shown)}
+        """What an automaton reads for each symbol: an inner byte, or a final one with a bit more."""
         self.symbols = [chr(i + 1) for i in range(self.base)]
         for a, b in self.split[self.base :]:
             self.symbols.append(self.symbols[a] + self.symbols[b])
@@ -127,87 +129,147 @@ class Vocabulary:
                 before, right = right + 1, split[right][0]
 
 
+class Automaton:
+    """Aho-Corasick over the symbols of all tokens that a text can have. Moves along suffix links are kept once taken."""
+
+    def __init__(self, v: Vocabulary):
+        self.go: dict[int, int] = {}
+        go, code, came, depth, token = self.go, v.code, [0], [0], [-1]
+        for i, s in enumerate(v.symbols):
+            if not v.alone[i]:
+                continue
+            at = 0
+            for c in s:
+                key = at << 9 | code[ord(c) - 1]
+                to = go.get(key)
+                if to is None:
+                    to = go[key] = len(came)
+                    came.append(key)
+                    depth.append(depth[at] + 1)
+                    token.append(-1)
+                at = to
+            token[at] = i
+        self.suffix = suffix = [0] * len(came)
+        self.longest = token
+        """Of each state, the longest token that ends there."""
+        self.shorter = [-1] * len(v.symbols)
+        """Of each token, the longest one that is a proper suffix of it."""
+        for state in sorted(range(1, len(came)), key=depth.__getitem__):
+            before, c = came[state] >> 9, came[state] & 511
+            if before:
+                at = suffix[before]
+                while (to := go.get(at << 9 | c)) is None:  # every symbol is a token, so it ends at the root
+                    at = suffix[at]
+                suffix[state] = to
+            if token[state] < 0:
+                token[state] = token[suffix[state]]
+            else:
+                self.shorter[token[state]] = token[suffix[state]]
+        self.moves = dict(go)
+
+    def move(self, state: int, c: int) -> int:
+        """The next state, where no goto has it."""
+        at, go = state, self.go
+        while (to := go.get(at << 9 | c)) is None:
+            at = self.suffix[at]
+        if len(self.moves) > len(go) + CACHE_MOVES:
+            self.forget()
+        self.moves[state << 9 | c] = to
+        return to
+
+    def forget(self) -> None:
+        if len(self.moves) > len(self.go):
+            self.moves.clear()
+            self.moves.update(self.go)
+
+
+class Words(dict):
+    """Ids of words, joined by a space; a word that isn't there is encoded."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word: str) -> str:
+        return self.encode(word)
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.automaton = ahocorasick.Automaton()
-        for i, s in enumerate(vocabulary.symbols):
-            if vocabulary.alone[i]:
-                self.automaton.add_word(s, (i, len(s)))
-        self.automaton.make_automaton()
+        self.automaton = Automaton(vocabulary)
+        self.size = [len(s) for s in vocabulary.symbols]
         self.find = regex.compile(vocabulary.pattern).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")").split if vocabulary.special else None
         self.mark = os.path.commonprefix(list(vocabulary.special))
         """What every special token begins with: texts without it needn't be cut."""
-        self.table = {chr(b): s for b, s in vocabulary.inner.items()}
-        self.translate = str.maketrans(self.table)
-        self.young: dict = {}
-        self.old: dict = {}
+        self.young, self.old = Words(self._chunk), {}
         self.pairs: dict = {}
         self.pieces: dict = {}
 
     def forget(self) -> None:
         """Empty the caches, which would else stay with the worker."""
-        self.young, self.old = {}, {}
+        self.young, self.old = Words(self._chunk), {}
         self.pairs.clear()
         self.pieces.clear()
+        self.automaton.forget()
 
     def word(self, raw: bytes) -> list[int]:
         """Ids of one word, by dynamic programming over its prefixes."""
-        text = raw[:-1].decode("latin-1").translate(self.translate) + self.v.final[raw[-1]]
-        last = [-1] * len(text)
-        pairs, compatible, symbols = self.pairs, self.v.compatible, self.v.symbols
-        known = pairs.get
-        for end, found in self.automaton.iter(text):
-            if last[end] >= 0:
-                continue
-            token, size = found
-            if size > end:
-                last[end] = token
-                continue
-            left = last[end - size]
-            key = left << 20 | token
-            fits = known(key)
-            if fits is None:
-                if len(pairs) > CACHE_PAIRS:
-                    pairs.clear()
-                fits = pairs[key] = compatible(left, token)
-            if fits:
-                last[end] = token
-        out, at = [], len(text) - 1
+        automaton, pairs, compatible, size = self.automaton, self.pairs, self.v.compatible, self.size
+        longest, shorter = automaton.longest, automaton.shorter
+        moved, known = automaton.moves.get, pairs.get
+        state, last = 0, []
+        for end, c in enumerate((*raw[:-1], raw[-1] | FINAL)):
+            state = moved(state << 9 | c) or automaton.move(state, c)
+            token = longest[state]
+            at = end - size[token]
+            while at >= 0:
+                key = last[at] << 20 | token
+                fits = known(key)
+                if fits is None:
+                    if len(pairs) > CACHE_PAIRS:
+                        pairs.clear()
+                    fits = pairs[key] = compatible(last[at], token)
+                if fits:
+                    break
+                token = shorter[token]
+                at = end - size[token]
+            last.append(token)
+        out, at = [], len(last) - 1
         while at >= 0:
-            out.append(last[at])
-            at -= len(symbols[last[at]])
+            token = last[at]
+            out.append(token)
+            at -= size[token]
         return out[::-1]
 
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.word(piece.encode())
+    def _piece(self, piece: str) -> str:
+        decimal = self.v.decimal
+        ids = " ".join([decimal[i] for i in self.word(piece.encode())])
         if len(piece) <= CACHE_BYTES:
             if len(self.pieces) >= CACHE_PIECES:
                 self.pieces.clear()
             self.pieces[piece] = ids
         return ids
 
-    def _chunk(self, chunk: str) -> tuple[str, str, int]:
-        """Ids and token strings, each joined by a space, of a text without white space."""
+    def _chunk(self, chunk: str) -> str:
+        """Ids, joined by a space, of a text without white space."""
         found = self.old.get(chunk)
         if found is None:
             kept = self.pieces.get
-            ids = [i for piece in self.find(chunk) for i in kept(piece) or self._piece(piece)]
-            names, decimal = self.v.names, self.v.decimal
-            found = (" ".join([decimal[i] for i in ids]), " ".join([names[i] for i in ids]), len(ids))
+            found = " ".join([kept(piece) or self._piece(piece) for piece in self.find(chunk)])
         if len(chunk) <= CACHE_BYTES:
             if len(self.young) >= CACHE_WORDS:
-                self.old, self.young = self.young, {}
+                self.old, self.young = dict(self.young), Words(self._chunk)
             self.young[chunk] = found
         return found
 
-    def parts(self, text: str) -> list[tuple[str, str, int]]:
-        out, kept = [], self.young
+    def ids(self, text: str) -> tuple[str, int]:
+        """(ids joined by a space, number of ids) of a whole text."""
+        out = []
         for piece in self.cut(text) if self.cut and self.mark in text else (text,):
             special = self.v.special.get(piece)
             if special is not None:
-                out.append((str(special), piece, 1))
+                out.append(str(special))
                 continue
             if not unicodedata.is_normalized("NFC", piece):
                 piece = unicodedata.normalize("NFC", piece)
@@ -217,18 +279,14 @@ class Encoder:
                 chunks = [x for x in regex.split(r"[\s--[\x1c-\x1f]]+", piece, flags=regex.V1) if x]
             else:
                 chunks = piece.split()
-            for chunk in chunks:
-                found = kept.get(chunk)
-                if found is None:
-                    found = self._chunk(chunk)
-                    kept = self.young
-                out.append(found)
-        return [found for found in out if found[2]]
+            out += map(self.young.__getitem__, chunks)
+        ids = " ".join(filter(None, out))
+        return ids, ids.count(" ") + 1 if ids else 0
 
     def encode(self, text: str) -> tuple[str, str, int]:
         """(ids joined by a space, decoded text, number of ids) of a whole text."""
-        parts = self.parts(text)
-        return " ".join([x[0] for x in parts]), " ".join([x[1] for x in parts]), sum([x[2] for x in parts])
+        ids, n = self.ids(text)
+        return ids, self.decode(ids.split()), n
 
     def decode(self, ids: Iterable[int | str]) -> str:
         """Names of the ids, numbers or their decimals, joined by a space; ids without a token are left out."""
@@ -247,7 +305,7 @@ def encoder(key: str, raw: bytes) -> Encoder:
 
 
 COLUMNS = {
-    "n_tokens": ("long", pa.int64(), lambda e, t, x: x[2]),
+    "n_tokens": ("long", pa.int64(), lambda e, t, x: x[-1]),
     "ids": ("array<int>", pa.list_(pa.int32()), lambda e, t, x: [int(i) for i in x[0].split()]),
     "decoded": ("string", pa.string(), lambda e, t, x: e.decode(x[0].split())),
     "ids_sha256": ("string", pa.string(), lambda e, t, x: hashlib.sha256(x[0].encode()).hexdigest()),
@@ -276,7 +334,7 @@ def encode_documents(docs: DataFrame, path: str, columns: Sequence[str] = ("n_to
                 out = [[] for _ in columns]
                 for text in texts[lo : lo + 512]:
                     text = text.as_py() or ""
-                    found = own.encode(text)
+                    found = own.ids(text)
                     for column, kind in zip(out, kinds):
                         column.append(kind[2](own, text, found))
                 yield pa.RecordBatch.from_arrays([ids[lo : lo + 512], *(pa.array(c, k[1]) for c, k in zip(out, kinds))], names=["doc_id", *columns])

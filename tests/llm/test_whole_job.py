@@ -62,3 +62,29 @@ def test_words_that_differ_by_punctuation_are_encoded_once(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_PIECES", 2)
     own.forget()
     assert not own.pieces and own.encode(text) == found and len(own.pieces) <= 2
+
+
+def test_automaton_gives_every_token_that_ends_a_prefix(monkeypatch):
+    """One token a position and its shorter ones are all suffixes in the vocabulary; moves are bounded and emptied, ids stay the same."""
+    with open(tokens.default_path(), "rb") as f:
+        v = tokens.Vocabulary(f.read())
+    own = tokens.Encoder(v)
+    automaton, numbers = own.automaton, {code: chr(i + 1) for i, code in v.code.items()}
+    usable = {s for i, s in enumerate(v.symbols) if v.alone[i]}
+    rng = random.Random(3)
+    for _ in range(300):
+        codes = [*rng.choices(b"etaoinshrd\xc3\xa9", k=rng.randint(0, 12)), rng.choice(b"esdn.") | tokens.FINAL]
+        state, text = 0, ""
+        for c in codes:
+            state, text = automaton.moves.get(state << 9 | c) or automaton.move(state, c), text + numbers[c]
+            token, found = automaton.longest[state], []
+            while token >= 0:
+                found.append(v.symbols[token])
+                token = automaton.shorter[token]
+            assert found == [text[i:] for i in range(len(text)) if text[i:] in usable]
+    text = " ".join("".join(rng.choices("etaoinshrd", k=9)) for _ in range(200))
+    want = own.ids(text)
+    own.forget()
+    assert automaton.moves == automaton.go
+    monkeypatch.setattr(tokens, "CACHE_MOVES", 2)
+    assert own.ids(text) == want == own.encode(text)[::2] and len(automaton.moves) <= len(automaton.go) + 4
