@@ -132,13 +132,26 @@ def issue_severity(issue: Column) -> Column:
     return first_of((any_of(n, "cross_algorithm", "invalid", "contamination"), "high"), (any_of(n, "removed", "not_allowed", "not_supported"), "medium"), default="low")
 
 
-def size_text(n: Column) -> Column:
-    n, out = n.cast("double"), None
-    for power, unit in enumerate(("B", "KB", "MB", "GB")):
-        text = F.format_string(f"%.2f {unit}", n / F.lit(1024.0**power))
-        test = n < 1024.0 ** (power + 1)
-        out = F.when(test, text) if out is None else out.when(test, text)
-    return out.otherwise(F.format_string("%.2f TB", n / F.lit(1024.0**4)))
+SIZE_UNITS = ("B", "KB", "MB", "GB", "TB")
+
+
+def size_text(n: Column, units: tuple[str, ...] = SIZE_UNITS) -> Column:
+    """A number of whole bytes in the first unit of which it has less than 1024, else in the last one; null stays null.
+
+    Hundredths are rounded half-even on the exact value. format_string would round a double's shortest decimal form, and halves up.
+    """
+    n = n.cast("double")
+
+    def in_unit(power: int) -> Column:
+        x, one = n / F.lit(1024.0**power), F.lit(1024**power)
+        whole = F.floor(x)
+        part = ((x - whole) * one).cast("long") * 100  # exact: a division by a power of two, then whole numbers
+        cents, left = F.floor(part / one), part % one * 2
+        cents = cents + ((left > one) | ((left == one) & (cents % 2 == 1))).cast("long")
+        return F.format_string(f"%d.%02d {units[power]}", whole + (cents == 100).cast("long"), cents % 100)
+
+    last = len(units) - 1
+    return first_of((n.isNull(), F.lit(None).cast("string")), *[(n < 1024.0 ** (power + 1), in_unit(power)) for power in range(last)], default=in_unit(last))
 
 
 def is_json(text: Column) -> Column:

@@ -2,9 +2,24 @@
 
 import hashlib
 
+import duckdb
+
+import cipherlode.registry as registry
+from cipherlode.functions import classify as C
 from cipherlode.plans import queries
 
 
+def both(spark, folder, name, documents):
+    """Rows by doc_id of a query over these documents (doc_id, text, n_chars), and of its SQL."""
+    docs = spark.createDataFrame(documents, "doc_id long, text string, n_chars long")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    return {r["doc_id"]: tuple(r[c] for c in columns) for r in queries.QUERIES[name](spark, str(folder)).collect()}, {r[0]: r for r in want.fetchall()}
+
+
 def test_decode_covers_latin1_texts(spark, sf):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = {r.doc_id: r for r in queries.QUERIES["s10_decode_all"](spark, sf).collect()}
@@ -35,3 +50,18 @@ def test_every_hit_has_its_context(spark, sf):
     assert queries.QUERIES["f20_label_rows"](spark, sf).count() == queries.QUERIES["f12_layer"](spark, sf).count()
 
 
+
+
+def test_sizes_as_in_sql(spark, tmp_path):
+    """Halves of hundredths, exact ones and almost, in every unit; more than 1024 GB; no size."""
+    sizes = [0, 1, 1023, 1024, 1029, 1536 + 5, None, -5, 1024**2 - 1, 1024**3 - 1, 1024**4 - 1, 1024**4, 3 * 1024**4 + 7, 2**53 + 1, 2**60 + 2**29]
+    sizes += [unit * k + unit // 8 * e for unit in (1024, 1024**2, 1024**3) for k in (1, 2, 74, 1000) for e in (1, 3, 5, 7)]
+    sizes += [unit * k // 200 + d for unit in (1024, 1024**2, 1024**3) for k in range(201, 40_000, 398) for d in (0, 1)]
+    # an id's square is a factor of the size
+    got, want = both(spark, tmp_path, "c19_size_text", [(i, "a", n) for i, n in enumerate([5, None, 1, 1025, 1, 7, 12345, 128, 99] + [640 + k for k in range(3000)])] + [(2**k + d, "a", n) for k in range(12, 20) for d in (0, 1) for n in (1029 * (d + 2),)])
+    assert got == want and len({v[1][-2:] for v in want.values() if v[1]}) == 4
+    docs = spark.createDataFrame(list(enumerate(sizes)), "i int, n long")
+    rows = docs.select("i", C.size_text(docs["n"], C.SIZE_UNITS[:4]).alias("short"), C.size_text(docs["n"]).alias("long")).collect()
+    plain = lambda n, units: None if n is None else next((f"{n / 1024.0**p:.2f} {u}" for p, u in enumerate(units[:-1]) if n < 1024.0 ** (p + 1)), f"{n / 1024.0 ** (len(units) - 1):.2f} {units[-1]}")
+    for r in rows:
+        assert (r.short, r.long) == (plain(sizes[r.i], C.SIZE_UNITS[:4]), plain(sizes[r.i], C.SIZE_UNITS))
