@@ -6,6 +6,7 @@ of snippets to a list of results, called once for each distinct snippet through
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -32,27 +33,40 @@ RESULT = "struct<success:boolean, algorithm:string, key_length:int, mode:string,
 ANSWER = f"cache_key string, r {RESULT}"
 
 
+def either_case(rx: str) -> str:
+    """A pattern in any case as the SQL has it: of the letters beyond ASCII, the long s and the Kelvin sign are an s and a k."""
+    return "(?i)" + re.sub("[sk]", lambda m: "[s\u017f]" if m[0] in "sS" else "[k\u212a]", rx, flags=re.I)
+
+
 def signs(code: Column) -> Column:
     """Which of the mock's patterns a snippet has: each is tested once."""
-    has = lambda rx: F.rlike(code, F.lit(f"(?i){rx}"))
+    has = lambda rx: F.rlike(code, F.lit(either_case(rx)))
     named = [has(rx).alias(f"p{i}") for i, (rx, *_) in enumerate(MOCK)]
-    return F.struct(*named, has(r"[0-9]{3,4}(bit|-bit)").alias("keyed"), has("gcm|cbc|ecb|ctr").alias("moded"), (F.coalesce(C.strip(code), F.lit("")) == "").alias("blank"))
+    return F.struct(*named, has(r"[0-9]{3,4}(bit|-bit)").alias("keyed"), has("gcm|cbc|ecb|ctr").alias("moded"))
 
 
 def mock(code: Column, sign: Column) -> Column:
-    """The mock's result for a snippet with its signs; a blank one fails."""
+    """The mock's result for a snippet with its signs, a blank one's, too."""
     p = [sign[f"p{i}"] for i in range(len(MOCK))]
     late = list(zip(p, MOCK))[::-1]
     algorithm = C.first_of(*[(has, a) for has, (_, a, _, _) in late], default="unknown")
     confidence = C.first_of((sign["moded"], F.lit(MOCK_MODE_CONFIDENCE)), (sign["keyed"], F.lit(MOCK_KEY_CONFIDENCE)), *[(has, F.lit(c)) for has, (_, _, c, _) in late], default=0.3)
-    key = F.when(sign["keyed"], F.nullif(F.regexp_extract(code, r"(?i)([0-9]{3,4})\s*(bit|bitleng|-bit)", 1), F.lit("")).cast("int"))
+    key = F.when(sign["keyed"], F.nullif(F.regexp_extract(code, r"(?i)([0-9]{3,4})[\t\n\f\r ]*(bit|bitleng|-bit)", 1), F.lit("")).cast("int"))
     safe = F.lit(False)
     for has, (*_, pqc) in late:
         safe = safe | has if pqc else safe
     null = lambda kind: F.lit(None).cast(kind)
-    fail = F.struct(F.lit(False).alias("success"), null("string").alias("algorithm"), null("int").alias("key_length"), null("string").alias("mode"), F.lit(False).alias("is_pqc_safe"), F.lit(0.0).alias("confidence"), F.lit("empty snippet").alias("error"))
-    good = F.struct(F.lit(True).alias("success"), algorithm.alias("algorithm"), key.alias("key_length"), F.when(sign["moded"], MOCK_MODE).alias("mode"), safe.alias("is_pqc_safe"), confidence.alias("confidence"), null("string").alias("error"))
-    return F.when(sign["blank"], fail).otherwise(good)
+    return F.struct(F.lit(True).alias("success"), algorithm.alias("algorithm"), key.alias("key_length"), F.when(sign["moded"], MOCK_MODE).alias("mode"), safe.alias("is_pqc_safe"), confidence.alias("confidence"), null("string").alias("error"))
+
+
+def mocked(pieces: DataFrame, refuse_blank: bool = True) -> DataFrame:
+    """Adds r (RESULT), the mock's, to rows with a snippet; a blank one fails, as with any provider, or gets what the mock says of it."""
+    code, null = F.col("snippet"), lambda kind: F.lit(None).cast(kind)
+    r = mock(code, F.col("_signs"))
+    if refuse_blank:
+        fail = F.struct(F.lit(False).alias("success"), null("string").alias("algorithm"), null("int").alias("key_length"), null("string").alias("mode"), F.lit(False).alias("is_pqc_safe"), F.lit(0.0).alias("confidence"), F.lit("empty snippet").alias("error"))
+        r = F.when(F.coalesce(C.strip(code), F.lit("")) == "", fail).otherwise(r)
+    return pieces.withColumn("_signs", signs(code)).withColumn("r", r).drop("_signs")
 
 
 def parse_reply(text: Column) -> Column:
@@ -122,7 +136,7 @@ def analyse(pieces: DataFrame, provider: Callable[[list[str]], list[dict]] | Non
     for each key; where two runs have asked for one key at once, either answer is taken.
     """
     if provider is None:
-        return pieces.withColumn("_signs", signs(F.col("snippet"))).withColumn("r", mock(F.col("snippet"), F.col("_signs"))).drop("_signs")
+        return mocked(pieces)
     spark = ship(pieces.sparkSession)
     keyed = pieces.withColumn("cache_key", cache_key(F.col("snippet"), getattr(provider, "provider", "custom"), getattr(provider, "model", "custom")))
     new = keyed.where("cache_key is not null").groupBy("cache_key").agg(F.first("snippet").alias("snippet"))

@@ -65,3 +65,10 @@ def test_sizes_as_in_sql(spark, tmp_path):
     plain = lambda n, units: None if n is None else next((f"{n / 1024.0**p:.2f} {u}" for p, u in enumerate(units[:-1]) if n < 1024.0 ** (p + 1)), f"{n / 1024.0 ** (len(units) - 1):.2f} {units[-1]}")
     for r in rows:
         assert (r.short, r.long) == (plain(sizes[r.i], C.SIZE_UNITS[:4]), plain(sizes[r.i], C.SIZE_UNITS))
+
+
+def test_mock_as_in_sql(spark, tmp_path):
+    """No text, blank ones, letters that are an s or a k in another case, white space between a length and its unit."""
+    texts = [None, "", "  ", "\u3000", "\x1c", "r\u017fa", "\u017fHA-256", "md5 \u017fha512", "\u212ayber", "m\u0131", "ml-\u212aem 256bit", "d\u0131lithium", "128b\u0131t", "128\x0bbit 256bit", "128 \tbit 256bit", "12345bit", "999-BIT", "caesar GCM 0128bit", "plain"]
+    got, want = both(spark, tmp_path, "x14_mock", [(i, t, 0) for i, t in enumerate(texts)])
+    assert got == want and len(want) == len(texts)
