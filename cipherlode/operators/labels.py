@@ -178,18 +178,27 @@ def file_assets(hits: DataFrame, *by: str) -> DataFrame:
     return describe(with_evidence(fold_assets(hits, *by), hits))
 
 
+def _where(labels: DataFrame, test: Column) -> DataFrame:
+    """Rows for which a test on the decision's columns holds.
+
+    A plain filter is pushed below the projections that make these columns and takes their expressions along, one inside the
+    other and each as often as it is named. Where rows come from an array of one or none, the test stays above them.
+    """
+    return labels.withColumn("_kept", F.explode(F.when(test, F.array(F.lit(True))))).drop("_kept")
+
+
 def training_only(labels: DataFrame) -> DataFrame:
-    return labels.where("include")
+    return _where(labels, F.col("include"))
 
 
 def with_severity(labels: DataFrame, chosen: list[str]) -> DataFrame:
     """Labels whose worst severity is one of those chosen; none where none is."""
-    return labels.where(F.col("max_severity").isin(chosen))
+    return _where(labels, F.col("max_severity").isin(chosen))
 
 
 def with_tier(labels: DataFrame, chosen: list[str]) -> DataFrame:
     """Labels of the quality tiers chosen; all of them where none is."""
-    return labels.where(F.col("quality_tier").isin(chosen)) if chosen else labels
+    return _where(labels, F.col("quality_tier").isin(chosen)) if chosen else labels
 
 
 def first_evidence(labels: DataFrame, most: int = 3) -> DataFrame:

@@ -72,3 +72,16 @@ def test_mock_as_in_sql(spark, tmp_path):
     texts = [None, "", "  ", "\u3000", "\x1c", "r\u017fa", "\u017fHA-256", "md5 \u017fha512", "\u212ayber", "m\u0131", "ml-\u212aem 256bit", "d\u0131lithium", "128b\u0131t", "128\x0bbit 256bit", "128 \tbit 256bit", "12345bit", "999-BIT", "caesar GCM 0128bit", "plain"]
     got, want = both(spark, tmp_path, "x14_mock", [(i, t, 0) for i, t in enumerate(texts)])
     assert got == want and len(want) == len(texts)
+
+
+def test_filters_do_not_repeat_the_decisions(spark, sf):
+    rows = queries._labelled(spark, sf)
+    made = rows.select("ref", "algorithm", "quality_tier", "max_severity", "include").collect()
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    for name, columns, test in (
+        ("f11_training_records", ("ref", "algorithm", "quality_tier"), lambda r: r.include), ("f15_severity_filter", ("ref", "max_severity"), lambda r: r.max_severity != "low"),
+        ("f16_tier_filter", ("ref", "quality_tier"), lambda r: r.quality_tier == "high_quality"),
+    ):
+        got = queries.QUERIES[name](spark, sf)
+        assert size(got) < 1.5 * size(rows)
+        assert sorted(map(tuple, got.collect())) == sorted(tuple(r[c] for c in columns) for r in made if test(r))
