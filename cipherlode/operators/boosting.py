@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from cipherlode.runtime import discard, ship, stored
 
-MOST_ROWS = 20_000
+MOST_ROWS = 100_000
 TOGETHER_ROWS = 50_000
 """Rows that one task grows together, on average."""
-CELLS = 4_000_000
-"""Histogram cells that are in memory at a time."""
+CELLS = 1_000_000
+"""Histogram cells that are worked on at a time: few enough for a processor's cache."""
+PREDICT_ROWS = 1000
+"""Rows that go down their trees at a time, for the same reason."""
 REFRESH = 10
 """Large keys: after so many trees their rows are written anew with what the trees predict so far."""
 WAVE = 64
@@ -54,47 +56,77 @@ class Forest:
 
     def codes(self, x: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Bins of rows (n, features) whose keys are `owner`."""
-        return (x[:, :, None] > self.edges[owner]).sum(axis=2)
+        return (x[:, :, None] > self.edges[owner]).sum(axis=2, dtype=np.uint8)
 
     def predict(self, x: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """All trees of a row go down together."""
-        code = self.codes(x, owner)
-        trees = np.arange(self.feature.shape[1])[None, :]
-        at = np.zeros((len(x), self.feature.shape[1]), np.int64)
-        rows, own = np.arange(len(x))[:, None], owner[:, None]
-        while at.size and at[0, 0] < self.feature.shape[2]:
-            f = self.feature[own, trees, at]
-            right = (f >= 0) & (code[rows, np.maximum(f, 0)] > self.cut[own, trees, at])
-            at = 2 * at + 1 + right
-        return self.base[owner] + self.leaf[own, trees, at - self.feature.shape[2]].sum(axis=1)
+        return Descent(self).predict(x, owner)
+
+
+class Descent:
+    """A forest as flat tables that are read by place; made once where many predictions follow."""
+
+    def __init__(self, forest: Forest) -> None:
+        self.forest, (_, self.trees, self.inner) = forest, forest.feature.shape
+        self.step = np.where(forest.feature >= 0, forest.feature.astype(np.int32) * 256 + forest.cut, 255).ravel()  # no code is above 255
+        self.leaf = forest.leaf.ravel()
+
+    def predict(self, x: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        out, width = self.forest.base[owner], x.shape[1]
+        if not self.trees:
+            return out
+        for a in range(0, len(x), PREDICT_ROWS):
+            own = owner[a : a + PREDICT_ROWS]
+            code = self.forest.codes(x[a : a + PREDICT_ROWS], own).ravel()
+            tree = (own[:, None] * self.trees + np.arange(self.trees)).ravel()
+            first, row = tree * self.inner, np.repeat(np.arange(len(own)) * width, self.trees)
+            at = np.zeros(len(tree), np.int64)
+            while at[0] < self.inner:
+                step = self.step.take(first + at)
+                at += at
+                at += 1
+                at += code.take(row + (step >> 8)) > (step & 255)
+            out[a : a + PREDICT_ROWS] += self.leaf.take(tree * (self.inner + 1) + (at - self.inner)).reshape(len(own), -1).sum(axis=1)
+        return out
 
 
 def edges_of(x: np.ndarray, bins: int) -> np.ndarray:
     """(features, bins - 1): between each two of a feature's values where these are few, else by equal shares; a value on an edge is below it."""
     out = np.full((x.shape[1], bins - 1), np.inf)
-    for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
+    x = np.sort(x, axis=0)
+    at = (len(x) - 1) * np.arange(1, bins) // bins
+    for f, column in enumerate(x.T):
+        values = column[np.concatenate([[True], column[1:] != column[:-1]])]
         if len(values) <= bins:
             out[f, : len(values) - 1] = values[:-1]
         else:
-            cuts = np.unique(np.quantile(x[:, f], np.arange(1, bins) / bins, method="lower"))
+            cuts = column[at]
+            cuts = cuts[np.concatenate([[True], cuts[1:] != cuts[:-1]])]
             out[f, : len(cuts)] = cuts
     return out
 
 
 def splits(count: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(feature or -1, bin) of the best split of each node, from histograms (nodes, features, bins): the first one with the least squared error."""
-    left_n, left = count.cumsum(axis=2)[:, :, :-1], total.cumsum(axis=2)[:, :, :-1]
-    n, s = count[:, 0].sum(axis=1)[:, None, None], total[:, 0].sum(axis=1)[:, None, None]
-    ok = (left_n > 0) & (left_n < n)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where(ok, left**2 / left_n + (s - left) ** 2 / (n - left_n) - np.where(n > 0, s**2 / n, 0.0), 0.0)
-    flat = gain.reshape(len(gain), -1)
+    """(feature or -1, bin) of the best split of each node, from histograms (features, bins, nodes) of floats, which are overwritten: the first one with the least squared error."""
+    for b in range(1, count.shape[1]):
+        count[:, b] += count[:, b - 1]
+        total[:, b] += total[:, b - 1]
+    left_n, left, n, s = count[:, :-1], total[:, :-1], count[0, -1].copy(), total[0, -1].copy()
+    mean = s / np.maximum(n, 1)
+    # what both sides' squared sums by their sizes give above the whole's, as one square: (left - left_n mean)^2 n / left_n / right_n
+    left -= left_n * mean
+    left *= left
+    both = n - left_n
+    both *= left_n
+    both[both == 0] = np.inf  # a side without rows
+    gain = np.divide(left, both, out=left)
     # sums in another order differ in the last digits: of gains that are equal but for that, the first
-    best = (flat >= flat.max(axis=1, keepdims=True) * (1 - 1e-9)).argmax(axis=1)
-    size = np.abs(s[:, 0, 0]) / np.maximum(n[:, 0, 0], 1) + 1e-9
-    good = flat[np.arange(len(flat)), best] > 1e-9 * size**2
-    return np.where(good, best // (count.shape[2] - 1), -1), best % (count.shape[2] - 1)
+    top = gain.max(axis=1)
+    best = top.max(axis=0)
+    least = best * (1 - 1e-9)
+    f = (top >= least).argmax(axis=0)
+    cut = (gain[f, :, np.arange(len(n))] >= least[:, None]).argmax(axis=1)
+    return np.where(best * n > 1e-9 * (np.abs(mean) + 1e-9) ** 2, f, -1), cut
 
 
 def histogram(code: np.ndarray, slot: np.ndarray, value: np.ndarray, slots: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,20 +144,45 @@ def descended(code: np.ndarray, owner: np.ndarray, node: np.ndarray, level: int,
     return 2 * node + ((f >= 0) & (code[np.arange(len(code)), np.maximum(f, 0)] > cut[owner, at]))
 
 
+def _told_apart(code: np.ndarray) -> list[int]:
+    """Of features (features, rows) whose bins are the same for every row the first; none that has one bin."""
+    out: list[int] = []
+    for f in range(len(code)):
+        if code[f].any() and not any(np.array_equal(code[f], code[g]) for g in out):
+            out.append(f)
+    return out or [0]
+
+
 def grow(x: np.ndarray, y: np.ndarray, owner: np.ndarray, keys: int, p: Params) -> Forest:
-    """Models of `keys` keys from their training rows; every key has one at least."""
-    edges = np.stack([edges_of(x[owner == k], p.bins) for k in range(keys)])
+    """Models of `keys` keys from their training rows, which are sorted by key; every key has one at least."""
     n = np.bincount(owner, minlength=keys)
+    edges = np.stack([edges_of(part, p.bins) for part in np.split(x, np.cumsum(n)[:-1])])
     base = np.bincount(owner, weights=y, minlength=keys) / n
     out = Forest(base, edges, np.full((keys, p.trees, p.inner), -1, np.int8), np.zeros((keys, p.trees, p.inner), np.uint8), np.zeros((keys, p.trees, p.inner + 1)))
     code, sofar = out.codes(x, owner), base[owner]
+    kept = _told_apart(code.T)  # another feature's splits would never be the first among equal ones
+    columns, number = [np.ascontiguousarray(code[:, f], np.int64) for f in kept], np.array(kept)
+    flat, rows = code.ravel(), np.arange(len(code)) * code.shape[1]
     for t in range(p.trees):
         rest, node = y - sofar, np.zeros(len(y), np.int64)
         for level in range(p.depth):
             wide = 1 << level
-            f, c = splits(*histogram(code, owner * wide + node, rest, keys * wide, p.bins))
-            out.feature[:, t, wide - 1 : 2 * wide - 1], out.cut[:, t, wide - 1 : 2 * wide - 1] = f.reshape(keys, wide), c.reshape(keys, wide)
-            node = descended(code, owner, node, level, out.feature[:, t], out.cut[:, t])
+            own = owner * wide + node
+            live = np.flatnonzero(np.bincount(own, minlength=keys * wide) > 1)  # a row alone isn't split; all such meet in one more slot
+            place = np.full(keys * wide, len(live))
+            place[live] = np.arange(len(live))
+            slot, m = place[own], len(live) + 1
+            count, total = np.empty((2, len(kept), p.bins, m))
+            for f, column in enumerate(columns):
+                at = column * m
+                at += slot
+                count[f] = np.bincount(at, minlength=p.bins * m).reshape(p.bins, m)
+                total[f] = np.bincount(at, weights=rest, minlength=p.bins * m).reshape(p.bins, m)
+            f, c = splits(count[:, :, :-1], total[:, :, :-1])
+            feature, cut = np.full(keys * wide, -1), np.full(keys * wide, 255)
+            feature[live], cut[live] = np.where(f < 0, -1, number[f]), np.where(f < 0, 255, c)
+            node = 2 * node + (flat[rows + np.maximum(feature, 0)[own]] > cut[own])
+            out.feature[:, t, wide - 1 : 2 * wide - 1], out.cut[:, t, wide - 1 : 2 * wide - 1] = feature.reshape(keys, wide), cut.reshape(keys, wide)
         slot = owner * (p.inner + 1) + node
         count = np.bincount(slot, minlength=out.leaf[:, t].size)
         leaf = p.rate * np.bincount(slot, weights=rest, minlength=out.leaf[:, t].size) / np.maximum(count, 1)
@@ -160,14 +217,19 @@ def r2_of(y: np.ndarray, guess: np.ndarray, owner: np.ndarray, keys: int) -> np.
         return np.where((n > 1) & (spread > 0), 1 - np.bincount(owner, weights=(y - guess) ** 2, minlength=keys) / spread, np.nan)
 
 
+def values_of(lists: pd.Series) -> np.ndarray:
+    """A column of lists of equal length as a table."""
+    return np.concatenate(lists.to_numpy()).reshape(len(lists), -1).astype(float, copy=False) if len(lists) else np.zeros((0, 1))
+
+
 def _together(frame: pd.DataFrame, p: Params) -> Iterator[tuple[np.ndarray, pd.DataFrame, np.ndarray, Forest]]:
     """(keys, their rows by key and order, owner, models) of a task's keys, as many at a time as memory has cells for."""
     frame = frame.sort_values(["key", "id"], kind="stable")
     names, owner = np.unique(frame["key"].to_numpy(), return_inverse=True)
-    x, y, test = np.array(frame["x"].tolist(), float).reshape(len(frame), -1), frame["y"].to_numpy(float), frame["test"].to_numpy(bool)
+    x, y, test = values_of(frame["x"]), frame["y"].to_numpy(float), frame["test"].to_numpy(bool)
     most = max(1, CELLS // ((p.inner + 1) // 2 * x.shape[1] * p.bins))
     for a in range(0, len(names), most):
-        inside = (owner >= a) & (owner < a + most)
+        inside = slice(*np.searchsorted(owner, (a, a + most)))
         own = owner[inside] - a
         k = min(most, len(names) - a)
         learn = ~test[inside]
@@ -193,7 +255,7 @@ def fit_predict(rows: DataFrame, key: str, order: str, features: tuple[str, ...]
     large = [r["key"] for r in sizes.where(F.col("n") > MOST_ROWS).orderBy("key").select("key").collect()]  # a MOST_ROWS-th of all rows at most
     small = data.where(~F.col("key").isin(large)) if large else data
     total = small.count()
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TOGETHER_ROWS))
+    buckets = max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TOGETHER_ROWS))  # several a partition even out
     grouped = small.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"))
     kind, other = data.schema["key"].dataType.simpleString(), data.schema["id"].dataType.simpleString()
 
@@ -201,14 +263,14 @@ def fit_predict(rows: DataFrame, key: str, order: str, features: tuple[str, ...]
         out = []
         for names, part, own, forest in _together(frame, p):
             test = part["test"].to_numpy(bool)
-            x = np.array(part["x"].tolist(), float)[test]
+            x = values_of(part["x"])[test]
             r2 = r2_of(part["y"].to_numpy(float)[test], forest.predict(x, own[test]), own[test], len(names)) if test.any() else np.full(len(names), np.nan)
             n = [np.bincount(own[test == t], minlength=len(names)) for t in (False, True)]
             out += [(name, *packed(forest, k), int(n[0][k]), int(n[1][k]), None if np.isnan(r2[k]) else float(r2[k])) for k, name in enumerate(names)]
         return pd.DataFrame(out, columns=["key", *(c.split()[0] for c in MODEL.split(", "))])
 
     def predictions(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({"key": part["key"], "id": part["id"], "prediction": forest.predict(np.array(part["x"].tolist(), float), own)}) for _, part, own, forest in _together(frame, p)]
+        parts = [pd.DataFrame({"key": part["key"], "id": part["id"], "prediction": forest.predict(values_of(part["x"]), own)}) for _, part, own, forest in _together(frame, p)]
         return pd.concat(parts)
 
     made = grouped.applyInPandas(models, f"key {kind}, {MODEL}")
@@ -280,7 +342,7 @@ def _grown_by_all(data: DataFrame, names: list, features: int, p: Params) -> tup
             count, total = np.zeros(shape), np.zeros(shape)
             count.ravel()[found["cell"]], total.ravel()[found["cell"]] = found["n"], found["s"]
             if level < p.depth:
-                f, c = splits(count, total)
+                f, c = splits(*(np.ascontiguousarray(h.transpose(1, 2, 0)) for h in (count, total)))
                 forest.feature[:, t, wide - 1 : 2 * wide - 1], forest.cut[:, t, wide - 1 : 2 * wide - 1] = f.reshape(keys, wide), c.reshape(keys, wide)
             else:
                 forest.leaf[:, t] = p.rate * total / np.maximum(count, 1)

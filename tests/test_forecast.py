@@ -121,3 +121,24 @@ def test_queries_have_all_trees_and_a_year(spark, sf):
     got = queries.QUERIES["w08_recursive_forecast"](spark, sf)
     assert {r["count"] for r in got.groupBy("ticker").count().collect()} == {365}
     assert prices.select(F.countDistinct("ticker")).first()[0] == got.select("ticker").distinct().count()
+
+
+def test_splits_look_only_where_one_may_be(monkeypatch):
+    """Columns that bin alike are looked at once, and single rows never; the models stay the plain ones."""
+    rng, p, keys, n = np.random.default_rng(5), boosting.Params(trees=6), 7, 30
+    a, b = rng.integers(0, 500, keys * n).astype(float), rng.normal(size=keys * n)
+    x, y, owner = np.column_stack([a, b, a + 1, np.ones(len(a)), (a + a + 1) / 2]), np.round(a % 7 + 3 * b, 2), np.repeat(np.arange(keys), n)
+    cells, plain = [], boosting.splits
+    monkeypatch.setattr(boosting, "splits", lambda count, total: cells.append(count.size) or plain(count, total))
+    got = boosting.grow(x, y, owner, keys, p).predict(x, owner)
+    assert 0 < sum(cells) < 0.4 * p.trees * p.inner * keys * x.shape[1] * p.bins
+    for k in range(keys):
+        base, trees = plain_model(x[owner == k], y[owner == k].tolist(), p)
+        assert np.allclose(got[owner == k], [base + sum(walked(t, row) for t in trees) for row in x[owner == k]], atol=1e-9)
+
+
+def test_keys_that_fit_a_task_are_not_grown_by_all(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "_grown_by_all", lambda *_: pytest.fail("a pass over all rows for every level"))
+    df = spark.range(25_000).selectExpr("1L as k", "id as i", "cast(id % 1000 as double) as a", "cast(id % 1000 as double) as y")
+    made, _ = boosting.fit_predict(df, "k", "i", ("a",), "y", boosting.Params(trees=2))
+    assert made.first().n_train + made.first().n_test == 25_000
