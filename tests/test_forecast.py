@@ -142,3 +142,26 @@ def test_keys_that_fit_a_task_are_not_grown_by_all(spark, monkeypatch):
     df = spark.range(25_000).selectExpr("1L as k", "id as i", "cast(id % 1000 as double) as a", "cast(id % 1000 as double) as y")
     made, _ = boosting.fit_predict(df, "k", "i", ("a",), "y", boosting.Params(trees=2))
     assert made.first().n_train + made.first().n_test == 25_000
+
+
+def test_descent_of_many_rows(monkeypatch):
+    """Trees as flat tables give each row what walking down by hand gives, however many rows go at a time."""
+    rng, p, keys, n = np.random.default_rng(6), boosting.Params(trees=4, depth=3, bins=8), 5, 25
+    x, owner = rng.normal(size=(keys * n, 3)), np.repeat(np.arange(keys), n)
+    forest = boosting.grow(x, np.where(owner == 2, 1.0, x[:, 1]), owner, keys, p)  # the third key has no splits
+    code, want = forest.codes(x, owner), []
+    for row, k in zip(code, owner):
+        guess = forest.base[k]
+        for t in range(p.trees):
+            at = 0
+            while at < p.inner:
+                f = forest.feature[k, t, at]
+                at = 2 * at + 1 + int(f >= 0 and row[f] > forest.cut[k, t, at])
+            guess += forest.leaf[k, t, at - p.inner]
+        want.append(guess)
+    trees = boosting.Descent(forest)
+    for most in (1, 7, 1000):
+        monkeypatch.setattr(boosting, "PREDICT_ROWS", most)
+        mixed = rng.permutation(len(x))
+        assert np.allclose(trees.predict(x[mixed], owner[mixed]), np.array(want)[mixed], atol=1e-12)
+    assert (forest.feature[2] == -1).all() and len(trees.predict(x[:0], owner[:0])) == 0
