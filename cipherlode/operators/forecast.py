@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -69,8 +70,8 @@ def last_week(rows: DataFrame, key: str = "ticker", time: str = "ts", tie: str |
     return weeks.select(key, "n", "last", F.transform("w", lambda x: x["close"]).alias("closes"))
 
 
-def recursive(weeks: DataFrame, made: DataFrame, steps: int, key: str = "ticker", trees: int = 100) -> DataFrame:
-    """(key, step, forecast) from what last_week gave and each key's own model: each step feeds the next.
+def recursive(weeks: DataFrame, made: DataFrame, steps: int, key: str = "ticker", trees: int = 100, first: int = 1) -> DataFrame:
+    """(key, step, forecast) from what last_week gave and each key's own model: each step feeds the next. Steps before `first` aren't given out.
 
     Sequential in the steps, so a task takes its keys together; a key is one row of last values and a model.
     """
@@ -82,8 +83,9 @@ def recursive(weeks: DataFrame, made: DataFrame, steps: int, key: str = "ticker"
         for frame in frames:
             alike = [part.iloc[a : a + KEYS_AHEAD] for _, part in frame.groupby(frame["closes"].map(len)) for a in range(0, len(part), KEYS_AHEAD)]
             for part in alike:
-                keys, held, done = part[key].to_numpy(), [], 0
-                for price in _ahead(boosting.unpacked(part, p), boosting.values_of(part["last"]), boosting.values_of(part["closes"]), steps):
+                keys, held, done = part[key].to_numpy(), [], first - 1
+                prices = _ahead(boosting.unpacked(part, p), boosting.values_of(part["last"]), boosting.values_of(part["closes"]), steps)
+                for price in islice(prices, first - 1, None):
                     held.append(price)
                     if len(held) == STEPS_OUT or done + len(held) == steps:
                         n = len(held)
@@ -103,7 +105,7 @@ def forecast(prices: DataFrame, years: int, key: str = "ticker", time: str = "ts
     rows = stored(complete(features(prices, key, time, tie)), "prices")
     made = stored(models(rows, key, tie or time, trees=trees)[0], "models")
     weeks = last_week(rows, key, time, tie)
-    future = recursive(weeks, made, years * 365, key, trees).where(F.col("step") == years * 365)
+    future = recursive(weeks, made, years * 365, key, trees, first=years * 365)
     done = weeks.join(future, key).join(made.select(key, "r2"), key).select(key, F.element_at("closes", -1).alias("current_price"), F.col("forecast").alias("future_price"), F.col("n").alias("data_points"), "r2")
     change = outcome(F.col("current_price"), F.col("future_price"))[0]
     return done.select(key, "current_price", "future_price", change.alias("change_percentage"), F.lit(years).alias("years"), "r2", "data_points")

@@ -165,3 +165,11 @@ def test_descent_of_many_rows(monkeypatch):
         mixed = rng.permutation(len(x))
         assert np.allclose(trees.predict(x[mixed], owner[mixed]), np.array(want)[mixed], atol=1e-12)
     assert (forest.feature[2] == -1).all() and len(trees.predict(x[:0], owner[:0])) == 0
+
+
+def test_only_the_steps_that_are_asked_for(rows):
+    made = forecast.models(rows, order="event_id", trees=3)[0]
+    weeks = forecast.last_week(rows, tie="event_id")
+    whole = {(r.ticker, r.step): r.forecast for r in forecast.recursive(weeks, made, 40, trees=3).collect()}
+    last = {(r.ticker, r.step): r.forecast for r in forecast.recursive(weeks, made, 40, trees=3, first=38).collect()}
+    assert last == {at: price for at, price in whole.items() if at[1] >= 38} and len(last) == 3 * weeks.count()
